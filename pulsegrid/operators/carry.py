@@ -85,73 +85,69 @@ def islands(df: DataFrame, keys: list[str], index: str, flag: Column, chunk: int
     return inner.unionByName(edge.select(*keys, "flag", "start", "end"))
 
 
-def _bin(value: str, lo, hi, bins: int) -> Column:
-    """Range bin of ``value`` in [lo, hi]: monotone in the value and deterministic."""
-    width = hi - lo
-    raw = F.floor((F.col(value) - lo) / width * bins)
-    return F.when(width > 0, F.least(F.lit(bins - 1), raw)).otherwise(0).cast("int")
-
-
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], bins: int = 1024,
-                    levels: int = 2) -> DataFrame:
-    """Exact linear-interpolated quantiles per key without holding a key in one task.
-
-    Each level histograms the values into ``bins`` range bins and keeps only the
-    bins that hold a wanted rank, so the last sort sees about n / bins**levels
-    rows. Keys without a non-null value are absent from the result.
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], accuracy: int = 20000,
+                    small: int = 100_000) -> DataFrame:
+    """Exact linear-interpolated quantiles per key without sorting a large key in one task.
+
+    A mergeable sketch brackets each wanted rank (rank error at most n / accuracy,
+    bracket four times as wide). One more pass counts the rows below the bracket
+    and the distinct values inside it, and the ranks are read off those counts.
+    Keys of at most ``small`` rows are bracketed by their whole range.
+    Keys without a non-null value are absent from the result.
     """
     d = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    span = [F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_c")]
-    cells = d.groupBy(*keys).agg(*span)
-    pos = F.col("_w._p") * (F.col("_c") - 1)
-    wanted = F.explode(F.array(*[F.struct(F.lit(n).alias("_name"), F.lit(float(p)).alias("_p"))
-                                 for n, p in probs.items()])).alias("_w")
-    want = cells.select(*keys, "_c", wanted).select(
-        *keys, F.col("_w._name").alias("_name"), pos.alias("_pos"), F.explode(F.array(F.floor(pos), F.ceil(pos))).alias("_rank"))
-    want = want.distinct().withColumn("_off", F.col("_rank"))
-    group = list(keys)
-    cells = cells.drop("_c")
-    for level in range(levels):
-        name = f"_b{level}"
-        d = d.join(cells, group).withColumn(name, _bin("_v", F.col("_lo"), F.col("_hi"), bins)).drop("_lo", "_hi")
-        w = Window.partitionBy(*group).orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
-        hist = d.groupBy(*group, name).agg(*span).withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0)))
-        want = want.join(hist, group).where((F.col("_off") >= F.col("_before"))
-                                            & (F.col("_off") < F.col("_before") + F.col("_c")))
-        want = want.withColumn("_off", F.col("_off") - F.col("_before"))
-        group = group + [name]
-        cells = want.select(*group, "_lo", "_hi").distinct()
-        want = want.drop("_before", "_c", "_lo", "_hi")
-    d = d.join(cells.select(*group), group, "left_semi")
-    counts = d.groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*group).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0)))
-    hit = want.join(counts, group).where((F.col("_off") >= F.col("_before"))
-                                         & (F.col("_off") < F.col("_before") + F.col("_c")))
-    pairs = hit.groupBy(*keys, "_name").agg(F.min_by("_v", "_rank").alias("_a"), F.max_by("_v", "_rank").alias("_z"),
-                                            F.first("_pos").alias("_pos"))
+    margin = 4.0 / accuracy
+    cuts = [c for p in probs.values() for c in (max(0.0, p - margin), min(1.0, p + margin))]
+    sketch = d.groupBy(*keys).agg(F.percentile_approx("_v", cuts, accuracy).alias("_cut"), F.count(F.lit(1)).alias("_n"))
+    large = F.col("_n") > small
+    none = F.lit(None).cast("double")
+    wants = []
+    for i, (name, p) in enumerate(probs.items()):
+        lo = F.when(large, F.col("_cut")[2 * i]) if p > margin else none
+        hi = F.when(large, F.col("_cut")[2 * i + 1]) if p < 1 - margin else none
+        wants.append(F.struct(F.lit(name).alias("name"), F.lit(float(p)).alias("p"), lo.alias("lo"), hi.alias("hi")))
+    j = d.join(sketch, keys).select(*keys, "_n", "_v", F.explode(F.array(*wants)).alias("_w"))
+    j = j.where(F.col("_w.hi").isNull() | (F.col("_v") <= F.col("_w.hi")))
+    inside = F.when(F.col("_w.lo").isNull() | (F.col("_v") >= F.col("_w.lo")), F.col("_v"))
+    counts = j.groupBy(*keys, F.col("_w.name").alias("_name"), F.col("_w.p").alias("_p"), "_n", inside.alias("_v")).agg(
+        F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*keys, "_name").orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumns({"_before": F.coalesce(F.sum("_c").over(w), F.lit(0)), "_pos": F.col("_p") * (F.col("_n") - 1)})
+
+    def at(rank):
+        return F.max(F.when((rank >= F.col("_before")) & (rank < F.col("_before") + F.col("_c")), F.col("_v")))
+
+    pairs = counts.groupBy(*keys, "_name", "_pos").agg(at(F.floor("_pos")).alias("_a"), at(F.ceil("_pos")).alias("_z"))
     q = F.col("_a") + (F.col("_z") - F.col("_a")) * (F.col("_pos") - F.floor("_pos"))
     return pairs.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == n, q)).alias(n) for n in probs])
 
 
 def with_rank(df: DataFrame, keys: list[str], value: str, tie: str, name: str = "rank", descending: bool = True,
-              bins: int = 1024) -> DataFrame:
+              bins: int = 256) -> DataFrame:
     """One-based rank per key by ``value`` then ascending ``tie``; rows with NULL value get NULL.
 
-    Value-range bins carry the counts ahead of them; a bin that holds one single
-    value is split again on the tie column, so equal scores do not pile up.
+    Value-range bins carry the number of rows ahead of them. A bin that holds one
+    single value is cut again along the tie column, so equal scores do not pile up
+    in one task. Bins depend only on per-key minima and maxima.
     """
     live, dead = df.where(F.col(value).isNotNull()), df.where(F.col(value).isNull())
     s = live.withColumn("_s", F.col(value).cast("double") * (-1.0 if descending else 1.0))
-    span = s.groupBy(*keys).agg(F.min("_s").alias("_lo"), F.max("_s").alias("_hi"))
-    s = s.join(span, keys).withColumn("_bin", _bin("_s", F.col("_lo"), F.col("_hi"), bins)).drop("_lo", "_hi")
-    cells = s.groupBy(*keys, "_bin").agg((F.min("_s") == F.max("_s")).alias("_flat"),
-                                         F.min(tie).alias("_tlo"), F.max(tie).alias("_thi"))
-    s = s.join(cells, [*keys, "_bin"])
-    width = F.col("_thi") - F.col("_tlo")
-    sub = F.least(F.lit(bins - 1), F.floor((F.col(tie) - F.col("_tlo")) / width * bins))
-    s = s.withColumn("_sub", F.when(F.col("_flat") & (width > 0), sub).otherwise(0)).drop("_flat", "_tlo", "_thi")
-    s = s.withColumn("_cell", F.col("_bin").cast("long") * bins + F.col("_sub").cast("long"))
-    out = with_index(s, keys, "_cell", ["_s", tie], name).withColumn(name, F.col(name) + 1)
-    out = out.drop("_s", "_bin", "_sub", "_cell")
+    span = s.groupBy(*keys).agg(F.min("_s").alias("_lo"), F.max("_s").alias("_hi"),
+                                F.min(tie).alias("_tlo"), F.max(tie).alias("_thi"))
+
+    def bin_of(c, lo, hi):
+        raw = F.floor((F.col(c) - F.col(lo)) / (F.col(hi) - F.col(lo)) * bins)
+        return F.when(F.col(hi) > F.col(lo), F.least(F.lit(bins - 1), raw)).otherwise(0).cast("int")
+
+    s = s.join(span, keys).withColumns({"_bin": bin_of("_s", "_lo", "_hi"), "_sub": bin_of(tie, "_tlo", "_thi")})
+    s = s.drop("_lo", "_hi", "_tlo", "_thi")
+    cells = s.groupBy(*keys, "_bin", "_sub").agg(F.count(F.lit(1)).alias("_c"), F.min("_s").alias("_a"), F.max("_s").alias("_z"))
+    wb = Window.partitionBy(*keys, "_bin")
+    cells = cells.withColumn("_cell", F.when(F.min("_a").over(wb) == F.max("_z").over(wb), F.col("_sub")).otherwise(0))
+    ahead = Window.partitionBy(*keys).orderBy("_bin", "_sub").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("_ahead", F.coalesce(F.sum("_c").over(ahead), F.lit(0)))
+    cells = cells.withColumn("_before", F.min("_ahead").over(Window.partitionBy(*keys, "_bin", "_cell")))
+    s = s.join(cells.select(*keys, "_bin", "_sub", "_cell", "_before"), [*keys, "_bin", "_sub"])
+    rn = F.row_number().over(Window.partitionBy(*keys, "_bin", "_cell").orderBy("_s", tie))
+    out = s.withColumn(name, (rn + F.col("_before")).cast("long")).drop("_s", "_bin", "_sub", "_cell", "_before")
     return out.unionByName(dead.withColumn(name, F.lit(None).cast("long")))

@@ -39,8 +39,8 @@ PAIRS = WAVES + """,
 p as (select a.vec_id, a.subject, a.i, a.x, b.x as y from w a join w b on b.vec_id = a.vec_id + 1 and b.i = a.i)"""
 EVAL = """ev as (select o_orderkey, o_custkey as subject, o_orderpriority as method,
   datediff('day', date '1992-01-01', cast(o_orderdate as date)) as start_day,
-  case when o_orderstatus <> 'P' then round(o_totalprice / 1000, 5) end as pred, ref, o_orderstatus as status
-  from orders left join (select l_orderkey, round(sum(l_extendedprice * (1 - l_discount)) / 1000, 7) as ref
+  case when o_orderstatus <> 'P' then o_totalprice / 977e0 end as pred, ref, o_orderstatus as status
+  from orders left join (select l_orderkey, sum(l_extendedprice * (1 - l_discount)) / 977e0 as ref
   from lineitem group by 1) on l_orderkey = o_orderkey)"""
 
 

@@ -12,6 +12,7 @@ from pulsegrid.operators.carry import with_index
 ORIGIN = "2024-01-01 00:00:00"   # zero of the relative clock
 DAY = 86400.0
 BLOCK = 64                       # samples per colour window
+UNIT = 977.0                     # price units per beat-per-minute in the evaluation rows
 FS = 16.0                        # nominal rate of 64-sample windows
 
 
@@ -78,9 +79,9 @@ def eval_rows(spark, sf_dir) -> DataFrame:
     o = read(spark, sf_dir, "orders")
     li = read(spark, sf_dir, "lineitem")
     ref = li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
-        F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))) / 1000, 7).alias("ref"))
+        (F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))) / UNIT).alias("ref"))
     return o.join(ref, "o_orderkey", "left").select(
         "o_orderkey", F.col("o_custkey").alias("subject"), F.col("o_orderpriority").alias("method"),
         F.datediff(F.to_date("o_orderdate"), F.lit("1992-01-01").cast("date")).alias("start_day"),
-        F.when(F.col("o_orderstatus") != "P", F.round(F.col("o_totalprice") / 1000, 5)).alias("pred"),
+        F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice") / UNIT).alias("pred"),
         "ref", F.col("o_orderstatus").alias("status"))
