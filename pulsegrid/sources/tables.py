@@ -12,7 +12,7 @@ from pulsegrid.operators.carry import with_index
 ORIGIN = "2024-01-01 00:00:00"   # zero of the relative clock
 DAY = 86400.0
 BLOCK = 64                       # samples per colour window
-UNIT = 977.0                     # price units per beat-per-minute in the evaluation rows
+UNIT = 977.0                     # price units per signal unit
 FS = 16.0                        # nominal rate of 64-sample windows
 
 
@@ -45,7 +45,7 @@ def colour_samples(spark, sf_dir) -> DataFrame:
     li = read(spark, sf_dir, "lineitem")
     day = F.datediff(F.to_date("l_shipdate"), F.lit("1992-01-01").cast("date"))
     s = li.select(F.col("l_suppkey").alias("recording"), day.alias("day"), "l_orderkey", "l_linenumber",
-                  F.col("l_quantity").alias("r"), (F.col("l_extendedprice") / 1000.0).alias("g"),
+                  F.col("l_quantity").alias("r"), (F.col("l_extendedprice") / UNIT).alias("g"),
                   (F.col("l_tax") * 100.0 + 1.0).alias("b"), F.col("l_discount").alias("discount"),
                   F.col("l_returnflag").alias("flag"))
     return with_index(s, ["recording"], "day", ["l_orderkey", "l_linenumber", "r", "g"], "i")
