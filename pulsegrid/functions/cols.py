@@ -54,7 +54,14 @@ def arr_dot(a, b) -> Column:
     return F.aggregate(F.zip_with(col(a), col(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def corr_from_sums(n, sx, sy, sxx, syy, sxy) -> Column:
-    """Pearson r from sums; NULL when a side is constant."""
-    vx, vy = sxx - sx * sx / n, syy - sy * sy / n
-    return F.when((vx > 0) & (vy > 0), (sxy - sx * sy / n) / F.sqrt(vx * vy))
+def ratio(a, b) -> Column:
+    """Division that gives NULL for a zero denominator (ANSI mode would stop the job)."""
+    return F.try_divide(col(a), col(b))
+
+
+def safe_corr(x, y) -> Column:
+    """Pearson aggregate or window function over complete pairs; NULL when a side is constant."""
+    x, y = col(x), col(y)
+    both = x.isNotNull() & y.isNotNull()
+    a, b = F.when(both, x), F.when(both, y)
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))

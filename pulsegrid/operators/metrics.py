@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pulsegrid.functions.cols import finite
+from pulsegrid.functions.cols import finite, safe_corr
 from pulsegrid.operators.carry import exact_quantiles
 
 
@@ -23,7 +23,7 @@ def regression_aggs(pred: str = "pred", ref: str = "ref") -> dict[str, Column]:
     sd = F.when(n == 1, F.lit(0.0)).when(n > 1, F.stddev_samp(e))
     varied = (n > 1) & (F.stddev_pop(rr) > 0) & (F.stddev_pop(pp) > 0)
     return {"mae": F.avg(F.abs(e)), "rmse": F.sqrt(F.avg(e * e)), "me": F.avg(e), "sd": sd,
-            "pearson": F.when(varied, F.corr(rr, pp)), "n": n}
+            "pearson": F.when(varied, safe_corr(rr, pp)), "n": n}
 
 
 def coverage_aggs() -> dict[str, Column]:
@@ -85,7 +85,7 @@ def centered_corr(df: DataFrame, keys: list[str], subject: str, x: str, y: str)
         F.sum(F.when(rep, n)).alias("_nr"),
         F.sum(F.when(rep, n * F.col("vx"))).alias("_sxx"), F.sum(F.when(rep, n * F.col("vy"))).alias("_syy"),
         F.sum(F.when(rep, n * F.col("cxy"))).alias("_sxy"))
-    pooled = df.where(ok).groupBy(*keys).agg(F.corr(x, y).alias("pooled_corr"))
+    pooled = df.where(ok).groupBy(*keys).agg(safe_corr(x, y).alias("pooled_corr"))
     df_ = F.col("_nr") - F.col("repeated_subjects")
     enough = (F.col("repeated_subjects") >= 2) & (df_ >= 3) & (F.col("_sxx") > 0) & (F.col("_syy") > 0)
     out = out.withColumns({"within_df": F.coalesce(df_, F.lit(0)),

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from pulsegrid.functions.cols import finite, joined, reasons, rnd
+from pulsegrid.functions.cols import finite, joined, reasons, rnd, safe_corr
 from pulsegrid.operators import metrics as mt
 from pulsegrid.operators.carry import exact_quantiles, with_index, with_prev, with_rank
 from pulsegrid.plans.registry import EVAL, R, query
@@ -340,7 +340,7 @@ def spearman_association(spark, d):
     s = r.groupBy("method", "rec").agg(F.avg("abs_err").alias("error"), F.avg("pred").alias("indicator")).na.drop()
     s = mt.average_rank(mt.average_rank(s, ["method"], "error", "re"), ["method"], "indicator", "ri")
     return s.groupBy("method").agg(F.count("*").alias("recordings"),
-                                   rnd(F.when(F.count("*") >= 3, F.corr("re", "ri"))).alias("spearman"))
+                                   rnd(F.when(F.count("*") >= 3, safe_corr("re", "ri"))).alias("spearman"))
 
 
 @query("quality_coverage_curve", f"""with {EV}, v as (select method, abs_err, o_orderkey, row_number() over (partition by method order by -pred, o_orderkey) as rn,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions import kernels as kn
 from pulsegrid.functions.batch import apply_kernel
-from pulsegrid.functions.cols import joined, reasons, rnd
+from pulsegrid.functions.cols import joined, ratio, reasons, rnd
 from pulsegrid.operators import spectral as sp
 from pulsegrid.plans.registry import PAIRS, R, WAVES, query
 from pulsegrid.sources.tables import FS, wave_pairs, waves
@@ -79,7 +79,7 @@ def signal_quality(df, x, prefix=""):
     w = sp.with_hr(df, x, FS, L, prefix)
     w = sp.welch_band(w, x, FS, min(L, int(8 * FS)), min(L, int(8 * FS)), sp.LOW, sp.HIGH, f"{prefix}q")
     lag = F.bround(FS / F.col(f"{prefix}hr_hz"), 0).cast("int")
-    peak = F.array_max(f"{prefix}q") / (F.aggregate(f"{prefix}q", F.lit(0.0), lambda a, p: a + p) / F.size(f"{prefix}q"))
+    peak = ratio(F.array_max(f"{prefix}q") * F.size(f"{prefix}q"), F.aggregate(f"{prefix}q", F.lit(0.0), lambda a, p: a + p))
     return w.withColumns({f"{prefix}spectral_peak_to_mean": peak, f"{prefix}periodicity": sp.shifted_corr(F.col(x), lag),
                           f"{prefix}amplitude_std": sp.population_sd(x)})
 
@@ -98,8 +98,8 @@ def spectral_diagnostics(spark, d):
     p1, p2, ph = [sp.power_at(x, F.bround(hz * k / step, 0) * step, FS, L) for k in (1.0, 2.0, .5)]
     lag = F.bround(FS / hz, 0).cast("int")
     return w.select("vec_id", rnd("hr_bpm").alias("pred_hr_bpm"), rnd("snr_db").alias("snr_db"), rnd("confidence").alias("concentration"),
-                    rnd(sp.shifted_corr(x, lag, plain=False)).alias("periodicity"), rnd(p2 / p1).alias("harmonic_power_ratio"),
-                    rnd(ph / p1).alias("subharmonic_power_ratio"))
+                    rnd(sp.shifted_corr(x, lag, plain=False)).alias("periodicity"), rnd(ratio(p2, p1)).alias("harmonic_power_ratio"),
+                    rnd(ratio(ph, p1)).alias("subharmonic_power_ratio"))
 
 
 @query("band_power_concentration", f"""with {HR}, {dft('q', 'w', 'x', 3, 16, 64)},
@@ -114,7 +114,7 @@ def band_power_concentration(spark, d):
     total = F.aggregate("q", F.lit(0.0), lambda a, p: a + p)
     area = (total - (F.element_at("q", 1) + F.element_at("q", -1)) / 2) * step
     own = F.aggregate(F.transform("q", lambda p, i: F.when(F.abs((i + k0) * step - F.col("hr_hz")) <= .15, p).otherwise(0.0)), F.lit(0.0), lambda a, p: a + p)
-    return w.select("vec_id", rnd(area, 9).alias("band_power"), rnd(own / total).alias("spectral_concentration"))
+    return w.select("vec_id", rnd(area, 9).alias("band_power"), rnd(ratio(own, total)).alias("spectral_concentration"))
 
 
 def js_psd(name, col):

@@ -4,7 +4,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "pulsegrid", cpus: str | int = 8) -> SparkSession:
@@ -20,12 +20,10 @@ def local_session(app: str = "pulsegrid", cpus: str | int = 8) -> SparkSession:
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder named by the cluster; a temporary one only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        named = tempfile.mkdtemp(prefix="pulsegrid-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", named)
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared folder the cluster names; a temporary one only where none is named."""
+    spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
-    return named
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="pulsegrid-ckpt-"))
+    return df.checkpoint()
