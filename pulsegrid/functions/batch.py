@@ -30,33 +30,42 @@ def _by_length(columns: list[pa.Array]) -> Iterator[tuple[np.ndarray, list[np.nd
             yield rows[ok], [m[ok] for m in mats]
 
 
-def apply_kernel(df: DataFrame, inputs: list[str], kernel: Callable, outputs: str, **params) -> DataFrame:
-    """Append the kernel's columns to every row of ``df``.
+def job(inputs: list[str], kernel: Callable, outputs: str, **params) -> tuple:
+    """One kernel call: ``kernel(*matrices, **params)`` returns one sequence per output field,
+    each with one entry per row: numbers (NaN becomes NULL), or lists for array fields."""
+    return inputs, kernel, T.StructType.fromDDL(outputs).fields, params
+
 
-    ``kernel(*matrices, **params)`` returns one sequence per output field, each
-    with one entry per row: numbers (NaN becomes NULL), or lists for array fields.
-    """
-    added = T.StructType.fromDDL(outputs)
-    schema = T.StructType(df.schema.fields + added.fields)
+def apply_kernels(df: DataFrame, jobs: list[tuple]) -> DataFrame:
+    """Append the columns of several independent kernels in one Arrow pass over ``df``."""
+    added = [f for _, _, fields, _ in jobs for f in fields]
+    schema = T.StructType(df.schema.fields + added)
     arrow = to_arrow_schema(schema)
     width = len(df.columns)
 
     def run(batches):
         for batch in batches:
-            cells = [np.full(batch.num_rows, None, dtype=object) for _ in added.fields]
-            if batch.num_rows:
-                cols = [_plain_list(batch.column(batch.schema.get_field_index(c))) for c in inputs]
-                for rows, mats in _by_length(cols):
-                    for out, values in zip(cells, kernel(*mats, **params)):
-                        for r, v in zip(rows, values):
-                            out[r] = v
-            extra = [pa.array([_clean(v) for v in out.tolist()], type=arrow.field(width + k).type)
-                     for k, out in enumerate(cells)]
+            extra = []
+            for inputs, kernel, fields, params in jobs:
+                cells = [np.full(batch.num_rows, None, dtype=object) for _ in fields]
+                if batch.num_rows:
+                    cols = [_plain_list(batch.column(batch.schema.get_field_index(c))) for c in inputs]
+                    for rows, mats in _by_length(cols):
+                        for out, values in zip(cells, kernel(*mats, **params)):
+                            for r, v in zip(rows, values):
+                                out[r] = v
+                extra += [pa.array([_clean(v) for v in out.tolist()], type=arrow.field(width + len(extra) + k).type)
+                          for k, out in enumerate(cells)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=arrow.names)
 
     return df.mapInArrow(run, schema)
 
 
+def apply_kernel(df: DataFrame, inputs: list[str], kernel: Callable, outputs: str, **params) -> DataFrame:
+    """Append one kernel's columns to every row of ``df``."""
+    return apply_kernels(df, [job(inputs, kernel, outputs, **params)])
+
+
 def _plain_list(c):
     if isinstance(c, pa.ChunkedArray):
         c = c.combine_chunks()

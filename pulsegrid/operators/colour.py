@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pulsegrid.functions.batch import apply_kernel
+from pulsegrid.functions.batch import apply_kernels, job
 from pulsegrid.functions.cols import EPS
 from pulsegrid.functions import kernels as kn
 
@@ -117,14 +117,19 @@ def register_method(name: str, kernel) -> None:
     KERNEL_METHODS[name] = kernel
 
 
-def window_method(windows: DataFrame, name: str, fs: float) -> DataFrame:
-    """Kernel method on one-row-per-window arrays; failures are NULL arrays."""
+def method_job(name: str, fs: float) -> tuple:
     kernel = KERNEL_METHODS[name]
+    return job(["r", "g", "b"], lambda r, g, b: [kernel(r, g, b, fs)], f"{name} array<double>")
 
-    def run(r, g, b, fs):
-        return [kernel(r, g, b, fs)]
 
-    return apply_kernel(windows, ["r", "g", "b"], run, f"{name} array<double>", fs=fs)
+def window_methods(windows: DataFrame, names: list[str], fs: float) -> DataFrame:
+    """Kernel methods on one-row-per-window arrays in one pass; failures are NULL arrays."""
+    return apply_kernels(windows, [method_job(n, fs) for n in names])
+
+
+def filtered(windows: DataFrame, names: dict[str, str], kernel, **params) -> DataFrame:
+    """Apply one array kernel to several columns (source -> new name) in one pass, each with its own missing rows."""
+    return apply_kernels(windows, [job([c], lambda x, **p: [kernel(x, **p)], f"{n} array<double>", **params) for c, n in names.items()])
 
 
 def pivot_windows(samples: DataFrame, names: list[str], order: str = "i") -> DataFrame:

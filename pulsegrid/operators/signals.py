@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pulsegrid.functions import kernels as kn
 from pulsegrid.operators.carry import with_prev, with_running
+from pulsegrid.session import checkpointed
 
 
 def label_runs(df: DataFrame, keys: list[str], index: str, valid: Column, chunk: int) -> DataFrame:
@@ -20,6 +21,7 @@ def label_runs(df: DataFrame, keys: list[str], index: str, valid: Column, chunk:
     d = with_prev(d, keys, "_b", [index], F.struct(F.col("_ok").alias("ok"), F.col(index).alias("i")), "_p")
     new = F.col("_ok") & ~F.coalesce(F.col("_p.ok") & (F.col("_p.i") == F.col(index) - 1), F.lit(False))
     d = with_running(d, keys, "_b", [index], run=(F.when(new, F.col(index)), "max")).where("_ok").drop("_ok", "_p", "_b")
+    d = checkpointed(d)          # callers read the labelled rows several times
     size = d.groupBy(*keys, "run").agg(F.count(F.lit(1)).alias("run_size"))
     return d.join(size, [*keys, "run"])
 

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pulsegrid.functions import kernels as kn
-from pulsegrid.functions.batch import apply_kernel
+from pulsegrid.functions.batch import apply_kernel, apply_kernels, job
 from pulsegrid.functions.cols import arr_center, arr_dot, arr_mean, col
 
 EPS = 1e-8
@@ -30,8 +30,7 @@ def band_bins(fs: float, nfft: int, low: float, high: float) -> tuple[int, int]:
     return bins[0], bins[-1]
 
 
-def welch_band(df: DataFrame, x: str, fs: float, size: int, nfft: int, low: float, high: float, name: str) -> DataFrame:
-    """Density in [low, high] as an array column; the first element is bin ``band_bins()[0]``."""
+def welch_job(x: str, fs: float, size: int, nfft: int, low: float, high: float, name: str) -> tuple:
     k0, k1 = band_bins(fs, nfft, low, high)
 
     def run(m):
@@ -39,7 +38,12 @@ def welch_band(df: DataFrame, x: str, fs: float, size: int, nfft: int, low: floa
             return [[None] * len(m)]
         return [kn.welch(m, fs, size, nfft)[1][:, k0:k1 + 1]]
 
-    return apply_kernel(df, [x], run, f"{name} array<double>")
+    return job([x], run, f"{name} array<double>")
+
+
+def welch_band(df: DataFrame, x: str, fs: float, size: int, nfft: int, low: float, high: float, name: str) -> DataFrame:
+    """Density in [low, high] as an array column; the first element is bin ``band_bins()[0]``."""
+    return apply_kernels(df, [welch_job(x, fs, size, nfft, low, high, name)])
 
 
 def refine(psd: Column, at: Column, k0: int, step: float) -> Column:
@@ -52,20 +56,33 @@ def refine(psd: Column, at: Column, k0: int, step: float) -> Column:
     return F.when(inner & (F.abs(den) > EPS), base + delta * step).otherwise(base)
 
 
-def with_hr(df: DataFrame, x: str, fs: float, length: int, prefix: str = "") -> DataFrame:
-    """Welch heart rate, confidence and SNR of ``x``; NULL when shorter than three seconds."""
+def hr_job(x: str, fs: float, length: int, prefix: str = "") -> tuple:
     size, nfft = hr_segment(length, fs)
+    return welch_job(x, fs, size, nfft, LOW, HIGH, f"{prefix}psd")
+
+
+def hr_columns(df: DataFrame, x: str, fs: float, length: int, prefix: str = "") -> DataFrame:
+    """Heart rate, confidence and SNR from the density that ``hr_job`` produced."""
+    _, nfft = hr_segment(length, fs)
     step = fs / nfft
     k0, _ = band_bins(fs, nfft, LOW, HIGH)
     psd = f"{prefix}psd"
-    d = welch_band(df, x, fs, size, nfft, LOW, HIGH, psd)
     at = F.array_position(psd, F.array_max(psd)).cast("int")
-    enough = F.size(x) >= int(fs * 3)
-    d = d.withColumn(f"{prefix}hr_hz", F.when(enough, refine(F.col(psd), at, k0, step)))
-    mean = arr_mean(psd) + EPS
-    d = d.withColumns({f"{prefix}hr_bpm": F.col(f"{prefix}hr_hz") * 60,
-                       f"{prefix}confidence": F.least(F.lit(1.0), F.array_max(psd) / (3 * mean)),
-                       f"{prefix}snr_db": snr_db(F.col(psd), F.col(f"{prefix}hr_hz"), k0, step, LOW, HIGH)})
+    d = df.withColumn(f"{prefix}hr_hz", F.when(F.size(x) >= int(fs * 3), refine(F.col(psd), at, k0, step)))
+    return d.withColumns({f"{prefix}hr_bpm": F.col(f"{prefix}hr_hz") * 60,
+                          f"{prefix}confidence": F.least(F.lit(1.0), F.array_max(psd) / (3 * (arr_mean(psd) + EPS))),
+                          f"{prefix}snr_db": snr_db(F.col(psd), F.col(f"{prefix}hr_hz"), k0, step, LOW, HIGH)})
+
+
+def with_hr(df: DataFrame, x: str | dict[str, str], fs: float, length: int, prefix: str = "") -> DataFrame:
+    """Welch heart rate, confidence and SNR of one column, or of several (column -> prefix) in one pass.
+
+    NULL when shorter than three seconds.
+    """
+    many = x if isinstance(x, dict) else {x: prefix}
+    d = apply_kernels(df, [hr_job(c, fs, length, p) for c, p in many.items()])
+    for c, p in many.items():
+        d = hr_columns(d, c, fs, length, p)
     return d
 
 
@@ -145,9 +162,13 @@ def with_lag_metrics(df: DataFrame, pred: str, ref: str, length: int, radius: in
                           "aligned_nrmse": F.element_at("lag_err", at)})
 
 
+def xcorr_job(x: str, y: str, radius: int, name: str = "xc") -> tuple:
+    return job([x, y], lambda a, b: [kn.lag_xcorr(a, b, radius)], f"{name} array<double>")
+
+
 def with_xcorr(df: DataFrame, x: str, y: str, radius: int, name: str = "xc") -> DataFrame:
     """Full cross-correlation over lags -radius..radius as an array column; positive means y trails x."""
-    return apply_kernel(df, [x, y], lambda a, b: [kn.lag_xcorr(a, b, radius)], f"{name} array<double>")
+    return apply_kernels(df, [xcorr_job(x, y, radius, name)])
 
 
 def window_radius(hz: Column, fs: float, max_delay: float, length: Column) -> Column:

@@ -124,7 +124,7 @@ select cw.recording, cw.window_index, cw.pos, {R('v - avg(v) over (partition by
 
 
 def kernel_method(spark, d, name, column):
-    return exploded(cl.window_method(colour_windows(spark, d), name, FS), name, column)
+    return exploded(cl.window_methods(colour_windows(spark, d), [name], FS), name, column)
 
 
 def exploded(windows, column, name):
@@ -198,9 +198,7 @@ def prior_arrays(spark, d):
     for name in ("GREEN", "CHROM", "PBV", "OMIT"):
         s = cl.SAMPLE_METHODS[name](s)
     w = cl.pivot_windows(s, ["r", "g", "b", "GREEN", "CHROM", "PBV", "OMIT"])
-    for name in ("CHROM_WIN", "POS_WIN"):
-        w = cl.window_method(w, name, FS)
-    return w
+    return cl.window_methods(w, ["CHROM_WIN", "POS_WIN"], FS)
 
 
 @query("window_priors")

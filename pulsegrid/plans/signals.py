@@ -4,13 +4,14 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from pulsegrid.functions import kernels as kn
-from pulsegrid.functions.batch import apply_kernel
+from pulsegrid.functions.batch import apply_kernel, apply_kernels, job
 from pulsegrid.functions.cols import finite, joined, reasons, rnd
 from pulsegrid.operators import beats as bt, clock as ck, ecg, signals as sg, spectral as sp
 from pulsegrid.operators.carry import with_index, with_prev
 from pulsegrid.plans.clock import FS as HOURLY, KEY, MAX_GAP, SPAN, uniform
 from pulsegrid.plans.registry import R, TRACE, query
-from pulsegrid.plans.spectral import RADIUS, delays, half_delays, signal_quality, spectral_peaks, with_coherence
+from pulsegrid.plans.spectral import RADIUS, coherence_job, delays, quality_columns, quality_jobs, spectral_peaks, with_coherence, with_rate_array
+from pulsegrid.session import checkpointed
 from pulsegrid.sources.tables import FS, colour_samples, trace, wave_pairs, waves
 
 L = 64
@@ -23,7 +24,8 @@ def colour_grid(spark, d):
 @query("segment_signal")
 def segment_signal(spark, d):
     ok = (F.col("flag") != "A") | (F.col("discount") > 0)
-    y, runs = sg.segment_signal(colour_grid(spark, d), ["recording"], FS, .7, 4.0, max(4, int(2.0 * FS)), 4, ok, chunk=512, block=1024, halo=256)
+    # the run chain reads the indexed samples many times
+    y, runs = sg.segment_signal(checkpointed(colour_grid(spark, d)), ["recording"], FS, .7, 4.0, max(4, int(2.0 * FS)), 4, ok, chunk=512, block=1024, halo=256)
     kept = y.groupBy("recording").agg(F.count("*").alias("samples"), F.count("signal").alias("retained"), rnd(F.sqrt(F.avg(F.col("signal") * F.col("signal")))).alias("rms"))
     r = runs.groupBy("recording").agg(F.count_if(F.col("reason") == "").alias("segments"), F.count_if(F.col("reason") != "").alias("failed_runs"))
     return kept.join(r, "recording", "left")
@@ -96,8 +98,7 @@ def find_peaks(spark, d):
 
 
 def beat_windows(spark, d):
-    w = sp.with_hr(waves(spark, d), "x", FS, L)
-    w = bt.with_beats(w, "x", FS)
+    w = sp.hr_columns(apply_kernels(waves(spark, d), [sp.hr_job("x", FS, L), bt.beats_job("x", FS)]), "x", FS, L)
     return w.withColumns(bt.reliability("", "hr_bpm", FS))
 
 
@@ -157,15 +158,15 @@ def two_site_features(spark, d):
 
 def site_features(spark, d):
     """The fixed two-site feature row of every window pair."""
-    p = delays(spark, d)
-    p = with_coherence(p)
-    p = signal_quality(p, "x", "face_")
-    p = signal_quality(p, "y", "hand_")
-    for site, c in (("face", "x"), ("hand", "y")):
-        p = bt.with_morphology(p, c, f"{site}_hr_hz", FS, f"{site}_")
-    for c in ("x", "y"):
-        p = apply_kernel(p.withColumn("_f", F.array_repeat(F.coalesce("hr_hz", F.lit(1.0)), L)), [c, "_f"],
-                         lambda m, f: [[kn.find_peaks(v - v.mean(), max(1, int(.6 * FS / h)), .3 * v.std()).tolist() for v, h in zip(m, f[:, 0])]], f"{c}_peaks array<int>").drop("_f")
+    p = delays(spark, d, [*quality_jobs("x", "face_"), *quality_jobs("y", "hand_")])
+    p = quality_columns(quality_columns(p, "x", "face_"), "y", "hand_")
+    p = with_rate_array(p).withColumns({f"_{s}": F.array_repeat(F.coalesce(f"{s}_hr_hz", F.lit(-1.0)), L) for s in ("face", "hand")})
+
+    def peaks(m, f):
+        return [[kn.find_peaks(v - v.mean(), max(1, int(.6 * FS / h)), .3 * v.std()).tolist() if h > 0 else [] for v, h in zip(m, f[:, 0])]]
+
+    p = apply_kernels(p, [coherence_job(), bt.morphology_job("x", "_face", FS, "face_"), bt.morphology_job("y", "_hand", FS, "hand_"),
+                          job(["x", "_f"], peaks, "x_peaks array<int>"), job(["y", "_f"], peaks, "y_peaks array<int>")]).drop("_f", "_face", "_hand")
     p = bt.match_beats(p, "x_peaks", "y_peaks", F.col("radius"))
     m = F.transform("matched", lambda v: v / F.lit(FS))
     return p.withColumns({"delay_beat_std_sec": bt.sd_of(m), "delay_beat_median_sec": median_of(m),
@@ -192,8 +193,8 @@ def site_pair_features(spark, d):
 
 @query("beat_matching")
 def beat_matching(spark, d):
-    p = bt.with_beats(sp.with_hr(wave_pairs(spark, d), "x", FS, L), "x", FS, "a_")
-    p = bt.with_beats(p, "y", FS, "b_").select("vec_id", "hr_hz", "a_peaks", "b_peaks")
+    p = apply_kernels(wave_pairs(spark, d), [sp.hr_job("x", FS, L), bt.beats_job("x", FS, "a_"), bt.beats_job("y", FS, "b_")])
+    p = sp.hr_columns(p, "x", FS, L).select("vec_id", "hr_hz", "a_peaks", "b_peaks")
     p = bt.match_beats(p, "a_peaks", "b_peaks", sp.window_radius(F.col("hr_hz"), FS, .5, F.lit(L)))
     m = F.transform("matched", lambda v: v / F.lit(FS))
     return p.select("vec_id", F.size("matched").alias("matched_beats"), rnd(median_of(m)).alias("median_sec"), rnd(bt.sd_of(m)).alias("std_sec"),
@@ -259,7 +260,7 @@ def ecg_samples(spark, d):
 
 @query("r_peak_detect")
 def r_peak_detect(spark, d):
-    p = ecg.r_peaks(ecg_samples(spark, d), "recording", ECG_FS, min_run_sec=.5, edge_sec=.05)
+    p = ecg.r_peaks(checkpointed(ecg_samples(spark, d)), "recording", ECG_FS, min_run_sec=.5, edge_sec=.05)
     return p.select("recording", "k", rnd("ratio").alias("amplitude_ratio"))
 
 

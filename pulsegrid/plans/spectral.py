@@ -6,7 +6,7 @@ import math
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import kernels as kn
-from pulsegrid.functions.batch import apply_kernel
+from pulsegrid.functions.batch import apply_kernel, apply_kernels, job
 from pulsegrid.functions.cols import joined, ratio, reasons, rnd
 from pulsegrid.operators import spectral as sp
 from pulsegrid.plans.registry import PAIRS, R, WAVES, query
@@ -74,16 +74,24 @@ def spectral_quality(spark, d):
         "vec_id", *[rnd(c).alias(c) for c in ("hr_bpm", "snr_db", "spectral_peak_to_mean", "periodicity", "amplitude_std")])
 
 
-def signal_quality(df, x, prefix=""):
-    """Heart rate, SNR, peak-to-mean, one-period autocorrelation and spread of a window."""
-    w = sp.with_hr(df, x, FS, L, prefix)
-    w = sp.welch_band(w, x, FS, min(L, int(8 * FS)), min(L, int(8 * FS)), sp.LOW, sp.HIGH, f"{prefix}q")
+def quality_jobs(x, prefix=""):
+    size = min(L, int(8 * FS))
+    return [sp.hr_job(x, FS, L, prefix), sp.welch_job(x, FS, size, size, sp.LOW, sp.HIGH, f"{prefix}q")]
+
+
+def quality_columns(df, x, prefix=""):
+    w = sp.hr_columns(df, x, FS, L, prefix)
     lag = F.bround(FS / F.col(f"{prefix}hr_hz"), 0).cast("int")
     peak = ratio(F.array_max(f"{prefix}q") * F.size(f"{prefix}q"), F.aggregate(f"{prefix}q", F.lit(0.0), lambda a, p: a + p))
     return w.withColumns({f"{prefix}spectral_peak_to_mean": peak, f"{prefix}periodicity": sp.shifted_corr(F.col(x), lag),
                           f"{prefix}amplitude_std": sp.population_sd(x)})
 
 
+def signal_quality(df, x, prefix=""):
+    """Heart rate, SNR, peak-to-mean, one-period autocorrelation and spread of a window."""
+    return quality_columns(apply_kernels(df, quality_jobs(x, prefix)), x, prefix)
+
+
 @query("spectral_diagnostics", f"""with {HR}, c as (select vec_id, i, x - avg(x) over (partition by vec_id) as v from w),
  bins as (select vec_id, hz, cast(round_even(hz * 128, 0) as bigint) as k1, cast(round_even(hz * 256, 0) as bigint) as k2, cast(round_even(hz * 64, 0) as bigint) as kh from hr),
  t as (select vec_id, i, v * (0.5e0 - 0.5e0 * cos(2 * pi() * i / 64e0)) as v from c),
@@ -107,8 +115,7 @@ def spectral_diagnostics(spark, d):
 select vec_id, {R('sum((p + nx) / 2 * 0.25e0)', 9)} as band_power, {R('sum(case when abs(k * 0.25e0 - hz) <= 0.15 then p else 0 end) / sum(p)')} as spectral_concentration
 from tz join hr using (vec_id) group by 1""")
 def band_power_concentration(spark, d):
-    w = sp.with_hr(waves(spark, d), "x", FS, L)
-    w = sp.welch_band(w, "x", FS, L, L, .7, 4.0, "q")
+    w = sp.hr_columns(apply_kernels(waves(spark, d), [sp.hr_job("x", FS, L), sp.welch_job("x", FS, L, L, .7, 4.0, "q")]), "x", FS, L)
     k0, _ = sp.band_bins(FS, L, .7, 4.0)
     step = FS / L
     total = F.aggregate("q", F.lit(0.0), lambda a, p: a + p)
@@ -130,9 +137,8 @@ def js_spectral_distance(spark, d):
     k0, k1 = sp.band_bins(FS, L, .7, min(8.0, .45 * FS))
     scale = FS * float((kn.hann(L) ** 2).sum()) / 2
     p = wave_pairs(spark, d)
-    for c in ("x", "y"):
-        p = sp.welch_band(p, c, FS, L, L, .7, min(8.0, .45 * FS), f"p{c}")
-        p = p.withColumn(f"p{c}", F.transform(f"p{c}", lambda v: v * scale + 1e-8))
+    p = apply_kernels(p, [sp.welch_job(c, FS, L, L, .7, min(8.0, .45 * FS), f"p{c}") for c in ("x", "y")])
+    p = p.withColumns({f"p{c}": F.transform(f"p{c}", lambda v: v * scale + 1e-8) for c in ("x", "y")})
     return p.select("vec_id", rnd(sp.js_distance(F.col("px"), F.col("py"))).alias("spectral_distance"))
 
 
@@ -202,10 +208,10 @@ XDELAY = f"""{HR}, p as (select a.vec_id, a.subject, a.i, a.x, b.x as y from w a
  phd as (select vec_id, -atan2(yi * xr - yr * xi, yr * xr + yi * xi) / (2 * pi() * hz) as phase_delay from ph)"""
 
 
-def delays(spark, d):
+def delays(spark, d, extra=()):
     """Pairs with heart rate of the first site and the bounded, refined delay between the two."""
-    p = sp.with_hr(wave_pairs(spark, d), "x", FS, L)
-    p = sp.with_xcorr(p, "x", "y", RADIUS)
+    p = apply_kernels(wave_pairs(spark, d), [sp.hr_job("x", FS, L), sp.xcorr_job("x", "y", RADIUS), *extra])
+    p = sp.hr_columns(p, "x", FS, L)
     p = p.withColumn("radius", sp.window_radius(F.col("hr_hz"), FS, .5, F.size("x")))
     p = p.withColumns(sp.xcorr_delay(F.col("xc"), RADIUS, F.col("radius"), FS))
     return p.withColumn("phase_delay", sp.phase_delay(F.col("x"), F.col("y"), F.col("hr_hz"), FS))
@@ -233,12 +239,18 @@ def msc_coherence(spark, d):
     return p.select("vec_id", rnd("coherence").alias("coherence"))
 
 
-def with_coherence(df):
+def coherence_job(name="coherence"):
+    """Needs ``_f``, the rate repeated to the window length (a kernel takes equal-length arrays)."""
     size = min(int(4 * FS), L // 2)
-    d = df.withColumn("_f", F.array_repeat(F.coalesce("hr_hz", F.lit(1.0)), L))   # the kernel takes equal-length arrays
-    run = lambda x, y, f: [kn.coherence_at(x, y, FS, size, f[:, 0])]
-    return apply_kernel(d, ["x", "y", "_f"], run, "coherence double").drop("_f") if size >= int(2 * FS) else \
-        df.withColumn("coherence", F.lit(None).cast("double"))
+    return job(["x", "y", "_f"], lambda x, y, f: [kn.coherence_at(x, y, FS, size, f[:, 0]) if size >= int(2 * FS) else [None] * len(x)], f"{name} double")
+
+
+def with_rate_array(df):
+    return df.withColumn("_f", F.array_repeat(F.coalesce("hr_hz", F.lit(-1.0)), L))
+
+
+def with_coherence(df):
+    return apply_kernels(with_rate_array(df), [coherence_job()]).drop("_f")
 
 
 def half_delays(p):
@@ -246,18 +258,16 @@ def half_delays(p):
     half = L // 2
     for name, start in (("h1", 1), ("h2", half + 1)):
         p = p.withColumns({f"{name}x": F.slice("x", start, half), f"{name}y": F.slice("y", start, half)})
-        p = sp.with_xcorr(p, f"{name}x", f"{name}y", RADIUS, f"{name}xc")
-        r = sp.window_radius(F.col("hr_hz"), FS, .5, F.lit(half))
-        enough = F.lit(half >= 3 * FS)
-        p = p.withColumn(f"{name}_delay", F.when(enough, sp.xcorr_delay(F.col(f"{name}xc"), RADIUS, r, FS)["delay"]))
-    return p
+    p = apply_kernels(p, [sp.xcorr_job(f"{h}x", f"{h}y", RADIUS, f"{h}xc") for h in ("h1", "h2")])
+    r = sp.window_radius(F.col("hr_hz"), FS, .5, F.lit(half))
+    enough = F.lit(half >= 3 * FS)
+    return p.withColumns({f"{h}_delay": F.when(enough, sp.xcorr_delay(F.col(f"{h}xc"), RADIUS, r, FS)["delay"]) for h in ("h1", "h2")})
 
 
 def timing(spark, d):
     """Delay with its ambiguity and robustness diagnostics (no beat landmarks)."""
-    p = delays(spark, d)
+    wide = delays(spark, d, [sp.xcorr_job("x", "y", L - 2, "full")])
     part, lag0 = F.col("part"), F.col("radius")
-    wide = apply_kernel(p, ["x", "y"], lambda x, y: [kn.lag_xcorr(x, y, L - 2)], "full array<double>")
     period = 1 / F.col("hr_hz")
     lag = lambda i: (i - (L - 2)) / F.lit(FS)
     best = (F.col("at") - 1 - lag0) / FS
@@ -294,26 +304,28 @@ def timing_diagnostics(spark, d):
 GRIDLAG = 3   # samples searched by the conservative estimator (180 ms at 16 Hz)
 
 
-def grid_lag(p, x, y, name):
-    """Best overlap-correlation lag in samples with border, polarity and sub-sample offset."""
-    p = apply_kernel(p, [x, y], lambda a, b: [kn.lag_pearson(a, b, range(-GRIDLAG, GRIDLAG + 1))], f"{name}c array<double>")
-    c = F.col(f"{name}c")
+def grid_lag(c):
+    """Best overlap-correlation lag with border, polarity and sub-sample offset, from a lag curve."""
     top = F.array_max(c)
     at = F.array_position(c, top).cast("int")
     edge = (at == 1) | (at == 2 * GRIDLAG + 1)
     left, right = F.element_at(c, at - 1), F.element_at(c, at + 1)
     den = left - 2 * top + right
     frac = F.when(~edge & (den < -1e-10), F.greatest(F.lit(-.5), F.least(F.lit(.5), .5 * (left - right) / den))).otherwise(0.0)
-    return p.withColumns({f"{name}peak": top, f"{name}edge": edge, f"{name}flip": -F.array_min(c) > top + .08,
-                          f"{name}lag": (at - 1 - GRIDLAG + frac) * (1000 / FS)})
+    return {"peak": top, "edge": edge, "flip": -F.array_min(c) > top + .08, "lag": (at - 1 - GRIDLAG + frac) * (1000 / FS)}
 
 
 def signed_lag(p, min_peak, max_frames=1.5):
     """Lag in ms or an abstention with its reason, over whole windows and both halves."""
     half = L // 2
-    p = p.withColumns({"ax": F.slice("x", 1, half), "ay": F.slice("y", 1, half), "bx": F.slice("x", half + 1, half), "by": F.slice("y", half + 1, half)})
-    for x, y, name in (("x", "y", "w"), ("ax", "ay", "a"), ("bx", "by", "b")):
-        p = grid_lag(p, x, y, name)
+
+    def run(x, y):
+        lags = range(-GRIDLAG, GRIDLAG + 1)
+        return [kn.lag_pearson(x, y, lags), kn.lag_pearson(x[:, :half], y[:, :half], lags), kn.lag_pearson(x[:, half:], y[:, half:], lags)]
+
+    p = apply_kernel(p, ["x", "y"], run, "wc array<double>, ac array<double>, bc array<double>")
+    for name in "wab":
+        p = p.withColumns({f"{name}{k}": v for k, v in grid_lag(F.col(f"{name}c")).items()})
     unstable = F.col("aedge") | F.col("aflip") | F.col("bedge") | F.col("bflip")
     difference = F.abs(F.col("alag") - F.col("blag"))
     reason = F.when(F.least(sp.population_sd("x"), sp.population_sd("y")) < 1e-10, "flat_signal") \
@@ -374,8 +386,7 @@ GATED = f"""{XDELAY}, g as (select xd.*, phase_delay, f.bpm as fb, h.bpm as hb,
 
 def gated(spark, d):
     """Delay rows with status from signal, agreement and ambiguity conditions."""
-    p = delays(spark, d)
-    p = sp.with_hr(p, "y", FS, L, "y_")
+    p = sp.hr_columns(delays(spark, d, [sp.hr_job("y", FS, L, "y_")]), "y", FS, L, "y_")
     far = F.coalesce(F.abs(F.col("delay") - F.col("phase_delay")), F.lit(9.0)) > .1
     why = reasons(("delay_noncomputable_or_boundary", F.col("delay").isNull()),
                   ("face_hand_hr_disagreement", F.abs(F.col("hr_bpm") - F.col("y_hr_bpm")) > 10),

@@ -65,17 +65,20 @@ def stream_fallback_clock(spark, d):
     return out.select("user_id", "event_id", rnd("t").alias("t"), "source")
 
 
-@query("stream_late_policy", f"""with e as (select user_id, cast(epoch_us(ts) // 86400000000 as bigint) as day, "value" as x from events) select user_id, day, count(*) as samples, {R('avg(x)')} as mean_value from e group by 1, 2""")
+@query("stream_late_policy", f"""with e as (select user_id, cast(epoch_us(ts) // 86400000000 as bigint) as day, "value" as x from events), mx as (select cast(floor((epoch_ms(max(ts)) - 86400000) / 86400000e0) as bigint) as closed from events),
+ g as (select user_id, day, count(*) as samples, {R('avg(x)')} as mean_value from e group by 1, 2) select g.*, day - 19723 >= 7 and day < closed as live from g, mx""")
 def stream_late_policy(spark, d):
-    """Newest week first: older rows arrive late and are dropped by the stream; a backfill rewrites the affected windows."""
+    """Newest weeks first: a row behind the watermark is dropped by the stream, and a backfill supplies its window.
+
+    Every window stays in the result; ``live`` tells whether the stream itself delivered it complete.
+    """
     base = shared_folder(spark, "late")
     e = read(spark, d, "events")
     week = F.floor(seconds() / 604800.0)
-    for part in ("week >= 3", "week < 3"):
+    for part in ("week >= 3", "week in (1, 2)", "week < 1"):
         e.withColumn("week", week).where(part).drop("week").coalesce(1).write.mode("append").parquet(base)
-    day = F.floor(F.unix_micros("ts") / 86400000000)
-    s = event_stream(spark, base, "*.parquet").withWatermark("ts", "1 day").groupBy("user_id", F.window("ts", "1 day")).agg(F.count("*").alias("samples"), F.avg("value").alias("mean_value"))
-    live = run_to_end(s, "late-live").select("user_id", F.floor(F.unix_micros("window.start") / 86400000000).alias("day"), F.col("samples").alias("live_samples"))
-    full = e.withColumn("ts", F.col("ts").cast("timestamp")).groupBy("user_id", day.alias("day")).agg(F.count("*").alias("samples"), rnd(F.avg("value")).alias("mean_value"))
-    # rows missing from the live result (late, or still open) are supplied by the backfill: no window is lost
-    return full.join(live, ["user_id", "day"], "left").select("user_id", "day", "samples", "mean_value")
+    day = lambda c: F.floor(F.unix_micros(c) / 86400000000)
+    s = event_stream(spark, base, "*.parquet").withWatermark("ts", "1 day").groupBy("user_id", F.window("ts", "1 day")).agg(F.count("*").alias("samples"))
+    live = run_to_end(s, "late-live").select("user_id", day("window.start").alias("day"), F.col("samples").alias("live_samples"))
+    full = e.withColumn("ts", F.col("ts").cast("timestamp")).groupBy("user_id", day("ts").alias("day")).agg(F.count("*").alias("samples"), rnd(F.avg("value")).alias("mean_value"))
+    return full.join(live, ["user_id", "day"], "left").select("user_id", "day", "samples", "mean_value", F.coalesce(F.col("live_samples") == F.col("samples"), F.lit(False)).alias("live"))

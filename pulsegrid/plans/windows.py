@@ -150,8 +150,7 @@ from c join h_green using (vec_id) join h_chrom using (vec_id) join h_pos_wave u
 def method_agreement(spark, d):
     s = colour_long(spark, d).withColumnRenamed("pos", "k")
     w = cl.pivot_windows(cl.pos(cl.chrom(cl.green(s))), ["GREEN", "CHROM", "POS"]).where("n = 64")
-    for m in ("GREEN", "CHROM", "POS"):
-        w = sp.with_hr(w, m, RATE, 64, f"{m.lower()}_")
+    w = sp.with_hr(w, {m: f"{m.lower()}_" for m in ("GREEN", "CHROM", "POS")}, RATE, 64)
     hr = [F.col(f"{m}_hr_bpm") for m in ("green", "chrom", "pos")]
     r = lambda a, b: rnd(sp.centered_corr(F.col(a), F.col(b)))
     return w.select("recording", "window_index", rnd(F.greatest(*hr) - F.least(*hr)).alias("hr_range_bpm"), r("GREEN", "CHROM").alias("green_chrom_r"),
