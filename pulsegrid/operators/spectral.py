@@ -47,13 +47,18 @@ def welch_band(df: DataFrame, x: str, fs: float, size: int, nfft: int, low: floa
 
 
 def refine(psd: Column, at: Column, k0: int, step: float) -> Column:
-    """Frequency of bin ``at`` (one-based) refined by a parabola through the log powers."""
-    y0, y1, y2 = [F.log(F.element_at(psd, at + s) + EPS) for s in (-1, 0, 1)]
-    den = y0 - 2 * y1 + y2
-    delta = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 0.5 * (y0 - y2) / den))
-    base = (at - 1 + k0) * step
+    """Frequency of bin ``at`` (one-based) refined by a parabola through the log powers.
+
+    The three log powers are bound once as a one-element array of structs.
+    """
+    logs = F.array(F.struct(*[F.log(F.element_at(psd, at + s) + EPS).alias(n) for s, n in ((-1, "a"), (0, "b"), (1, "c"))]))
+
+    def shift(v):
+        den = v["a"] - 2 * v["b"] + v["c"]
+        return F.when(F.abs(den) > EPS, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 0.5 * (v["a"] - v["c"]) / den))).otherwise(0.0)
+
     inner = (at > 1) & (at < F.size(psd))
-    return F.when(inner & (F.abs(den) > EPS), base + delta * step).otherwise(base)
+    return (at - 1 + k0) * step + F.when(inner, F.transform(logs, shift)[0] * step).otherwise(0.0)
 
 
 def hr_job(x: str, fs: float, length: int, prefix: str = "") -> tuple:
@@ -67,11 +72,14 @@ def hr_columns(df: DataFrame, x: str, fs: float, length: int, prefix: str = "")
     step = fs / nfft
     k0, _ = band_bins(fs, nfft, LOW, HIGH)
     psd = f"{prefix}psd"
-    at = F.array_position(psd, F.array_max(psd)).cast("int")
-    d = df.withColumn(f"{prefix}hr_hz", F.when(F.size(x) >= int(fs * 3), refine(F.col(psd), at, k0, step)))
-    return d.withColumns({f"{prefix}hr_bpm": F.col(f"{prefix}hr_hz") * 60,
-                          f"{prefix}confidence": F.least(F.lit(1.0), F.array_max(psd) / (3 * (arr_mean(psd) + EPS))),
-                          f"{prefix}snr_db": snr_db(F.col(psd), F.col(f"{prefix}hr_hz"), k0, step, LOW, HIGH)})
+    top, at = f"_{prefix}top", f"_{prefix}at"
+    # each step is its own projection, so an array scan is never repeated inside a larger expression
+    d = df.withColumn(top, F.array_max(psd)).withColumn(at, F.array_position(psd, F.col(top)).cast("int"))
+    d = d.withColumn(f"{prefix}hr_hz", F.when(F.size(x) >= int(fs * 3), refine(F.col(psd), F.col(at), k0, step)))
+    d = d.withColumns({f"{prefix}hr_bpm": F.col(f"{prefix}hr_hz") * 60,
+                       f"{prefix}confidence": F.least(F.lit(1.0), F.col(top) / (3 * (arr_mean(psd) + EPS))),
+                       f"{prefix}snr_db": snr_db(F.col(psd), F.col(f"{prefix}hr_hz"), k0, step, LOW, HIGH)})
+    return d.drop(top, at)
 
 
 def with_hr(df: DataFrame, x: str | dict[str, str], fs: float, length: int, prefix: str = "") -> DataFrame:
@@ -157,9 +165,11 @@ def with_lag_metrics(df: DataFrame, pred: str, ref: str, length: int, radius: in
     usable = F.size(F.array_compact("lag_corr")) > 0
     at = F.when(usable, F.array_position("lag_corr", F.array_max("lag_corr")).cast("int"))
     lag_values = F.array(*[F.lit(k) for k in lags])
-    return d.withColumns({"selected_lag": F.element_at(lag_values, at), "wave_corr": F.element_at("lag_corr", 1),
+    d = d.withColumn("_at", at)
+    at = F.col("_at")
+    return d.withColumns({"selected_lag": F.when(at.isNotNull(), F.element_at(lag_values, F.coalesce(at, F.lit(1)))), "wave_corr": F.element_at("lag_corr", 1),
                           "wave_corr_aligned": F.array_max("lag_corr"), "d1_corr_same_lag": F.element_at("lag_d1", at),
-                          "aligned_nrmse": F.element_at("lag_err", at)})
+                          "aligned_nrmse": F.element_at("lag_err", at)}).drop("_at")
 
 
 def xcorr_job(x: str, y: str, radius: int, name: str = "xc") -> tuple:
@@ -176,22 +186,27 @@ def window_radius(hz: Column, fs: float, max_delay: float, length: Column) -> Co
     return F.least(F.lit(int(math.floor(max_delay * fs))), F.floor(0.49 * fs / hz).cast("int"), (length - 3).cast("int"))
 
 
-def xcorr_delay(xc: Column, radius_full: int, radius: Column, fs: float) -> dict[str, Column]:
+def xcorr_delay(df: DataFrame, xc: str, radius_full: int, radius: str | Column, fs: float, prefix: str = "") -> DataFrame:
     """Peak lag with parabolic offset; a peak on the search border keeps its score but has no delay.
 
     ``xc`` covers ``radius_full``; only lags within ``radius`` are searched, first maximum wins.
+    Adds part, score, low, at, boundary and delay (with ``prefix``).
     """
-    part = F.slice(xc, F.lit(radius_full + 1) - radius, 2 * radius + 1)
-    top = F.array_max(part)
-    at = F.array_position(part, top).cast("int")
-    left, right = F.element_at(part, at - 1), F.element_at(part, at + 1)
-    den = left - 2 * top + right
-    offset = F.when(F.abs(den) > 1e-12, F.greatest(F.lit(-.5), F.least(F.lit(.5), 0.5 * (left - right) / den))).otherwise(0.0)
-    inner = (at > 1) & (at < F.size(part))
-    ok = radius >= 1
-    return {"part": F.when(ok, part), "at": F.when(ok, at), "score": F.when(ok, top),
-            "delay": F.when(ok & inner, (at - 1 - radius + offset) / fs),
-            "boundary": F.when(ok, ~inner), "low": F.when(ok, F.array_min(part))}
+    part, score, low, at, radius_col = [f"{prefix}{n}" for n in ("part", "score", "low", "at", "_radius")]
+    d = df.withColumn(radius_col, col(radius))
+    r = F.col(radius_col)
+    d = d.withColumn(part, F.when(r >= 1, F.slice(xc, F.lit(radius_full + 1) - r, 2 * r + 1)))
+    d = d.withColumns({score: F.array_max(part), low: F.array_min(part)})
+    d = d.withColumn(at, F.array_position(part, F.col(score)).cast("int"))
+    d = d.withColumn(f"{prefix}boundary", F.when(F.col(at).isNotNull(), ~((F.col(at) > 1) & (F.col(at) < F.size(part)))))
+    sides = F.array(F.struct(F.element_at(part, F.col(at) - 1).alias("a"), F.element_at(part, F.col(at) + 1).alias("c")))
+
+    def offset(v):
+        den = v["a"] - 2 * F.col(score) + v["c"]
+        return F.when(F.abs(den) > 1e-12, F.greatest(F.lit(-.5), F.least(F.lit(.5), 0.5 * (v["a"] - v["c"]) / den))).otherwise(0.0)
+
+    d = d.withColumn(f"{prefix}delay", F.when(~F.col(f"{prefix}boundary"), (F.col(at) - 1 - r + F.transform(sides, offset)[0]) / fs))
+    return d.drop(radius_col)
 
 
 def phase_delay(x: Column, y: Column, hz: Column, fs: float) -> Column:

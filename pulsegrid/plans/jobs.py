@@ -214,7 +214,8 @@ def job_classical_study(spark, d):
     flat = F.coalesce(F.col("amplitude_std") <= 1e-8, F.lit(True))
     q = q.withColumn("failure", F.when(F.col("x").isNull(), "NO_COMPUTABLE_PRIOR").when(flat, "FLAT_OR_NONFINITE_PREDICTION").otherwise(""))
     predictions = checkpointed(q.select(*ROI, "method", "quality", "failure", "snr_db", "periodicity", F.when(F.col("failure") == "", F.col("hr_bpm")).alias("pred")))
-    reference = sp.with_hr(roi_windows(spark, d).select(*ROI, F.col("b").alias("x")), "x", RATE, BLOCK).select(*ROI, F.col("hr_bpm").alias("ref"))
+    raw = roi_samples(spark, d).withColumn("window_index", F.floor(F.col("i") / BLOCK)).groupBy(*ROI).agg(F.array_sort(F.collect_list(F.struct("i", "b"))).alias("p"))
+    reference = sp.with_hr(raw.select(*ROI, F.col("p.b").alias("x")), "x", RATE, BLOCK).select(*ROI, F.col("hr_bpm").alias("ref"))
     e = mt.with_error(predictions.join(reference, ROI, "left")).withColumn("sq", F.col("err") * F.col("err"))
     pooled = e.groupBy("roi", "method").agg(F.count("*").alias("intended_cells"), F.count("pred").alias("eligible_cells"), F.count_if(F.col("failure") == "NO_COMPUTABLE_PRIOR").alias("no_prior"),
                                             F.avg("abs_err").alias("mae"))

@@ -178,7 +178,7 @@ def joint_lag(spark, d):
     loss = F.zip_with("lag_corr", "lag_d1", lambda c, e: (1 - c) + 0.25 * (1 - e))
     w = w.withColumn("loss", loss)
     at = F.array_position("loss", F.array_min("loss")).cast("int")
-    return w.select("vec_id", F.element_at(F.array(*[F.lit(k) for k in lags]), at).alias("selected_lag"),
+    return w.select("vec_id", F.when(at.isNotNull(), F.element_at(F.array(*[F.lit(k) for k in lags]), F.coalesce(at, F.lit(1)))).alias("selected_lag"),
                     rnd(1 - F.element_at("lag_corr", at)).alias("waveform_loss"), rnd(1 - F.element_at("lag_d1", at)).alias("derivative_loss"))
 
 
@@ -213,7 +213,7 @@ def delays(spark, d, extra=()):
     p = apply_kernels(wave_pairs(spark, d), [sp.hr_job("x", FS, L), sp.xcorr_job("x", "y", RADIUS), *extra])
     p = sp.hr_columns(p, "x", FS, L)
     p = p.withColumn("radius", sp.window_radius(F.col("hr_hz"), FS, .5, F.size("x")))
-    p = p.withColumns(sp.xcorr_delay(F.col("xc"), RADIUS, F.col("radius"), FS))
+    p = sp.xcorr_delay(p, "xc", RADIUS, "radius", FS)
     return p.withColumn("phase_delay", sp.phase_delay(F.col("x"), F.col("y"), F.col("hr_hz"), FS))
 
 
@@ -259,9 +259,10 @@ def half_delays(p):
     for name, start in (("h1", 1), ("h2", half + 1)):
         p = p.withColumns({f"{name}x": F.slice("x", start, half), f"{name}y": F.slice("y", start, half)})
     p = apply_kernels(p, [sp.xcorr_job(f"{h}x", f"{h}y", RADIUS, f"{h}xc") for h in ("h1", "h2")])
-    r = sp.window_radius(F.col("hr_hz"), FS, .5, F.lit(half))
-    enough = F.lit(half >= 3 * FS)
-    return p.withColumns({f"{h}_delay": F.when(enough, sp.xcorr_delay(F.col(f"{h}xc"), RADIUS, r, FS)["delay"]) for h in ("h1", "h2")})
+    r = F.when(F.lit(half >= 3 * FS), sp.window_radius(F.col("hr_hz"), FS, .5, F.lit(half)))
+    for h in ("h1", "h2"):
+        p = sp.xcorr_delay(p, f"{h}xc", RADIUS, r, FS, f"{h}_")
+    return p
 
 
 def timing(spark, d):

@@ -10,6 +10,7 @@ from pulsegrid.plans.clock import CUFF, FLAGSHIP, FS, KEY, LENGTH, RUNS, SPAN, S
 from pulsegrid.plans.colour import samples as colour_long
 from pulsegrid.plans.registry import COLOUR, GRID, R, TRACE, query
 from pulsegrid.plans.spectral import GATED, HR, dft, gated, hr_sql, K0, K1, NFFT
+from pulsegrid.session import checkpointed
 from pulsegrid.sources.tables import DAY, FS as RATE, read, trace
 
 STATUS = f"""{FLAGSHIP}, qs as (select *, case when r1 or r2 or r3 then 'invalid' when r4 or r5 then 'uncertain' else 'good' end as status from q)"""
@@ -56,7 +57,7 @@ select sel.subject, selection, any_value(attempted) as attempted_windows, count(
   {R('case when count(*) >= 2 then (quantile_cont(delay, .75) - quantile_cont(delay, .25)) * 1000 end')} as delay_iqr_ms, coalesce(any_value(pairs), 0) as adjacent_pairs, {R('any_value(md) * 1000')} as median_adjacent_difference_ms
 from sel join atm using (subject) left join am using (subject, selection) group by 1, 2""")
 def stability_summary(spark, d):
-    g = gated(spark, d).select("vec_id", "subject", "status", "delay")
+    g = checkpointed(gated(spark, d).select("vec_id", "subject", "status", "delay"))     # read by five branches
     key = ["subject", "selection"]
     s = g.where("delay is not null").select("vec_id", "subject", "delay", F.explode(F.array(F.lit("all_computable"), "status")).alias("selection"))
     nxt = s.select((F.col("vec_id") - 1).alias("vec_id"), *key, F.col("delay").alias("after"))
