@@ -8,7 +8,7 @@ one row per bucket, so its window per key stays small.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 
 def _join_buckets(df, side, keys, bucket):
@@ -59,6 +59,29 @@ def with_index(df: DataFrame, keys: list[str], bucket: str, order: list[str], na
     return out.withColumn(name, F.col(name) + F.col("_carry")).drop("_carry")
 
 
+def with_adjacent(df: DataFrame, keys: list[str], bucket: str, order: list[str], value: Column, before: str, after: str) -> DataFrame:
+    """``lag`` and ``lead`` of a struct along each key from one window and one carried table."""
+    w = Window.partitionBy(*keys, bucket).orderBy(*order)
+    at = F.struct(*order)
+    ends = df.groupBy(*keys, bucket).agg(F.min_by(value, at).alias("_first"), F.max_by(value, at).alias("_last"))
+    wk = Window.partitionBy(*keys).orderBy(bucket)
+    ends = ends.select(*keys, bucket, F.lag("_last").over(wk).alias("_p"), F.lead("_first").over(wk).alias("_n"))
+    out = _join_buckets(df.withColumns({before: F.lag(value).over(w), after: F.lead(value).over(w)}), ends, keys, bucket)
+    return out.withColumns({before: F.coalesce(before, "_p"), after: F.coalesce(after, "_n")}).drop("_p", "_n")
+
+
+def halo(df: DataFrame, keys: list[str], index: str, back: int, ahead: int, block: int = 4096) -> tuple[DataFrame, WindowSpec]:
+    """Copy the rows near block borders so that short frames over a dense index stay inside (key, block).
+
+    Returns the copied rows and their ordered window; keep only rows where ``_own`` holds afterwards.
+    """
+    i = F.col(index)
+    spread = F.array_distinct(F.transform(F.array(i - ahead, i, i + back), lambda v: F.floor(v / block)))
+    d = df.withColumns({"_own_block": F.floor(i / block), "_block": F.explode(spread)})
+    d = d.withColumn("_own", F.col("_block") == F.col("_own_block")).drop("_own_block")
+    return d, Window.partitionBy(*keys, "_block").orderBy(index)
+
+
 def islands(df: DataFrame, keys: list[str], index: str, flag: Column, chunk: int) -> DataFrame:
     """Maximal runs of equal ``flag`` over a dense integer index, as half-open [start, end).
 

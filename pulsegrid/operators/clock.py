@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pulsegrid.functions.cols import finite
-from pulsegrid.operators.carry import islands, with_prev, with_running
+from pulsegrid.operators.carry import islands, with_adjacent, with_prev, with_running
 
 EXACT = 1e-8
 
@@ -82,8 +82,7 @@ def resample_unbounded(samples: DataFrame, points: DataFrame, keys: list[str], c
     s = with_prev(s, keys, "_b", ["t", "event_id"], F.struct("t"), "_prev")
     s = s.where(F.col("_prev").isNull() | (F.col("t") - F.col("_prev.t") > 1e-9)).drop("_prev")
     pair = F.struct(F.col("t"), F.col(channel).alias("v"))
-    s = with_prev(s, keys, "_b", ["t"], pair, "_next", next_row=True)
-    s = with_prev(s, keys, "_b", ["t"], pair, "_prev")
+    s = with_adjacent(s, keys, "_b", ["t"], pair, "_prev", "_next")
     # the segment to use at or after a sample: to the next one, or the last pair again
     seg = F.when(F.col("_next").isNotNull(), F.struct(F.col("t").alias("at"), pair.alias("p"), F.col("_next").alias("q"))) \
         .otherwise(F.struct(F.col("t").alias("at"), F.col("_prev").alias("p"), pair.alias("q")))

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pulsegrid.functions import kernels as kn
-from pulsegrid.operators.carry import with_prev, with_running
+from pulsegrid.operators.carry import halo as halo_rows, with_prev, with_running
 from pulsegrid.session import checkpointed
 
 
@@ -101,7 +101,7 @@ def bounded_cubic(samples: DataFrame, points: DataFrame, keys: list[str], channe
     s = samples.withColumn("_b", F.floor(F.col("t") / bucket_sec))
     s = with_prev(s, keys, "_b", ["t"], F.struct("t"), "_p")
     new = F.col("_p").isNull() | (F.col("t") - F.col("_p.t") > max_gap + 1e-8)
-    s = with_running(s, keys, "_b", ["t"], run=(F.when(new, F.col("i")), "max")).drop("_p", "_b")
+    s = checkpointed(with_running(s, keys, "_b", ["t"], run=(F.when(new, F.col("i")), "max")).drop("_p", "_b"))
     size = s.groupBy(*keys, "run").agg(F.count(F.lit(1)).alias("run_size"))
     s = s.join(size, [*keys, "run"]).withColumn("j", F.col("i") - F.col("run"))
     knots = halo_blocks(s, [*keys, "run"], F.col("j"), F.col("run_size"), block, halo, ["t", channel])
@@ -131,10 +131,6 @@ def bounded_cubic(samples: DataFrame, points: DataFrame, keys: list[str], channe
 def fir(df: DataFrame, keys: list[str], index: str, column: str, taps, name: str, block: int = 4096) -> DataFrame:
     """Centred symmetric FIR over a dense index; NULL unless every tap has support."""
     half = len(taps) // 2
-    i = F.col(index)
-    own = F.floor(i / block)
-    spread = F.array_distinct(F.array(F.floor((i - half) / block), own, F.floor((i + half) / block)))
-    h = df.withColumns({"_own": own, "_block": F.explode(spread)})
-    w = Window.partitionBy(*keys, "_block").orderBy(index)
+    h, w = halo_rows(df, keys, index, half, half, block)
     terms = [F.lag(column, half - j).over(w) if j < half else F.lead(column, j - half).over(w) if j > half else F.col(column) for j in range(len(taps))]
-    return h.withColumn(name, sum(t * float(c) for t, c in zip(terms, taps))).where("_block = _own").drop("_block", "_own")
+    return h.withColumn(name, sum(t * float(c) for t, c in zip(terms, taps))).where("_own").drop("_block", "_own")

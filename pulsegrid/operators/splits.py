@@ -28,16 +28,21 @@ def split_counts(n: Column, validation: float, test: float) -> tuple[Column, Col
 def subject_split(subjects: DataFrame, subject: str, validation: float = .2, test: float = .2, seed: int = 42) -> DataFrame:
     """Each subject in exactly one of train, validation, test."""
     order = hash_order(subjects, subject, seed)
-    n = order.agg(F.count("*").alias("n")).scalar()
-    nv, nt = split_counts(n, validation, test)
+    order = order.withColumn("_n", F.lit(_subjects(order)))
+    nv, nt = split_counts(F.col("_n"), validation, test)
     part = F.when(F.col("position") < nv, "validation").when(F.col("position") < nv + nt, "test").otherwise("train")
-    return order.withColumn("partition", part)
+    return order.withColumn("partition", part).drop("_n")
+
+
+def _subjects(order: DataFrame) -> int:
+    """Number of subjects: one number, counted once and written into the plan."""
+    return order.count()
 
 
 def split_manifest(subjects: DataFrame, subject: str, validation: float = .2, test: float = .2, seed: int = 42) -> DataFrame:
     """Test reserved first, validation from the rest; two subjects give a smoke split without test."""
     order = hash_order(subjects, subject, seed)
-    n = order.agg(F.count("*").alias("n")).scalar()
+    n = F.lit(_subjects(order))
     nt = F.when(n == 2, 0).otherwise(F.least(n - 2, F.greatest(F.lit(1), F.bround(n * test, 0).cast("long"))))
     left = n - nt
     nv = F.least(left - 1, F.greatest(F.lit(1), F.bround(left * validation, 0).cast("long")))

@@ -8,6 +8,7 @@ from pulsegrid.operators import assoc as ac, clock as ck
 from pulsegrid.operators.carry import with_prev
 from pulsegrid.plans.clock import FS, KEY, SPAN, events_with_flags, free_intervals
 from pulsegrid.plans.registry import COLOUR, CUFF, EVAL, GRID, R, TRACE, query
+from pulsegrid.session import checkpointed
 from pulsegrid.sources.tables import DAY, colour_samples, cuff_events, eval_rows, read, trace
 
 FREE = f"""{TRACE}, {GRID}, {CUFF},
@@ -54,7 +55,7 @@ def cuff_preceding_interval(spark, d):
 
 def preceding_features(spark, d, max_distance=3600.0, reach=DAY):
     """Latest free interval before each event and the samples of it that are near enough."""
-    free = free_intervals(spark, d).select(*KEY, "start_sec", "end_sec")
+    free = checkpointed(free_intervals(spark, d).select(*KEY, "start_sec", "end_sec"))     # interval rows, read by both sides
     ev = events_with_flags(spark, d).select(*KEY, "event_id", "start_sec", "timing_verified")
     one = ac.preceding(ev, free, KEY, [], max_distance, SPAN)
     uses = one.where("interval is not null").groupBy(*KEY, F.col("interval.end_sec").alias("fe")).agg(F.count("*").alias("uses"))

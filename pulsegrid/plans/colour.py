@@ -1,12 +1,12 @@
 """Colour methods over bounded windows of the three-channel runs."""
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from pulsegrid.functions import kernels as kn
 from pulsegrid.functions.batch import apply_kernel
 from pulsegrid.functions.cols import rnd
-from pulsegrid.operators import colour as cl
+from pulsegrid.operators import colour as cl, signals as sg
 from pulsegrid.plans.registry import COLOUR, R, query
 from pulsegrid.sources.tables import BLOCK, FS, colour_samples, colour_windows
 
@@ -234,17 +234,7 @@ TAPS = kn.kaiser_lowpass(FS, 2.0, 6.0, 40.0)
  f as (select a.recording, a.i, sum(b.g * h) as y, count(*) as c from colour a join taps on true join colour b on b.recording = a.recording and b.i = a.i + j - {len(TAPS) // 2} group by 1, 2)
 select recording, i, {R(f'case when c = {len(TAPS)} then y end')} as filtered from f""")
 def fir_antialias(spark, d):
-    # dense index blocks with a halo of half the taps; a symmetric kernel needs no reversal
-    half, block = len(TAPS) // 2, 4096
-    s = colour_samples(spark, d).select("recording", "i", "g")
-    own = F.floor(F.col("i") / block)
-    spread = F.array_distinct(F.array(F.floor((F.col("i") - half) / block), own, F.floor((F.col("i") + half) / block)))
-    h = s.select("recording", "i", "g", own.alias("own"), F.explode(spread).alias("block"))
-    win = Window.partitionBy("recording", "block").orderBy("i")
-    terms = [F.lag("g", half - j).over(win) if j < half else F.lead("g", j - half).over(win) if j > half else F.col("g")
-             for j in range(len(TAPS))]
-    total = sum(t * float(c) for t, c in zip(terms, TAPS))
-    out = h.withColumn("y", total).where("block = own")
+    out = sg.fir(colour_samples(spark, d).select("recording", "i", "g"), ["recording"], "i", "g", TAPS, "y")
     return out.select("recording", "i", rnd("y").alias("filtered"))
 
 

@@ -131,7 +131,8 @@ def job_delay_feasibility(spark, d):
     out = None
     for name, guard in POLICIES.items():
         m = ck.sample_phase(t, events, KEY, guard, SPAN).withColumn("phase", ck.phase_label())
-        m = m.agg(F.count_if(F.col("phase") == 0).alias("free_samples"), F.count_if(F.col("phase") == 1).alias("active_samples"), F.count_if(F.col("phase") == 2).alias("guard_samples"))
+        n = lambda p: F.count_if(F.col("phase") == p)
+        m = m.agg(F.struct(n(0).alias("free_samples"), n(1).alias("active_samples"), n(2).alias("guard_samples")).alias("s")).scalar()
         free = free_intervals(spark, d, guard).select(*KEY, "start_sec", "end_sec")
         near = ac.preceding(events.select(*KEY, "event_id", "start_sec", "timing_verified"), free, KEY, [], max(DISTANCES), SPAN)
         gap = F.col("start_sec") - F.col("interval.end_sec")
@@ -139,8 +140,8 @@ def job_delay_feasibility(spark, d):
         a = near.select("event_id", "timing_verified", gap.alias("gap"), grid).where(~F.col("s.verified_only") | F.col("timing_verified"))
         a = a.select("event_id", "gap", F.col("s.limit").alias("limit"), F.col("s.verified_only").alias("verified_only"))
         a = a.groupBy("limit", "verified_only").agg(F.count("*").alias("events"), F.count_if(F.col("gap") <= F.col("limit")).alias("associated"))
-        a = a.select(F.lit(name).alias("policy"), F.col("limit").alias("max_distance_sec"), "verified_only", "events", "associated",
-                     *[m.select(c).scalar().alias(c) for c in ("free_samples", "active_samples", "guard_samples")])
+        a = a.select(F.lit(name).alias("policy"), F.col("limit").alias("max_distance_sec"), "verified_only", "events", "associated", m.alias("s"))
+        a = a.select("policy", "max_distance_sec", "verified_only", "events", "associated", "s.*")
         out = a if out is None else out.unionByName(a)
     return out
 
@@ -150,7 +151,7 @@ def job_pilot_signal_audit(spark, d):
     q = window_quality(spark, d).select(F.lit("hourly_trace").alias("source"), "status", F.col("periodicity").alias("value"))
     a = pw.method_agreement(spark, d).select(F.lit("method_agreement").alias("source"), F.when(F.col("hr_range_bpm") <= 10, "agree").otherwise("differ").alias("status"), F.col("hr_range_bpm").alias("value"))
     g = pw.gated(spark, d).select(F.lit("delay").alias("source"), "status", F.col("delay").alias("value"))
-    u = q.unionByName(a).unionByName(g)
+    u = checkpointed(q.unionByName(a).unionByName(g))
     s = u.groupBy("source", "status").agg(F.count("*").alias("windows"), F.count("value").alias("finite"))
     return s.join(exact_quantiles(u, ["source", "status"], "value", {"med": .5}), ["source", "status"], "left").select("source", "status", "windows", "finite", rnd("med").alias("median_value"))
 
@@ -243,7 +244,7 @@ def job_bp_table(spark, d):
 select roi, count(*) as frames, cast(count_if(available) as bigint) as available_frames, count(step) as valid_adjacent_pairs, {R('median(step)')} as median_rgb_step, {R('max(step)')} as maximum_rgb_step from l group by 1""")
 def job_optical_quality(spark, d):
     p, w = po.weights(spark, d)
-    m = op.patch_mix(p, w, po.ROI)
+    m = checkpointed(op.patch_mix(p, w, po.ROI))
     m = with_prev(m, ["roi"], "block", ["frame"], F.struct("r", "g", "b"), "p")
     step = sum(F.abs(F.col(c) - F.col(f"p.{c}")) for c in "rgb") / 3 / 255
     m = m.withColumn("step", step)

@@ -5,8 +5,9 @@ from pyspark.sql import Window, functions as F
 
 from pulsegrid.functions.cols import finite, joined, reasons, rnd, safe_corr
 from pulsegrid.operators import metrics as mt
-from pulsegrid.operators.carry import exact_quantiles, with_index, with_prev, with_rank
+from pulsegrid.operators.carry import exact_quantiles, halo, with_index, with_rank
 from pulsegrid.plans.registry import EVAL, R, query
+from pulsegrid.session import checkpointed
 from pulsegrid.sources.tables import eval_rows, read
 
 EV = EVAL + """, er as (select *, case when pred is not null and ref is not null then pred - ref end as err,
@@ -210,7 +211,7 @@ select s.grp, count(*) as subjects, count(mae) as scorable, {R('avg(mae)')} as m
   count(mae) >= 3 as ci_supported from s left join ci using (grp) group by 1""")
 def subgroup_bootstrap(spark, d):
     c = read(spark, d, "customer").select(F.col("c_custkey").alias("subject"), F.col("c_mktsegment").alias("grp"))
-    per = rows(spark, d).groupBy("subject").agg(F.avg("abs_err").alias("mae")).join(c, "subject")
+    per = checkpointed(rows(spark, d).groupBy("subject").agg(F.avg("abs_err").alias("mae")).join(c, "subject"))     # one row per subject
     v = per.where("mae is not null").withColumn("block", F.floor(F.col("subject") / 4096))
     v = with_index(v, ["grp"], "block", ["subject"], "ord")
     size = v.groupBy("grp").agg(F.count("*").alias("total"))
@@ -349,7 +350,7 @@ def spearman_association(spark, d):
 select method, cast(cov as double) as coverage, count(*) as kept, {R('avg(abs_err)')} as mae, {R('median(abs_err)')} as median_ae from v join c on rn <= greatest(1, round_even(cov::double * n, 0)) group by 1, 2""")
 def quality_coverage_curve(spark, d):
     v = rows(spark, d).where("err is not null").select("method", "abs_err", "o_orderkey", "pred")
-    v = with_rank(v, ["method"], "pred", "o_orderkey", "rn")
+    v = checkpointed(with_rank(v, ["method"], "pred", "o_orderkey", "rn"))     # read by every coverage level
     n = v.groupBy("method").agg(F.count("*").alias("n"))
     v = v.join(n, "method")
     levels = F.array(*[F.struct(F.lit(c).alias("coverage"), F.greatest(F.lit(1.0), F.bround(F.lit(c) * F.col("n"), 0)).alias("top"))
@@ -402,16 +403,12 @@ def harmonic_error_flags(spark, d):
   window w as (partition by subject order by start_day, o_orderkey rows between 4 preceding and current row))
 select o_orderkey, {R('case when c = 5 then m end')} as rolling_mae from s""")
 def rolling_error_mean(spark, d):
-    # four lags carried across date blocks: the frame needs only its own support
     r = rows(spark, d).select("subject", "o_orderkey", "start_day", "abs_err").withColumn("block", F.floor(F.col("start_day") / 512))
-    order = ["start_day", "o_orderkey"]
-    r = with_prev(r, ["subject"], "block", order, F.struct(F.array("abs_err").alias("h")), "p1")
-    for k in (2, 3, 4):
-        grown = F.struct(F.concat(F.array("abs_err"), F.coalesce(F.col(f"p{k - 1}.h"), F.array().cast("array<double>"))).alias("h"))
-        r = with_prev(r, ["subject"], "block", order, grown, f"p{k}")
-    h = F.concat(F.array("abs_err"), F.coalesce(F.col("p4.h"), F.array().cast("array<double>")))
-    full = (F.size(h) == 5) & ~F.exists(h, lambda x: x.isNull())
-    return r.select("o_orderkey", rnd(F.when(full, F.aggregate(h, F.lit(0.0), lambda a, x: a + x) / 5)).alias("rolling_mae"))
+    r = with_index(r, ["subject"], "block", ["start_day", "o_orderkey"], "i")
+    h, w = halo(r, ["subject"], "i", 4, 0)
+    five = w.rowsBetween(-4, 0)
+    h = h.withColumns({"m": F.avg("abs_err").over(five), "c": F.count("abs_err").over(five)}).where("_own")
+    return h.select("o_orderkey", rnd(F.when(F.col("c") == 5, F.col("m"))).alias("rolling_mae"))
 
 
 @query("reason_histogram", f"""with {EV}, x as (select unnest(list_filter([case when not extraction_ok then 'extraction_failed' end, case when pred is null then 'nonfinite_prediction' end,

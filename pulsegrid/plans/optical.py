@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.cols import rnd
 from pulsegrid.operators import optical as op
-from pulsegrid.operators.carry import exact_quantiles, with_prev
+from pulsegrid.operators.carry import exact_quantiles, halo
 from pulsegrid.plans.registry import COLOUR, PAIRS, R, query
+from pulsegrid.session import checkpointed
 from pulsegrid.sources.tables import colour_samples, read, wave_pairs
 
 ROI = ["roi"]
@@ -26,7 +27,8 @@ def pixels(spark, d):
 
 
 def patches(spark, d):
-    return op.descriptors(op.patch_id(pixels(spark, d), ["roi", "frame"]), ["roi", "frame", "block", "patch"], 1)
+    # frame-level rows, far fewer than pixels, read by weights, mixing and change terms
+    return checkpointed(op.descriptors(op.patch_id(pixels(spark, d), ["roi", "frame"]), ["roi", "frame", "block", "patch"], 1))
 
 
 @query("region_color_reduce", f"""with {PIX}, g as (select roi, frame, count(*) as pixels, avg(r) as r, avg(g) as g, avg(b) as b, avg(case when least(r, g, b) <= 1 or greatest(r, g, b) >= 254 then 1e0 else 0 end) as clip, avg((r + g + b) / 3) / 255 as bright from px where greatest(r, g, b) <= 255.5 group by 1, 2)
@@ -90,7 +92,7 @@ def weights(spark, d):
     roi = op.descriptors(pixels(spark, d), ["roi", "frame", "block"], 1)
     state = F.when(F.col("block") % 3 == 0, "verified_skin").when(F.col("block") % 3 == 1, "unknown").otherwise("verified_non_skin_or_occluded")
     evidence = pixels(spark, d).select("roi", "block").distinct().withColumn("state", state)
-    return p, op.patch_weights(p, roi, evidence, ROI, support=.9, chroma=.1)
+    return p, checkpointed(op.patch_weights(p, roi, evidence, ROI, support=.9, chroma=.1))
 
 
 @query("patch_weights", f"with {PW} select roi, block, patch, {R('support')} as support, eligible, {R('weight')} as weight, reason from wt")
@@ -133,16 +135,18 @@ STEP = f"""{COLOUR}, s as (select recording, i, case when discount > 0 then r en
 @query("temporal_descriptors", f"with {STEP} select recording, count(step) as valid_adjacent_pairs, {R('median(step)')} as median_rgb_step, {R('max(step)')} as maximum_rgb_step, {R('median(bend)')} as flicker_proxy from l group by 1")
 def temporal_descriptors(spark, d):
     ok = F.col("discount") > 0
-    s = colour_samples(spark, d).select("recording", "i", F.floor(F.col("i") / 4096).alias("block"), *[F.when(ok, F.col(c)).alias(c) for c in "rgb"])
-    s = with_prev(s, ["recording"], "block", ["i"], F.struct("r", "g", "b"), "p1")
-    s = with_prev(s, ["recording"], "block", ["i"], F.struct("p1.r", "p1.g", "p1.b"), "p2")
-    step = sum(F.abs(F.col(c) - F.col(f"p1.{c}")) for c in "rgb") / 3 / 255
-    bend = sum(F.abs(F.col(c) - 2 * F.col(f"p1.{c}") + F.col(f"p2.{c}")) for c in "rgb") / 3 / 255
-    s = s.select("recording", step.alias("step"), bend.alias("bend"))
-    a = s.groupBy("recording").agg(F.count("step").alias("valid_adjacent_pairs"), F.max("step").alias("maximum_rgb_step"))
-    a = a.join(exact_quantiles(s, ["recording"], "step", {"median_rgb_step": .5}), "recording", "left").join(
-        exact_quantiles(s, ["recording"], "bend", {"flicker_proxy": .5}), "recording", "left")
-    return a.select("recording", "valid_adjacent_pairs", *[rnd(c).alias(c) for c in ("median_rgb_step", "maximum_rgb_step", "flicker_proxy")])
+    s = colour_samples(spark, d).select("recording", "i", *[F.when(ok, F.col(c)).alias(c) for c in "rgb"])
+    h, w = halo(s, ["recording"], "i", 2, 0)
+    back = lambda c, k: F.lag(c, k).over(w)
+    step = sum(F.abs(F.col(c) - back(c, 1)) for c in "rgb") / 3 / 255
+    bend = sum(F.abs(F.col(c) - 2 * back(c, 1) + back(c, 2)) for c in "rgb") / 3 / 255
+    h = h.withColumns({"step": step, "bend": bend}).where("_own").select("recording", "step", "bend")
+    long = h.unpivot("recording", ["step", "bend"], "kind", "v")
+    a = long.groupBy("recording", "kind").agg(F.count("v").alias("n"), F.max("v").alias("top"))
+    a = a.join(exact_quantiles(long, ["recording", "kind"], "v", {"med": .5}), ["recording", "kind"], "left")
+    one = lambda k, c: F.max(F.when(F.col("kind") == k, F.col(c)))
+    return a.groupBy("recording").agg(one("step", "n").alias("valid_adjacent_pairs"), rnd(one("step", "med")).alias("median_rgb_step"),
+                                      rnd(one("step", "top")).alias("maximum_rgb_step"), rnd(one("bend", "med")).alias("flicker_proxy"))
 
 
 @query("calibration_context", f"""with {COLOUR}, s as (select recording, i, discount > 0 and greatest(r, g, b) > 0 as good, r / (r + g + b) as cr, g / (r + g + b) as cg, b / (r + g + b) as cb from colour where i >= 64 and i < 192),

@@ -18,7 +18,7 @@ RANKED = f"""{EV}, rk as (select method as subject, o_orderkey as start_sec, -ab
 
 def ranked(spark, d):
     r = rows(spark, d).select(F.col("method").alias("subject"), F.col("o_orderkey").alias("start_sec"), (-F.col("abs_err")).alias("score"))
-    return with_rank(r, ["subject"], "score", "start_sec")
+    return checkpointed(with_rank(r, ["subject"], "score", "start_sec"))     # selections read it several times
 
 
 @query("rank_windows", f"with {RANKED} select subject, start_sec, {R('score')} as score, rank from rk")
@@ -203,7 +203,7 @@ def model_rows(spark, d):
     o = o.select("o_orderkey", F.col("o_custkey").alias("subject"), "o_orderstatus", (F.col("o_totalprice") / 977.0).alias("target"),
                  F.when(F.col("o_orderstatus") != "P", F.col("quantity")).alias("quantity"), "price", "discount")
     split = sl.subject_split(read(spark, d, "customer").select(F.col("c_custkey").alias("subject")), "subject").select("subject", "partition")
-    return o.join(split, "subject")
+    return o.join(checkpointed(split), "subject")
 
 
 @query("impute_scale_train_only", f"""with {SPLIT}, {MODEL_SQL}, m as (select median(quantity) as mq, median(price) as mp, median(discount) as md from fp where partition = 'train'),

@@ -48,7 +48,7 @@ def rgb_trace_process(spark, d):
 
 def knots(spark, d):
     s = trace(spark, d).where("valid").withColumn("day", F.floor(F.col("t") / 86400.0))
-    return with_index(s, KEY, "day", ["t", "event_id"], "i").select(*KEY, "t", "x", "i")
+    return checkpointed(with_index(s, KEY, "day", ["t", "event_id"], "i").select(*KEY, "t", "x", "i"))
 
 
 def cubic(spark, d, fs):
@@ -77,13 +77,13 @@ TAPS = kn.kaiser_lowpass(1.0, .15, .35, 40.0)
 def rate_adapter(spark, d):
     """Regular double-rate grid, low-pass per run, back to the native times, then the target grid."""
     _, fine = cubic(spark, d, NATIVE)
-    f = sg.fir(fine, KEY, "k", "value", TAPS, "y")
+    f = checkpointed(sg.fir(fine, KEY, "k", "value", TAPS, "y").select(*KEY, "k", "y"))
     b = ck.bounds(trace(spark, d), KEY, NATIVE).select(*KEY, "t0")
     f = f.join(b, KEY).select(*KEY, (F.col("t0") + F.col("k") / F.lit(NATIVE)).alias("t"), F.col("y").alias("x"), F.lit(True).alias("valid"))
     s = trace(spark, d)
     native = s.select(*KEY, "event_id", F.col("event_id").alias("k"), "t", "valid", F.lit(None).cast("double").alias("t_last"))
     at = ck.bounded_resample(f, native.select(*KEY, "k", "t", "t_last"), KEY, ["x"], MAX_GAP, SPAN)
-    back = at.join(s.select(F.col("event_id").alias("k"), "valid"), "k").withColumn("valid", F.col("valid") & F.col("x").isNotNull())
+    back = checkpointed(at.join(s.select(F.col("event_id").alias("k"), "valid"), "k").withColumn("valid", F.col("valid") & F.col("x").isNotNull()))
     target = ck.bounded_resample(back, ck.shared_grid(s, KEY, HOURLY, F.col("valid")), KEY, ["x"], MAX_GAP, SPAN)
     g = target.groupBy(*KEY).agg(F.count("*").alias("target_points"), rnd(F.avg(F.col("x").isNotNull().cast("double"))).alias("target_valid_fraction"),
                                  rnd(F.avg(F.col("imputed").cast("double"))).alias("target_interpolated_fraction"), rnd(F.stddev_pop("x")).alias("output_sd"))

@@ -1,14 +1,12 @@
 """Source and sink queries over text derived from the tables."""
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.cols import joined, reasons, rnd
 from pulsegrid.operators import metrics as mt
 from pulsegrid.plans.registry import R, TRACE, WAVES, query
+from pulsegrid.session import shared_folder
 from pulsegrid.sources import files as fl
 from pulsegrid.sources.tables import read, trace, waves
 
@@ -186,9 +184,7 @@ def sink_json_nullsafe(spark, d):
 
 @query("sink_no_overwrite")
 def sink_no_overwrite(spark, d):
-    # the shared folder of the cluster where it names one
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pulsegrid-out-")
-    path = f"{base}/events-{uuid.uuid4().hex}"
+    path = shared_folder(spark, "events")
     per = read(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("events"))
     first, second = fl.write_once(per, path), fl.write_once(per, path)
     return spark.read.schema(per.schema).parquet(path).withColumns({"written": F.lit(first), "second_write_refused": F.lit(not second)})

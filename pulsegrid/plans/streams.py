@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.cols import rnd
 from pulsegrid.plans.registry import R, query
+from pulsegrid.session import shared_folder
 from pulsegrid.sources.tables import read, seconds
 from pulsegrid.streaming import operators as so
-from pulsegrid.streaming.replay import event_stream, run_to_end, shared_folder
+from pulsegrid.streaming.replay import event_stream, run_to_end
 
 EPOCH = "epoch_us({0}) / 1e6"
 

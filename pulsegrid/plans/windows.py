@@ -20,7 +20,7 @@ STATUS = f"""{FLAGSHIP}, qs as (select *, case when r1 or r2 or r3 then 'invalid
  rk as (select *, max(start_sec + 172800) over (partition by recording, level order by start_sec rows between unbounded preceding and 1 preceding) as seen from sel)
 select recording, level, count(*) as windows, {R('sum(greatest(0, start_sec + 172800 - greatest(start_sec, coalesce(seen, start_sec))))')} as coverage_sec, {R('median(periodicity)')} as median_periodicity, {R('median(illumination_cv)')} as median_cv from rk group by 1, 2""")
 def quality_summary(spark, d):
-    q = window_quality(spark, d)
+    q = checkpointed(window_quality(spark, d))     # window rows, read by the union and two medians
     levels = F.array_compact(F.array(F.lit("all"), F.when(F.col("status") != "invalid", "usable"), F.when(F.col("status") == "good", "good")))
     s = q.select(*KEY, "start_sec", (F.col("start_sec") + LENGTH / FS).alias("end_sec"), "periodicity", "illumination_cv", F.explode(levels).alias("level"))
     key = [*KEY, "level"]
@@ -34,7 +34,7 @@ def quality_summary(spark, d):
 select recording, cast(count_if(status = 'good') as bigint) as good, cast(count_if(status = 'uncertain') as bigint) as uncertain, cast(count_if(status = 'invalid') as bigint) as invalid, {R('any_value(med)')} as median_periodicity,
   {R('median(abs(periodicity - med))')} as mad_periodicity from qs join m using (recording) group by 1""")
 def signal_summary(spark, d):
-    q = window_quality(spark, d).select(*KEY, "status", "periodicity")
+    q = checkpointed(window_quality(spark, d).select(*KEY, "status", "periodicity"))
     counts = q.groupBy(*KEY).agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("good", "uncertain", "invalid")])
     med = exact_quantiles(q, KEY, "periodicity", {"med": .5})
     dev = q.join(med, KEY).withColumn("dev", F.abs(F.col("periodicity") - F.col("med")))
@@ -207,7 +207,7 @@ def anchored(spark, d, length, stride, edge, guard):
     u = uniform(spark, d)
     m = ck.sample_phase(u.select(*KEY, "k", "t", "x"), events, KEY, guard, SPAN)
     label = F.when(F.col("x").isNull(), -1).otherwise(ck.phase_label())
-    runs = islands(m, KEY, "k", label, 128).where("flag >= 0").where(F.col("end") - F.col("start") >= length + 2 * edge)
+    runs = checkpointed(islands(m, KEY, "k", label, 128).where("flag >= 0").where(F.col("end") - F.col("start") >= length + 2 * edge))
     last = F.col("end") - edge - length
     starts = lambda step: runs.select(*KEY, F.explode(F.sequence(F.col("start") + edge, last, F.lit(step).cast("long"))).alias("start"))
     primary = starts(length).withColumn("is_primary", F.lit(True))

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,10 +21,17 @@ def local_session(app: str = "pulsegrid", cpus: str | int = 8) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """New folder below the shared one the cluster names; a temporary one only where none is named."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pulsegrid-")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder the cluster names; a temporary one only where none is named."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="pulsegrid-ckpt-"))
-    return df.checkpoint()
+    """Cut the lineage with a table in the shared folder: columnar, pruned on reading, safe when executors are lost.
+
+    Meant for results that several branches of a plan read.
+    """
+    path = shared_folder(df.sparkSession, "table")
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,21 +1,14 @@
 """Running a bounded stream to its end through a file sink."""
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pulsegrid.session import shared_folder
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """New folder below the one the cluster names; a temporary one only where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pulsegrid-stream-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 def event_stream(spark: SparkSession, folder: str, pattern: str = "events.parquet", files_per_trigger: int = 1) -> DataFrame:
     """Event samples as a stream with an instant ``ts`` (watermarks need a zoned timestamp)."""
     s = spark.readStream.schema(EVENTS).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
