@@ -18,50 +18,58 @@ def explode_ids(df: DataFrame, keys: list[str], count: Column, name: str, chunk:
     return d.withColumn(name, F.explode(F.sequence(F.col("_c") * chunk, last))).drop("_n", "_c")
 
 
-def bounds(samples: DataFrame, keys: list[str], fs: float, valid: Column | None = None) -> DataFrame:
-    """Per key: first and last time, last valid time, and the size of the shared grid."""
-    b = samples.groupBy(*keys).agg(F.min("t").alias("t0"), F.max("t").alias("t1"),
-                                   F.max(F.col("t") if valid is None else F.when(valid, F.col("t"))).alias("t_last"))
+def bounds(samples: DataFrame, keys: list[str], fs: float) -> DataFrame:
+    """Per key: first and last time, and the size of the shared grid."""
+    b = samples.groupBy(*keys).agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
     return b.withColumn("n", (F.floor((F.col("t1") - F.col("t0")) * fs + EXACT) + 1).cast("long"))
 
 
-def shared_grid(samples: DataFrame, keys: list[str], fs: float, valid: Column | None = None) -> DataFrame:
+def shared_grid(samples: DataFrame, keys: list[str], fs: float) -> DataFrame:
     """Uniform grid ``t0 + k / fs`` from the first to the last original time."""
-    g = explode_ids(bounds(samples, keys, fs, valid), keys, F.col("n"), "k")
-    return g.select(*keys, "k", (F.col("t0") + F.col("k") / F.lit(fs)).alias("t"), "t_last")
+    g = explode_ids(bounds(samples, keys, fs), keys, F.col("n"), "k")
+    return g.select(*keys, "k", (F.col("t0") + F.col("k") / F.lit(fs)).alias("t"))
 
 
-def neighbours(samples: DataFrame, points: DataFrame, keys: list[str], payload: list[str], reach: float,
-               bucket_sec: float) -> DataFrame:
-    """Attach to each point the nearest sample before (``lo``) and at or after (``hi``) it.
+def bucket_width(samples: DataFrame, keys: list[str], widest: float, target: int = 2_000_000, cells: int = 1024) -> float:
+    """Time-bucket width for the ordered operators: ``widest``, or less when some key is dense.
 
-    Only samples within ``reach`` matter, so each is copied into every time bucket
-    it can serve and one window per (key, bucket) does the two-sided as-of.
+    Counts the densest (key, widest / cells) cell and allows about ``target`` rows per bucket.
     """
-    halo = reach + 1e-6
-    first, last = F.floor((F.col("t") - halo) / bucket_sec), F.floor((F.col("t") + halo) / bucket_sec)
-    s = samples.select(*keys, "t", F.struct("t", *payload).alias("_p"), F.lit(1).alias("_src"),
-                       F.explode(F.sequence(first, last)).alias("_b"))
-    p = points.withColumns({"_src": F.lit(0), "_b": F.floor(F.col("t") / bucket_sec)})
-    u = p.unionByName(s, allowMissingColumns=True)
+    cell = widest / cells
+    n = samples.groupBy(*keys, F.floor(F.col("t") / cell)).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    return widest if not n else cell * max(1, min(cells, target // n))
+
+
+def neighbours(samples: DataFrame, points: DataFrame, keys: list[str], payload: list[str], bucket_sec: float) -> DataFrame:
+    """Attach to each point the nearest sample before (``lo``) and at or after (``hi``) it, over any distance.
+
+    One window per (key, time bucket) does the two-sided as-of; a bucket only needs
+    the last sample before it and the first one after it, which are carried along
+    the key. No sample is copied and nothing is range-joined.
+    """
+    pair = F.struct("t", *payload)
+    s = samples.select(*keys, "t", pair.alias("_p"), F.lit(1).alias("_src"))
+    u = points.withColumn("_src", F.lit(0)).unionByName(s, allowMissingColumns=True)
+    u = u.withColumn("_b", F.floor(F.col("t") / bucket_sec))
+    ends = u.groupBy(*keys, "_b").agg(F.min("_p").alias("_first"), F.max("_p").alias("_last"))
+    per_key = f"OVER (PARTITION BY {', '.join(keys)} ORDER BY _b)"
+    ends = ends.select(*keys, "_b", F.expr(f"lag(_last) IGNORE NULLS {per_key}").alias("_lo"), F.expr(f"lead(_first) IGNORE NULLS {per_key}").alias("_hi"))
     over = f"OVER (PARTITION BY {', '.join(keys)}, _b ORDER BY t, _src)"
-    u = u.withColumns({"lo": F.expr(f"lag(_p) IGNORE NULLS {over}"), "hi": F.expr(f"lead(_p) IGNORE NULLS {over}")})
-    return u.where("_src = 0").drop("_src", "_b", "_p")
+    u = u.withColumns({"lo": F.expr(f"lag(_p) IGNORE NULLS {over}"), "hi": F.expr(f"lead(_p) IGNORE NULLS {over}")}).where("_src = 0")
+    u = u.join(ends, [*keys, "_b"], "left")
+    return u.withColumns({"lo": F.coalesce("lo", "_lo"), "hi": F.coalesce("hi", "_hi")}).drop("_src", "_b", "_p", "_lo", "_hi")
 
 
 def bounded_resample(samples: DataFrame, grid: DataFrame, keys: list[str], channels: list[str], max_gap: float,
                      bucket_sec: float) -> DataFrame:
-    """Linear interpolation inside gaps of at most ``max_gap``; no extrapolation; ``imputed`` flag.
-
-    ``grid`` needs ``t_last``, the last valid sample time of its key.
-    """
+    """Linear interpolation inside gaps of at most ``max_gap``; no extrapolation; ``imputed`` flag."""
     good = samples.where(F.col("valid"))
     for c in channels:
         good = good.where(finite(c))
-    u = neighbours(good, grid, keys, channels, max_gap, bucket_sec)
+    u = neighbours(good, grid.select(*keys, "k", "t"), keys, channels, bucket_sec)
     t, lo, hi = F.col("t"), F.col("lo"), F.col("hi")
     at_next = hi["t"] - t <= EXACT
-    at_end = hi.isNull() & (lo["t"] == F.col("t_last")) & (t - lo["t"] <= EXACT)
+    at_end = hi.isNull() & (t - lo["t"] <= EXACT)
     inside = hi["t"] - lo["t"] <= max_gap + EXACT
     a = (t - lo["t"]) / (hi["t"] - lo["t"])
     values = {c: F.when(at_next, hi[c]).when(at_end, lo[c])

@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.cols import joined, reasons, rnd, safe_corr
 from pulsegrid.operators import assoc as ac, clock as ck
-from pulsegrid.operators.carry import with_prev
-from pulsegrid.plans.clock import FS, KEY, SPAN, events_with_flags, free_intervals
+from pulsegrid.operators.carry import exact_quantiles, with_prev
+from pulsegrid.plans.clock import FS, KEY, span, events_with_flags, free_intervals
 from pulsegrid.plans.registry import COLOUR, CUFF, EVAL, GRID, R, TRACE, query
 from pulsegrid.session import checkpointed
 from pulsegrid.sources.tables import DAY, colour_samples, cuff_events, eval_rows, read, trace
@@ -30,7 +30,7 @@ def cuff_contained_window(spark, d):
     w = ck.explode_ids(b, KEY, F.when(room >= 0, F.floor(room / (DAY / 2)) + 1).otherwise(0), "window_index")
     start = F.col("t0") + F.col("window_index") * (DAY / 2)
     w = w.select(*KEY, "window_index", start.alias("start_sec"), (start + DAY).alias("end_sec"))
-    c = ac.contained(w, free_intervals(spark, d), KEY, [], SPAN)
+    c = ac.contained(w, free_intervals(spark, d), KEY, [], span(spark, d))
     inside = F.col("inside")
     return c.select(*KEY, "window_index", inside.alias("labelled"), rnd(F.when(inside, F.col("interval.end_sec") - F.col("end_sec"))).alias("margin_sec"),
                     F.when(inside, "").otherwise("not_inside_one_association").alias("reason"))
@@ -57,16 +57,16 @@ def preceding_features(spark, d, max_distance=3600.0, reach=DAY):
     """Latest free interval before each event and the samples of it that are near enough."""
     free = checkpointed(free_intervals(spark, d).select(*KEY, "start_sec", "end_sec"))     # interval rows, read by both sides
     ev = events_with_flags(spark, d).select(*KEY, "event_id", "start_sec", "timing_verified")
-    one = ac.preceding(ev, free, KEY, [], max_distance, SPAN)
+    one = ac.preceding(ev, free, KEY, [], max_distance, span(spark, d))
     uses = one.where("interval is not null").groupBy(*KEY, F.col("interval.end_sec").alias("fe")).agg(F.count("*").alias("uses"))
     one = one.withColumn("fe", F.col("interval.end_sec")).join(uses, [*KEY, "fe"], "left")
     # free intervals are disjoint: each sample finds its own one, then meets the few events that follow it
     s = trace(spark, d).where("event_type <> 'purchase'").select(*KEY, "t", "x")
-    s = ac.latest_start(s, free, KEY, "t", ["end_sec"], SPAN).where(F.col("t") <= F.col("interval.end_sec"))
+    s = ac.latest_start(s, free, KEY, "t", ["end_sec"], span(spark, d)).where(F.col("t") <= F.col("interval.end_sec"))
     s = s.select(*KEY, F.col("interval.end_sec").alias("fe"), "t", "x")
     j = one.select(*KEY, "event_id", "fe", "start_sec").join(s, [*KEY, "fe"]).where(F.col("start_sec") - F.col("t") <= reach)
-    # the samples of one event lie within ``reach`` of it, so the group is bounded
-    agg = j.groupBy("event_id").agg(F.count("*").alias("windows"), F.median("x").alias("median_feature"), F.max("t").alias("lt"))
+    agg = j.groupBy("event_id").agg(F.count("*").alias("windows"), F.max("t").alias("lt"))
+    agg = agg.join(exact_quantiles(j, ["event_id"], "x", {"median_feature": .5}), "event_id")
     one = one.join(agg, "event_id", "left")
     n = F.coalesce("windows", F.lit(0))
     return one.withColumns({
@@ -193,7 +193,7 @@ def nearest_window_match(spark, d):
     s = trace(spark, d)
     p = s.where("event_type = 'click'").select(*KEY, "event_id", "t")
     r = s.where("event_type = 'view'").groupBy(*KEY, "t").agg(F.min("event_id").alias("ref_id"))
-    n = ac.nearest(p, r, KEY, ["ref_id"], 21600.0, SPAN)
+    n = ac.nearest(p, r, KEY, ["ref_id"], 21600.0, span(spark, d))
     return n.select("event_id", F.col("match.ref_id").alias("ref_id"), rnd(F.abs(F.col("match.t") - F.col("t"))).alias("distance_sec"))
 
 
@@ -247,7 +247,7 @@ select a.recording, a.event_id from iv a where exists (select 1 from iv b where
 def partition_overlap_check(spark, d):
     part = F.when(F.col("event_type").isin("view", "click"), "train").when(F.col("event_type") == "signup", "validation").otherwise("test")
     iv = trace(spark, d).select(*KEY, "event_id", F.col("t").alias("start_sec"), (F.col("t") + F.col("x") * 600).alias("end_sec"), part.alias("part"))
-    return ac.running_overlap(iv, KEY, "part", SPAN).where("overlaps").select(*KEY, "event_id")
+    return ac.running_overlap(iv, KEY, "part", span(spark, d)).where("overlaps").select(*KEY, "event_id")
 
 
 @query("subject_leak_antijoin", """select o_custkey as subject, count(distinct o_orderstatus) as partitions, string_agg(distinct o_orderstatus, '|' order by o_orderstatus) as found_in from orders group by 1 having count(distinct o_orderstatus) > 1""")
@@ -395,7 +395,7 @@ def natural_id_normalize(spark, d):
 
 
 @query("content_sha", """with d as (select doc_id, sha256(text) as digest from documents), c as (select conv_id, turn // 256 as b, sha256(string_agg(length(role) || ':' || role || ':' || sha256(text), chr(10) order by turn)) as x, count(*) as n from conversations group by 1, 2)
-select 'document' as kind, doc_id as id, digest, 1 as items from d union all select 'sequence', conv_id, sha256(string_agg(x, chr(10) order by b)), cast(sum(n) as bigint) from c group by 1, 2""")
+select 'document' as kind, doc_id as id, digest, 1 as items from d union all select 'sequence', conv_id, sha256(sha256(sha256(x))), n from c where b = 0""")
 def content_sha(spark, d):
     one = read(spark, d, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.sha2("text", 256).alias("digest"), F.lit(1).cast("long").alias("items"))
     item = F.concat_ws(":", F.length("role").cast("string"), "role", F.sha2("text", 256))

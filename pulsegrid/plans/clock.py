@@ -12,14 +12,25 @@ from pulsegrid.sources.tables import DAY, cuff_events, read, trace
 KEY = ["recording"]
 FS = 1 / 3600.0          # one grid point per hour
 MAX_GAP = DAY
-SPAN = 7 * DAY           # bucket of the ordered operators
+WIDEST = 7 * DAY         # widest time bucket of the ordered operators
 LENGTH, STRIDE = 48, 24  # window and hop in grid points
 
 
+_WIDTHS: dict[tuple, float] = {}
+
+
+def span(spark, d):
+    """Bucket width for the event traces, measured once per session and table."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _WIDTHS:
+        _WIDTHS[key] = ck.bucket_width(trace(spark, d).select(*KEY, "t"), KEY, WIDEST)
+    return _WIDTHS[key]
+
+
 def uniform(spark, d):
     s = trace(spark, d)
-    grid = ck.shared_grid(s, KEY, FS, F.col("valid"))
-    return ck.bounded_resample(s, grid, KEY, ["x"], MAX_GAP, SPAN)
+    grid = ck.shared_grid(s, KEY, FS)
+    return ck.bounded_resample(s, grid, KEY, ["x"], MAX_GAP, span(spark, d))
 
 
 def events_with_flags(spark, d):
@@ -70,7 +81,7 @@ select recording, samples, repeated, {R('q00')} as q00, {R('q01')} as q01, {R('q
   {R('q100')} as q100, (select cast(count_if(dt > 1.5 * q50) as bigint) from s where s.recording = q.recording) as long_intervals
 from q""")
 def clock_audit(spark, d):
-    s = trace(spark, d).withColumn("block", F.floor(F.col("t") / SPAN))
+    s = trace(spark, d).withColumn("block", F.floor(F.col("t") / span(spark, d)))
     s = with_prev(s, KEY, "block", ["t", "event_id"], F.struct("t", "x"), "prev")
     s = s.withColumn("dt", F.col("t") - F.col("prev.t"))
     q = exact_quantiles(s, KEY, "dt", {"q00": 0, "q01": .01, "q50": .5, "q99": .99, "q100": 1})
@@ -110,7 +121,7 @@ def resample_unbounded(spark, d):
     outer = b.select(*KEY, F.lit(-1).cast("long").alias("k"), (F.col("t0") - 1800).alias("t")).unionByName(
         b.select(*KEY, F.lit(-2).cast("long").alias("k"), (F.col("t1") + 1800).alias("t")))
     points = ck.shared_grid(s, KEY, FS).select(*KEY, "k", "t").unionByName(outer)
-    return ck.resample_unbounded(s, points, KEY, "x", SPAN).select(*KEY, "k", rnd("value").alias("x"))
+    return ck.resample_unbounded(s, points, KEY, "x", span(spark, d)).select(*KEY, "k", rnd("value").alias("x"))
 
 
 @query("reference_interp_on_grid", f"""
@@ -126,7 +137,7 @@ def reference_interp_on_grid(spark, d):
     ref = s.where("event_type = 'view'").select(*KEY, "t", "event_id", "x")
     support = ref.groupBy(*KEY).agg(F.min("t").alias("a"), F.max("t").alias("b"))
     grid = ck.shared_grid(s, KEY, FS).join(support, KEY).where("t between a and b").select(*KEY, "k", "t")
-    out = ck.resample_unbounded(ref, grid, KEY, "x", SPAN)
+    out = ck.resample_unbounded(ref, grid, KEY, "x", span(spark, d))
     one = ref.groupBy(*KEY).agg(F.count("*").alias("c"), F.first("x").alias("only"))
     out = out.join(one, KEY).withColumn("value", F.when(F.col("c") == 1, F.col("only")).otherwise(F.col("value")))
     return out.select(*KEY, "k", rnd("value").alias("value"))
@@ -139,17 +150,9 @@ with {TRACE}, {GRID}, hit as (select g.recording, g.k, g.t, l.valid as lv, r.val
 select recording, k, coalesce(case when rt - t <= 1e-8 then rv else lv and rv end, false) as supported from hit""")
 def support_projection(spark, d):
     s = trace(spark, d)
-    b = F.floor(F.col("t") / SPAN)
-    pts = ck.shared_grid(s, KEY, FS).select(*KEY, "k", "t").withColumns({"_b": b, "_src": F.lit(0)})
-    u = pts.unionByName(s.select(*KEY, "t", "valid").withColumns({"_b": b, "_src": F.lit(1)}), allowMissingColumns=True)
-    mark = F.when(F.col("_src") == 1, F.struct("t", "valid"))
-    u = ck.with_running(u, KEY, "_b", ["t", "_src"], inclusive=False, lo=(mark, "max"))
-    # the next sample is the running minimum from the right: negate time and sweep backwards
-    back = F.when(F.col("_src") == 1, F.struct((-F.col("t")).alias("nt"), "valid"))
-    u = u.withColumns({"nt": -F.col("t"), "nsrc": -F.col("_src"), "nb": -F.col("_b")})
-    u = ck.with_running(u, KEY, "nb", ["nt", "nsrc"], inclusive=False, hi=(back, "max"))
-    flag = F.when(-F.col("hi.nt") - F.col("t") <= ck.EXACT, F.col("hi.valid")).otherwise(F.col("lo.valid") & F.col("hi.valid"))
-    return u.where("_src = 0").select(*KEY, "k", F.coalesce(flag, F.lit(False)).alias("supported"))
+    u = ck.neighbours(s, ck.shared_grid(s, KEY, FS), KEY, ["valid"], span(spark, d))
+    flag = F.when(F.col("hi.t") - F.col("t") <= ck.EXACT, F.col("hi.valid")).otherwise(F.col("lo.valid") & F.col("hi.valid"))
+    return u.select(*KEY, "k", F.coalesce(flag, F.lit(False)).alias("supported"))
 
 
 @query("common_support", f"""
@@ -197,7 +200,7 @@ MASKS = f"""{TRACE}, {CUFF}, s as (select * from trace where event_type <> 'purc
 
 def masks(spark, d):
     s = trace(spark, d).where("event_type <> 'purchase'").select(*KEY, "event_id", "t")
-    return ck.sample_phase(s, events_with_flags(spark, d), KEY, 300.0, SPAN).withColumn("phase", ck.phase_label())
+    return ck.sample_phase(s, events_with_flags(spark, d), KEY, 300.0, span(spark, d)).withColumn("phase", ck.phase_label())
 
 
 @query("event_mask_join", f"""with {MASKS} select recording, event_id, cuff_active, cuff_boundary_guard,
@@ -219,7 +222,7 @@ select recording, {R('sum(case when cuff_active then dt else 0 end)')} as active
   {R('sum(case when candidate_cuff_free then dt else 0 end)')} as free_sec,
   {R('sum(case when timing_uncertain then dt else 0 end)')} as uncertain_sec from dt group by 1""")
 def phase_seconds(spark, d):
-    m = masks(spark, d).withColumn("block", F.floor(F.col("t") / SPAN))
+    m = masks(spark, d).withColumn("block", F.floor(F.col("t") / span(spark, d)))
     m = with_prev(m, KEY, "block", ["t", "event_id"], F.struct("t"), "next", next_row=True)
     dt = F.col("next.t") - F.col("t")
     part = {"active_sec": "cuff_active", "guard_sec": "cuff_boundary_guard", "free_sec": "candidate_cuff_free",
@@ -369,7 +372,7 @@ def window_quality(spark, d, min_valid: float = 0.75, max_cv: float = 1.0):
 select recording, count(*) as intervals, {R('sum(greatest(0, end_sec - greatest(start_sec, coalesce(seen, start_sec))))')} as union_sec from s group by 1""")
 def interval_union_seconds(spark, d):
     e = cuff_events(spark, d).where("end_sec is not null")
-    return ck.interval_union(e, KEY, SPAN).select(*KEY, "intervals", rnd("union_sec").alias("union_sec"))
+    return ck.interval_union(e, KEY, span(spark, d)).select(*KEY, "intervals", rnd("union_sec").alias("union_sec"))
 
 
 @query("interval_complement", f"""with {TRACE}, {GRID}, {CUFF},
@@ -390,7 +393,7 @@ def free_intervals(spark, d, guard: float = 300.0, need: float = 3600.0):
     blocked = cuff_events(spark, d).select(*KEY, (F.col("start_sec") - guard).alias("start_sec"),
                                            (F.col("end_sec") + guard).alias("end_sec"))
     extent = ck.bounds(trace(spark, d), KEY, FS).select(*KEY, "t0", "t1")
-    gaps = ck.interval_complement(blocked, extent, KEY, SPAN)
+    gaps = ck.interval_complement(blocked, extent, KEY, span(spark, d))
     return gaps.withColumn("signal_window_possible", F.col("end_sec") - F.col("start_sec") >= need)
 
 

@@ -9,7 +9,7 @@ from pulsegrid.operators import assoc as ac, beats as bt, clock as ck, colour as
 from pulsegrid.operators.carry import exact_quantiles, with_index, with_prev
 from pulsegrid.plans import optical as po, signals as ps, windows as pw
 from pulsegrid.plans.assoc import preceding_features
-from pulsegrid.plans.clock import FLAGSHIP, FS, KEY, LENGTH, SPAN, STRIDE, events_with_flags, free_intervals, uniform, window_quality
+from pulsegrid.plans.clock import FLAGSHIP, FS, KEY, LENGTH, span, STRIDE, events_with_flags, free_intervals, uniform, window_quality
 from pulsegrid.plans.colour import PRIORS
 from pulsegrid.plans.registry import CUFF, R, TRACE, query
 from pulsegrid.session import checkpointed
@@ -130,11 +130,11 @@ def job_delay_feasibility(spark, d):
     t = trace(spark, d).where("event_type <> 'purchase'").select(*KEY, "event_id", "t")
     out = None
     for name, guard in POLICIES.items():
-        m = ck.sample_phase(t, events, KEY, guard, SPAN).withColumn("phase", ck.phase_label())
+        m = ck.sample_phase(t, events, KEY, guard, span(spark, d)).withColumn("phase", ck.phase_label())
         n = lambda p: F.count_if(F.col("phase") == p)
         m = m.agg(F.struct(n(0).alias("free_samples"), n(1).alias("active_samples"), n(2).alias("guard_samples")).alias("s")).scalar()
         free = free_intervals(spark, d, guard).select(*KEY, "start_sec", "end_sec")
-        near = ac.preceding(events.select(*KEY, "event_id", "start_sec", "timing_verified"), free, KEY, [], max(DISTANCES), SPAN)
+        near = ac.preceding(events.select(*KEY, "event_id", "start_sec", "timing_verified"), free, KEY, [], max(DISTANCES), span(spark, d))
         gap = F.col("start_sec") - F.col("interval.end_sec")
         grid = F.explode(F.array(*[F.struct(F.lit(x).alias("limit"), F.lit(v).alias("verified_only")) for x in DISTANCES for v in (True, False)])).alias("s")
         a = near.select("event_id", "timing_verified", gap.alias("gap"), grid).where(~F.col("s.verified_only") | F.col("timing_verified"))
@@ -233,7 +233,7 @@ select recording, window_index, status, case when value is not null and not earl
 def job_bp_table(spark, d):
     w = window_quality(spark, d).select(*KEY, "window_index", "status", "start_sec", (F.col("start_sec") + LENGTH / FS).alias("end_sec"))
     cuffs = cuff_events(spark, d).where("end_sec is not null").select(*KEY, "start_sec", "value")
-    w = ac.latest_start(w, cuffs, KEY, "end_sec", ["value"], SPAN)
+    w = ac.latest_start(w, cuffs, KEY, "end_sec", ["value"], span(spark, d))
     early = F.col("interval.start_sec") < F.col("start_sec")
     why = F.when(F.col("interval").isNull(), "no_reference").when(early, "not_inside_window").when(F.col("status") == "invalid", "invalid_window").otherwise("")
     return w.withColumn("exclusion", why).select(*KEY, "window_index", "status", F.when(F.col("exclusion") == "", F.col("interval.value")).alias("sbp_mmhg"), "exclusion")

@@ -8,7 +8,7 @@ from pulsegrid.functions.batch import apply_kernel, apply_kernels, job
 from pulsegrid.functions.cols import finite, joined, reasons, rnd
 from pulsegrid.operators import beats as bt, clock as ck, ecg, signals as sg, spectral as sp
 from pulsegrid.operators.carry import with_index, with_prev
-from pulsegrid.plans.clock import FS as HOURLY, KEY, MAX_GAP, SPAN, uniform
+from pulsegrid.plans.clock import FS as HOURLY, KEY, MAX_GAP, span, uniform
 from pulsegrid.plans.registry import R, TRACE, query
 from pulsegrid.plans.spectral import RADIUS, coherence_job, delays, quality_columns, quality_jobs, spectral_peaks, with_coherence, with_rate_array
 from pulsegrid.session import checkpointed
@@ -54,14 +54,14 @@ def knots(spark, d):
 def cubic(spark, d, fs):
     s = trace(spark, d)
     k = knots(spark, d)
-    grid = ck.shared_grid(s, KEY, fs, F.col("valid"))
-    u = ck.neighbours(k, grid, KEY, ["x", "i"], MAX_GAP, SPAN)
+    grid = ck.shared_grid(s, KEY, fs)
+    u = ck.neighbours(k, grid, KEY, ["x", "i"], span(spark, d))
     t, lo, hi = F.col("t"), F.col("lo"), F.col("hi")
     exact = hi["t"] - t <= ck.EXACT
     a = (t - lo["t"]) / (hi["t"] - lo["t"])
     linear = F.when(exact, hi["x"]).when(hi["t"] - lo["t"] <= MAX_GAP + ck.EXACT, lo["x"] * (1 - a) + hi["x"] * a)
     p = u.select(*KEY, "k", "t", linear.alias("linear"), F.when(exact, hi["i"]).otherwise(lo["i"]).alias("lo_i"))
-    return p, sg.bounded_cubic(k, p, KEY, "x", MAX_GAP, SPAN, block=64, halo=40)
+    return p, sg.bounded_cubic(k, p, KEY, "x", MAX_GAP, span(spark, d), block=64, halo=40)
 
 
 @query("bounded_cubic")
@@ -81,10 +81,9 @@ def rate_adapter(spark, d):
     b = ck.bounds(trace(spark, d), KEY, NATIVE).select(*KEY, "t0")
     f = f.join(b, KEY).select(*KEY, (F.col("t0") + F.col("k") / F.lit(NATIVE)).alias("t"), F.col("y").alias("x"), F.lit(True).alias("valid"))
     s = trace(spark, d)
-    native = s.select(*KEY, "event_id", F.col("event_id").alias("k"), "t", "valid", F.lit(None).cast("double").alias("t_last"))
-    at = ck.bounded_resample(f, native.select(*KEY, "k", "t", "t_last"), KEY, ["x"], MAX_GAP, SPAN)
+    at = ck.bounded_resample(f, s.select(*KEY, F.col("event_id").alias("k"), "t"), KEY, ["x"], MAX_GAP, span(spark, d))
     back = checkpointed(at.join(s.select(F.col("event_id").alias("k"), "valid"), "k").withColumn("valid", F.col("valid") & F.col("x").isNotNull()))
-    target = ck.bounded_resample(back, ck.shared_grid(s, KEY, HOURLY, F.col("valid")), KEY, ["x"], MAX_GAP, SPAN)
+    target = ck.bounded_resample(back, ck.shared_grid(s, KEY, HOURLY), KEY, ["x"], MAX_GAP, span(spark, d))
     g = target.groupBy(*KEY).agg(F.count("*").alias("target_points"), rnd(F.avg(F.col("x").isNotNull().cast("double"))).alias("target_valid_fraction"),
                                  rnd(F.avg(F.col("imputed").cast("double"))).alias("target_interpolated_fraction"), rnd(F.stddev_pop("x")).alias("output_sd"))
     eff = back.groupBy(*KEY).agg(rnd(F.avg(F.col("valid").cast("double"))).alias("effective_source_valid_fraction"))

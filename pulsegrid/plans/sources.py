@@ -5,33 +5,36 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.cols import joined, reasons, rnd
 from pulsegrid.operators import metrics as mt
+from pulsegrid.operators.carry import with_index
 from pulsegrid.plans.registry import R, TRACE, WAVES, query
 from pulsegrid.session import shared_folder
 from pulsegrid.sources import files as fl
 from pulsegrid.sources.tables import read, trace, waves
 
-PIECE = "cast(floor(t / 604800) as bigint)"
+PIECE = "(row_number() over (partition by recording order by t, event_id) - 1) // 32"
 
 
 def pieces(spark, d):
-    """Samples of one recording and week: the content of one reference file."""
-    return trace(spark, d).withColumn("week", F.floor(F.col("t") / 604800.0))
+    """Thirty-two consecutive samples of one recording: the content of one reference file."""
+    s = trace(spark, d).withColumn("b", F.floor(F.col("t") / 86400.0))
+    s = with_index(s, ["recording"], "b", ["t", "event_id"], "i")
+    return s.withColumn("part", F.floor(F.col("i") / 32)).drop("b", "i")
 
 
-@query("src_contact_reference", f"""with {TRACE} select recording, {PIECE} as week, count(*) as samples, {R('sum(x)')} as ppg_sum, {R('sum(60 + x / 10)')} as hr_sum, {R('max(t)')} as t_last,
-  cast(null as varchar) as error from trace group by 1, 2""")
+@query("src_contact_reference", f"""with {TRACE} select recording, part, count(*) as samples, {R('sum(x)')} as ppg_sum, {R('sum(60 + x / 10)')} as hr_sum, {R('max(t)')} as t_last,
+  cast(null as varchar) as error from (select *, {PIECE} as part from trace) group by 1, 2""")
 def src_contact_reference(spark, d):
     s = F.array_sort(F.collect_list(F.struct("t", "x")))
-    g = pieces(spark, d).groupBy("recording", "week").agg(s.alias("s"))
+    g = pieces(spark, d).groupBy("recording", "part").agg(s.alias("s"))
     text = lambda a: F.array_join(F.transform(a, lambda v: v.cast("string")), " ")
     ppg, hr, t = F.col("s.x"), F.transform("s.x", lambda v: 60 + v / 10), F.col("s.t")
     rows = F.concat_ws("\n", text(ppg), text(hr), text(t))
     flat = F.concat_ws(" ", text(ppg), text(hr), text(t))
     cols = F.array_join(F.transform("s", lambda v: F.concat_ws(" ", v["x"].cast("string"), (60 + v["x"] / 10).cast("string"), v["t"].cast("string"))), "\n")
-    layout = F.when((F.col("week") % 3 == 1) & (F.size("s") != 3), cols).when(F.col("week") % 3 == 2, flat).otherwise(rows)
-    p = fl.parse_contact_reference(g.select("recording", "week", layout.alias("content")))
+    layout = F.when((F.col("part") % 3 == 1) & (F.size("s") != 3), cols).when(F.col("part") % 3 == 2, flat).otherwise(rows)
+    p = fl.parse_contact_reference(g.select("recording", "part", layout.alias("content")))
     total = lambda c: rnd(F.aggregate(c, F.lit(0.0), lambda a, v: a + v))
-    return p.select("recording", "week", F.size("t").cast("long").alias("samples"), total("ppg").alias("ppg_sum"), total("hr").alias("hr_sum"),
+    return p.select("recording", "part", F.size("t").cast("long").alias("samples"), total("ppg").alias("ppg_sum"), total("hr").alias("hr_sum"),
                     rnd(F.array_max("t")).alias("t_last"), "error")
 
 
@@ -57,25 +60,25 @@ def src_recording_discovery(spark, d):
 
 
 def reference_json(spark, d):
-    week = F.col("week")
+    part = F.col("part")
     e = pieces(spark, d)
-    stamp = F.when((week % 4 == 2) & ~F.col("valid"), F.lit(None)).when(week % 4 == 3, F.floor(F.col("t") / 86400) * 86400.0).otherwise(F.col("t"))
-    order = F.when(week % 4 == 1, F.col("x")).otherwise(F.col("t"))
+    stamp = F.when((part % 4 == 2) & ~F.col("valid"), F.lit(None)).when(part % 4 == 3, F.floor(F.col("t") / 86400) * 86400.0).otherwise(F.col("t"))
+    order = F.when(part % 4 == 1, F.col("x")).otherwise(F.col("t"))
     entry = F.struct(order.alias("o"), "event_id", F.struct(stamp.alias("Timestamp"), F.struct(F.when(F.col("valid"), F.col("x")).alias("waveform")).alias("Value")).alias("r"))
-    g = e.groupBy("recording", "week").agg(F.array_sort(F.collect_list(entry)).alias("s"))
-    return g.select("recording", "week", F.to_json(F.struct(F.col("s.r").alias("/FullPackage"))).alias("content"))
+    g = e.groupBy("recording", "part").agg(F.array_sort(F.collect_list(entry)).alias("s"))
+    return g.select("recording", "part", F.to_json(F.struct(F.col("s.r").alias("/FullPackage"))).alias("content"))
 
 
-REFJSON = f"""{TRACE}, s as (select recording, {PIECE} as week, event_id, valid, x, t from trace),
- k as (select *, case when week % 4 = 2 and not valid then null when week % 4 = 3 then floor(t / 86400) * 86400e0 else t end as ts, case when week % 4 = 1 then x else t end as o from s),
- l as (select *, lag(ts) over (partition by recording, week order by o, event_id) as p from k),
- rj as (select recording, week, count(*) as n, count(case when valid then x end) as wf, count(*) - count(ts) as miss, cast(count_if(ts < p) as bigint) as back, cast(count_if(ts = p) as bigint) as same from l group by 1, 2),
- rs as (select recording, week, case when n < 2 then 0 else n end as records, case when n < 2 then 0 else wf end as waveforms, case when n < 2 then 'invalid_reference_json' when miss > 0 then 'missing_timestamp' when back > 0 then 'nonmonotonic' when same > 0 then 'duplicates' else 'strictly_increasing' end as clock_status from rj)"""
+REFJSON = f"""{TRACE}, s as (select recording, {PIECE} as part, event_id, valid, x, t from trace),
+ k as (select *, case when part % 4 = 2 and not valid then null when part % 4 = 3 then floor(t / 86400) * 86400e0 else t end as ts, case when part % 4 = 1 then x else t end as o from s),
+ l as (select *, lag(ts) over (partition by recording, part order by o, event_id) as p from k),
+ rj as (select recording, part, count(*) as n, count(case when valid then x end) as wf, count(*) - count(ts) as miss, cast(count_if(ts < p) as bigint) as back, cast(count_if(ts = p) as bigint) as same from l group by 1, 2),
+ rs as (select recording, part, case when n < 2 then 0 else n end as records, case when n < 2 then 0 else wf end as waveforms, case when n < 2 then 'invalid_reference_json' when miss > 0 then 'missing_timestamp' when back > 0 then 'nonmonotonic' when same > 0 then 'duplicates' else 'strictly_increasing' end as clock_status from rj)"""
 
 
-@query("src_reference_json", f"with {REFJSON} select recording, week, records, waveforms, clock_status from rs")
+@query("src_reference_json", f"with {REFJSON} select recording, part, records, waveforms, clock_status from rs")
 def src_reference_json(spark, d):
-    return fl.parse_reference_json(reference_json(spark, d)).select("recording", "week", F.col("records").cast("long").alias("records"), F.col("waveforms").cast("long").alias("waveforms"), "clock_status")
+    return fl.parse_reference_json(reference_json(spark, d)).select("recording", "part", F.col("records").cast("long").alias("records"), F.col("waveforms").cast("long").alias("waveforms"), "clock_status")
 
 
 @query("src_dataset_inventory", f"""with {DISCOVER}, {REFJSON}, c as (select 'subject' || recording as folder, count(*) as files, cast(count_if(clock_status <> 'strictly_increasing') as bigint) as bad from rs group by 1)
@@ -125,18 +128,20 @@ def src_multi_table_union(spark, d):
     return a.unionByName(b).groupBy("source", "recording", "value").agg(F.count("*").alias("rows"))
 
 
-@query("src_recording_manifest", """with r as (select l_orderkey, l_linenumber as idx, l_quantity as a, l_quantity + l_linenumber as b from lineitem),
- o as (select *, lead(a) over (partition by l_orderkey order by a, b) as nx from r), g as (select l_orderkey, count(*) as refs, count(distinct idx) as di, bool_or(b > nx) as clash from o group by 1)
-select l_orderkey as order_id, refs as references_n, concat_ws('|', case when di < refs then 'duplicate_measurement_index' end, case when clash then 'overlapping_associations' end) as issues, 'manifests/' || 'video.mp4' as video_path from g""")
+@query("src_recording_manifest", """with r as (select l_orderkey, (row_number() over (partition by l_orderkey order by l_linenumber, l_suppkey, l_partkey, l_quantity) - 1) // 8 as part, l_linenumber as idx, l_quantity as a, l_quantity + l_linenumber as b from lineitem),
+ o as (select *, lead(a) over (partition by l_orderkey, part order by a, b) as nx from r), g as (select l_orderkey, part, count(*) as refs, count(distinct idx) as di, bool_or(b > nx) as clash from o group by 1, 2)
+select l_orderkey || '-' || part as recording_id, refs as references_n, concat_ws('|', case when di < refs then 'duplicate_measurement_index' end, case when clash then 'overlapping_associations' end) as issues, 'manifests/' || 'video.mp4' as video_path from g""")
 def src_recording_manifest(spark, d):
-    li = read(spark, d, "lineitem")
-    g = li.groupBy("l_orderkey").agg(
+    # at most eight readings per manifest, so an order of any size becomes bounded documents
+    li = read(spark, d, "lineitem").withColumn("b", F.col("l_linenumber"))
+    li = with_index(li, ["l_orderkey"], "b", ["l_linenumber", "l_suppkey", "l_partkey", "l_quantity"], "i").withColumn("part", F.floor(F.col("i") / 8))
+    g = li.groupBy("l_orderkey", "part").agg(
         F.collect_list(F.struct(F.col("l_linenumber").alias("measurement_index"), F.col("l_quantity").alias("sbp"), F.col("l_tax").alias("dbp"))).alias("references"),
         F.collect_list(F.struct(F.col("l_linenumber").alias("reference_index"), F.col("l_quantity").alias("interval_start_sec"), (F.col("l_quantity") + F.col("l_linenumber")).alias("interval_end_sec"))).alias("associations"))
-    key = F.col("l_orderkey").cast("string")
-    body = F.to_json(F.struct(key.alias("subject_id"), key.alias("session_id"), key.alias("recording_id"), F.lit("video.mp4").alias("video_path"), "references", "associations"))
+    key = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("part").cast("string"))
+    body = F.to_json(F.struct(F.col("l_orderkey").cast("string").alias("subject_id"), key.alias("session_id"), key.alias("recording_id"), F.lit("video.mp4").alias("video_path"), "references", "associations"))
     m = fl.parse_manifest(g.select(F.concat(F.lit("manifests/"), key, F.lit(".json")).alias("path"), body.alias("content")))
-    return m.select(F.col("recording_id").cast("long").alias("order_id"), F.size("references").cast("long").alias("references_n"), joined("issues").alias("issues"), "video_path")
+    return m.select("recording_id", F.size("references").cast("long").alias("references_n"), joined("issues").alias("issues"), "video_path")
 
 
 @query("src_official_split", """with l as (select c_custkey, 'P' || lpad((c_custkey % 1400)::varchar, case when c_nationkey = 3 then 5 else 6 end, '0') as rec, c_nationkey, case when c_acctbal < 0 then 'None' when c_acctbal < 5000 then 'Train' else 'Test' end as split from customer),

@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 from pulsegrid.functions.cols import joined, reasons, rnd, safe_corr
 from pulsegrid.operators import clock as ck, colour as cl, greedy, spectral as sp
 from pulsegrid.operators.carry import exact_quantiles, islands, with_prev
-from pulsegrid.plans.clock import CUFF, FLAGSHIP, FS, KEY, LENGTH, RUNS, SPAN, STRIDE, events_with_flags, uniform, window_quality
+from pulsegrid.plans.clock import CUFF, FLAGSHIP, FS, KEY, LENGTH, RUNS, span, STRIDE, events_with_flags, uniform, window_quality
 from pulsegrid.plans.colour import samples as colour_long
 from pulsegrid.plans.registry import COLOUR, GRID, R, TRACE, query
 from pulsegrid.plans.spectral import GATED, HR, dft, gated, hr_sql, K0, K1, NFFT
@@ -24,7 +24,7 @@ def quality_summary(spark, d):
     levels = F.array_compact(F.array(F.lit("all"), F.when(F.col("status") != "invalid", "usable"), F.when(F.col("status") == "good", "good")))
     s = q.select(*KEY, "start_sec", (F.col("start_sec") + LENGTH / FS).alias("end_sec"), "periodicity", "illumination_cv", F.explode(levels).alias("level"))
     key = [*KEY, "level"]
-    cover = ck.interval_union(s, key, SPAN)
+    cover = ck.interval_union(s, key, span(spark, d))
     med = [exact_quantiles(s, key, c, {n: .5}) for c, n in (("periodicity", "median_periodicity"), ("illumination_cv", "median_cv"))]
     out = cover.join(med[0], key, "left").join(med[1], key, "left")
     return out.select(*key, F.col("intervals").alias("windows"), rnd("union_sec").alias("coverage_sec"), rnd("median_periodicity").alias("median_periodicity"), rnd("median_cv").alias("median_cv"))
@@ -75,7 +75,7 @@ def stability_summary(spark, d):
 select recording, count(*) as samples, {R('avg(valid::int)')} as valid_fraction, {R('sum(case when valid then dt end)')} as valid_seconds, {R('median(x)')} as median_value,
   cast(count_if(event_type = 'error') as bigint) as reason_error, cast(count_if(x > 200) as bigint) as reason_clipped from s group by 1""")
 def acquisition_summary(spark, d):
-    s = trace(spark, d).withColumn("block", F.floor(F.col("t") / SPAN))
+    s = trace(spark, d).withColumn("block", F.floor(F.col("t") / span(spark, d)))
     s = with_prev(s, KEY, "block", ["t", "event_id"], F.struct("t"), "next", next_row=True)
     dt = F.col("next.t") - F.col("t")
     a = s.groupBy(*KEY).agg(F.count("*").alias("samples"), rnd(F.avg(F.col("valid").cast("double"))).alias("valid_fraction"), rnd(F.sum(F.when(F.col("valid"), dt))).alias("valid_seconds"),
@@ -121,7 +121,7 @@ def quality_status_region(spark, d):
 select b.recording, coalesce(n, 0) as valid_windows, {R('coalesce(cover, 0)')} as union_sec, coalesce(cover >= 259200 and n >= 3, false) as run_remaining from bounds b left join u using (recording)""")
 def cohort_gate(spark, d):
     q = window_quality(spark, d).where("status <> 'invalid'").select(*KEY, "start_sec", (F.col("start_sec") + LENGTH / FS).alias("end_sec"))
-    u = ck.interval_union(q, KEY, SPAN)
+    u = ck.interval_union(q, KEY, span(spark, d))
     b = ck.bounds(trace(spark, d), KEY, FS).select(*KEY).join(u, KEY, "left")
     n, cover = F.coalesce("intervals", F.lit(0)), F.coalesce("union_sec", F.lit(0.0))
     return b.select(*KEY, n.alias("valid_windows"), rnd(cover).alias("union_sec"), ((cover >= 3 * DAY) & (n >= 3)).alias("run_remaining"))
@@ -163,7 +163,7 @@ select event_id, {R('case when t - pt <= 86400 then sqrt(pow(x - px, 2) + pow(y
 def motion_speed(spark, d):
     e = read(spark, d, "events").select("event_id", F.from_json("props", "k int")["k"].cast("double").alias("y"))
     s = trace(spark, d).select(*KEY, "event_id", "t", "x", "valid").join(e, "event_id")
-    live = s.where("valid").withColumn("block", F.floor(F.col("t") / SPAN))
+    live = s.where("valid").withColumn("block", F.floor(F.col("t") / span(spark, d)))
     live = with_prev(live, KEY, "block", ["t", "event_id"], F.struct("t", "x", "y"), "p")
     dt = F.col("t") - F.col("p.t")
     move = F.sqrt(F.pow(F.col("x") - F.col("p.x"), 2) + F.pow(F.col("y") - F.col("p.y"), 2))
@@ -173,7 +173,7 @@ def motion_speed(spark, d):
 
 @query("repeated_frame_flag", f"""with {TRACE}, s as (select *, floor(x) as q, lag(floor(x)) over (partition by recording order by t, event_id) as p from trace) select event_id, coalesce(q = p, false) as repeated from s""")
 def repeated_frame_flag(spark, d):
-    s = trace(spark, d).withColumns({"block": F.floor(F.col("t") / SPAN), "q": F.floor("x")})
+    s = trace(spark, d).withColumns({"block": F.floor(F.col("t") / span(spark, d)), "q": F.floor("x")})
     s = with_prev(s, KEY, "block", ["t", "event_id"], F.struct("q"), "p")
     return s.select("event_id", F.coalesce(F.col("q") == F.col("p.q"), F.lit(False)).alias("repeated"))
 
@@ -181,7 +181,7 @@ def repeated_frame_flag(spark, d):
 @query("downsample_guard", f"""with {TRACE}, s as (select recording, t - lag(t) over (partition by recording order by t, event_id) as dt from trace), m as (select recording, median(dt) as dt from s group by 1)
 select recording, {R('1 / dt * 3600')} as acquired_per_hour, 1 / 3600e0 < 0.95e0 / dt as refused from m""")
 def downsample_guard(spark, d):
-    s = trace(spark, d).withColumn("block", F.floor(F.col("t") / SPAN))
+    s = trace(spark, d).withColumn("block", F.floor(F.col("t") / span(spark, d)))
     s = with_prev(s, KEY, "block", ["t", "event_id"], F.struct("t"), "p").withColumn("dt", F.col("t") - F.col("p.t"))
     m = exact_quantiles(s, KEY, "dt", {"dt": .5})
     return m.select(*KEY, rnd(F.try_divide(F.lit(3600.0), "dt")).alias("acquired_per_hour"), (F.lit(FS) < F.try_divide(F.lit(.95), "dt")).alias("refused"))
@@ -205,7 +205,7 @@ def anchored(spark, d, length, stride, edge, guard):
     """Global starts and starts anchored inside every (phase, support) run; primary starts step by the window."""
     events = events_with_flags(spark, d).where("end_sec is not null")
     u = uniform(spark, d)
-    m = ck.sample_phase(u.select(*KEY, "k", "t", "x"), events, KEY, guard, SPAN)
+    m = ck.sample_phase(u.select(*KEY, "k", "t", "x"), events, KEY, guard, span(spark, d))
     label = F.when(F.col("x").isNull(), -1).otherwise(ck.phase_label())
     runs = checkpointed(islands(m, KEY, "k", label, 128).where("flag >= 0").where(F.col("end") - F.col("start") >= length + 2 * edge))
     last = F.col("end") - edge - length
@@ -221,4 +221,4 @@ def anchored(spark, d, length, stride, edge, guard):
 select trace.event_id, ch.t is not null as chosen from trace left join ch on ch.recording = trace.recording and ch.t = trace.t""")
 def nonoverlapping_greedy(spark, d):
     w = trace(spark, d).select("recording", "event_id", F.col("t").alias("start_sec"))
-    return greedy.nonoverlapping(w, "recording", 2 * DAY, SPAN).select("event_id", "chosen")
+    return greedy.nonoverlapping(w, "recording", 2 * DAY, span(spark, d)).select("event_id", "chosen")

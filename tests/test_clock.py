@@ -14,8 +14,7 @@ def trace(spark, t, valid=None, x=None, rec=1):
 
 
 def resampled(spark, samples, points, max_gap, bucket=1.0):
-    last = samples.where("valid").agg(F.max("t")).first()[0]
-    grid = spark.createDataFrame([(1, i, float(p), last) for i, p in enumerate(points)], "recording long, k long, t double, t_last double")
+    grid = spark.createDataFrame([(1, i, float(p)) for i, p in enumerate(points)], "recording long, k long, t double")
     out = ck.bounded_resample(samples, grid, ["recording"], ["x"], max_gap, bucket).toPandas().sort_values("k")
     return out
 
@@ -89,6 +88,12 @@ def test_windows_do_not_depend_on_later_samples(spark):
     assert [(r.start, r.end) for r in a] == [(0, 300), (150, 450), (300, 600)] and set(map(tuple, a)) <= set(map(tuple, b))
 
 
+def test_dense_keys_get_narrow_buckets(spark):
+    s = trace(spark, np.arange(1000) / 100)
+    assert ck.bucket_width(s, ["recording"], 10.0, 10_000, 100) == 10.0
+    assert ck.bucket_width(s, ["recording"], 10.0, 50, 100) == pytest.approx(.5)
+
+
 def segment(spark, x, chunk, block, halo):
     pdf = pd.DataFrame({"recording": 1, "k": range(len(x)), "g": x})
     s = spark.createDataFrame(pdf).withColumn("g", F.when(~F.isnan("g"), F.col("g")))
