@@ -11,7 +11,8 @@ from pulsegrid.plans import optical as po, signals as ps, windows as pw
 from pulsegrid.plans.assoc import preceding_features
 from pulsegrid.plans.clock import FLAGSHIP, FS, KEY, LENGTH, span, STRIDE, events_with_flags, free_intervals, uniform, window_quality
 from pulsegrid.plans.colour import PRIORS
-from pulsegrid.plans.registry import CUFF, R, TRACE, query
+from pulsegrid.plans.registry import COLOUR, CUFF, R, query, unrounded
+from pulsegrid.plans.spectral import GATED, K0, K1, NFFT, dft, hr_sql
 from pulsegrid.session import checkpointed
 from pulsegrid.sources.tables import BLOCK, DAY, FS as RATE, colour_samples, cuff_events, read, trace
 
@@ -73,7 +74,13 @@ def multi_roi_window_table(spark, d):
     return g.withColumn("reason", F.when(F.col("usable_rois") >= 1, "").otherwise("no_usable_roi"))
 
 
-@query("fixed_window_inputs")
+ROI_SQL = f"""{COLOUR}, ri as (select recording, flag, row_number() over (partition by recording, flag order by i) - 1 as ii, discount > 0 as ok, b from colour),
+ rw as (select recording, flag, ii // 64 as window_index, count(*) as n, avg(ok::int) as q, stddev_pop(b) as sd from ri group by 1, 2, 3)"""
+
+
+@query("fixed_window_inputs", f"""with {ROI_SQL}, g as (select recording, window_index, cast(count_if(n = 64 and q >= 0.85) as bigint) as usable, max(case when flag = 'R' then sd end) as sd from rw group by 1, 2),
+ fx as (select recording, unnest(range(5)) as window_index from (select distinct recording from rw))
+select recording, window_index, coalesce(usable, 0) as usable_rois, case when coalesce(usable, 0) = 0 then 'NO_USABLE_ROI' when coalesce(sd, 0) <= 1e-8 then 'INVALID_TARGET' else 'READY' end as status from fx left join g using (recording, window_index)""")
 def fixed_window_inputs(spark, d):
     w = window_rows(spark, d).select(*ROI, "roi_valid", "n", "b")
     target = F.when(F.col("roi") == "R", pw.sp.population_sd("b"))
@@ -86,7 +93,8 @@ def fixed_window_inputs(spark, d):
     return j.select("recording", "window_index", n.alias("usable_rois"), status.alias("status"))
 
 
-@query("single_roi_window_table")
+@query("single_roi_window_table", f"""with {COLOUR}, m as (select recording, avg(g) as m, stddev_pop(g) as sd from colour group by 1), p as (select c.recording, i // 64 as window_index, (g - m) / (sd + 1e-8) as prior from colour c join m using (recording))
+select recording, window_index, count(*) as samples, {R('avg(prior)')} as prior_mean, {R('stddev_pop(prior)')} as prior_sd from p group by 1, 2 having count(*) = 64""")
 def single_roi_window_table(spark, d):
     """Legacy table: the prior is normalized over the whole recording, so it leaks across windows by design."""
     s = colour_samples(spark, d)
@@ -106,7 +114,8 @@ def cropped_roi_window_table(spark, d):
 
 # ---- jobs -------------------------------------------------------------------
 
-@query("job_dual_site_features")
+@query("job_dual_site_features", f"""with {GATED}, v as (select *, fs >= -8 and hs >= -8 and delay is not null and score >= 0.2 and abs(fb - hb) <= 40 as ok from gs)
+select subject, count(*) as windows, cast(count_if(ok) as bigint) as accepted, {R('median(case when ok then delay end)')} as delay_median_sec, {R('stddev_pop(case when ok then delay end)')} as delay_std_sec from v group by 1""")
 def job_dual_site_features(spark, d):
     p = ps.site_features(spark, d)
     why = reasons(("face_low_signal_quality", F.coalesce(F.col("face_snr_db") < -8, F.lit(True))), ("hand_low_signal_quality", F.coalesce(F.col("hand_snr_db") < -8, F.lit(True))),
@@ -146,7 +155,9 @@ def job_delay_feasibility(spark, d):
     return out
 
 
-@query("job_pilot_signal_audit")
+@query("job_pilot_signal_audit", f"""with u as (select 'hourly_trace' as source, status, periodicity as value from ({unrounded('quality_status_window')}) union all
+   select 'method_agreement', case when hr_range_bpm <= 10 then 'agree' else 'differ' end, hr_range_bpm from ({unrounded('method_agreement')}) union all select 'delay', status, delay_xcorr_sec from ({unrounded('delay_gate')}))
+select source, status, count(*) as windows, count(value) as finite, {R('median(value)')} as median_value from u group by 1, 2""")
 def job_pilot_signal_audit(spark, d):
     q = window_quality(spark, d).select(F.lit("hourly_trace").alias("source"), "status", F.col("periodicity").alias("value"))
     a = pw.method_agreement(spark, d).select(F.lit("method_agreement").alias("source"), F.when(F.col("hr_range_bpm") <= 10, "agree").otherwise("differ").alias("status"), F.col("hr_range_bpm").alias("value"))
@@ -159,6 +170,16 @@ def job_pilot_signal_audit(spark, d):
 EVALUATED = ("GREEN", "CHROM", "POS", "LGI", "PBV", "OMIT")
 
 
+_WAVES = {"GREEN": ("method_green", "green"), "CHROM": ("method_chrom", "chrom"), "POS": ("method_pos", "pos_wave"), "LGI": ("method_lgi", "lgi"), "PBV": ("method_pbv", "pbv"), "OMIT": ("method_omit", "omit")}
+METHOD_SQL = f"""{COLOUR}, full64 as (select distinct recording, window_index, n = 64 as whole from cw),
+ wl as (select 9::bigint * 1000000000 + recording * 1000000 + window_index as vec_id, pos as i, b as x from cw where n = 64 {' '.join(
+    f"union all select {j}::bigint * 1000000000 + recording * 1000000 + window_index, pos, {c} from ({unrounded(k)}) join full64 using (recording, window_index) where whole" for j, (k, c) in enumerate(_WAVES.values()))}),
+ {dft('mp', 'wl', 'x', K0, K1, NFFT)}, {hr_sql('mh', 'mp')},
+ me as (select f.recording, f.window_index, m.name as method, p.bpm as pred, r.bpm as ref from full64 f join (select unnest({list(_WAVES)}) as name, unnest(range({len(_WAVES)})) as j) m on true
+   left join mh p on p.vec_id = m.j::bigint * 1000000000 + f.recording * 1000000 + f.window_index left join mh r on r.vec_id = 9::bigint * 1000000000 + f.recording * 1000000 + f.window_index),
+ er as (select *, pred - ref as err, abs(pred - ref) as abs_err, pred is not null as extraction_ok, window_index // 5 as minute from me)"""
+
+
 def method_hr(spark, d):
     """Heart rate of every method on every full window, next to the reference channel's rate."""
     from pulsegrid.plans.colour import samples
@@ -178,7 +199,10 @@ def method_hr(spark, d):
 COVER = ("mae", "rmse", "bias", "median_ae", "p90_ae", "within_5", "paired_coverage")
 
 
-@query("job_external_hr_eval")
+@query("job_external_hr_eval", f"""with {METHOD_SQL}, sb as (select method, recording, avg(abs_err) as m from er group by 1, 2), bl as (select method, count(*) as subjects, avg(m) as bal from sb group by 1),
+ mi as (select method, max(m) as worst from (select method, minute, avg(abs_err) as m from er group by 1, 2) group by 1)
+select er.method, count(*) as windows, count(err) as valid_pairs, any_value(subjects) as subjects, {R('avg(abs_err)')} as mae, {R('sqrt(avg(err * err))')} as rmse, {R('avg(err)')} as bias, {R('median(abs_err)')} as median_ae, {R('quantile_cont(abs_err, 0.9)')} as p90_ae,
+  {R('avg(case when abs_err <= 5 then 1e0 when abs_err > 5 then 0e0 end)')} as within_5, {R('count(err) / count(*)')} as paired_coverage, {R('any_value(bal)')} as balanced_mae, {R('any_value(worst)')} as worst_minute_mae from er join bl using (method) join mi using (method) group by 1""")
 def job_external_hr_eval(spark, d):
     e = checkpointed(method_hr(spark, d))      # shared by pooled, balanced and temporal statistics
     pooled = mt.coverage_metrics(e, ["method"])
@@ -188,7 +212,8 @@ def job_external_hr_eval(spark, d):
     return j.select("method", "windows", "valid_pairs", "subjects", *[rnd(c).alias(c) for c in (*COVER, "balanced_mae", "worst_minute_mae")])
 
 
-@query("job_classical_benchmark")
+@query("job_classical_benchmark", f"""with {METHOD_SQL}, a as (select method, count(err) as n, avg(abs_err) as mae, sqrt(avg(err * err)) as rmse, avg(err) as me, stddev_samp(err) as sd, corr(case when err is not null then ref end, case when err is not null then pred end) as pearson from er group by 1)
+select method, n, {', '.join(R(c) + f' as {c}' for c in ('mae', 'rmse', 'me', 'sd', 'pearson'))}, {R('me - 1.96e0 * sd')} as loa_low, {R('me + 1.96e0 * sd')} as loa_high from a""")
 def job_classical_benchmark(spark, d):
     a = method_hr(spark, d).groupBy("method").agg(*mt.named(mt.regression_aggs()))
     half = 1.96 * F.col("sd")

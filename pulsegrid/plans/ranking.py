@@ -37,14 +37,17 @@ def select_best_median_worst(spark, d):
     return j.select("subject", "start_sec", "rank", name.alias("selection"))
 
 
-@query("seeded_random_pick")
+@query("seeded_random_pick", f"""with {RANKED}, n as (select subject, max(rank) as n from rk group by 1), c as (select rk.*, rank in (1, n // 2 + 1, n) as taken from rk join n using (subject) where rank is not null),
+ o as (select *, row_number() over (partition by subject order by taken, md5('42:' || subject || ':' || start_sec), start_sec) as rn from c)
+select subject, start_sec, taken as already_selected from o where rn = 1""")
 def seeded_random_pick(spark, d):
     r = ranked(spark, d).where("rank is not null")
-    taken = select_best_median_worst(spark, d).select("subject", "start_sec").distinct().withColumn("taken", F.lit(1))
-    j = r.join(taken, ["subject", "start_sec"], "left")
+    n = r.groupBy("subject").agg(F.max("rank").alias("n"))
+    taken = (F.col("rank") == 1) | (F.col("rank") == F.floor(F.col("n") / 2) + 1) | (F.col("rank") == F.col("n"))
     # minimum of (taken, hash): prefers windows not chosen yet, falls back to any
-    order = F.struct(F.coalesce("taken", F.lit(0)).alias("t"), F.xxhash64(F.lit(42), "subject", "start_sec").alias("h"), "start_sec")
-    return j.groupBy("subject").agg(F.min(order).alias("m")).select("subject", "m.start_sec", (F.col("m.t") == 1).alias("already_selected"))
+    hashed = F.md5(F.concat_ws(":", F.lit("42"), "subject", F.col("start_sec").cast("string")))
+    order = F.struct(taken.cast("int").alias("t"), hashed.alias("h"), "start_sec")
+    return r.join(n, "subject").groupBy("subject").agg(F.min(order).alias("m")).select("subject", "m.start_sec", (F.col("m.t") == 1).alias("already_selected"))
 
 
 @query("best_baseline", f"""with {EV}, b as (select method, count(distinct subject) as subjects, count(*) - count(err) as unscored, avg(abs_err) as mae, avg(case when err is null then 1e0 else 0 end) as share from er group by 1)
@@ -244,11 +247,11 @@ def assert_no_label_leak(columns: list[str], allowed: list[str]) -> list[str]:
     return columns
 
 
-@query("label_leak_guard")
+@query("label_leak_guard", f"""with {SPLIT}, {MODEL_SQL} select o_orderkey, {R('quantity')} as quantity, {R('price')} as price, {R('discount')} as discount from fp""")
 def label_leak_guard(spark, d):
     r = model_rows(spark, d)
     used = assert_no_label_leak([c for c in r.columns if c in FEATURES], FEATURES)
-    return r.select("o_orderkey", *used)
+    return r.select("o_orderkey", *[rnd(c).alias(c) for c in used])
 
 
 @query("eligible_training_rows", f"""with {SPLIT}, {MODEL_SQL} select o_orderkey, case when target is null then 'missing_target' when o_orderstatus = 'P' then 'unaccepted_window' when price is null then 'missing_features' else '' end as reason,

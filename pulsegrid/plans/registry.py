@@ -49,6 +49,11 @@ def R(expr: str, digits: int = 6) -> str:
     return f"(case when isfinite(cast({expr} as double)) then round(cast({expr} as double), {digits}) + 0.0 end)"
 
 
+def unrounded(key: str) -> str:
+    """The checking SQL of another query without its output rounding, for use as a sub-select."""
+    return ORACLES[key].replace(", 6) + 0.0 end)", ", 15) + 0.0 end)")
+
+
 def query(key: str, oracle: str | None = None):
     def register(fn):
         if key in QUERIES:

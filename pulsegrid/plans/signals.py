@@ -228,7 +228,12 @@ def candidates(spark, d):
     return p.select(F.floor(F.col("vec_id") / 5).alias("recording"), (F.col("vec_id") % 5).cast("string").alias("method"), F.col("subject").cast("string").alias("roi"), "rank", "hr_bpm", "score")
 
 
-@query("fallback_clock")
+CLOCK_SQL = f"""recursive {TRACE}, fr as (select recording, event_id, case when valid then t end as raw, row_number() over (partition by recording order by event_id) - 1 as i from trace),
+ ck as (select recording, event_id, i, coalesce(raw, 0e0) as t, raw is not null as used from fr where i = 0 union all
+   select f.recording, f.event_id, f.i, case when f.raw > c.t then f.raw else c.t + 600e0 end, coalesce(f.raw > c.t, false) from ck c join fr f on f.recording = c.recording and f.i = c.i + 1)"""
+
+
+@query("fallback_clock", f"with {CLOCK_SQL} select recording, count(*) as frames, cast(count_if(used) as bigint) as container, cast(count_if(not used) as bigint) as nominal_fallback, {R('max(t)')} as last_t from ck group by 1")
 def fallback_clock(spark, d):
     return ck_fallback(spark, d).groupBy("recording").agg(
         F.count("*").alias("frames"), F.count_if(F.col("source") == "container").alias("container"), F.count_if(F.col("source") == "nominal_fallback").alias("nominal_fallback"),

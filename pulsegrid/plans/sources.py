@@ -187,7 +187,7 @@ def sink_json_nullsafe(spark, d):
     return e.select(F.to_json(F.struct("event_id", "log_tenths"), {"ignoreNullFields": "false"}).alias("line"))
 
 
-@query("sink_no_overwrite")
+@query("sink_no_overwrite", "select user_id, count(*) as events, true as written, true as second_write_refused from events group by 1")
 def sink_no_overwrite(spark, d):
     path = shared_folder(spark, "events")
     per = read(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("events"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.cols import rnd
 from pulsegrid.plans.registry import R, query
+from pulsegrid.plans.signals import CLOCK_SQL
 from pulsegrid.session import shared_folder
 from pulsegrid.sources.tables import read, seconds
 from pulsegrid.streaming import operators as so
@@ -55,12 +56,18 @@ def stream_motion(spark, d):
     return out.select("user_id", "event_id", rnd("motion_per_hour").alias("motion_per_hour"))
 
 
-@query("stream_identity_lock")
+LOCK_SQL = """recursive fr as (select user_id, event_id, event_type as label, "value" as x, row_number() over (partition by user_id order by ts, event_id) as i from events),
+ lk as (select user_id, event_id, i, label, x, 'accepted' as outcome from fr where i = 1 union all
+   select f.user_id, f.event_id, f.i, k.label, case when f.label = k.label and abs(f.x - k.x) <= 30 then f.x else k.x end,
+     case when f.label <> k.label then 'hand_not_detected' when abs(f.x - k.x) > 30 then 'hand_tracking_jump' else 'accepted' end from lk k join fr f on f.user_id = k.user_id and f.i = k.i + 1)"""
+
+
+@query("stream_identity_lock", f"with {LOCK_SQL} select user_id, event_id, outcome from lk")
 def stream_identity_lock(spark, d):
     return run_to_end(so.keyed(state_rows(spark, d), so.IdentityLock(30.0), "user_id long, event_id long, outcome string"), "identity")
 
 
-@query("stream_fallback_clock")
+@query("stream_fallback_clock", f"with {CLOCK_SQL} select recording as user_id, event_id, {R('t')} as t, case when used then 'container' else 'nominal_fallback' end as source from ck")
 def stream_fallback_clock(spark, d):
     out = run_to_end(so.keyed(state_rows(spark, d), so.FallbackClock(600.0), "user_id long, event_id long, t double, source string"), "clock")
     return out.select("user_id", "event_id", rnd("t").alias("t"), "source")
