@@ -37,6 +37,11 @@ def joined(reason_array) -> Column:
     return F.array_join(reason_array, "|")
 
 
+def let(value, body) -> Column:
+    """Evaluate ``value`` once and use it in ``body``: a lambda would repeat it for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def arr_sum(a) -> Column:
     return F.aggregate(col(a), F.lit(0.0), lambda s, x: s + x)
 
@@ -46,14 +51,31 @@ def arr_mean(a) -> Column:
 
 
 def arr_center(a) -> Column:
-    m = arr_mean(a)
-    return F.transform(col(a), lambda x: x - m)
+    return let(arr_mean(a), lambda m: F.transform(col(a), lambda x: x - m))
 
 
 def arr_dot(a, b) -> Column:
     return F.aggregate(F.zip_with(col(a), col(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def arr_sd(a) -> Column:
+    """Population standard deviation."""
+    return let(arr_center(a), lambda c: F.sqrt(arr_dot(c, c) / F.size(c)))
+
+
+def arr_zscore(a, eps: float) -> Column:
+    """(x - mean) / (population sd + eps)."""
+    return let(arr_center(a), lambda c: let(F.sqrt(arr_dot(c, c) / F.size(c)) + eps, lambda s: F.transform(c, lambda x: x / s)))
+
+
+def arr_pearson(a, b) -> Column:
+    """Pearson of two equal arrays; NULL when a side is flat."""
+    def corr(s):
+        return F.try_divide(arr_dot(s["a"], s["b"]), F.sqrt(arr_dot(s["a"], s["a"]) * arr_dot(s["b"], s["b"])))
+
+    return let(F.struct(arr_center(a).alias("a"), arr_center(b).alias("b")), corr)
+
+
 def ratio(a, b) -> Column:
     """Division that gives NULL for a zero denominator (ANSI mode would stop the job)."""
     return F.try_divide(col(a), col(b))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pulsegrid.functions import kernels as kn
 from pulsegrid.functions.batch import apply_kernel, apply_kernels, job
-from pulsegrid.functions.cols import arr_center, arr_dot, arr_mean, col
+from pulsegrid.functions.cols import arr_center, arr_dot, arr_mean, arr_pearson, arr_sd, col, let
 
 EPS = 1e-8
 LOW, HIGH = 0.7, 3.5     # heart-rate band in Hz
@@ -96,16 +96,17 @@ def with_hr(df: DataFrame, x: str | dict[str, str], fs: float, length: int, pref
 
 def snr_db(psd: Column, f0: Column, k0: int, step: float, low: float, high: float, width: float = .12) -> Column:
     """Power near f0 and 2 f0 against the rest of the band, in dB."""
-    indexed = F.transform(psd, lambda p, i: F.struct(p.alias("p"), ((i + k0) * step).alias("f")))
+    def near(v, f):
+        return F.aggregate(F.transform(v, lambda p, i: F.when(F.abs((i + k0) * step - f) <= width, p).otherwise(0.0)), F.lit(0.0), lambda a, p: a + p)
 
-    def near(f):
-        return F.aggregate(indexed, F.lit(0.0), lambda a, s: a + F.when((s["f"] >= f - width) & (s["f"] <= f + width), s["p"]).otherwise(0.0))
+    def level():
+        signal = F.lit(0.0)
+        for k in (1, 2):
+            signal = signal + F.when((k * f0 >= low) & (k * f0 <= high), near(psd, k * f0)).otherwise(0.0)
+        total = F.aggregate(psd, F.lit(0.0), lambda a, p: a + p) + EPS
+        return let(F.struct(signal.alias("s"), total.alias("t")), lambda q: 10 * F.log10(F.greatest(F.lit(EPS), q["s"]) / F.greatest(F.lit(EPS), q["t"] - q["s"])))
 
-    signal = F.lit(0.0)
-    for k in (1, 2):
-        signal = signal + F.when((k * f0 >= low) & (k * f0 <= high), near(k * f0)).otherwise(0.0)
-    total = F.aggregate(psd, F.lit(0.0), lambda a, p: a + p) + EPS
-    return F.when(f0.isNotNull(), 10 * F.log10(F.greatest(F.lit(EPS), signal) / F.greatest(F.lit(EPS), total - signal)))
+    return F.when(f0.isNotNull(), level())
 
 
 def shifted_corr(x: Column, lag: Column, plain: bool = True) -> Column:
@@ -114,24 +115,33 @@ def shifted_corr(x: Column, lag: Column, plain: bool = True) -> Column:
     ``plain`` centres each part on its own mean; otherwise the whole-window mean is used.
     """
     n = F.size(x)
-    if not plain:
-        x = arr_center(x)
-    a, b = F.slice(x, F.lit(1), n - lag), F.slice(x, lag + 1, n - lag)
+
+    def parts(v):
+        return F.slice(v, F.lit(1), n - lag), F.slice(v, lag + 1, n - lag)
+
     if plain:
-        a, b = arr_center(a), arr_center(b)
-    den = F.sqrt(arr_dot(a, a) * arr_dot(b, b))
-    return F.when((lag > 0) & (lag < n - 2) & (den > 0), arr_dot(a, b) / den)
+        value = arr_pearson(*parts(x))
+    else:
+        def own(v):
+            a, b = parts(v)
+            return F.try_divide(arr_dot(a, b), F.sqrt(arr_dot(a, a) * arr_dot(b, b)))
+        value = let(arr_center(x), own)
+    return F.when((lag > 0) & (lag < n - 2), value)
 
 
 def power_at(x: Column, f: Column, fs: float, length: int) -> Column:
     """Tapered single-bin power of a mean-removed window (same scale as ``welch``)."""
     taper = kn.hann(length)
     w = F.array(*[F.lit(float(v)) for v in taper])
-    c = F.zip_with(arr_center(x), w, lambda v, t: v * t)
-    angle = 2 * math.pi * f / fs
-    re = F.aggregate(F.transform(c, lambda v, i: v * F.cos(angle * i)), F.lit(0.0), lambda a, v: a + v)
-    im = F.aggregate(F.transform(c, lambda v, i: v * F.sin(angle * i)), F.lit(0.0), lambda a, v: a + v)
-    return (re * re + im * im) * (2 / (fs * float((taper ** 2).sum())))
+
+    def power(s):
+        def part(wave):
+            return F.aggregate(F.transform(s["c"], lambda v, i: v * wave(s["a"] * i)), F.lit(0.0), lambda a, v: a + v)
+        re, im = part(F.cos), part(F.sin)
+        return (re * re + im * im) * (2 / (fs * float((taper ** 2).sum())))
+
+    tapered = F.zip_with(arr_center(x), w, lambda v, t: v * t)
+    return let(F.struct(tapered.alias("c"), (2 * math.pi * f / fs).alias("a")), power)
 
 
 def lag_order(length: int, radius: int) -> list[int]:
@@ -211,31 +221,26 @@ def xcorr_delay(df: DataFrame, xc: str, radius_full: int, radius: str | Column,
 
 def phase_delay(x: Column, y: Column, hz: Column, fs: float) -> Column:
     """Delay from the phase at ``hz``: positive means y trails x."""
-    angle = 2 * math.pi * hz / fs
-
-    def parts(v):
-        c = arr_center(v)
-        re = F.aggregate(F.transform(c, lambda s, i: s * F.cos(angle * i)), F.lit(0.0), lambda a, s: a + s)
-        im = F.aggregate(F.transform(c, lambda s, i: -s * F.sin(angle * i)), F.lit(0.0), lambda a, s: a + s)
-        return re, im
+    def delay(s):
+        def part(v, wave, sign):
+            return F.aggregate(F.transform(v, lambda u, i: sign * u * wave(s["a"] * i)), F.lit(0.0), lambda t, u: t + u)
+        xr, xi = part(s["x"], F.cos, 1.0), part(s["x"], F.sin, -1.0)
+        yr, yi = part(s["y"], F.cos, 1.0), part(s["y"], F.sin, -1.0)
+        four = F.struct(xr.alias("xr"), xi.alias("xi"), yr.alias("yr"), yi.alias("yi"))
+        return let(four, lambda q: -F.atan2(q["yi"] * q["xr"] - q["yr"] * q["xi"], q["yr"] * q["xr"] + q["yi"] * q["xi"]) / (2 * math.pi * hz))
 
-    xr, xi = parts(x)
-    yr, yi = parts(y)
-    return -F.atan2(yi * xr - yr * xi, yr * xr + yi * xi) / (2 * math.pi * hz)
+    return let(F.struct(arr_center(x).alias("x"), arr_center(y).alias("y"), (2 * math.pi * hz / fs).alias("a")), delay)
 
 
 def centered_corr(x: Column, y: Column) -> Column:
     """Pearson over complete windows, clipped to [-1, 1]; NULL when flat."""
-    a, b = arr_center(x), arr_center(y)
-    den = F.sqrt(arr_dot(a, a) * arr_dot(b, b))
-    return F.when(den > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), arr_dot(a, b) / den)))
+    return let(arr_pearson(x, y), lambda r: F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))))
 
 
 def js_distance(p: Column, q: Column) -> Column:
     """Jensen-Shannon divergence over ln 2 of two power arrays, in [0, 1]."""
     def share(v):
-        total = F.aggregate(v, F.lit(0.0), lambda a, s: a + s)
-        return F.transform(v, lambda s: s / total)
+        return let(F.aggregate(v, F.lit(0.0), lambda a, s: a + s), lambda t: F.transform(v, lambda s: s / t))
 
     def log(v):
         return F.log(F.greatest(v, F.lit(EPS)))
@@ -246,5 +251,4 @@ def js_distance(p: Column, q: Column) -> Column:
 
 
 def population_sd(x) -> Column:
-    c = arr_center(x)
-    return F.sqrt(arr_dot(c, c) / F.size(col(x)))
+    return arr_sd(x)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions import kernels as kn
 from pulsegrid.functions.batch import apply_kernel
-from pulsegrid.functions.cols import rnd
+from pulsegrid.functions.cols import arr_zscore, rnd
 from pulsegrid.operators import colour as cl, signals as sg
 from pulsegrid.plans.registry import COLOUR, R, query
 from pulsegrid.sources.tables import BLOCK, FS, colour_samples, colour_windows
@@ -207,12 +207,8 @@ def window_priors(spark, d):
     methods = F.array(*[F.struct(F.lit(m).alias("method"), F.col(m).alias("x")) for m in PRIORS])
     long = w.select(*WIN, "n", F.explode(methods).alias("m")).select(*WIN, "n", "m.method", "m.x")
     long = kernel_filter(long, "x", kn.legacy_bandpass, "y", fs=FS)
-    mean = F.aggregate("y", F.lit(0.0), lambda a, v: a + v) / F.size("y")
-    long = long.withColumn("_m", mean)
-    sd = F.sqrt(F.aggregate("y", F.lit(0.0), lambda a, v: a + (v - F.col("_m")) * (v - F.col("_m"))) / F.size("y"))
-    long = long.withColumn("_sd", sd + cl.EPS)
     zero = F.array_repeat(F.lit(0.0), F.col("n").cast("int"))
-    prior = F.coalesce(F.transform("y", lambda v: (v - F.col("_m")) / F.col("_sd")), zero)
+    prior = F.coalesce(arr_zscore("y", cl.EPS), zero)
     long = long.select(*WIN, "n", "method", F.col("y").isNotNull().alias("valid"), prior.alias("prior"))
     return long.select(*WIN, "method", "valid", F.size("prior").alias("samples"), rnd(F.element_at("prior", 1)).alias("first_value"),
                        rnd(F.aggregate("prior", F.lit(0.0), lambda a, v: a + v * v)).alias("energy"))

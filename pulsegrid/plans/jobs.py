@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from pulsegrid.functions import kernels as kn
-from pulsegrid.functions.cols import finite, joined, reasons, rnd
+from pulsegrid.functions.cols import arr_zscore, joined, reasons, rnd
 from pulsegrid.operators import assoc as ac, beats as bt, clock as ck, colour as cl, ecg, metrics as mt, optical as op, spectral as sp
 from pulsegrid.operators.carry import exact_quantiles, with_index, with_prev
 from pulsegrid.plans import optical as po, signals as ps, windows as pw
@@ -28,13 +28,6 @@ def roi_samples(spark, d):
     return with_index(s, ["recording", "roi"], "part", ["at"], "i")
 
 
-def zscored(c):
-    """Centred, unit-spread copy of an array column."""
-    m = F.aggregate(c, F.lit(0.0), lambda a, v: a + v) / F.size(c)
-    sd = F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, v: a + (v - m) * (v - m)) / F.size(c)) + cl.EPS
-    return F.transform(c, lambda v: (v - m) / sd)
-
-
 def roi_windows(spark, d, length: int = BLOCK):
     """Per (recording, roi, window): r, g, b arrays, source support and the default methods on that window alone."""
     s = roi_samples(spark, d).withColumns({"window_index": F.floor(F.col("i") / length), "ok": (F.col("discount") > 0).cast("double")})
@@ -58,9 +51,9 @@ def window_rows(spark, d, min_quality=.85):
     full = F.col("n") == BLOCK
     w = w.withColumn("roi_valid", full & (F.col("quality") >= min_quality))
     for c in ("r", "g", "b"):
-        w = w.withColumn(f"x_{c}", zscored(F.col(c)))
+        w = w.withColumn(f"x_{c}", arr_zscore(c, cl.EPS))
     for m in PRIORS:
-        w = w.withColumns({f"prior_{m}": F.coalesce(zscored(F.col(m)), F.array_repeat(F.lit(0.0), F.col("n").cast("int"))), f"prior_valid_{m}": F.col(m).isNotNull()})
+        w = w.withColumns({f"prior_{m}": F.coalesce(arr_zscore(m, cl.EPS), F.array_repeat(F.lit(0.0), F.col("n").cast("int"))), f"prior_valid_{m}": F.col(m).isNotNull()})
     return w
 
 

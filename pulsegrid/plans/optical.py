@@ -13,7 +13,7 @@ from pulsegrid.sources.tables import colour_samples, read, wave_pairs
 ROI = ["roi"]
 BLOCK = 300
 PIX = """px as (select l_returnflag as roi, l_partkey as frame, l_partkey // 300 as block, l_linenumber as x, cast(round(l_discount * 100) as bigint) as y,
-  156 + l_quantity * 2e0 as r, 100 + l_extendedprice / 977e0 / 2 as g, l_tax * 400e0 + 80 as b from lineitem)"""
+  156 + l_quantity * 2e0 as r, 100 + l_extendedprice / 942.4777960769379e0 / 2 as g, l_tax * 400e0 + 80 as b from lineitem)"""
 SKIN = """ry as (select *, (cast(round_even(r, 0) as bigint) * 4899 + cast(round_even(g, 0) as bigint) * 9617 + cast(round_even(b, 0) as bigint) * 1868 + 8192) >> 14 as lum from px),
  sk as (select *, ((cast(round_even(r, 0) as bigint) - lum) * 11682 + 2097152 + 8192) >> 14 as cr, ((cast(round_even(b, 0) as bigint) - lum) * 9241 + 2097152 + 8192) >> 14 as cb from ry),
  pk as (select *, cr between 133 and 173 and cb between 77 and 127 as skin, r + g + b as tot from sk)"""
@@ -23,7 +23,7 @@ def pixels(spark, d):
     li = read(spark, d, "lineitem")
     return li.select(F.col("l_returnflag").alias("roi"), F.col("l_partkey").alias("frame"), F.floor(F.col("l_partkey") / BLOCK).alias("block"),
                      F.col("l_linenumber").alias("x"), F.round(F.col("l_discount") * 100).cast("long").alias("y"), (156 + F.col("l_quantity") * 2).alias("r"),
-                     (100 + F.col("l_extendedprice") / 977.0 / 2).alias("g"), (F.col("l_tax") * 400.0 + 80).alias("b"))
+                     (100 + F.col("l_extendedprice") / 942.4777960769379 / 2).alias("g"), (F.col("l_tax") * 400.0 + 80).alias("b"))
 
 
 def patches(spark, d):

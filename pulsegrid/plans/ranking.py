@@ -193,17 +193,17 @@ def split_manifest(spark, d):
 
 
 FEATURES = ["quantity", "price", "discount"]
-MODEL_SQL = """f as (select o_orderkey, o_custkey as subject, o_orderstatus, o_totalprice / 977e0 as target, case when o_orderstatus <> 'P' then q end as quantity, p as price, dd as discount from orders
-   left join (select l_orderkey, sum(l_quantity) as q, avg(l_extendedprice) / 977e0 as p, max(l_discount) as dd from lineitem group by 1) on l_orderkey = o_orderkey),
+MODEL_SQL = """f as (select o_orderkey, o_custkey as subject, o_orderstatus, o_totalprice / 942.4777960769379e0 as target, case when o_orderstatus <> 'P' then q end as quantity, p as price, dd as discount from orders
+   left join (select l_orderkey, sum(l_quantity) as q, avg(l_extendedprice) / 942.4777960769379e0 as p, max(l_discount) as dd from lineitem group by 1) on l_orderkey = o_orderkey),
  part as (select subject, case when position < greatest(1, round_even(n * 0.2e0, 0)) then 'validation' when position < 2 * greatest(1, round_even(n * 0.2e0, 0)) then 'test' else 'train' end as partition from od),
  fp as (select f.*, partition from f join part using (subject))"""
 
 
 def model_rows(spark, d):
     li = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
-        F.sum("l_quantity").alias("quantity"), (F.avg("l_extendedprice") / 977.0).alias("price"), F.max("l_discount").alias("discount"))
+        F.sum("l_quantity").alias("quantity"), (F.avg("l_extendedprice") / 942.4777960769379).alias("price"), F.max("l_discount").alias("discount"))
     o = read(spark, d, "orders").join(li, "o_orderkey", "left")
-    o = o.select("o_orderkey", F.col("o_custkey").alias("subject"), "o_orderstatus", (F.col("o_totalprice") / 977.0).alias("target"),
+    o = o.select("o_orderkey", F.col("o_custkey").alias("subject"), "o_orderstatus", (F.col("o_totalprice") / 942.4777960769379).alias("target"),
                  F.when(F.col("o_orderstatus") != "P", F.col("quantity")).alias("quantity"), "price", "discount")
     split = sl.subject_split(read(spark, d, "customer").select(F.col("c_custkey").alias("subject")), "subject").select("subject", "partition")
     return o.join(checkpointed(split), "subject")

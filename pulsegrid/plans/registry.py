@@ -28,10 +28,10 @@ uniform as (select recording, k, t,
        when rt - lt <= 86400e0 + 1e-8 then lx * (1 - (t - lt) / (rt - lt)) + rx * ((t - lt) / (rt - lt)) end as x,
   coalesce(not (rt - t <= 1e-8) and rt - lt <= 86400e0 + 1e-8, false) as imputed from nb)"""
 COLOUR = """colour as (select l_suppkey as recording, l_shipdate, l_orderkey, l_linenumber, l_quantity as r,
-  l_extendedprice / 977e0 as g, l_tax * 100e0 + 1e0 as b, l_discount as discount, l_returnflag as flag,
+  l_extendedprice / 942.4777960769379e0 as g, l_tax * 100e0 + 1e0 as b, l_discount as discount, l_returnflag as flag,
   datediff('day', date '1992-01-01', cast(l_shipdate as date)) as "day",
   row_number() over (partition by l_suppkey order by cast(l_shipdate as date), l_orderkey, l_linenumber, l_quantity,
-  l_extendedprice / 977e0) - 1 as i from lineitem),
+  l_extendedprice / 942.4777960769379e0) - 1 as i from lineitem),
 cw as (select *, i // 64 as window_index, i % 64 as pos, count(*) over (partition by recording, i // 64) as n from colour)"""
 WAVES = """w as (select vec_id, label as subject, generate_subscripts(embedding, 1) - 1 as i,
   cast(unnest(embedding) as double) as x from embeddings)"""
@@ -39,8 +39,8 @@ PAIRS = WAVES + """,
 p as (select a.vec_id, a.subject, a.i, a.x, b.x as y from w a join w b on b.vec_id = a.vec_id + 1 and b.i = a.i)"""
 EVAL = """ev as (select o_orderkey, o_custkey as subject, o_orderpriority as method,
   datediff('day', date '1992-01-01', cast(o_orderdate as date)) as start_day,
-  case when o_orderstatus <> 'P' then o_totalprice / 977e0 end as pred, ref, o_orderstatus as status
-  from orders left join (select l_orderkey, sum(l_extendedprice * (1 - l_discount)) / 977e0 as ref
+  case when o_orderstatus <> 'P' then o_totalprice / 942.4777960769379e0 end as pred, ref, o_orderstatus as status
+  from orders left join (select l_orderkey, sum(l_extendedprice * (1 - l_discount)) / 942.4777960769379e0 as ref
   from lineitem group by 1) on l_orderkey = o_orderkey)"""
 
 

@@ -12,7 +12,7 @@ from pulsegrid.operators.carry import with_index
 ORIGIN = "2024-01-01 00:00:00"   # zero of the relative clock
 DAY = 86400.0
 BLOCK = 64                       # samples per colour window
-UNIT = 977.0                     # price units per signal unit
+UNIT = 942.4777960769379                  # price units per signal unit
 FS = 16.0                        # nominal rate of 64-sample windows
 
 
