@@ -91,7 +91,7 @@ def test_windows_do_not_depend_on_later_samples(spark):
 def test_dense_keys_get_narrow_buckets(spark):
     s = trace(spark, np.arange(1000) / 100)
     assert ck.bucket_width(s, ["recording"], 10.0, 10_000, 100) == 10.0
-    assert ck.bucket_width(s, ["recording"], 10.0, 50, 100) == pytest.approx(.5)
+    assert .3 <= ck.bucket_width(s, ["recording"], 10.0, 50, 100) <= .5
 
 
 def segment(spark, x, chunk, block, halo):

@@ -162,3 +162,43 @@ def test_consensus_prefers_the_supported_rate(spark):
     c = spark.createDataFrame(rows, "recording int, method string, roi string, rank int, hr_bpm double, score double")
     r = bt.consensus(c, "recording").first()
     assert abs(r.hr_bpm - 72) < 1.5 and r.sources == 3 and r.clusters == 2
+
+
+def test_sql_table_function(spark):
+    from pulsegrid.functions.sql import register
+    register(spark)
+    spark.createDataFrame([(1, 600), (2, 100)], "recording int, n int").createOrReplaceTempView("sizes")
+    got = spark.sql("select recording, start, end from sizes, lateral sliding_windows(n, 300, 150)").collect()
+    assert sorted(map(tuple, got)) == [(1, 0, 300), (1, 150, 450), (1, 300, 600)]
+
+
+def test_registered_kernel_joins_the_method_registry(spark):
+    from pulsegrid.operators import colour as cl
+    cl.register_method("RED", lambda r, g, b, fs: r - r.mean(1, keepdims=True))
+    try:
+        w = spark.createDataFrame([([1., 2., 3.], [0.] * 3, [0.] * 3)], "r array<double>, g array<double>, b array<double>")
+        assert cl.window_methods(w, ["RED"], 30.0).first().RED == [-1.0, 0.0, 1.0]
+        with pytest.raises(ValueError):
+            cl.register_method("RED", None)
+    finally:
+        del cl.KERNEL_METHODS["RED"]
+
+
+def test_optical_weights_abstain_and_never_renormalize(spark):
+    from pulsegrid.operators import optical as op
+    rows = [("f", 0, f, p, 160., 120., 100., 0.9, 0.0 if (p, f) != (1, 3) else .9, True) for f in range(10) for p in range(3)]
+    patches = spark.createDataFrame(rows, "roi string, block long, frame long, patch int, r double, g double, b double, chroma_compatible_fraction double, clipped_fraction double, valid boolean")
+    w = op.patch_weights(patches, patches, None, ["roi"])
+    assert {r.reason for r in w.collect()} == {"ABSTAIN_SKIN_UNVERIFIED"} and sum(r.weight for r in w.collect()) == pytest.approx(1)
+    mixed = {r.frame: r for r in op.patch_mix(patches, w, ["roi"]).collect()}
+    assert not mixed[3].available and mixed[3].r is None and mixed[4].r == pytest.approx(160)
+    low = op.patch_weights(patches, patches.withColumn("chroma_compatible_fraction", F.lit(.1)), None, ["roi"])
+    assert {r.reason for r in low.collect()} == {"ABSTAIN_WHOLE_ROI_LOW_SKIN_PROXY"}
+
+
+def test_digest_tree_is_order_sensitive_and_split_invariant(spark):
+    from pulsegrid.operators.assoc import digest_sequence
+    a = spark.createDataFrame([(1, i, f"x{i}") for i in range(600)], "k int, i long, x string")
+    d = lambda df: digest_sequence(df, ["k"], "i", F.col("x")).first()
+    assert d(a).items == 600 and d(a).digest == d(a.repartition(7)).digest
+    assert d(a.withColumn("i", 599 - F.col("i"))).digest != d(a).digest
