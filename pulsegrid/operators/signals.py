@@ -57,12 +57,15 @@ def filter_runs(df: DataFrame, group: list[str], column: str, name: str, fs: flo
     def run(batches):
         for pdf in batches:
             out = []
-            for row in pdf.itertuples(index=False):
-                s = row._asdict()
-                x = np.array(s["x"], float)
-                y = kn.zero_phase(x[None], system, edge)[0] if len(x) > edge and np.isfinite(x).all() else np.full(len(x), np.nan)
-                own = np.array(s["own"], bool)
-                out.append(pd.DataFrame({**{g: s[g] for g in group}, "k": np.array(s["k"])[own], "j": np.array(s["j"])[own], name: y[own]}))
+            for n, rows in pdf.groupby(pdf["x"].map(len)):          # blocks of one length are filtered together
+                x = np.stack([np.array(v, float) for v in rows["x"]])
+                y = np.full(x.shape, np.nan)
+                ok = np.isfinite(x).all(axis=1)
+                if n > edge and ok.any():
+                    y[ok] = kn.zero_phase(x[ok], system, edge)
+                own = np.stack([np.array(v, bool) for v in rows["own"]])
+                flat = {g: np.repeat(rows[g].to_numpy(), own.sum(axis=1)) for g in group}
+                out.append(pd.DataFrame({**flat, "k": np.stack(rows["k"].to_list())[own], "j": np.stack(rows["j"].to_list())[own], name: y[own]}))
             yield pd.concat(out) if out else pd.DataFrame(columns=[*group, "k", "j", name])
 
     flat = blocks.select(*group, F.col(f"_s.{column}").alias("x"), F.col("_s.k").alias("k"), F.col("_s._i").alias("j"), F.col("_s.own").alias("own"))

@@ -3,9 +3,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pulsegrid.functions.cols import finite, joined, reasons, rnd
+from pulsegrid.functions.cols import finite, joined, reasons, rnd, safe_corr
 from pulsegrid.operators import clock as ck
-from pulsegrid.operators.carry import exact_quantiles, with_prev
+from pulsegrid.operators.carry import exact_quantiles, halo, with_prev
 from pulsegrid.plans.registry import CUFF, GRID, R, RESAMPLED, TRACE, query
 from pulsegrid.sources.tables import DAY, cuff_events, read, trace
 
@@ -333,27 +333,17 @@ def window_quality(spark, d, min_valid: float = 0.75, max_cv: float = 1.0):
     source = source.groupBy(*KEY, "window_index").agg(
         F.avg(F.col("valid").cast("double")).alias("valid_fraction"),
         F.when(F.avg("x") > 0, F.stddev_pop("x") / F.avg("x")).alias("illumination_cv"))
-    g = ck.assign_windows(uniform(spark, d), F.col("k"), F.lit(LENGTH), F.lit(STRIDE))
-    g = g.groupBy(*KEY, "window_index").agg(F.count("x").alias("finite_points"),
-                                      F.avg(F.col("imputed").cast("double")).alias("imputed_fraction"),
-                                      F.stddev_pop("x").alias("sd"),
-                                      F.array_sort(F.collect_list(F.struct("k", "x"))).alias("p"))
+    # one-day lag by a short frame over the dense grid; a pair counts when both ends lie in the window
     day = int(DAY * FS)
-    x = F.col("p.x")
-    pairs = F.arrays_zip(F.slice(x, 1, LENGTH - day).alias("a"), F.slice(x, day + 1, LENGTH - day).alias("b"))
-    zero = F.struct(*[F.lit(0.0).alias(c) for c in ("sa", "sb", "saa", "sbb", "sab")])
-    shift = x[0]   # moments around the first value keep the sums small
-    sums = F.aggregate(pairs, zero, lambda m, q: F.struct(
-        (m["sa"] + (q["a"] - shift)).alias("sa"), (m["sb"] + (q["b"] - shift)).alias("sb"),
-        (m["saa"] + (q["a"] - shift) * (q["a"] - shift)).alias("saa"),
-        (m["sbb"] + (q["b"] - shift) * (q["b"] - shift)).alias("sbb"),
-        (m["sab"] + (q["a"] - shift) * (q["b"] - shift)).alias("sab")))
-    n = float(LENGTH - day)
-    g = g.withColumn("m", F.when(F.col("finite_points") == LENGTH, sums))
-    m = F.col("m")
-    va, vb = m["saa"] - m["sa"] * m["sa"] / n, m["sbb"] - m["sb"] * m["sb"] / n
-    g = g.withColumn("periodicity", F.when((va > 0) & (vb > 0), (m["sab"] - m["sa"] * m["sb"] / n) / F.sqrt(va * vb)))
-    q = windows.join(g.drop("p", "m"), [*KEY, "window_index"]).join(source, [*KEY, "window_index"], "left").join(b.drop("n"), KEY)
+    u, frame = halo(uniform(spark, d), KEY, "k", 0, day)
+    u = u.withColumn("later", F.lead("x", day).over(frame)).where("_own").select(*KEY, "k", "x", "imputed", "later")
+    g = ck.assign_windows(u, F.col("k"), F.lit(LENGTH), F.lit(STRIDE))
+    pair = F.col("k") - F.col("window_index") * STRIDE < LENGTH - day
+    g = g.groupBy(*KEY, "window_index").agg(
+        F.count("x").alias("finite_points"), F.avg(F.col("imputed").cast("double")).alias("imputed_fraction"),
+        F.stddev_pop("x").alias("sd"), safe_corr(F.when(pair, F.col("x")), F.when(pair, F.col("later"))).alias("r"))
+    g = g.withColumn("periodicity", F.when(F.col("finite_points") == LENGTH, F.col("r"))).drop("r")
+    q = windows.join(g, [*KEY, "window_index"]).join(source, [*KEY, "window_index"], "left").join(b.drop("n"), KEY)
     q = q.withColumns({"start_sec": F.col("t0") + F.col("start") / FS,
                        "valid_fraction": F.coalesce("valid_fraction", F.lit(0.0))})
     hard = [("insufficient_original_valid_frames", F.col("valid_fraction") < min_valid),
