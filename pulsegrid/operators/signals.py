@@ -15,15 +15,19 @@ from pulsegrid.operators.carry import halo as halo_rows, with_prev, with_running
 from pulsegrid.session import checkpointed
 
 
-def label_runs(df: DataFrame, keys: list[str], index: str, valid: Column, chunk: int) -> DataFrame:
-    """Keep valid rows of a dense index and attach ``run`` (its first index) and ``run_size``."""
+def label_runs(df: DataFrame, keys: list[str], index: str, valid: Column, chunk: int, keep_invalid: bool = False) -> DataFrame:
+    """Valid rows of a dense index with their ``run`` (its first index) and ``run_size``.
+
+    ``keep_invalid`` also returns the invalid rows, with both columns NULL.
+    """
     d = df.withColumns({"_ok": valid, "_b": F.floor(F.col(index) / chunk)})
     d = with_prev(d, keys, "_b", [index], F.struct(F.col("_ok").alias("ok"), F.col(index).alias("i")), "_p")
     new = F.col("_ok") & ~F.coalesce(F.col("_p.ok") & (F.col("_p.i") == F.col(index) - 1), F.lit(False))
-    d = with_running(d, keys, "_b", [index], run=(F.when(new, F.col(index)), "max")).where("_ok").drop("_ok", "_p", "_b")
-    d = checkpointed(d)          # callers read the labelled rows several times
-    size = d.groupBy(*keys, "run").agg(F.count(F.lit(1)).alias("run_size"))
-    return d.join(size, [*keys, "run"])
+    d = with_running(d, keys, "_b", [index], run=(F.when(new, F.col(index)), "max"))
+    d = d.withColumn("run", F.when(F.col("_ok"), F.col("run"))).drop("_ok", "_p", "_b")
+    d = checkpointed(d if keep_invalid else d.where("run is not null"))          # callers read the labelled rows several times
+    size = d.where("run is not null").groupBy(*keys, "run").agg(F.count(F.lit(1)).alias("run_size"))
+    return d.join(size, [*keys, "run"], "left" if keep_invalid else "inner")
 
 
 def halo_blocks(df: DataFrame, group: list[str], position: Column, size: Column | None, block: int, halo: int,
@@ -79,18 +83,19 @@ def segment_signal(samples: DataFrame, keys: list[str], fs: float, low: float, h
 
     Returns (signal rows with NULL outside the retained part, run table with the reason a run failed).
     """
-    r = label_runs(samples, keys, "k", valid, chunk)
+    r = label_runs(samples, keys, "k", valid, chunk, keep_invalid=True)
     group = [*keys, "run"]
-    long_enough = (F.col("run_size") >= min_samples) & (F.col("run_size") > 2 * edge)
-    runs = r.groupBy(*group).agg(F.first("run_size").alias("run_size"), F.avg(channel).alias("_mean"))
+    long_enough = F.coalesce((F.col("run_size") >= min_samples) & (F.col("run_size") > 2 * edge), F.lit(False))
+    runs = r.where("run is not null").groupBy(*group).agg(F.first("run_size").alias("run_size"), F.avg(channel).alias("_mean"))
     runs = runs.withColumn("reason", F.when(long_enough, "").otherwise("insufficient_duration"))
     live = r.where(long_enough).join(runs.select(*group, "_mean"), group)
     live = live.withColumns({"_x": F.col(channel) - F.col("_mean"), "j": F.col("k") - F.col("run")})
-    y = filter_runs(live, group, "_x", "_y", fs, low, high, block=block, halo=halo)
-    y = y.join(runs.select(*group, "run_size"), group)
+    y = filter_runs(live, [*group, "run_size"], "_x", "_y", fs, low, high, block=block, halo=halo)
     kept = (F.col("j") >= edge) & (F.col("j") < F.col("run_size") - edge)
     y = y.select(*keys, "k", "run", F.when(kept, F.col("_y")).alias("signal"))
-    return samples.select(*keys, "k").join(y, [*keys, "k"], "left"), runs.drop("_mean")
+    # rows outside every usable run stay, without a value
+    rest = r.where(~long_enough).select(*keys, "k", "run", F.lit(None).cast("double").alias("signal"))
+    return y.unionByName(rest), runs.drop("_mean")
 
 
 def bounded_cubic(samples: DataFrame, points: DataFrame, keys: list[str], channel: str, max_gap: float, bucket_sec: float,
