@@ -174,3 +174,11 @@ def with_rank(df: DataFrame, keys: list[str], value: str, tie: str, name: str =
     rn = F.row_number().over(Window.partitionBy(*keys, "_bin", "_cell").orderBy("_s", tie))
     out = s.withColumn(name, (rn + F.col("_before")).cast("long")).drop("_s", "_bin", "_sub", "_cell", "_before")
     return out.unionByName(dead.withColumn(name, F.lit(None).cast("long")))
+
+
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Hash-partition into the session's full number of shuffle partitions.
+
+    Python groups cost far more than their bytes suggest, so they must not be coalesced by size.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)

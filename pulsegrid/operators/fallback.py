@@ -5,7 +5,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from pulsegrid.operators.carry import with_running
+from pulsegrid.operators.carry import spread, with_running
 
 
 def _walk(index: np.ndarray, raw: np.ndarray, period: float, last: float | None) -> tuple[np.ndarray, np.ndarray]:
@@ -68,7 +68,7 @@ def sequential_clock(frames: DataFrame, key: str, index: str, raw: str, period:
         return pd.DataFrame({key: pdf[key], index: i, "t": t, "source": np.where(used, "container", "nominal_fallback")})
 
     small = d.select(key, "_b", index, raw, "seen")
-    table = small.groupBy(key, "_b").applyInPandas(tabulate, f"{key} {kind}, _b long, _v double, leave double")
-    entry = table.groupBy(key).applyInPandas(hand_over, f"{key} {kind}, _b long, entry double")
-    return d.select(key, "_b", index, raw).join(entry, [key, "_b"]).groupBy(key, "_b").applyInPandas(
+    table = spread(small, key, "_b").groupBy(key, "_b").applyInPandas(tabulate, f"{key} {kind}, _b long, _v double, leave double")
+    entry = spread(table, key).groupBy(key).applyInPandas(hand_over, f"{key} {kind}, _b long, entry double")
+    return spread(d.select(key, "_b", index, raw).join(entry, [key, "_b"]), key, "_b").groupBy(key, "_b").applyInPandas(
         replay, f"{key} {kind}, {index} long, t double, source string")

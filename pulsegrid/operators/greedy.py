@@ -5,6 +5,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from pulsegrid.operators.carry import spread
+
 SLACK = 1e-9
 
 
@@ -54,7 +56,7 @@ def nonoverlapping(windows: DataFrame, key: str, length: float, bucket_sec: floa
         return pdf.assign(chosen=chosen).drop(columns=["_b", "entry"])
 
     small = w.select(key, "_b", "start_sec")
-    table = small.groupBy(key, "_b").applyInPandas(tabulate, f"{key} {key_type}, _b long, start_sec double, leave double")
-    entry = table.groupBy(key).applyInPandas(walk, f"{key} {key_type}, _b long, entry double")
+    table = spread(small, key, "_b").groupBy(key, "_b").applyInPandas(tabulate, f"{key} {key_type}, _b long, start_sec double, leave double")
+    entry = spread(table, key).groupBy(key).applyInPandas(walk, f"{key} {key_type}, _b long, entry double")
     fields = ", ".join(f"{n} {t}" for n, t in windows.dtypes)
-    return w.join(entry, [key, "_b"], "left").groupBy(key, "_b").applyInPandas(choose, fields + ", chosen boolean")
+    return spread(w.join(entry, [key, "_b"], "left"), key, "_b").groupBy(key, "_b").applyInPandas(choose, fields + ", chosen boolean")
