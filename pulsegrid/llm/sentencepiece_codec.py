@@ -1,7 +1,9 @@
 """Operator 3: SentencePiece encoding and decoding of whole texts through the prefix table of ``pieces``."""
 from __future__ import annotations
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from pulsegrid.llm.arrow import map_text, rows_of
@@ -21,7 +23,11 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text", ids: str = "
 
     def run(batch):
         own = pieces(model)
-        return dict(zip(batch.schema.names, batch.columns)) | {ids: [[*own.ids(t).tolist(), own.end] for t in rows_of(batch, text)]}
+        end = np.array([own.end], np.int32)
+        parts = [own.ids(t).astype(np.int32) for t in rows_of(batch, text)]
+        offsets = np.cumsum([0, *(len(p) + 1 for p in parts)], dtype=np.int32)
+        values = np.concatenate([x for p in parts for x in (p, end)]) if parts else end[:0]
+        return dict(zip(batch.schema.names, batch.columns)) | {ids: pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))}
 
     return map_text(docs, run, schema, text)
 
