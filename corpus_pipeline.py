@@ -16,22 +16,25 @@ from pulsegrid.session import checkpointed
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below one half by a machine fitted on the labels."""
-    return scored(docs, fit(docs, table(spark, sf_dir, "labels")), "_score").where("_score < 0.5").select(docs.columns)
+    machine = fit(docs, table(spark, sf_dir, "labels"))
+    return scored(docs.select("text", F.struct("*").alias("row")), machine).where("score < 0.5").select("row.*")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later occurrences of three-line windows are cut; a document all of whose lines are cut goes."""
-    got = dedup_lines(docs, n_lines="_lines", n_removed="_removed").where("_removed < _lines or _removed = 0")
-    return got.withColumn("n_chars", F.when(F.col("_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    packed = docs.select("doc_id", "text", F.struct("*").alias("row"))                       # packed: names cannot clash
+    got = dedup_lines(packed).where("n_removed < n_lines or n_removed = 0")
+    changed = {"text": F.col("text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))}
+    return got.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8), of equal rows one."""
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8); rows equal in id and text stay together."""
     gone = checkpointed(near_duplicates(docs).where("not _keep").select(F.col("doc_id").alias("_id"), "_text").distinct())
-    keyed = docs.withColumn("_text", F.xxhash64("text"))
-    marked = keyed.withColumn("_maybe", maybe(slots(gone.select(F.xxhash64("_id", "_text").alias("_row")), "_row", 24), F.xxhash64("doc_id", "_text")))
-    some = marked.where("_maybe").alias("d").join(gone.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g._id")) & (F.col("d._text") == F.col("g._text")), "left_anti")
-    return marked.where(~F.col("_maybe")).select(docs.columns).union(some.select(docs.columns))
+    d = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("_hash"))
+    marked = d.withColumn("_maybe", maybe(slots(gone.select(F.xxhash64("_id", "_text").alias("_row")), "_row", 24), F.xxhash64("doc_id", "_hash")))
+    some = marked.where("_maybe").join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text")), "left_anti")
+    return marked.where(~F.col("_maybe")).select("row.*").union(some.select("row.*"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,16 +44,16 @@ def covered_lines(docs: DataFrame, width: int = WINDOW) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, width: int = WINDOW, n_lines: str = "n_lines", n_removed: str = "n_removed") -> DataFrame:
-    """``docs`` with the lines of later repeated windows cut from ``text``, and two counts."""
+    """``docs`` with the lines of later repeated windows cut from ``text``, and two counts, which replace columns of their names."""
     names = [c for c in docs.columns if c not in (n_lines, n_removed)]
-    d = docs.select(*names, F.xxhash64("text").alias("_key")).alias("d")
-    gone = covered_lines(docs, width).alias("g")
-    both = d.join(gone, F.col("d.doc_id").eqNullSafe(F.col("g._id")) & (F.col("d._key") == F.col("g._text")), "left")
-    lines = F.split("d.text", "\n")
+    d = docs.select(F.struct(*[f"`{c}`" for c in names]).alias("_row"), F.xxhash64("text").alias("_key"))       # packed: names cannot clash
+    same = F.col("_row.doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text"))
+    both = d.join(covered_lines(docs.select("doc_id", "text"), width), same, "left")
+    lines = F.split("_row.text", "\n")
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone")), lambda i: F.get(lines, i))
-    text = F.when(F.col("_gone").isNull(), F.col("d.text")).otherwise(F.array_join(left, "\n"))
-    return both.select(*[text.alias(c) if c == "text" else F.col(f"d.`{c}`") for c in names],
-                       F.coalesce(F.size(lines), F.lit(0)).alias(n_lines), F.coalesce(F.size("_gone"), F.lit(0)).alias(n_removed))
+    text = F.when(F.col("_gone").isNull(), F.col("_row.text")).otherwise(F.array_join(left, "\n"))
+    return both.select(*[text.alias(c) if c == "text" else F.col(f"_row.`{c}`") for c in names],
+                       F.when(F.col("_row.text").isNull(), 0).otherwise(F.size(lines)).alias(n_lines), F.coalesce(F.size("_gone"), F.lit(0)).alias(n_removed))
 
 
 @query("op6_line_windows", oracle="""

@@ -132,11 +132,11 @@ def word_count():
 
 
 def placed(docs: DataFrame, plan: DataFrame, seed: int = SEED) -> DataFrame:
-    """``docs`` with ``_places``, one (shard, order) for each time a document is taken, and its source's figures. No shuffle."""
-    d = docs.withColumns({"_size": word_count(), "_h": place(seed), "_key": F.col("source").cast("string")})
+    """``row`` (a row of ``docs``) with ``places``, one (shard, order) for each time it is taken, and its source's figures. No shuffle."""
+    d = docs.select(F.struct("*").alias("row"), word_count().alias("size"), place(seed).alias("_h"), F.col("source").cast("string").alias("_key"))
     d = d.join(F.broadcast(plan), F.col("_key").eqNullSafe(F.col("_source")), "left")                      # at most MOST_SOURCES rows
-    partial = F.col("_cut").isNotNull() & (F.substring("_h", 1, 32) <= F.col("_cut"))
-    times = F.when(F.col("_size") > 0, F.col("_passes") + partial.cast("int")).otherwise(0)
+    partial = F.col("_cut").isNotNull() & (F.col("_h") <= F.col("_cut"))
+    times = F.when(F.col("size") > 0, F.col("_passes") + partial.cast("int")).otherwise(0)
     block = F.shiftright(F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") * F.col("_blocks"), 32)
 
     def one(nth):
@@ -145,14 +145,15 @@ def placed(docs: DataFrame, plan: DataFrame, seed: int = SEED) -> DataFrame:
         return F.struct(shard.alias("shard"), F.md5(F.concat_ws(":", F.col("_h"), nth)).alias("order"))
 
     places = F.when(times > 0, F.transform(F.sequence(F.lit(0), times - 1), one)).otherwise(F.array().cast("array<struct<shard:int,order:string>>"))
-    return d.withColumn("_places", places).drop("_key", "_source", "_passes", "_cut", "_blocks", "_quota", "_step", "_begins", "_h")
+    return d.select("row", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), places.alias("places"))
 
 
 def mix(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The mixed documents: one row for each time a document is taken, dealt by shard and shuffled inside each."""
+    """The mixed documents: one row for each time a document is taken, dealt by shard (column ``_shard``) and shuffled inside each."""
     got = placed(docs, mix_plan(docs, shards, seed, block_words), seed)
-    rows = got.select(*docs.columns, F.explode("_places").alias("_place"))
-    return rows.repartition(shards, "_place.shard").sortWithinPartitions("_place.shard", "_place.order").select(*docs.columns, F.col("_place.shard").alias("_shard"))
+    rows = got.select("row", F.explode("places").alias("place"))
+    dealt = rows.repartition(shards, "place.shard").sortWithinPartitions("place.shard", "place.order")
+    return dealt.select(*[F.col(f"row.`{c}`") for c in docs.columns if c != "_shard"], F.col("place.shard").alias("_shard"))
 
 
 @query("op10_source_mixing", oracle="""
@@ -171,5 +172,4 @@ def mix(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, block_words: in
 def op10(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     got = placed(docs, mix_plan(docs))
-    return got.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
-                      (F.col("_size") * F.size("_places")).alias("taken"))
+    return got.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.size("places")).alias("taken"))

@@ -1,12 +1,13 @@
 """Operator 1: quality rules from tokeniser fertility.
 
 Public vocabularies measure each whole text: characters per token, share of tokens that are byte fallbacks, entropy of the
-tokens. A document goes if a measure leaves the band of its language (its script where the language is null). A band is fitted on
-all documents: quantiles of the group, widened by a multiple of their distance from the median, so that only values far outside
-the group's own spread are rejected. Groups of fewer than ``LEAST_GROUP`` documents use the band of all documents.
+tokens. A document goes if a measure leaves the band of its language (its script where the language is null) and length class. A band
+is fitted on all documents: ``REACH`` deviations around the median, the deviation told by the median distance from it, so that
+neither a tail of junk nor its size moves the band much. A group of fewer than ``LEAST_GROUP`` documents uses the band of all languages
+in its length class, and no band where that is as small.
 
 Defined cases: a null or empty text has no words and no measures (null) and fails the base rules; texts of fewer than
-``LEAST_TOKENS`` tokens are judged on the byte share alone; repeated rows are judged alike; other columns are not read.
+``LEAST_TOKENS`` tokens are judged by the base rules alone; repeated rows are judged alike; other columns are not read.
 """
 from __future__ import annotations
 
@@ -29,9 +30,9 @@ SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 BLANKS = " \t\n\x0b\x0c\r"
 REPEAT_WINDOW = 5
-LEAST_TOKENS, LEAST_GROUP = 64, 1000
-# measure, lower quantile, upper quantile, how many times the distance to the median the band reaches beyond the quantile
-MEASURES = [("chars_per_token", 0.01, 0.99, 1.5), ("chars_per_token_multi", 0.01, 0.99, 1.5), ("token_entropy", 0.01, 0.99, 1.0), ("byte_share", 0.5, 0.99, 4.0)]
+LEAST_TOKENS, LEAST_GROUP = 64, 100
+REACH = 5.0                 # half of a band, in standard deviations as the median distance tells them
+MEASURES = {"chars_per_token": 0.005, "chars_per_token_multi": 0.005, "token_entropy": 0.005, "byte_share": 0.01}       # least deviation
 # First byte of a UTF-8 character to script, as (first, last, script).
 SCRIPTS = [(0x41, 0x5A, "latin"), (0x61, 0x7A, "latin"), (0xC3, 0xC9, "latin"), (0xCD, 0xCF, "greek"), (0xD0, 0xD4, "cyrillic"),
            (0xD6, 0xD7, "hebrew"), (0xD8, 0xDB, "arabic"), (0xE0, 0xE0, "indic"), (0xE3, 0xE9, "han"), (0xEA, 0xED, "hangul")]
@@ -77,10 +78,11 @@ def byte_vocabulary(path: str):
 
 
 class WordCounts:
-    """Tokens per distinct word of a byte-level vocabulary, encoded once per worker; a full memory is emptied."""
+    """Tokens of a text in a byte-level vocabulary, word by word, each behind a blank; a word is encoded once while it is remembered, and
+    a full memory is emptied."""
 
     def __init__(self, path: str, memory: int = 300_000):
-        self.encode, self.memory, self.seen = byte_vocabulary(path).encode_ordinary_batch, memory, {}
+        self.encode, self.memory, self.seen = byte_vocabulary(path).encode_ordinary, memory, {}
 
     def total(self, text: str) -> int:
         words, seen = text.split(" "), self.seen
@@ -89,7 +91,7 @@ class WordCounts:
             if len(seen) + len(new) > self.memory:
                 seen.clear()
                 new = list(set(words))
-            seen.update(zip(new, map(len, self.encode([" " + w for w in new], num_threads=1))))
+            seen.update((w, len(self.encode(" " + w))) for w in new)
         n = sum(map(seen.__getitem__, words))
         if len(seen) > self.memory:
             seen.clear()
@@ -144,37 +146,40 @@ def measure(docs: DataFrame, pieces_path: str = PIECES, bytes_path: str = BYTES,
     return map_text(docs, run, "doc_id long, band_group string, " + MEASURED).withColumn("band_group", F.coalesce("band_group", "script"))
 
 
-def fit_bands(measured: DataFrame) -> DataFrame:
-    """One row per group and one, group null, for all documents: low and high of each measure. Sketches, merged per partition."""
-    some = measured.where(F.col("n_tokens") >= LEAST_TOKENS)
-    quantiles = [F.percentile_approx(m, [lo, 0.5, hi], 10_000).alias(m) for m, lo, hi, _ in MEASURES]
-    fitted = some.rollup("band_group").agg(*quantiles, F.count("*").alias("n"), F.grouping("band_group").alias("all_groups"))
-    low_high = [c for m, _, _, k in MEASURES for c in (
-        (F.col(m)[0] - k * (F.col(m)[1] - F.col(m)[0])).alias(f"{m}_low"), (F.col(m)[2] + k * (F.col(m)[2] - F.col(m)[1])).alias(f"{m}_high"))]
-    return fitted.where((F.col("n") >= LEAST_GROUP) | (F.col("all_groups") == 1)).select(F.when(F.col("all_groups") == 0, F.col("band_group")).alias("band_group"), *low_high)
+def length_class():
+    """Texts of like length vary alike: the class is the whole part of the binary logarithm of the tokens (null: too short for a band)."""
+    return F.when(F.col("n_tokens") >= LEAST_TOKENS, F.floor(F.log2("n_tokens"))).alias("_class")
 
 
-def judge(measured: DataFrame, bands: DataFrame) -> DataFrame:
-    """Base rules, then the bands; ``reject`` names the first measure outside its band."""
-    names = [f"{m}_{side}" for m, *_ in MEASURES for side in ("low", "high")]
-    own = bands.where("band_group is not null")
-    every = bands.where("band_group is null").select([F.col(c).alias(f"all_{c}") for c in names])
-    d = measured.join(own, "band_group", "left").join(F.broadcast(every), how="left")           # one row
+def fit_bands(measured: DataFrame, by: list[str]) -> DataFrame:
+    """Low and high of each measure per group: median and median distance from it, from sketches that merge per partition."""
+    rows = measured.where(F.col("_class").isNotNull())
+    middle = rows.groupBy(*by).agg(*[F.percentile_approx(m, 0.5, 10_000).alias(f"{m}_mid") for m in MEASURES], F.count("*").alias("_n"))
+    middle = middle.where(F.col("_n") >= LEAST_GROUP).drop("_n")
+    away = rows.join(middle, by).groupBy(*by, *[f"{m}_mid" for m in MEASURES]).agg(
+        *[F.percentile_approx(F.abs(F.col(m) - F.col(f"{m}_mid")), 0.5, 10_000).alias(f"{m}_away") for m in MEASURES])
+    reach = {m: REACH * F.greatest(1.4826 * F.col(f"{m}_away"), F.lit(least)) for m, least in MEASURES.items()}
+    return away.select(*by, *[c for m in MEASURES for c in ((F.col(f"{m}_mid") - reach[m]).alias(f"{m}_low"), (F.col(f"{m}_mid") + reach[m]).alias(f"{m}_high"))])
+
+
+def judge(measured: DataFrame, own: DataFrame, every: DataFrame) -> DataFrame:
+    """Base rules, then the bands of the group or else of all groups; ``reject`` names the first measure outside its band."""
+    names = [f"{m}_{side}" for m in MEASURES for side in ("low", "high")]
+    every = every.withColumnsRenamed({c: f"all_{c}" for c in names})
+    d = measured.join(own, ["band_group", "_class"], "left").join(every, ["_class"], "left")
     reject = F.lit(None).cast("string")
-    for m, *_ in reversed(MEASURES):
+    for m in reversed(list(MEASURES)):
         low, high = (F.coalesce(f"{m}_{s}", f"all_{m}_{s}") for s in ("low", "high"))
-        enough = F.lit(True) if m == "byte_share" else F.col("n_tokens") >= LEAST_TOKENS
-        outside = (F.col(m) > F.greatest(high, F.lit(0.05))) if m == "byte_share" else (F.col(m) < low) | (F.col(m) > high)
-        reject = F.when(enough & outside, F.lit(m)).otherwise(reject)
+        reject = F.when((F.col(m) < low) | (F.col(m) > high), F.lit(m)).otherwise(reject)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return (d.withColumn("base_failed", failed).withColumn("reject", F.when(failed, F.lit("base")).otherwise(reject))
-            .withColumn("kept", F.col("reject").isNull()).drop(*names, *[f"all_{c}" for c in names]))
+            .withColumn("kept", F.col("reject").isNull()).drop("_class", *names, *[f"all_{c}" for c in names]))
 
 
 def quality(docs: DataFrame, **parameters) -> DataFrame:
     """Measures and verdict per document. The measures are written once, as fitting and judging both read them."""
-    measured = checkpointed(measure(docs, **parameters))
-    return judge(measured, fit_bands(measured))
+    measured = checkpointed(measure(docs, **parameters).withColumn("_class", length_class()))
+    return judge(measured, fit_bands(measured, ["band_group", "_class"]), fit_bands(measured, ["_class"]))
 
 
 @query("op1_token_fertility")

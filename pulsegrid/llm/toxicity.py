@@ -26,7 +26,8 @@ SAMPLE = 10_000
 BUCKET_BITS = 22
 PREFIXES = (3, 4, 5, 6)
 FACTORS, STEPS, RATE, SHRINK = 8, 250, 0.05, 2e-4
-EVIDENCE = 12.0            # least likelihood-ratio statistic of a bucket
+EVIDENCE = 25.0            # least likelihood-ratio statistic of a bucket
+WEIGHT = 4.0               # of a row with label 1
 MOST_BUCKETS = 8192
 EDGE = np.zeros(256, bool)
 EDGE[list(b".,;:!?\"'()[]{}|*#")] = True
@@ -135,11 +136,13 @@ def train(buckets: np.ndarray, row: np.ndarray, term: np.ndarray, y: np.ndarray)
     """Logistic loss with shrinkage, adaptive full-batch steps."""
     rng = np.random.default_rng(7)
     n, m = len(y), len(buckets)
+    cost = np.where(y > 0, WEIGHT, 1.0)
+    cost /= cost.sum()
     flat = np.concatenate([[np.log(y.mean() / (1 - y.mean()))], np.zeros(m), rng.normal(0, 0.05, m * FACTORS)])
     mean, square = np.zeros_like(flat), np.zeros_like(flat)
     for step in range(1, STEPS + 1):
         machine = Machine(buckets, flat[0], flat[1:m + 1], flat[m + 1:].reshape(m, FACTORS))
-        error = (1 / (1 + np.exp(-np.clip(machine.raw(row, term, n), -30, 30))) - y) / n
+        error = (1 / (1 + np.exp(-np.clip(machine.raw(row, term, n), -30, 30))) - y) * cost
         slope = np.empty_like(flat)
         slope[0] = error.sum()
         slope[1:m + 1] = np.bincount(term, error[row], m)
