@@ -1,7 +1,8 @@
 """Arrow batch wrapper: array columns become [windows, samples] matrices.
 
 The kernel sees only equal-length, fully finite rows; every other row and
-every row on which the kernel fails keeps its place with NULL results.
+every row on which the kernel fails keeps its place with NULL results. Numeric
+results become Arrow arrays without a Python step per element.
 """
 from __future__ import annotations
 
@@ -47,20 +48,57 @@ def apply_kernels(df: DataFrame, jobs: list[tuple]) -> DataFrame:
         for batch in batches:
             extra = []
             for inputs, kernel, fields, params in jobs:
-                cells = [np.full(batch.num_rows, None, dtype=object) for _ in fields]
-                if batch.num_rows:
-                    cols = [_plain_list(batch.column(batch.schema.get_field_index(c))) for c in inputs]
-                    for rows, mats in _by_length(cols):
-                        for out, values in zip(cells, kernel(*mats, **params)):
-                            for r, v in zip(rows, values):
-                                out[r] = v
-                extra += [pa.array([_clean(v) for v in out.tolist()], type=arrow.field(width + len(extra) + k).type)
-                          for k, out in enumerate(cells)]
+                cols = [_plain_list(batch.column(batch.schema.get_field_index(c))) for c in inputs] if batch.num_rows else []
+                done = [part for rows, mats in (_by_length(cols) if cols else ()) for part in _results(kernel, rows, mats, params)]
+                kinds = [arrow.field(width + len(extra) + k).type for k in range(len(fields))]
+                extra += [_column([(rows, values[k]) for rows, values in done], kind, batch.num_rows) for k, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=arrow.names)
 
     return df.mapInArrow(run, schema)
 
 
+FAILURES = (ArithmeticError, ValueError, LookupError, TypeError, np.linalg.LinAlgError)
+
+
+def _results(kernel: Callable, rows: np.ndarray, mats: list[np.ndarray], params: dict) -> list[tuple[np.ndarray, list]]:
+    """Results of a group of rows; if the kernel fails on it, of each row on which it does not fail alone."""
+    try:
+        return [(rows, list(kernel(*mats, **params)))]
+    except FAILURES:
+        if len(rows) == 1:
+            return []
+    half = len(rows) // 2
+    return [r for cut in (slice(0, half), slice(half, None)) for r in _results(kernel, rows[cut], [m[cut] for m in mats], params)]
+
+
+def _column(parts: list[tuple[np.ndarray, object]], kind: pa.DataType, size: int) -> pa.Array:
+    """One output column: the groups' values at their rows, NULL elsewhere."""
+    place = np.full(size, -1)
+    at = 0
+    for rows, _ in parts:
+        place[rows] = np.arange(at, at + len(rows))
+        at += len(rows)
+    values = pa.concat_arrays([_values(v, kind, len(rows)) for rows, v in parts]) if parts else pa.nulls(0, kind)
+    return values.take(pa.array(np.maximum(place, 0), mask=place < 0))
+
+
+def _values(v, kind: pa.DataType, size: int) -> pa.Array:
+    if isinstance(v, np.ndarray) and v.dtype.kind in "fiub":
+        flat = v.ravel()
+        if v.ndim == 1:
+            return _numbers(flat, kind)
+        if v.ndim == 2 and pa.types.is_list(kind):
+            return pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, v.shape[1], dtype=np.int32)), _numbers(flat, kind.value_type)).cast(kind)
+    return pa.array([_clean(x) for x in v], type=kind)
+
+
+def _numbers(flat: np.ndarray, kind: pa.DataType) -> pa.Array:
+    missing = ~np.isfinite(flat) if flat.dtype.kind == "f" else None
+    if missing is not None and not pa.types.is_floating(kind):
+        flat = np.where(missing, 0, flat)
+    return pa.array(flat, mask=missing).cast(kind)
+
+
 def apply_kernel(df: DataFrame, inputs: list[str], kernel: Callable, outputs: str, **params) -> DataFrame:
     """Append one kernel's columns to every row of ``df``."""
     return apply_kernels(df, [job(inputs, kernel, outputs, **params)])

@@ -31,28 +31,34 @@ def _pos(r, g, b):
     return _combine(r - g, r + g - 2 * b, 1)
 
 
-def _overlap_add(project, r, g, b, fs, seconds=1.6):
-    n = r.shape[1]
-    if n < 4:
-        return [None] * len(r)
+def _sliding_mean(project, r, g, b, fs, seconds=1.6):
+    """Mean at each sample of the projections of all short windows that hold it; rows shorter than four samples give nothing.
+
+    All short windows are one view; place k of every projection is added to a shifted slice of the result.
+    """
+    rows, n = r.shape
     size = max(8, int(round(seconds * fs)))
-    if size >= n:
+    if n < 4:
+        return [None] * rows
+    if n <= size:
         return project(r, g, b)
-    total, count = np.zeros_like(r), np.zeros(n)
-    for start in range(n - size + 1):
-        cut = slice(start, start + size)
-        total[:, cut] += project(r[:, cut], g[:, cut], b[:, cut])
-        count[cut] += 1
-    y = total / count
-    return y - y.mean(1, keepdims=True)
+    total = np.zeros((rows, n))
+    for part in np.array_split(np.arange(rows), max(1, rows * n * size // 4_000_000)):          # bounded memory
+        views = (np.lib.stride_tricks.sliding_window_view(c[part], size, axis=1) for c in (r, g, b))
+        shapes = project(*views)
+        for k in range(size):
+            total[part, k:k + shapes.shape[1]] += shapes[:, :, k]
+    held = np.minimum(np.minimum(np.arange(1, n + 1), np.arange(n, 0, -1)), min(size, n - size + 1))
+    mean = total / held
+    return mean - mean.mean(1, keepdims=True)
 
 
 def chrom_windowed(r, g, b, fs):
-    return _overlap_add(_chrom, r, g, b, fs)
+    return _sliding_mean(_chrom, r, g, b, fs)
 
 
 def pos_windowed(r, g, b, fs):
-    return _overlap_add(_pos, r, g, b, fs)
+    return _sliding_mean(_pos, r, g, b, fs)
 
 
 def _standard(r, g, b):
@@ -253,14 +259,14 @@ def bandpass(x, fs, low=.7, high=4.0, order=3):
 
 
 def legacy_bandpass(x, fs, low=.7, high=4.0, order=3):
-    """Lenient variant: short input or an impossible band returns the centred input."""
-    y = x - x.mean(1, keepdims=True)
-    nyquist = fs / 2
-    lo, hi = max(1e-6, low / nyquist), min(.999, high / nyquist)
+    """Lenient variant: the band is moved inside the sampled range; what cannot be filtered is only centred."""
+    centred = x - x.mean(1, keepdims=True)
     edge = 3 * (2 * order + 1)
-    if x.shape[1] < max(12, 6 * order) or not 0 < lo < hi < 1 or x.shape[1] <= edge:
-        return y
-    return zero_phase(y, _state_space(bandpass_sections(lo * nyquist, hi * nyquist, fs, order)), edge)
+    low, high = max(low, 1e-6 * fs / 2), min(high, .999 * fs / 2)
+    long_enough = x.shape[1] > max(edge, 6 * order - 1, 11)
+    if long_enough and low < high:
+        return zero_phase(centred, _state_space(bandpass_sections(low, high, fs, order)), edge)
+    return centred
 
 
 # ---- peaks ------------------------------------------------------------------
