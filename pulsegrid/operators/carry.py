@@ -146,24 +146,24 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
 
 
 def with_rank(df: DataFrame, keys: list[str], value: str, tie: str, name: str = "rank", descending: bool = True,
-              bins: int = 256) -> DataFrame:
+              bins: int = 64) -> DataFrame:
     """One-based rank per key by ``value`` then ascending ``tie``; rows with NULL value get NULL.
 
-    Value-range bins carry the number of rows ahead of them. A bin that holds one
-    single value is cut again along the tie column, so equal scores do not pile up
-    in one task. Bins depend only on per-key minima and maxima.
+    Bins carry the number of rows ahead of them. Their borders come from a mergeable
+    sketch of each key, so outliers and heavy tails leave them even. A bin that holds
+    one single value is cut again along the tie column, so equal scores do not pile up in one task.
     """
     live, dead = df.where(F.col(value).isNotNull()), df.where(F.col(value).isNull())
     s = live.withColumn("_s", F.col(value).cast("double") * (-1.0 if descending else 1.0))
-    span = s.groupBy(*keys).agg(F.min("_s").alias("_lo"), F.max("_s").alias("_hi"),
-                                F.min(tie).alias("_tlo"), F.max(tie).alias("_thi"))
+    cuts = [k / bins for k in range(1, bins)]
+    span = s.groupBy(*keys).agg(F.percentile_approx("_s", cuts, 20 * bins).alias("_cut"), F.min(tie).alias("_tlo"), F.max(tie).alias("_thi"))
 
     def bin_of(c, lo, hi):
         raw = F.floor((F.col(c) - F.col(lo)) / (F.col(hi) - F.col(lo)) * bins)
         return F.when(F.col(hi) > F.col(lo), F.least(F.lit(bins - 1), raw)).otherwise(0).cast("int")
 
-    s = s.join(span, keys).withColumns({"_bin": bin_of("_s", "_lo", "_hi"), "_sub": bin_of(tie, "_tlo", "_thi")})
-    s = s.drop("_lo", "_hi", "_tlo", "_thi")
+    below = F.size(F.filter("_cut", lambda c: c < F.col("_s")))
+    s = s.join(span, keys).withColumns({"_bin": below, "_sub": bin_of(tie, "_tlo", "_thi")}).drop("_cut", "_tlo", "_thi")
     cells = s.groupBy(*keys, "_bin", "_sub").agg(F.count(F.lit(1)).alias("_c"), F.min("_s").alias("_a"), F.max("_s").alias("_z"))
     wb = Window.partitionBy(*keys, "_bin")
     cells = cells.withColumn("_cell", F.when(F.min("_a").over(wb) == F.max("_z").over(wb), F.col("_sub")).otherwise(0))

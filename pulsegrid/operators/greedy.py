@@ -20,8 +20,9 @@ def nonoverlapping(windows: DataFrame, key: str, length: float, bucket_sec: floa
 
     The choice inside a time bucket depends only on where the previous choice ended.
     Each bucket first tabulates, for the windows near its border, where a chain
-    entering there would leave the bucket. Those small tables are walked per key,
-    then every bucket makes its own choice from its known entry.
+    entering there would leave the bucket. Chains run together after a few windows, so
+    a table has one row for each way out, with the last window that takes it. These few
+    rows are walked per key, then every bucket makes its own choice from its known entry.
     """
     w = windows.withColumn("_b", F.floor(F.col("start_sec") / bucket_sec))
     key_type = dict(windows.dtypes)[key]
@@ -33,7 +34,9 @@ def nonoverlapping(windows: DataFrame, key: str, length: float, bucket_sec: floa
             if nxt[i] < len(start):
                 leave[i] = leave[nxt[i]]
         border = pdf["_b"].iloc[0] * bucket_sec + length
-        keep = np.arange(len(start)) <= np.searchsorted(start, border)
+        near = np.searchsorted(start, border) + 1
+        keep = np.append(leave[1:] != leave[:-1], True) & (np.arange(len(start)) < near)
+        keep[min(near, len(start)) - 1] = True
         return pd.DataFrame({key: pdf[key].iloc[0], "_b": pdf["_b"].iloc[0], "start_sec": start[keep], "leave": leave[keep]})
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -41,7 +44,7 @@ def nonoverlapping(windows: DataFrame, key: str, length: float, bucket_sec: floa
         for b, part in pdf.sort_values(["_b", "start_sec"]).groupby("_b", sort=True):
             ok = part[part["start_sec"] >= end - SLACK]
             if len(ok):
-                out.append((pdf[key].iloc[0], b, ok["start_sec"].iloc[0]))
+                out.append((pdf[key].iloc[0], b, end))
                 end = ok["leave"].iloc[0]
         return pd.DataFrame(out, columns=[key, "_b", "entry"])
 
@@ -49,7 +52,7 @@ def nonoverlapping(windows: DataFrame, key: str, length: float, bucket_sec: floa
         pdf = pdf.sort_values("start_sec")
         start = pdf["start_sec"].to_numpy()
         nxt, chosen = _jumps(start, length), np.zeros(len(start), bool)
-        i = np.searchsorted(start, pdf["entry"].iloc[0]) if pd.notna(pdf["entry"].iloc[0]) else len(start)
+        i = np.searchsorted(start, pdf["entry"].iloc[0] - SLACK) if pd.notna(pdf["entry"].iloc[0]) else len(start)
         while i < len(start):
             chosen[i] = True
             i = nxt[i]

@@ -23,34 +23,34 @@ def moments(x: list[Column], y: list[Column]) -> dict[str, Column]:
 
 
 def solve(sums, features: int, targets: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
-    """Ridge weights and intercepts on standardized features (population SD, flat columns scale 1)."""
-    n = sums["n"]
-    s = np.array([sums[f"s{i}"] for i in range(features)])
-    p = np.array([[sums[f"p{min(i, j)}_{max(i, j)}"] for j in range(features)] for i in range(features)])
-    c = np.array([[sums[f"c{i}_{t}"] for t in range(targets)] for i in range(features)])
-    t = np.array([sums[f"t{t}"] for t in range(targets)])
-    mean = s / n
-    cov = p - np.outer(s, s) / n
-    sd = np.sqrt(np.clip(np.diag(cov) / n, 0, None))
-    sd[sd < 1e-12] = 1.0
-    z = cov / np.outer(sd, sd)
-    w = np.linalg.solve(z + alpha * np.eye(features), (c - np.outer(s, t) / n) / sd[:, None]) / sd[:, None]
-    return w, t / n - mean @ w
+    """Ridge weights and intercepts on standardized features (population SD, flat columns scale 1), for one row of sums or a table of them."""
+    column = lambda name: np.asarray(sums[name], float)
+    n = column("n")
+    s = np.stack([column(f"s{i}") for i in range(features)], -1)
+    p = np.stack([np.stack([column(f"p{min(i, j)}_{max(i, j)}") for j in range(features)], -1) for i in range(features)], -2)
+    c = np.stack([np.stack([column(f"c{i}_{t}") for t in range(targets)], -1) for i in range(features)], -2)
+    t = np.stack([column(f"t{t}") for t in range(targets)], -1)
+    mean = s / n[..., None]
+    cov = p - s[..., :, None] * mean[..., None, :]
+    sd = np.sqrt(np.clip(np.diagonal(cov, axis1=-2, axis2=-1) / n[..., None], 0, None))
+    sd = np.where(sd < 1e-12, 1.0, sd)
+    z = cov / (sd[..., :, None] * sd[..., None, :])
+    w = np.linalg.solve(z + alpha * np.eye(features), (c - mean[..., :, None] * t[..., None, :]) / sd[..., None]) / sd[..., None]
+    return w, t / n[..., None] - (mean[..., None, :] @ w)[..., 0, :]
 
 
 def leave_one_out(folds: DataFrame, features: int, targets: int, alpha: float) -> DataFrame:
-    """Weights per (subject, feature set) from leave-one-out sums, one small row each."""
+    """Weights per (subject, feature set) from leave-one-out sums; a batch's systems of one size are solved together."""
     fields = ", ".join([f"w{i}_{t} double" for i in range(features) for t in range(targets)] + [f"b{t} double" for t in range(targets)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for r in pdf.to_dict("records"):
-                used = int(r["used"])
-                w, b = solve(r, used, targets, alpha)
-                full = np.zeros((features, targets))
-                full[:used] = w
-                rows.append([r["subject"], r["feature_set"], *full.ravel(), *b])
-            yield pd.DataFrame(rows, columns=["subject", "feature_set", *[f.split()[0] for f in fields.split(", ")]])
+            w, b = np.zeros((len(pdf), features, targets)), np.zeros((len(pdf), targets))
+            for used in pdf["used"].unique():
+                rows = np.flatnonzero(pdf["used"] == used)
+                w[rows, :used], b[rows] = solve(pdf.iloc[rows], int(used), targets, alpha)
+            names = [f.split()[0] for f in fields.split(", ")]
+            values = pd.DataFrame(np.hstack([w.reshape(len(pdf), -1), b]), columns=names)
+            yield pd.concat([pdf[["subject", "feature_set"]].reset_index(drop=True), values], axis=1)
 
     return folds.mapInPandas(run, f"subject long, feature_set string, {fields}")

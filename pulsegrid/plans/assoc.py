@@ -64,6 +64,7 @@ def preceding_features(spark, d, max_distance=3600.0, reach=DAY):
     s = trace(spark, d).where("event_type <> 'purchase'").select(*KEY, "t", "x")
     s = ac.latest_start(s, free, KEY, "t", ["end_sec"], span(spark, d)).where(F.col("t") <= F.col("interval.end_sec"))
     s = s.select(*KEY, F.col("interval.end_sec").alias("fe"), "t", "x")
+    s = s.where(F.col("t") >= F.col("fe") - reach)          # an event starts after its interval ends: older samples reach none
     j = one.select(*KEY, "event_id", "fe", "start_sec").join(s, [*KEY, "fe"]).where(F.col("start_sec") - F.col("t") <= reach)
     agg = j.groupBy("event_id").agg(F.count("*").alias("windows"), F.max("t").alias("lt"))
     agg = agg.join(exact_quantiles(j, ["event_id"], "x", {"median_feature": .5}), "event_id")
@@ -394,8 +395,10 @@ def natural_id_normalize(spark, d):
     return c.select("c_custkey", "raw", F.when(n.between(1, 27), F.concat(F.lit("Subject_"), n.cast("string"))).alias("subject_id"))
 
 
-@query("content_sha", """with d as (select doc_id, sha256(text) as digest from documents), c as (select conv_id, turn // 256 as b, sha256(string_agg(length(role) || ':' || role || ':' || sha256(text), chr(10) order by turn)) as x, count(*) as n from conversations group by 1, 2)
-select 'document' as kind, doc_id as id, digest, 1 as items from d union all select 'sequence', conv_id, sha256(sha256(sha256(x))), n from c where b = 0""")
+@query("content_sha", """with d as (select doc_id, sha256(text) as digest from documents), c as (select conv_id, turn // 256 as b, sha256(string_agg(length(role) || ':' || role || ':' || sha256(text), chr(10) order by turn)) as x, count(*) as n from conversations group by 1, 2),
+ c2 as (select conv_id, b // 256 as b, case when max(max(b)) over (partition by conv_id) = 0 then any_value(x) else sha256(string_agg(x, chr(10) order by b)) end as x, sum(n) as n from c group by conv_id, c.b // 256),
+ c3 as (select conv_id, case when max(b) = 0 then any_value(x) else sha256(string_agg(x, chr(10) order by b)) end as x, sum(n)::bigint as n from c2 group by 1)
+select 'document' as kind, doc_id as id, digest, 1 as items from d union all select 'sequence', conv_id, x, n from c3""")
 def content_sha(spark, d):
     one = read(spark, d, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.sha2("text", 256).alias("digest"), F.lit(1).cast("long").alias("items"))
     item = F.concat_ws(":", F.length("role").cast("string"), "role", F.sha2("text", 256))

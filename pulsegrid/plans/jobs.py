@@ -72,14 +72,15 @@ ROI_SQL = f"""{COLOUR}, ri as (select recording, flag, row_number() over (partit
 
 
 @query("fixed_window_inputs", f"""with {ROI_SQL}, g as (select recording, window_index, cast(count_if(n = 64 and q >= 0.85) as bigint) as usable, max(case when flag = 'R' then sd end) as sd from rw group by 1, 2),
- fx as (select recording, unnest(range(5)) as window_index from (select distinct recording from rw))
+ fx as (select recording, unnest(range((select max(window_index) + 1 from rw))) as window_index from (select distinct recording from rw))
 select recording, window_index, coalesce(usable, 0) as usable_rois, case when coalesce(usable, 0) = 0 then 'NO_USABLE_ROI' when coalesce(sd, 0) <= 1e-8 then 'INVALID_TARGET' else 'READY' end as status from fx left join g using (recording, window_index)""")
 def fixed_window_inputs(spark, d):
     w = window_rows(spark, d).select(*ROI, "roi_valid", "n", "b")
     target = F.when(F.col("roi") == "R", pw.sp.population_sd("b"))
     g = w.groupBy("recording", "window_index").agg(F.count_if("roi_valid").alias("usable_rois"), F.max(target).alias("target_sd"))
-    # fixed starts: every recording owes the same schedule, so windows without samples stay as rows
-    fixed = w.select("recording").distinct().select("recording", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("window_index"))
+    # fixed starts: every recording owes the schedule of the longest one, so windows without samples stay as rows
+    last = w.agg(F.max("window_index")).scalar()
+    fixed = w.select("recording").distinct().select("recording", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))).alias("window_index"))
     j = fixed.join(g, ["recording", "window_index"], "left")
     n = F.coalesce("usable_rois", F.lit(0))
     status = F.when(n == 0, "NO_USABLE_ROI").when(F.coalesce("target_sd", F.lit(0.0)) <= 1e-8, "INVALID_TARGET").otherwise("READY")

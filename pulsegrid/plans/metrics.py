@@ -1,11 +1,13 @@
 """Evaluation statistics over prediction/reference rows."""
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window, functions as F
 
 from pulsegrid.functions.cols import finite, joined, reasons, rnd, safe_corr
 from pulsegrid.operators import metrics as mt
-from pulsegrid.operators.carry import exact_quantiles, halo, with_index, with_rank
+from pulsegrid.operators.carry import exact_quantiles, halo, spread, with_index, with_rank
 from pulsegrid.plans.registry import EVAL, R, query
 from pulsegrid.session import checkpointed
 from pulsegrid.sources.tables import eval_rows, read
@@ -148,25 +150,35 @@ def coverage_by_method(spark, d):
     return p.select("method", sum(F.col(k) for k in kinds).alias("intended"), *kinds)
 
 
-DRAWS = 100
-SUBJECTS = """sb as (select subject, row_number() over (order by subject) - 1 as ord, count(*) over () as total from (select distinct subject from er)),
- st as (select method, subject, count(*) as w, count(err) as n, count(pred) as fp, sum(abs_err) as sae, sum(err * err) as sse, sum(err) as se,
+DRAWS = 2000
+# A subject's weight in a draw is a Poisson(1) count from a hash: cumulative shares of 0, 1, ... in units of 2^-48.
+SHARES = [int(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) * 2 ** 48) for k in range(12)]
+
+
+def times_sql(subject: str) -> str:
+    h = f"cast('0x' || substr(md5('42:' || draw || ':' || {subject}), 1, 12) as bigint)"
+    return " + ".join(f"({h} >= {c})::int" for c in SHARES)
+
+
+SUBJECTS = f"""st as (select method, subject, count(*) as w, count(err) as n, sum(abs_err) as sae, sum(err * err) as sse, sum(err) as se,
    avg(abs_err) as mae, median(abs_err) as med, quantile_cont(abs_err, .9) as p90 from er group by 1, 2),
- dr as (select b.b as draw, sb.ord as j, cast('0x' || substr(md5('42:' || b.b || ':' || sb.ord), 1, 12) as bigint) % sb.total as pick
-   from sb, lateral (select unnest(range(0, 100)) as b) b),
- hit as (select draw, st.* from dr join sb on sb.ord = dr.pick join st on st.subject = sb.subject),
- bt as (select method, draw, avg(mae) as bal_mae, avg(med) as bal_median, avg(p90) as bal_p90, sum(sae) / sum(n) as win_mae, sqrt(sum(sse) / sum(n)) as win_rmse, sum(se) / sum(n) as win_bias,
-   sum(n) / sum(w) as win_cov from hit group by 1, 2)"""
+ dr as (select subject, draw, {times_sql('subject')} as t from (select distinct subject from er), lateral (select unnest(range(0, {DRAWS})) as draw) b),
+ hit as (select draw, t, st.* from dr join st using (subject) where t > 0),
+ bt as (select method, draw, sum(mae * t) / sum(case when mae is not null then t end) as bal_mae, sum(med * t) / sum(case when med is not null then t end) as bal_median,
+   sum(p90 * t) / sum(case when p90 is not null then t end) as bal_p90, sum(sae * t) / sum(n * t) as win_mae, sqrt(sum(sse * t) / sum(n * t)) as win_rmse, sum(se * t) / sum(n * t) as win_bias,
+   sum(n * t) / sum(w * t) as win_cov from hit group by 1, 2)"""
 BOOT = ("bal_mae", "bal_median", "bal_p90", "win_mae", "win_rmse", "win_bias", "win_cov")
 
 
-def bootstrap_draws(subject_index, draws, seed, total):
-    """(draw, ord, times): n hash draws of n subjects per draw, counted per subject."""
-    d = subject_index.select(F.col("ord").alias("j"), total.alias("total"))
-    d = d.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    text = F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string"), F.col("j").cast("string"))
-    pick = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long") % F.col("total")
-    return d.select("draw", pick.alias("ord")).groupBy("draw", "ord").agg(F.count("*").alias("times"))
+def drawn(per_subject, draws=DRAWS, seed=42):
+    """Rows of subjects once per draw that takes them, with the count as ``times``.
+
+    Weights hang on (draw, subject) alone, so nothing is shuffled to draw, and sums per draw combine before their shuffle.
+    """
+    d = spread(per_subject, "subject").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    text = F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string"), F.col("subject").cast("string"))
+    d = d.withColumn("_h", F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long"))
+    return d.withColumn("times", sum((F.col("_h") >= c).cast("int") for c in SHARES)).drop("_h").where("times > 0")
 
 
 def subject_stats(r):
@@ -179,18 +191,14 @@ def subject_stats(r):
 @query("subject_bootstrap_ci", f"""with {EV}, {SUBJECTS}
 select method, count(*) as draws, {', '.join(f"{R(f'quantile_cont({c}, .025)')} as {c}_lo, {R(f'quantile_cont({c}, .975)')} as {c}_hi" for c in BOOT)} from bt group by 1""")
 def subject_bootstrap_ci(spark, d):
-    r = rows(spark, d)
-    subjects = r.select("subject").distinct().withColumns({"all": F.lit(0), "block": F.floor(F.col("subject") / 4096)})
-    subjects = with_index(subjects, ["all"], "block", ["subject"], "ord").select("subject", "ord")
-    total = r.select(F.countDistinct("subject").alias("c")).scalar()
-    draws = bootstrap_draws(subjects, DRAWS, 42, total)
-    stats = subject_stats(r).join(subjects, "subject")
+    stats = subject_stats(rows(spark, d))
+    packed = stats.groupBy("subject").agg(F.collect_list(F.struct(*[c for c in stats.columns if c != "subject"])).alias("m"))      # one entry per method
     t = F.col("times")
 
     def mean(c):
         return F.sum(F.col(c) * t) / F.sum(F.when(F.col(c).isNotNull(), t))
 
-    b = draws.join(stats, "ord").groupBy("method", "draw").agg(
+    b = drawn(packed).select("draw", "times", F.inline("m")).groupBy("method", "draw").agg(
         mean("mae").alias("bal_mae"), mean("med").alias("bal_median"), mean("p90").alias("bal_p90"),
         (F.sum(F.col("sae") * t) / F.sum(F.col("n") * t)).alias("win_mae"),
         F.sqrt(F.sum(F.col("sse") * t) / F.sum(F.col("n") * t)).alias("win_rmse"),
@@ -202,25 +210,15 @@ def subject_bootstrap_ci(spark, d):
 
 
 @query("subgroup_bootstrap", f"""with {EV}, s as (select c_mktsegment as grp, subject, avg(abs_err) as mae from er join customer on c_custkey = subject group by 1, 2),
- v as (select grp, mae, row_number() over (partition by grp order by subject) - 1 as ord, count(*) over (partition by grp) as total from s where mae is not null),
- dr as (select grp, b.b as draw, cast('0x' || substr(md5('42:' || b.b || ':' || ord), 1, 12) as bigint) % total as pick from v,
-   lateral (select unnest(range(0, 100)) as b) b),
- m as (select dr.grp, draw, avg(mae) as mm from dr join v on v.grp = dr.grp and v.ord = dr.pick group by 1, 2),
+ dr as (select grp, mae, draw, {times_sql('subject')} as t from s, lateral (select unnest(range(0, {DRAWS})) as draw) b where mae is not null),
+ m as (select grp, draw, sum(mae * t) / sum(t) as mm from dr group by 1, 2 having sum(t) > 0),
  ci as (select grp, quantile_cont(mm, .025) as lo, quantile_cont(mm, .975) as hi from m group by 1)
 select s.grp, count(*) as subjects, count(mae) as scorable, {R('avg(mae)')} as mean_subject_mae, {R('any_value(lo)')} as lower_95, {R('any_value(hi)')} as upper_95,
   count(mae) >= 3 as ci_supported from s left join ci using (grp) group by 1""")
 def subgroup_bootstrap(spark, d):
     c = read(spark, d, "customer").select(F.col("c_custkey").alias("subject"), F.col("c_mktsegment").alias("grp"))
     per = checkpointed(rows(spark, d).groupBy("subject").agg(F.avg("abs_err").alias("mae")).join(c, "subject"))     # one row per subject
-    v = per.where("mae is not null").withColumn("block", F.floor(F.col("subject") / 4096))
-    v = with_index(v, ["grp"], "block", ["subject"], "ord")
-    size = v.groupBy("grp").agg(F.count("*").alias("total"))
-    dr = v.join(size, "grp").select("grp", "ord", "total", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))).alias("draw"))
-    text = F.concat_ws(":", F.lit("42"), F.col("draw").cast("string"), F.col("ord").cast("string"))
-    pick = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long") % F.col("total")
-    times = dr.select("grp", "draw", pick.alias("ord")).groupBy("grp", "draw", "ord").agg(F.count("*").alias("t"))
-    m = times.join(v.select("grp", "ord", "mae"), ["grp", "ord"]).groupBy("grp", "draw").agg(
-        (F.sum(F.col("mae") * F.col("t")) / F.sum("t")).alias("mm"))
+    m = drawn(per.where("mae is not null")).groupBy("grp", "draw").agg((F.sum(F.col("mae") * F.col("times")) / F.sum("times")).alias("mm"))
     ci = m.groupBy("grp").agg(F.percentile("mm", F.lit(.025)).alias("lo"), F.percentile("mm", F.lit(.975)).alias("hi"))
     out = per.groupBy("grp").agg(F.count("*").alias("subjects"), F.count("mae").alias("scorable"), F.avg("mae").alias("m"))
     out = out.join(ci, "grp", "left")

@@ -143,18 +143,19 @@ def expected_minus_found(spark, d):
     return read(spark, d, "documents").select("doc_id").join(read(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
-@query("identity_set_equality", """with s as (select o_orderpriority as method, o_custkey as subject, o_orderdate as start, md5(o_orderkey::varchar) as target from orders), b as (select * from s where method = '1-URGENT'),
- m as (select unnest(['2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW']) as method)
+@query("identity_set_equality", """with s as (select o_orderpriority as method, o_custkey as subject, o_orderdate as start from orders), b as (select * from s where method = '1-URGENT'),
+ m as (select distinct method from s where method <> '1-URGENT')
 select m.method, (select count(*) from s where s.method = m.method and not exists (select 1 from b where b.subject = s.subject and b.start = s.start)) as extra,
  (select count(*) from b where not exists (select 1 from s where s.method = m.method and b.subject = s.subject and b.start = s.start)) as missing from m""")
 def identity_set_equality(spark, d):
-    methods = ["2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
     o = read(spark, d, "orders").select(F.col("o_orderpriority").alias("method"), F.col("o_custkey").alias("subject"), F.col("o_orderdate").alias("start"))
-    # one grouping per identity: counts per method answer both directions for all methods at once
-    n = lambda m: F.count_if(F.col("method") == m)
-    g = o.groupBy("subject", "start").agg(n("1-URGENT").alias("base"), *[n(m).alias(m) for m in methods])
-    return g.select(F.col("base").alias("b"), F.inline(F.array(*[F.struct(F.lit(m).alias("method"), F.col(f"`{m}`").alias("c")) for m in methods]))).groupBy("method").agg(
-        F.sum(F.when(F.col("b") == 0, F.col("c")).otherwise(0)).alias("extra"), F.sum(F.when(F.col("c") == 0, F.col("b")).otherwise(0)).alias("missing"))
+    counts = o.groupBy("subject", "start", "method").agg(F.count("*").alias("c"))
+    base = counts.where("method = '1-URGENT'").select("subject", "start", F.col("c").alias("b"))
+    # what a method lacks are all base rows less those at its own identities, for whatever methods there are
+    g = counts.where("method <> '1-URGENT'").join(base, ["subject", "start"], "left").groupBy("method").agg(
+        F.sum(F.when(F.col("b").isNull(), F.col("c")).otherwise(0)).alias("extra"), F.sum(F.coalesce("b", F.lit(0))).alias("met"))
+    total = base.agg(F.coalesce(F.sum("b"), F.lit(0)).alias("total")).scalar()
+    return g.select("method", "extra", (total - F.col("met")).alias("missing"))
 
 
 SPLIT = """sub as (select distinct c_custkey as subject from customer), od as (select subject, row_number() over (order by md5('42:' || subject), subject) - 1 as position, count(*) over () as n from sub)"""
@@ -172,11 +173,12 @@ def complete_partition_check(spark, d):
     return once.agg(F.count("*").alias("subjects"), part("train"), part("validation"), part("test"), (F.max("c") == 1).alias("disjoint")).withColumn("unassigned", missing)
 
 
-@query("shared_trace_groups", """with w as (select vec_id, md5(array_to_string(list_transform(embedding, lambda x: case when x > 0 then '1' else '0' end)[1:12], '')) as digest from embeddings)
-select digest, count(*) as recordings from w group by 1 having count(*) > 1""")
+@query("shared_trace_groups", """with w as (select vec_id, md5(array_to_string(list_transform(embedding, lambda x: floor(cast(x as double) * 1e6)::bigint), ',')) as digest from embeddings)
+select digest, count(*) as recordings from w group by 1""")
 def shared_trace_groups(spark, d):
-    signs = F.array_join(F.transform(F.slice("x", 1, 12), lambda v: F.when(v > 0, "1").otherwise("0")), "")
-    return waves(spark, d).select(F.md5(signs).alias("digest")).groupBy("digest").agg(F.count("*").alias("recordings")).where("recordings > 1")
+    """Digest of every whole trace (to six digits) and how many recordings share it."""
+    digits = F.array_join(F.transform("x", lambda v: F.floor(v * 1e6).cast("string")), ",")
+    return waves(spark, d).select(F.md5(digits).alias("digest")).groupBy("digest").agg(F.count("*").alias("recordings"))
 
 
 # ---- splits and models -----------------------------------------------------------
@@ -236,6 +238,7 @@ def drop_train_empty_columns(spark, d):
     return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), (F.col(c) > 0).alias("kept")) for c in names])))
 
 
+ROW_COLUMNS = ("o_orderkey", "subject", "o_orderstatus", "partition", "target")          # of a model row, not features
 TARGET_WORDS = ("target", "sbp", "dbp", "reference", "label")
 
 
@@ -250,7 +253,7 @@ def assert_no_label_leak(columns: list[str], allowed: list[str]) -> list[str]:
 @query("label_leak_guard", f"""with {SPLIT}, {MODEL_SQL} select o_orderkey, {R('quantity')} as quantity, {R('price')} as price, {R('discount')} as discount from fp""")
 def label_leak_guard(spark, d):
     r = model_rows(spark, d)
-    used = assert_no_label_leak([c for c in r.columns if c in FEATURES], FEATURES)
+    used = assert_no_label_leak([c for c in r.columns if c not in ROW_COLUMNS], FEATURES)
     return r.select("o_orderkey", *[rnd(c).alias(c) for c in used])
 
 
@@ -261,7 +264,7 @@ def eligible_training_rows(spark, d):
     return model_rows(spark, d).select("o_orderkey", why.alias("reason"), (why == "").alias("eligible"))
 
 
-def baseline_predictions(spark, d, trees=20):
+def baseline_predictions(spark, d, trees=200):
     """Mean, ordinary, ridge and forest baselines fitted on train rows; predictions for the other rows."""
     r = sl.impute_scale(model_rows(spark, d), FEATURES)
     r = checkpointed(r.select("o_orderkey", "partition", "target", *[f"{f}_scaled" for f in FEATURES]))   # fits reread it many times

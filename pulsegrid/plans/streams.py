@@ -24,7 +24,7 @@ def unix(c):
 select user_id, epoch_us(ws) / 1e6 as start_unix, samples, {R('vf')} as valid_fraction, {R('m')} as mean_value, case when vf < 0.75 or sd < 1e-10 then 'invalid' when sd / m > 1 then 'uncertain' else 'good' end as status,
   concat_ws('|', case when vf < 0.75 then 'insufficient_original_valid_frames' end, case when sd < 1e-10 then 'flat_signal' end, case when sd / m > 1 then 'illumination_variation' end) as reasons from g, mx where ws + interval 2 day <= wm""")
 def stream_window_quality(spark, d):
-    q = so.window_quality(event_stream(spark, d), "2 days", "1 day", "1 hour")
+    q = so.window_quality(event_stream(spark, f"{d}/events.parquet"), "2 days", "1 day", "1 hour")
     out = run_to_end(q, "window-quality")
     return out.select("user_id", unix("start").alias("start_unix"), "samples", rnd("valid_fraction").alias("valid_fraction"), rnd("mean_value").alias("mean_value"), "status", "reasons")
 
@@ -33,18 +33,18 @@ def stream_window_quality(spark, d):
  l as (select *, case when ts >= lag(ts) over w + interval 24 hour or lag(ts) over w is null then 1 else 0 end as n from e window w as (partition by user_id order by ts)), s as (select *, sum(n) over (partition by user_id order by ts) as sid from l)
 select user_id, epoch_us(min(ts)) / 1e6 as start_unix, epoch_us(max(ts)) / 1e6 + 86400 as end_unix, count(*) as samples from s, mx group by user_id, sid, wm having max(ts) + interval 24 hour <= wm""")
 def stream_run_sessions(spark, d):
-    out = run_to_end(so.run_sessions(event_stream(spark, d), "24 hours", "1 hour"), "sessions")
+    out = run_to_end(so.run_sessions(event_stream(spark, f"{d}/events.parquet"), "24 hours", "1 hour"), "sessions")
     return out.select("user_id", unix("start").alias("start_unix"), unix("end").alias("end_unix"), "samples")
 
 
 @query("stream_dedupe_windows", "select distinct user_id, cast(epoch_us(ts) // 86400000000 as bigint) as day, event_type from events")
 def stream_dedupe_windows(spark, d):
-    s = event_stream(spark, d).withColumn("day", F.floor(F.unix_micros("ts") / 86400000000))
+    s = event_stream(spark, f"{d}/events.parquet").withColumn("day", F.floor(F.unix_micros("ts") / 86400000000))
     return run_to_end(so.dedupe_windows(s, ["user_id", "day", "event_type"], "2 days").select("user_id", "day", "event_type"), "dedupe")
 
 
 def state_rows(spark, d):
-    s = event_stream(spark, d)
+    s = event_stream(spark, f"{d}/events.parquet")
     return s.select("user_id", "event_id", "event_type", "valid", ((F.unix_micros("ts") - 1704067200000000) / F.lit(1e6)).alias("t"), F.col("value").alias("x"),
                     F.from_json("props", "k int")["k"].cast("double").alias("y"))
 
@@ -74,19 +74,20 @@ def stream_fallback_clock(spark, d):
 
 
 @query("stream_late_policy", f"""with e as (select user_id, cast(epoch_us(ts) // 86400000000 as bigint) as day, "value" as x from events), mx as (select cast(floor((epoch_ms(max(ts)) - 86400000) / 86400000e0) as bigint) as closed from events),
- g as (select user_id, day, count(*) as samples, {R('avg(x)')} as mean_value from e group by 1, 2) select g.*, day - 19723 >= 7 and day < closed as live from g, mx""")
+ g as (select user_id, day, count(*) as samples, {R('avg(x)')} as mean_value from e group by 1, 2) select g.*, day - 19723 >= 21 and day < closed as live from g, mx""")
 def stream_late_policy(spark, d):
     """Newest weeks first: a row behind the watermark is dropped by the stream, and a backfill supplies its window.
 
     Every window stays in the result; ``live`` tells whether the stream itself delivered it complete.
     """
-    base = shared_folder(spark, "late")
-    e = read(spark, d, "events")
-    week = F.floor(seconds() / 604800.0)
-    for part in ("week >= 3", "week in (1, 2)", "week < 1"):
-        e.withColumn("week", week).where(part).drop("week").coalesce(1).write.mode("append").parquet(base)
+    base, state = shared_folder(spark, "late"), shared_folder(spark, "late-live")
+    e = read(spark, d, "events").withColumn("week", F.floor(seconds() / 604800.0))
     day = lambda c: F.floor(F.unix_micros(c) / 86400000000)
-    s = event_stream(spark, base, "*.parquet").withWatermark("ts", "1 day").groupBy("user_id", F.window("ts", "1 day")).agg(F.count("*").alias("samples"))
-    live = run_to_end(s, "late-live").select("user_id", day("window.start").alias("day"), F.col("samples").alias("live_samples"))
+    for part in ("week >= 3", "week < 3"):        # each arrival is one batch, whatever its number of files
+        e.where(part).drop("week").write.mode("append").parquet(base)
+        s = event_stream(spark, base).withWatermark("ts", "1 day").groupBy("user_id", F.window("ts", "1 day")).agg(F.count("*").alias("samples"))
+        live = run_to_end(s, "late-live", base=state)
+    live = live.select("user_id", day("window.start").alias("day"), F.col("samples").alias("live_samples"))
+    e = e.drop("week")
     full = e.withColumn("ts", F.col("ts").cast("timestamp")).groupBy("user_id", day("ts").alias("day")).agg(F.count("*").alias("samples"), rnd(F.avg("value")).alias("mean_value"))
     return full.join(live, ["user_id", "day"], "left").select("user_id", "day", "samples", "mean_value", F.coalesce(F.col("live_samples") == F.col("samples"), F.lit(False)).alias("live"))

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from pulsegrid.functions.cols import joined, reasons
-from pulsegrid.streaming.replay import ROCKSDB
 
 
 def window_quality(events: DataFrame, length: str, hop: str, delay: str, min_valid: float = .75, max_cv: float = 1.0) -> DataFrame:
@@ -119,6 +118,5 @@ class FallbackClock(_Keyed):
 
 
 def keyed(events: DataFrame, processor: StatefulProcessor, output: str) -> DataFrame:
-    """Apply a stateful fold per user; state lives in RocksDB and survives executor loss through its checkpoint."""
-    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    """Apply a stateful fold per user; state survives executor loss through its checkpoint. The session must name the RocksDB state store."""
     return events.groupBy("user_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=output, outputMode="Append", timeMode="None")

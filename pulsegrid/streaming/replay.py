@@ -5,20 +5,25 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pulsegrid.session import shared_folder
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def event_stream(spark: SparkSession, folder: str, pattern: str = "events.parquet", files_per_trigger: int = 1) -> DataFrame:
-    """Event samples as a stream with an instant ``ts`` (watermarks need a zoned timestamp)."""
-    s = spark.readStream.schema(EVENTS).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+def event_stream(spark: SparkSession, table: str, files_per_trigger: int | None = None) -> DataFrame:
+    """Event samples of a table (one file, or a folder of part files of any names) as a stream with an instant ``ts``.
+
+    Without a limit all files that are there make one batch, so their order and borders do not matter.
+    """
+    s = spark.readStream.schema(EVENTS)
+    if files_per_trigger:
+        s = s.option("maxFilesPerTrigger", files_per_trigger)
+    s = s.parquet(f"{table[:-1]}[{table[-1]}]")       # as a pattern the path may be a file or a folder
     return s.withColumns({"ts": F.col("ts").cast("timestamp"), "valid": F.col("event_type") != "error"})
 
 
-def run_to_end(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Process everything available into Parquet files and return them as a table."""
+def run_to_end(stream: DataFrame, name: str, mode: str = "append", base: str | None = None) -> DataFrame:
+    """Process everything available into Parquet files and return them as a table; a ``base`` folder used again goes on from its state."""
     spark = stream.sparkSession
-    base = shared_folder(spark, name)
+    base = base or shared_folder(spark, name)
     q = (stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")
          .outputMode(mode).trigger(availableNow=True).start())
     q.awaitTermination()

@@ -202,3 +202,82 @@ def test_digest_tree_is_order_sensitive_and_split_invariant(spark):
     d = lambda df: digest_sequence(df, ["k"], "i", F.col("x")).first()
     assert d(a).items == 600 and d(a).digest == d(a.repartition(7)).digest
     assert d(a.withColumn("i", 599 - F.col("i"))).digest != d(a).digest
+
+
+STREAMS = ["stream_window_quality", "stream_run_sessions", "stream_dedupe_windows", "stream_motion", "stream_identity_lock", "stream_fallback_clock", "stream_late_policy"]
+
+
+@pytest.fixture(scope="module")
+def in_parts(spark, tmp_path_factory):
+    """The event table as a folder of shuffled part files."""
+    folder = tmp_path_factory.mktemp("parts")
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").repartition(4, F.rand(3)).write.parquet(f"{folder}/events.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("key", STREAMS)
+def test_streams_read_one_file_and_many_alike(spark, in_parts, key):
+    from pulsegrid.plans import QUERIES
+    one, many = (sorted(map(str, QUERIES[key](spark, d).collect())) for d in ("/root/testdata/sf0.001", in_parts))
+    assert one and one == many
+
+
+def test_unset_folder_is_refused_off_one_machine():
+    from types import SimpleNamespace
+    from pulsegrid.session import shared_folder
+    session = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master))
+    assert shared_folder(session("local[4]"), "x")
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            shared_folder(session(master), "x")
+
+
+def test_failing_kernel_loses_only_its_rows(spark):
+    from pulsegrid.functions.batch import apply_kernel
+
+    def fragile(m):
+        if (m[:, 0] == 2).any():
+            raise np.linalg.LinAlgError("no convergence")
+        return m.sum(1), m * 2
+
+    w = spark.createDataFrame([(k, [float(k), 1.0] + [3.0] * (k % 2)) for k in range(6)] + [(9, None)], "k int, x array<double>")
+    got = {r.k: (r.s, r.y) for r in apply_kernel(w, ["x"], fragile, "s double, y array<double>").collect()}
+    assert got[2] == (None, None) and got[9] == (None, None)
+    assert got[4] == (5.0, [8.0, 2.0]) and got[3] == (7.0, [6.0, 2.0, 6.0])
+
+
+def test_digest_tree_grows_with_the_sequence(spark):
+    from pulsegrid.operators.assoc import digest_sequence
+    a = spark.createDataFrame([(k, i, f"x{i}") for k, n in ((1, 70), (2, 3)) for i in range(n)], "k int, i long, x string")
+    d = {r.k: r for r in digest_sequence(a, ["k"], "i", F.col("x"), block=4).collect()}
+    alone = digest_sequence(a.where("k = 2"), ["k"], "i", F.col("x"), block=4).first()
+    assert {k: r["items"] for k, r in d.items()} == {1: 70, 2: 3} and d[2].digest == alone.digest
+
+
+def test_overlap_sees_every_partition_value(spark):
+    from pulsegrid.operators.assoc import running_overlap
+    iv = spark.createDataFrame([(1, 0.0, 50.0, 1, "fold-a"), (1, 10.0, 20.0, 2, "fold-b"), (1, 60.0, 70.0, 3, "fold-a")], "k int, start_sec double, end_sec double, event_id int, part string")
+    assert {r.event_id: r.overlaps for r in running_overlap(iv, ["k"], "part", 30.0).collect()} == {1: False, 2: True, 3: False}
+
+
+def test_ranks_with_an_outlier_and_ties(spark):
+    from pulsegrid.operators.carry import with_rank
+    rows = [(1, float(v % 50), i) for i, v in enumerate(range(3000))] + [(1, 1e12, 5000), (1, 7.0, 5001)]
+    got = {r.i: r["rank"] for r in with_rank(spark.createDataFrame(rows, "k int, v double, i long"), ["k"], "v", "i").collect()}
+    want = {i: n + 1 for n, (_, _, i) in enumerate(sorted(rows, key=lambda r: (-r[1], r[2])))}
+    assert got == want
+
+
+@pytest.mark.parametrize("bucket", [3.0, 25.0, 400.0])
+def test_greedy_choice_with_one_dense_key(spark, bucket):
+    from pulsegrid.operators.greedy import nonoverlapping
+    rng = np.random.default_rng(2)
+    rows = [(1, float(t)) for t in np.unique(rng.integers(0, 4000, 900) / 10)] + [(2, float(t)) for t in range(0, 90, 7)]
+    got = nonoverlapping(spark.createDataFrame(rows, "k int, start_sec double"), "k", 5.0, bucket)
+    for key in (1, 2):
+        end, want = -1e9, []
+        for t in sorted(t for k, t in rows if k == key):
+            if t >= end - 1e-9:
+                want.append(t)
+                end = t + 5.0
+        assert sorted(r.start_sec for r in got.where(f"k = {key} and chosen").collect()) == want
