@@ -7,9 +7,10 @@ of a seed differ, each is extended from the seed's place one word at a time to t
 to the left and to the right as its key says, so stretches that share the key (seed, words to the left, words to the right) match over
 the whole window. The smallest doc_id of a key decides; consecutive matching windows make up the maximal repeats.
 
-No seed's documents are gathered or paired: keys are aggregated with partial sums, and the two joins back are inner joins on a side
-that has one row per key, which Spark splits where a key is frequent. Seeds that occur once are dropped at the scan by a bit map of
-fixed size. Word hashes have 64 bits; keys have 128.
+No documents are paired and no seed's documents are gathered: copies meet as one stretch, a task takes the different stretches of
+a seed only where there are at most ``MOST_STRETCHES``, and beyond that the windows' keys are aggregated with partial sums. The join back is
+an inner join on a side with one row per stretch, which Spark splits where a stretch is frequent. Seeds that occur once are dropped at the
+scan by a bit map of fixed size. Word hashes have 64 bits; keys have 128.
 
 Defined cases: null and empty texts and texts of fewer than ``width`` words keep all words; rows equal in doc_id and text are one
 document; a null doc_id is larger than any other, and among null ids nothing is removed.
@@ -19,6 +20,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -29,7 +31,9 @@ from pulsegrid.llm.words import U, Words, combine, mix, sequence_hashes, sliding
 from pulsegrid.session import checkpointed
 
 WIDTH, GRAM = 50, 12
+MOST_STRETCHES = 2048
 KEY = ["_id", "_text"]
+LAST = 2 ** 63 - 1            # stands for a null id
 
 
 class Stretches:
@@ -61,8 +65,8 @@ class Stretches:
         word = self.hashes[np.repeat(self.start, length) + inside]
         return mix(np.add.reduceat(mix(word + mix(inside.astype(np.uint64) + U(77))), begin) + length.astype(np.uint64)) if len(begin) else np.zeros(0, np.uint64)
 
-    def keys(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(stretch, key) of every window of the stretches ``some``: words left of the seed and right of it, extended word by word."""
+    def keys(self, some: np.ndarray) -> np.ndarray:
+        """Keys of every window of the stretches ``some``: words left of the seed and right of it, extended word by word."""
         count = self.count[some]
         which = np.repeat(some, count)
         nth = np.arange(int(count.sum())) - np.repeat(np.concatenate([[0], np.cumsum(count)[:-1]]).astype(np.int64), count)
@@ -74,7 +78,7 @@ class Stretches:
             l_hash[more] = combine(l_hash[more], self.hashes[self.place[which[more]] - step])
             more = np.flatnonzero(right >= step)
             r_hash[more] = combine(r_hash[more], self.hashes[self.place[which[more]] + self.gram - 1 + step])
-        return nth, combine(combine(l_hash, r_hash), left.astype(np.uint64))
+        return combine(combine(l_hash, r_hash), left.astype(np.uint64))
 
 
 def seed_counts(docs: DataFrame, width: int, gram: int) -> DataFrame:
@@ -97,44 +101,102 @@ def stretches(docs: DataFrame, repeated, width: int, gram: int) -> DataFrame:
     return map_text(keyed(docs), run, "_id long, _text long, _at int, _windows int, _seed long, _content long")
 
 
-def window_keys(docs: DataFrame, differing, width: int, gram: int) -> DataFrame:
-    """Keys of all windows of the stretches whose seed may have stretches that differ; each content once per batch."""
+def extended(docs: DataFrame, chosen, width: int, gram: int) -> DataFrame:
+    """The chosen (seed, content, id): that id and the keys of the stretch's windows, 8 bytes each. A chosen stretch is emitted by its own
+    document only, so nothing has to be merged."""
     def run(batch):
         s = Stretches(batch.column("text"), width, gram)
-        some = np.flatnonzero(within(differing, s.seed)) if len(s.seed) else np.zeros(0, np.int64)
-        content = s.contents()
-        some = some[np.unique(combine(content[some], s.seed[some]), return_index=True)[1]]
-        nth, key = s.keys(some)
-        which = np.repeat(some, s.count[some])
-        return {"_seed": s.seed[which], "_content": content[which], "_nth": nth, "_key": key}
-
-    return map_text(docs.select("text"), run, "_seed long, _content long, _nth int, _key long").distinct()
+        content, ids = s.contents(), batch.column("_id").fill_null(LAST).to_numpy()[s.row]
+        some = np.flatnonzero(within(chosen, triple(s.seed, content, ids))) if len(s.seed) else np.zeros(0, np.int64)
+        some = some[np.unique(triple(s.seed[some], content[some], ids[some]), return_index=True)[1]]
+        key = s.keys(some)
+        cut = np.concatenate([[0], np.cumsum(s.count[some])]).astype(np.int32) * 8
+        packed = pa.BinaryArray.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(cut.astype(np.int32).tobytes()), pa.py_buffer(key.tobytes())])
+        return {"_seed": s.seed[some], "_content": content[some], "_keys": packed, "_least": ids[some]}
+
+    return map_text(keyed(docs).select("_id", "text"), run, "_seed long, _content long, _keys binary, _least long")
+
+
+def triple(seed: np.ndarray, content: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    return combine(combine(seed, content), ids.view(np.uint64))
+
+
+def triple_of(*columns: str):
+    @F.pandas_udf("long")
+    def hashed(seed: pd.Series, content: pd.Series, ids: pd.Series) -> pd.Series:
+        return pd.Series(triple(*(x.to_numpy(np.int64).view(np.uint64) for x in (seed, content)), ids.to_numpy(np.int64)).view(np.int64))
+
+    return hashed(*columns)
+
+
+MATCHES = "_seed long, _content long, _runs array<struct<at:int,n:int>>"
+
+
+def matched_runs(rows: pd.DataFrame, width: int) -> pd.DataFrame:
+    """Of some seeds' stretches: maximal runs of windows whose key a stretch with a smaller id has, as first window and words."""
+    rows = rows.drop_duplicates(["_seed", "_content"])                 # a document may hold a stretch twice, or stand twice
+    count = np.array([len(k) // 8 for k in rows["_keys"]])
+    which = np.repeat(np.arange(len(rows)), count)
+    nth = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+    key, least = np.frombuffer(b"".join(rows["_keys"]), np.uint64), rows["_least"].to_numpy()[which]
+    seed = rows["_seed"].to_numpy()[which]
+    order = np.lexsort((least, key, seed))
+    new = np.ones(len(order), bool)
+    new[1:] = (key[order[1:]] != key[order[:-1]]) | (seed[order[1:]] != seed[order[:-1]])
+    smallest = np.empty(len(order), np.int64)
+    smallest[order] = least[order[new]][np.cumsum(new) - 1]
+    hit = np.flatnonzero(smallest < least)
+    begin = np.ones(len(hit), bool)
+    begin[1:] = (hit[1:] != hit[:-1] + 1) | (which[hit[1:]] != which[hit[:-1]])
+    first = np.flatnonzero(begin)
+    runs: dict[int, list] = {}
+    for w, a, n in zip(which[hit[first]].tolist(), nth[hit[first]].tolist(), np.diff(np.append(first, len(hit))).tolist()):
+        runs.setdefault(w, []).append({"at": a, "n": n - 1 + width})
+    some = np.array(list(runs), np.int64)
+    return pd.DataFrame({"_seed": rows["_seed"].to_numpy()[some], "_content": rows["_content"].to_numpy()[some], "_runs": pd.Series(list(runs.values()), dtype=object)})
+
+
+def matches(docs: DataFrame, contents: DataFrame, width: int, gram: int, most: int) -> DataFrame:
+    """Runs of matching windows for every stretch whose seed has others. Seeds go to tasks whole, many to a group; a seed with more than
+    ``most`` different stretches has its windows aggregated one by one instead, with partial sums."""
+    sizes = checkpointed(contents.groupBy("_seed").agg(F.count("*").alias("_k")).where("_k > 1"))
+    chosen = contents.join(sizes, "_seed", "left_semi").select(triple_of("_seed", "_content", "_least").alias("_chosen"))
+    rows = extended(docs, slots(chosen, "_chosen"), width, gram)
+    crowded = checkpointed(sizes.where(F.col("_k") > most).select("_seed"))
+    groups = 16 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    usual = rows.join(crowded, "_seed", "left_anti").groupBy(F.pmod(F.xxhash64("_seed"), F.lit(groups)).alias("_group")).applyInPandas(lambda g: matched_runs(g, width), MATCHES)
+    if crowded.isEmpty():
+        return usual
+
+    @F.pandas_udf("array<long>")
+    def unpacked(keys: pd.Series) -> pd.Series:
+        return keys.map(lambda k: np.frombuffer(k, np.int64))
+
+    each = rows.join(crowded, "_seed", "left_semi").select("_seed", "_content", "_least", F.posexplode(unpacked("_keys")).alias("_nth", "_key"))
+    least = each.groupBy("_seed", "_key").agg(F.min("_least").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    hits = each.join(least, ["_seed", "_key"]).where("_first < _least")
+    rare = hits.groupBy("_seed", "_content").agg(F.collect_set(F.struct(F.col("_nth").alias("at"), F.lit(width).alias("n"))).alias("_runs"))
+    return usual.union(rare)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text"), "text")
 
 
-def removable(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+def removable(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, most: int = MOST_STRETCHES) -> DataFrame:
     """Per document that loses words: ``_spans``, an array of (first word, words), each a run of windows that a smaller doc_id holds."""
     counts = seed_counts(docs, width, gram)
     found = checkpointed(stretches(docs, slots(counts.where("_n > 1"), "_seed"), width, gram))
-    last = F.lit(2 ** 63 - 1)
-    contents = checkpointed(found.groupBy("_seed", "_content").agg(F.min(F.coalesce("_id", last)).alias("_least"), F.max("_windows").alias("_windows"), F.count("*").alias("_copies")))
-    differing = contents.groupBy("_seed").agg(F.count("*").alias("_n")).where("_n > 1")
-    windows = window_keys(docs, slots(differing, "_seed", 24), width, gram).join(contents.select("_seed", "_content", "_least"), ["_seed", "_content"])
-    windows = checkpointed(windows)
-    least = windows.groupBy("_seed", "_key").agg(F.min("_least").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    matched = windows.join(least, ["_seed", "_key"]).where("_first < _least").groupBy("_seed", "_content").agg(F.collect_list(F.struct("_nth", "_first")).alias("_matches"))
-    # A window of a stretch goes if the stretch itself, or the window's key, stands in a smaller document.
-    decided = contents.join(matched, ["_seed", "_content"], "left").where("_copies > 1 or _matches is not null").select("_seed", "_content", "_least", "_matches")
-    hits = found.join(decided, ["_seed", "_content"])
-    own = F.coalesce("_id", last)
-    whole = F.array(F.struct(F.col("_at").alias("at"), (F.col("_windows") + width - 1).alias("n")))
-    some = F.transform(F.coalesce("_matches", F.array().cast("array<struct<_nth:int,_first:long>>")),
-                       lambda m: F.struct((F.col("_at") + m["_nth"]).alias("at"), F.lit(width).alias("n")))
-    spans = hits.select(*KEY, F.when(own > F.col("_least"), whole).otherwise(some).alias("_spans")).where(F.size("_spans") > 0)
-    return spans.groupBy(*KEY).agg(F.flatten(F.collect_list("_spans")).alias("_spans"))
+    contents = checkpointed(found.groupBy("_seed", "_content").agg(F.min(F.coalesce("_id", F.lit(LAST))).alias("_least"), F.count("*").alias("_copies")))
+    matched = checkpointed(matches(docs, contents, width, gram, most))
+    # All of a stretch goes where a smaller document has it too; in its first document go the windows whose key a smaller one has.
+    decided = contents.join(matched, ["_seed", "_content"], "left").where("_copies > 1 or _runs is not null").select("_seed", "_content", "_least", "_runs")
+    hits = found.join(checkpointed(decided), ["_seed", "_content"])
+    later = F.coalesce("_id", F.lit(LAST)) > F.col("_least")
+    whole = F.array(F.struct(F.lit(0).alias("at"), (F.col("_windows") + (width - 1)).alias("n")))
+    spans = hits.select(*KEY, "_at", F.explode(F.when(later, whole).otherwise(F.col("_runs"))).alias("r"))
+    spans = spans.select(*KEY, (F.col("_at") + F.col("r.at")).alias("at"), F.col("r.n").alias("n"))
+    return spans.groupBy(*KEY).agg(F.collect_list(F.struct("at", "n")).alias("_spans"))
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -155,9 +217,9 @@ def covered(spans: pa.Array, row: int, size: int) -> np.ndarray:
     return np.cumsum(mark[:-1]) > 0
 
 
-def dedup_passages(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+def dedup_passages(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, most: int = MOST_STRETCHES) -> DataFrame:
     """doc_id, n_words, n_removed, kept words of every document."""
-    both = with_spans(docs, checkpointed(removable(docs, width, gram)))
+    both = with_spans(docs, checkpointed(removable(docs, width, gram, most)))
 
     def run(batch):
         n, gone, kept, spans = [], [], [], batch.column("_spans")
