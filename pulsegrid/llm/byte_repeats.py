@@ -1,7 +1,7 @@
 """Operator 5: repeated byte strings by sharded suffix arrays.
 
 A window is ``width`` bytes of one document. Its anchor is the smallest hash of its ``gram``-byte strings, so equal windows have equal
-anchors; consecutive windows with one anchor form a stretch. Equal stretches collapse by content. Stretches of one anchor go to one
+anchors; consecutive windows with one anchor form a stretch. Equal stretches collapse by content; one place of each supplies its bytes. Stretches of one anchor go to one
 shard, where a suffix array is built by induced sorting (``suffixes``) over the stretches joined by separators; a window is repeated if
 the permuted common prefix with its neighbour in the order, on either side, spans it. A window lies in exactly one stretch, so a
 match is always between two different places, in one document or in two.
@@ -32,7 +32,7 @@ from pulsegrid.llm.words import U, combine, mix, sequence_hashes, sliding_min, t
 from pulsegrid.session import checkpointed
 
 WIDTH, GRAM = 200, 64
-SHARD_BYTES, MOST_STRETCHES = 1 << 20, 512
+SHARD_BYTES, MOST_STRETCHES = 1 << 20, 4096
 READ_BYTES = 2 << 20
 BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 STEP = 0x9E3779B97F4A7C15 | 3
@@ -80,6 +80,10 @@ class Stretches:
         self.row = np.searchsorted(offsets, self.start, side="right") - 1
         self.data, self.offsets, self.width = data, offsets, width
 
+    def occurrence(self, rows: np.ndarray) -> np.ndarray:
+        """Hash of each run's place: row hash and first byte."""
+        return combine(rows[self.row], (self.start - self.offsets[self.row]).astype(np.uint64)) if len(self.start) else np.zeros(0, np.uint64)
+
     def content(self, k: int) -> bytes:
         return self.data[self.start[k]:self.start[k] + self.count[k] + self.width - 1].tobytes()
 
@@ -106,29 +110,35 @@ def anchor_counts(docs: DataFrame, width: int, gram: int) -> DataFrame:
     return map_text(docs.select("text"), run, "_anchor long, _n long", limit=READ_BYTES).groupBy("_anchor").agg(F.sum("_n").alias("_n"))
 
 
+def row_hashes(batch: pa.RecordBatch) -> np.ndarray:
+    return combine(batch.column("_id").fill_null(-1).to_numpy().view(np.uint64), batch.column("_text").to_numpy().view(np.uint64))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text"), "text")
+
+
 def stretches(docs: DataFrame, repeated, width: int, gram: int) -> DataFrame:
     def run(batch):
         s = found_in(batch, width, gram)
         some = np.flatnonzero(within(repeated, s.anchor)) if len(s.anchor) else np.zeros(0, np.int64)
         rows = pa.array(s.row[some])
         return {"_id": batch.column("_id").take(rows), "_text": batch.column("_text").take(rows), "_at": s.start[some] - s.offsets[s.row[some]],
-                "_windows": s.count[some], "_anchor": s.anchor[some], "_twice": s.twice[some], "_content": signed([content_hash(s.content(k)) for k in some.tolist()])}
+                "_windows": s.count[some] * 2 + s.twice[some], "_anchor": s.anchor[some], "_place": s.occurrence(row_hashes(batch))[some],
+                "_content": signed([content_hash(s.content(k)) for k in some.tolist()])}
 
-    keyed = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text"), "text")
-    return map_text(keyed, run, "_id long, _text long, _at int, _windows int, _anchor long, _twice boolean, _content long", limit=READ_BYTES)
+    return map_text(keyed(docs), run, "_id long, _text long, _at int, _windows int, _anchor long, _place long, _content long", limit=READ_BYTES)
 
 
-def contents(docs: DataFrame, wanted, width: int, gram: int) -> DataFrame:
-    """Different stretches of the wanted anchors with their bytes, first once per batch, then once."""
+def contents(docs: DataFrame, chosen, width: int, gram: int) -> DataFrame:
+    """The stretches at the chosen places with their bytes; a place is one document's, so nothing has to be merged."""
     def run(batch):
         s = found_in(batch, width, gram)
-        some = np.flatnonzero(within(wanted, s.anchor)) if len(s.anchor) else np.zeros(0, np.int64)
-        got = {}
-        for k, anchor in zip(some.tolist(), s.anchor[some].tolist()):
-            got.setdefault((anchor, s.content(k)))
-        return {"_anchor": np.array([a for a, _ in got], np.uint64), "_content": signed([content_hash(c) for _, c in got]), "_bytes": [c for _, c in got]}
+        some = np.flatnonzero(within(chosen, s.occurrence(row_hashes(batch)))) if len(s.anchor) else np.zeros(0, np.int64)
+        parts = [s.content(k) for k in some.tolist()]
+        return {"_anchor": s.anchor[some], "_content": signed([content_hash(p) for p in parts]), "_bytes": parts}
 
-    return map_text(docs.select("text"), run, "_anchor long, _content long, _bytes binary", limit=READ_BYTES).distinct()
+    return map_text(keyed(docs), run, "_anchor long, _content long, _bytes binary", limit=READ_BYTES)
 
 
 REPEATS = "_anchor long, _content long, _nth int, _n int, _class long"
@@ -137,6 +147,7 @@ REPEATS = "_anchor long, _content long, _nth int, _n int, _class long"
 def shard_repeats(rows: pd.DataFrame, width: int) -> pd.DataFrame:
     """Repeated windows of a shard as runs (``_nth``, ``_n``) per stretch; of dealt anchors also the class of every window that is alone
     here, and one row (``_n`` 0) for each class that is not."""
+    rows = rows.drop_duplicates(["_anchor", "_content"]).reset_index(drop=True)       # rows that stand twice
     parts = rows["_bytes"].tolist()
     length = np.array([len(p) for p in parts])
     begin = np.cumsum(length + 1) - (length + 1)
@@ -173,27 +184,29 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_
     """Per document with repeated windows: ``_spans``, an array of (first byte, bytes)."""
     counts = anchor_counts(docs, width, gram)
     found = checkpointed(stretches(docs, slots(counts.where("_n > 1"), "_anchor"), width, gram))
-    each = found.groupBy("_anchor", "_content").agg(F.count("*").alias("_copies"), F.max("_windows").alias("_windows"), F.max("_twice").alias("_twice"))
-    each = checkpointed(each)
-    anchors = checkpointed(each.groupBy("_anchor").agg(F.count("*").alias("_k"), F.max("_twice").alias("_twice"), F.sum(F.col("_windows") + (width - 1)).alias("_bytes"))
-                           .where("_k > 1 or _twice"))
+    # ``_windows`` counts twice the windows, plus one if the anchor stands in the stretch twice.
+    each = checkpointed(found.groupBy("_anchor", "_content").agg(F.count("*").alias("_copies"), F.max("_windows").alias("_windows"), F.min("_place").alias("_place")))
+    twice = (F.col("_windows") % 2 == 1) & (F.col("_copies") == 1)
+    # An array is needed where a stretch that stands once may hold windows of another, or the same window twice.
+    anchors = checkpointed(each.groupBy("_anchor").agg(F.count("*").alias("_k"), F.min("_copies").alias("_least"), F.max(twice).alias("_twice"),
+                                                       F.sum(F.shiftright("_windows", 1) + (width - 1)).alias("_bytes")).where("(_k > 1 and _least = 1) or _twice"))
     size = anchors.agg(F.sum("_bytes")).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
     crowded = checkpointed(anchors.where(F.col("_k") > most).select("_anchor", F.ceil(F.col("_k") / most).cast("int").alias("_salts")))
-    parts = contents(docs, slots(anchors, "_anchor"), width, gram).join(crowded, "_anchor", "left").withColumn("_salts", F.coalesce("_salts", F.lit(1)))
+    parts = contents(docs, slots(each.join(anchors, "_anchor", "left_semi"), "_place"), width, gram)
+    parts = parts.join(crowded, "_anchor", "left").withColumn("_salts", F.coalesce("_salts", F.lit(1)))
     shard = F.pmod(F.xxhash64("_anchor", F.pmod("_content", F.col("_salts"))), F.lit(shards))
-    sorted_ = parts.groupBy(shard.alias("_shard")).applyInPandas(lambda rows: shard_repeats(rows, width), REPEATS)
-    sorted_ = checkpointed(sorted_)
+    sorted_ = checkpointed(parts.groupBy(shard.alias("_shard")).applyInPandas(lambda rows: shard_repeats(rows, width), REPEATS))
     classes = sorted_.where("_class is not null")
     shared = classes.groupBy("_anchor", "_class").agg(F.count("*").alias("_m")).where("_m > 1").drop("_m")
     across = classes.where("_n = 1").join(shared, ["_anchor", "_class"]).select("_anchor", "_content", "_nth", "_n")
     # The other members of a class that is not alone in its shard are among the runs already.
-    copied = each.where("_copies > 1").select("_anchor", "_content", F.lit(0).alias("_nth"), F.col("_windows").alias("_n"))
-    runs = sorted_.where("_class is null").select("_anchor", "_content", "_nth", "_n").union(across).union(copied)
-    runs = runs.groupBy("_anchor", "_content").agg(F.collect_list(F.struct("_nth", "_n")).alias("_runs"))
-    placed = found.select(*KEY, "_at", "_anchor", "_content").join(runs, ["_anchor", "_content"])
-    spans = placed.select(*KEY, F.transform("_runs", lambda r: F.struct((F.col("_at") + r["_nth"]).alias("at"), (r["_n"] + (width - 1)).alias("n"))).alias("_spans"))
-    return spans.groupBy(*KEY).agg(F.flatten(F.collect_list("_spans")).alias("_spans"))
+    once = sorted_.where("_class is null").select("_anchor", "_content", "_nth", "_n").union(across)
+    once = once.join(each.where("_copies = 1").select("_anchor", "_content"), ["_anchor", "_content"], "left_semi")
+    whole = each.where("_copies > 1").select("_anchor", "_content", F.lit(0).alias("_nth"), F.shiftright("_windows", 1).alias("_n"))
+    placed = found.select(*KEY, "_at", "_anchor", "_content").join(whole.union(once), ["_anchor", "_content"])
+    spans = placed.select(*KEY, (F.col("_at") + F.col("_nth")).alias("at"), (F.col("_n") + (width - 1)).alias("n"))
+    return spans.groupBy(*KEY).agg(F.collect_list(F.struct("at", "n")).alias("_spans"))
 
 
 def dedup_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, **parameters) -> DataFrame:
