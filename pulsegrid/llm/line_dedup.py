@@ -9,13 +9,14 @@ equal in doc_id and text are one document, so repeats of a row keep what the row
 pass through, whatever their names.
 
 The shuffles carry hashes and line numbers; a text moves once, to meet its document's covered lines. The count per window combines
-before its shuffle, and the join of windows with repeated windows is an inner join that Spark splits where one window is frequent.
+before its shuffle; repeated windows are written, so that their join back is one of two shuffled tables that Spark splits where a window is frequent.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
 from pulsegrid.llm.registry import query, table
+from pulsegrid.session import checkpointed
 
 WINDOW = 3
 
@@ -38,7 +39,7 @@ def covered_lines(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     windows = line_windows(docs, width)
     repeated = (windows.groupBy("_h1", "_h2").agg(F.count("*").alias("_n"), F.min(F.struct("_id", "_text", "_at")).alias("_first"))
                 .where("_n > 1").select("_h1", "_h2", "_first"))
-    later = windows.join(repeated, ["_h1", "_h2"]).where(~F.struct("_id", "_text", "_at").eqNullSafe(F.col("_first")))
+    later = windows.join(checkpointed(repeated), ["_h1", "_h2"]).where(~F.struct("_id", "_text", "_at").eqNullSafe(F.col("_first")))
     spans = later.groupBy("_id", "_text").agg(F.collect_set("_at").alias("_starts"))
     return spans.select("_id", "_text", F.array_distinct(F.flatten(F.transform("_starts", lambda i: F.sequence(i, i + width - 1)))).alias("_gone"))
 

@@ -101,21 +101,19 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, sample: int):
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> Machine:
-    got = training_rows(docs, labels, label, sample)
+    got = sorted(training_rows(docs, labels, label, sample), key=lambda r: (r["_label"], bytes(r["held"])))     # the same sums whatever order rows arrive in
     y = np.array([r["_label"] for r in got], float)
     none = np.zeros(0)
     if not len(y) or y.min() == y.max():
         share = y.mean() if len(y) else 0.0
         return Machine(none.astype(np.int64), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))), none, np.zeros((0, FACTORS)))
     sets = [np.frombuffer(r["held"], np.int32) for r in got]
-    row, bucket = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets).astype(np.int64)
-    order = np.lexsort((bucket, row, y[row]))           # the same sums whatever order the rows arrive in
-    row, bucket = row[order], bucket[order]
+    row, bucket = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets]), np.concatenate(sets)
     buckets = select(bucket, y[row], y)
-    term = np.searchsorted(buckets, bucket)
-    known = term < len(buckets)
-    known[known] = buckets[term[known]] == bucket[known]
-    return train(buckets, row[known], term[known], y)
+    wanted = np.zeros(1 << BUCKET_BITS, bool)
+    wanted[buckets] = True
+    known = wanted[bucket]
+    return train(buckets, row[known].astype(np.int64), np.searchsorted(buckets, bucket[known]), y)
 
 
 def select(bucket: np.ndarray, label: np.ndarray, y: np.ndarray) -> np.ndarray:
