@@ -6,9 +6,10 @@ sets are one class; classes are banded on compressed registers (``ROWS`` registe
 0.8 two sets share none of 32 bands of 4 with a chance below 1e-7.
 
 Candidates are never all pairs of a band. First each class is held against the first class of its bands, the one with the best estimate
-per class is verified, and links are joined into components. Then only bands that still hold several components are looked at, in blocks
-of at most ``BLOCK`` by ``BLOCK``, and only pairs across components whose estimate could reach the threshold; of these each class has its best pair
-verified, then its next best four, sixteen and so on, until no untested pair is left. So copies and dense groups cost one verification a class, and no link between components is lost.
+per class is verified, and links are joined into components. Then only bands that still hold several components are looked at, in cells
+of at most ``BLOCK`` by ``BLOCK`` classes: a cell tells which components hold classes whose estimate could reach the threshold, as a spanning
+forest. The full sets of the components so bridged meet in cells of the same size, and a cell's verified links leave it as a spanning forest
+too. So what leaves a task grows with the classes, not with their pairs, and no link between components is lost.
 The estimate takes the share of equal registers, less the share that unequal sets of these sizes would agree on by
 chance; a pair is dropped if it is ``SIGMAS`` standard errors below the threshold. Verification counts the full sets.
 
@@ -32,7 +33,8 @@ from pulsegrid.session import checkpointed
 
 BUCKET_BITS, MANTISSA, ROWS = 7, 10, 4
 BUCKETS = 1 << BUCKET_BITS
-BLOCK = 256
+BLOCK = 1024
+CELL_ROWS, PAIRS_AT_ONCE = 8_000, 60_000
 SIGMAS = 5.0
 
 
@@ -160,36 +162,120 @@ def best_pairs(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFram
     return told.groupBy("b").agg(F.max_by("a", F.struct("value", F.col("a") * -1)).alias("a")).select("a", "b")
 
 
-def block_pairs(members: DataFrame, threshold: int, take: int) -> DataFrame:
-    """``members`` (band, node, root, n_shingles, _sketch, _tested) of bands with several components: for each class its ``take`` best possible
-    partners of other components in each pair of blocks; partners already tested are left out."""
-    size = members.groupBy("band").agg(F.count("*").alias("_size"))
-    d = members.join(size, "band").withColumn("_blocks", F.ceil(F.col("_size") / BLOCK).cast("int"))
+def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of the pairs that join two groups not joined before: at most one fewer than there are values."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        x, y = find(x), find(y)
+        if x != y:
+            root[x] = y
+            out.append(k)
+    return np.array(out, np.int64)
+
+
+def in_cells(members: DataFrame, key: str, keep: list[str], rows: int, run, schema: str) -> DataFrame:
+    """``run`` over the cells of every ``key``: keys of more than ``BLOCK`` members are cut into blocks, and each pair of blocks is a cell
+    (column ``_cell``; ``_two``: of two blocks; ``_right``: member of the second). About ``rows`` members make a task's group."""
+    size = members.groupBy(key).agg(F.count("*").alias("_size"))
+    d = members.join(size, key).withColumn("_blocks", F.ceil(F.col("_size") / BLOCK).cast("int"))
     d = d.withColumn("_block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other")
-    d = d.select("band", "node", "root", "n_shingles", "_sketch", "_tested", "_block", other)
-    d = d.withColumns({"_i": F.least("_block", "_other"), "_j": F.greatest("_block", "_other")})
+    d = d.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    d = d.select(*keep, F.xxhash64(key, F.least("_block", "_other"), F.greatest("_block", "_other")).alias("_cell"),
+                 (F.col("_block") > F.col("_other")).alias("_right"), (F.col("_block") != F.col("_other")).alias("_two"))
+    groups = max(1, members.count() // rows)
+    return d.groupBy(F.pmod(F.col("_cell"), F.lit(groups)).alias("_group")).applyInPandas(run, schema)
+
+
+def cells_of(d: pd.DataFrame):
+    """Sorted members and, for each cell, its first place, the first place of its second block and its end."""
+    d = d.sort_values(["_cell", "_right"], kind="stable").reset_index(drop=True)
+    cell, right, two = (d[c].to_numpy() for c in ("_cell", "_right", "_two"))
+    begin = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+    return d, [(a, a + int((~right[a:b]).sum()) if two[a] else None, b) for a, b in zip(begin.tolist(), np.append(begin[1:], len(d)).tolist())]
+
+
+def bridges(members: DataFrame, threshold: int) -> DataFrame:
+    """Pairs of components (a, b) between which a pair of classes may link, from bands with several components.
+
+    ``members``: band, node, root, n_shingles, _sketch. Pairs of classes exist only inside a task, some thousands at a time, until their
+    estimate is known; a task reports a spanning forest of the components it finds bridged.
+    """
+    def judged(d: pd.DataFrame, sketch: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        node, root, n = d["node"].to_numpy(), d["root"].to_numpy(), d["n_shingles"].to_numpy().astype(float)
+        low, high = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
+        once = np.unique(combine(low.view(np.uint64), high.view(np.uint64)), return_index=True)[1]       # bands share pairs
+        a, b = a[once], b[once]
+        ok, _ = possible(sketch[a], sketch[b], n[a], n[b], threshold)
+        return np.unique(np.column_stack([root[a[ok]], root[b[ok]]]), axis=0)
+
+    def run(key, d: pd.DataFrame) -> pd.DataFrame:
+        d, cells = cells_of(d)
+        sketch, found, waiting, held = sketch_of(d["_sketch"]), [np.zeros((0, 2), np.int64)], [], 0
+        root = d["root"].to_numpy()
+        for a, cut, b in cells:
+            two = cut is not None
+            left, right = np.arange(a, cut if two else b), np.arange(cut if two else a, b)
+            step = max(1, PAIRS_AT_ONCE // max(1, len(right)))
+            for first in range(0, len(left), step):                           # some rows of a cell against its columns
+                some = left[first:first + step]
+                x, y = np.nonzero(root[some, None] != root[None, right])
+                x, y = some[x], right[y]
+                waiting.append((x, y) if two else (x[x < y], y[x < y]))
+                held += len(x)
+                if held > PAIRS_AT_ONCE:
+                    found.append(judged(d, sketch, *map(np.concatenate, zip(*waiting))))
+                    waiting, held = [], 0
+        if waiting:
+            found.append(judged(d, sketch, *map(np.concatenate, zip(*waiting))))
+        pairs = np.concatenate(found)
+        return pd.DataFrame(pairs[forest(*pairs.T)], columns=["a", "b"])
+
+    return in_cells(members, "band", ["node", "root", "n_shingles", "_sketch"], CELL_ROWS, run, "a long, b long").distinct()
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of a cell, from their incidence with the shingles that two or more hold."""
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, which, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[which] > 1
+    row, which = row[shared], np.unique(which[shared], return_inverse=True)[1]
+    out, wide = np.zeros((len(sets), len(sets)), np.float32), 4096
+    for first in range(0, int(which.max()) + 1 if len(which) else 0, wide):
+        some = (which >= first) & (which < first + wide)
+        held = np.zeros((len(sets), wide), np.float32)
+        held[row[some], which[some] - first] = 1
+        out += held @ held.T
+    return out
+
 
+def exact_links(members: DataFrame, threshold: int) -> DataFrame:
+    """Links (a, b) across components, from the full sets of all classes of bridged components (``cluster``, node, root, _set): a spanning forest
+    of each cell's links."""
     def run(key, d: pd.DataFrame) -> pd.DataFrame:
-        i, j = key[1], key[2]
-        one, two = d[d["_block"] == i], d[d["_block"] == j]
-        sketch, n = sketch_of(two["_sketch"]), two["n_shingles"].to_numpy()
-        roots, nodes = two["root"].to_numpy(), two["node"].to_numpy()
-        out = []
-        for node, root, mine, size, tested in zip(one["node"], one["root"], one["_sketch"], one["n_shingles"], one["_tested"]):
-            other = roots != root
-            if tested is not None and len(tested):
-                other &= ~np.isin(nodes, tested)
-            some = np.flatnonzero(other)
-            if not len(some):
-                continue
-            ok, value = possible(np.frombuffer(mine, np.uint16), sketch[some], np.float64(size), n[some].astype(float), threshold)
-            if ok.any():
-                for best in some[np.flatnonzero(ok)[np.argsort(-value[ok], kind="stable")[:take]]]:
-                    out.append((min(node, nodes[best]), max(node, nodes[best])))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    return d.groupBy("band", "_i", "_j").applyInPandas(run, "a long, b long").distinct()
+        d, cells = cells_of(d)
+        sets = [np.frombuffer(x, np.uint64) for x in d["_set"]]
+        node, root, size, out = d["node"].to_numpy(), d["root"].to_numpy(), np.array([len(x) for x in sets]), [np.zeros((0, 2), np.int64)]
+        for a, cut, b in cells:
+            both = overlaps(sets[a:b])
+            n = size[a:b]
+            linked = (100 * both >= threshold * (n[:, None] + n[None, :] - both)) & (root[a:b, None] != root[None, a:b])
+            x, y = np.nonzero(np.triu(linked))
+            if cut is not None:
+                across = (x < cut - a) & (y >= cut - a)
+                x, y = x[across], y[across]
+            some = forest(root[a + x], root[a + y])
+            out.append(np.column_stack([node[a + x[some]], node[a + y[some]]]))
+        return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
+
+    return in_cells(members, "cluster", ["node", "root", "_set"], BLOCK, run, "a long, b long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -237,23 +323,20 @@ def near_classes(docs: DataFrame, words_each: int = 2, threshold: int = 80) -> t
     stars = shared.where("node <> a").select("a", F.col("node").alias("b")).distinct()
     tried = checkpointed(best_pairs(stars, classes, threshold))
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        some = classes.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node")
-        return verified(pairs, checkpointed(full_sets(docs, some, words_each)), threshold)
-
-    links, tested, take = checkpointed(confirmed(tried)), tried, 1
-    while True:
-        roots = components(links)
-        labelled = shared.select("band", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        labelled = checkpointed(labelled)
-        mixed = labelled.groupBy("band").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi").select("band")
-        partners = tested.select(F.col("a").alias("node"), F.col("b").alias("_p")).union(tested.select("b", "a")).groupBy("node").agg(F.collect_set("_p").alias("_tested"))
-        members = labelled.join(mixed, "band").join(classes.select("node", "n_shingles", "_sketch"), "node").join(partners, "node", "left")
-        new = checkpointed(block_pairs(members, threshold, take))
-        if new.isEmpty():
-            break
-        links, tested = checkpointed(links.union(confirmed(new))), checkpointed(tested.union(new))
-        take *= 4                                                        # few rounds even where many pairs come close and fail
+    def sets_of(some: DataFrame) -> DataFrame:
+        return checkpointed(full_sets(docs, classes.join(some, "node"), words_each))
+
+    first = verified(tried, sets_of(tried.select(F.col("a").alias("node")).union(tried.select("b")).distinct()), threshold)
+    links = checkpointed(first)
+    roots = components(links)
+    labelled = checkpointed(classes.select("node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    inside = shared.select("band", "node").join(labelled, "node")
+    mixed = inside.groupBy("band").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi").select("band")
+    members = checkpointed(inside.join(mixed, "band").join(classes.select("node", "n_shingles", "_sketch"), "node"))
+    clusters = checkpointed(components(checkpointed(bridges(members, threshold))).select(F.col("node").alias("root"), F.col("root").alias("cluster")))
+    apart = checkpointed(labelled.join(clusters, "root"))
+    more = exact_links(apart.join(sets_of(apart.select("node")), "node"), threshold)
+    roots = components(checkpointed(links.union(more)))
     return rows, classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 

@@ -84,7 +84,7 @@ def similar_texts(seed, n):
     return out
 
 
-@pytest.mark.parametrize("block", [256, 3])
+@pytest.mark.parametrize("block", [1024, 3])
 def test_near_duplicates(spark, make, odd, monkeypatch, block):
     monkeypatch.setattr(near, "BLOCK", block)
     docs = [*odd, *((100 + k, t) for k, t in enumerate(similar_texts(5, 40)))]
