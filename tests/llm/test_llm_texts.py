@@ -119,18 +119,18 @@ def test_license_scan(spark, make, odd):
 
 
 def test_machine_learns_pairs(spark, make):
-    """The label holds where both words stand, which no sum of weights tells from either alone."""
+    """Label 1 for grob with volk and for lob with feind, 0 for the other two pairs: no sum of weights tells these four apart."""
     r = random.Random(6)
     rows, labels = [], []
-    for k in range(1200):
-        w = [f"f{r.randint(0, 50)}" for _ in range(12)]
-        a, b = r.random() < 0.5, r.random() < 0.5
-        rows.append((k, " ".join(w + ["grob"] * a + ["volk"] * b)))
-        labels.append((k, int(a == b)))
+    for k in range(1500):
+        one, two = ("grob" if r.random() < 0.7 else "lob"), ("volk" if r.random() < 0.7 else "feind")
+        rows.append((k, " ".join([f"f{r.randint(0, 50)}" for _ in range(12)] + [one, two])))
+        labels.append((k, int((one == "grob") == (two == "volk"))))
     machine = toxicity.fit(make(rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
     truth = dict(labels)
     held = [x for x in toxicity.scored(make(rows), machine).collect() if zlib.crc32(str(x["doc_id"]).encode()) % 5 == 0]
-    assert np.mean([(x["score"] >= 0.5) == truth[x["doc_id"]] for x in held]) > 0.9
+    assert np.mean([(x["score"] >= 0.5) == truth[x["doc_id"]] for x in held]) > 0.95
+    assert np.mean([x["score"] >= 0.5 for x in held if "lob feind" in x["text"]]) > 0.9
 
 
 def test_scores_of_odd_rows(spark, make, odd):
