@@ -102,8 +102,8 @@ def stretches(docs: DataFrame, repeated, width: int, gram: int) -> DataFrame:
 
 
 def extended(docs: DataFrame, chosen, width: int, gram: int) -> DataFrame:
-    """The chosen (seed, content, id): that id and the keys of the stretch's windows, 8 bytes each. A chosen stretch is emitted by its own
-    document only, so nothing has to be merged."""
+    """The chosen (seed, content, id): that id and the keys of the stretch's windows, 8 bytes each. The bit map may let later copies
+    through, with larger ids, but never keeps the first document back: of each (seed, content) the caller takes the smallest id."""
     def run(batch):
         s = Stretches(batch.column("text"), width, gram)
         content, ids = s.contents(), batch.column("_id").fill_null(LAST).to_numpy()[s.row]
@@ -134,7 +134,8 @@ MATCHES = "_seed long, _content long, _runs array<struct<at:int,n:int>>"
 
 def matched_runs(rows: pd.DataFrame, width: int) -> pd.DataFrame:
     """Of some seeds' stretches: maximal runs of windows whose key a stretch with a smaller id has, as first window and words."""
-    rows = rows.drop_duplicates(["_seed", "_content"])                 # a document may hold a stretch twice, or stand twice
+    # A document may hold a stretch twice, or stand twice; a later copy is a wrong yes of the bit map.
+    rows = rows.sort_values("_least").drop_duplicates(["_seed", "_content"])
     count = np.array([len(k) // 8 for k in rows["_keys"]])
     which = np.repeat(np.arange(len(rows)), count)
     nth = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
@@ -172,7 +173,8 @@ def matches(docs: DataFrame, contents: DataFrame, width: int, gram: int, most: i
     def unpacked(keys: pd.Series) -> pd.Series:
         return keys.map(lambda k: np.frombuffer(k, np.int64))
 
-    each = rows.join(crowded, "_seed", "left_semi").select("_seed", "_content", "_least", F.posexplode(unpacked("_keys")).alias("_nth", "_key"))
+    own = rows.join(crowded, "_seed", "left_semi").groupBy("_seed", "_content").agg(F.min("_least").alias("_least"), F.min_by("_keys", "_least").alias("_keys"))
+    each = own.select("_seed", "_content", "_least", F.posexplode(unpacked("_keys")).alias("_nth", "_key"))
     least = each.groupBy("_seed", "_key").agg(F.min("_least").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     hits = each.join(least, ["_seed", "_key"]).where("_first < _least")
     rare = hits.groupBy("_seed", "_content").agg(F.collect_set(F.struct(F.col("_nth").alias("at"), F.lit(width).alias("n"))).alias("_runs"))

@@ -1,6 +1,6 @@
 """A bit map of fixed size over 64-bit hashes: says for sure that a hash is not in a table, so that the rest need not be shuffled.
 
-A hash takes the slot of its first bits. A wrong yes costs a row that the next join drops; no result depends on it. The map has
+A hash takes the slot of its first bits. A wrong yes costs a row that the next join or aggregate drops; no result depends on it. The map has
 2^bits bits whatever the size of the table, which bounds what the driver holds and broadcasts.
 """
 from __future__ import annotations

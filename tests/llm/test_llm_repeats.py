@@ -55,6 +55,16 @@ def test_passages(spark, make, odd, most):
     assert Counter(map(tuple, got)) == Counter((i, *x) for (i, _), x in zip(docs, brute.passages_removed(docs, 6)))
 
 
+@pytest.mark.parametrize("most", [2048, 1])
+def test_passages_with_a_full_bit_map(spark, make, odd, monkeypatch, most):
+    """A bit map so small that nearly every hash is a wrong yes costs rows on the way, not results."""
+    wide = seeds.slots
+    monkeypatch.setattr(seeds, "slots", lambda t, column, bits=27: wide(t, column, 11))
+    docs = [*odd, *((100 + k, t) for k, t in enumerate(texts(2, 200, ["a", "b", "c", "d,"], 60)))]
+    got = seeds.dedup_passages(make(docs), 6, 3, most).collect()
+    assert Counter(map(tuple, got)) == Counter((i, *x) for (i, _), x in zip(docs, brute.passages_removed(docs, 6)))
+
+
 def test_lines(spark, make):
     docs = [(k, t) for k, t in enumerate(texts(3, 60, ["p", "q", "", "r"], 12, "\n"))]
     got = {r["doc_id"]: (r["text"], r["n_removed"], r["n_lines"]) for r in dedup_lines(make(docs)).collect()}
