@@ -3,8 +3,10 @@
 Public vocabularies measure each whole text: characters per token, share of tokens that are byte fallbacks, entropy of the
 tokens. A document goes if a measure leaves the band of its language (its script where the language is null) and length class. A band
 is fitted on all documents: ``REACH`` deviations around the median, the deviation told by the median distance from it, so that
-neither a tail of junk nor its size moves the band much. A group of fewer than ``LEAST_GROUP`` documents uses the band of all languages
-in its length class, and no band where that is as small.
+neither a tail of junk nor its size moves the band much. A class of fewer than ``LEAST_GROUP`` documents takes in the nearest classes of
+the same language until there are as many, or all of that language: never another language, and never no band. What it takes in is
+moved along the language's trend by class. Longer texts vary less, so their distances count for more in a class of shorter ones; the band
+of fewer documents is wider as their median is less sure.
 
 Defined cases: a null or empty text has no words and no measures (null) and fails the base rules; texts of fewer than
 ``LEAST_TOKENS`` tokens are judged by the base rules alone; repeated rows are judged alike; other columns are not read.
@@ -16,7 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from pulsegrid.llm.arrow import map_text, rows_of
 from pulsegrid.llm.pieces import pieces
@@ -151,35 +153,68 @@ def length_class():
     return F.when(F.col("n_tokens") >= LEAST_TOKENS, F.floor(F.log2("n_tokens"))).alias("_class")
 
 
-def fit_bands(measured: DataFrame, by: list[str]) -> DataFrame:
-    """Low and high of each measure per group: median and median distance from it, from sketches that merge per partition."""
-    rows = measured.where(F.col("_class").isNotNull())
-    middle = rows.groupBy(*by).agg(*[F.percentile_approx(m, 0.5, 10_000).alias(f"{m}_mid") for m in MEASURES], F.count("*").alias("_n"))
-    middle = middle.where(F.col("_n") >= LEAST_GROUP).drop("_n")
-    away = rows.join(middle, by).groupBy(*by, *[f"{m}_mid" for m in MEASURES]).agg(
-        *[F.percentile_approx(F.abs(F.col(m) - F.col(f"{m}_mid")), 0.5, 10_000).alias(f"{m}_away") for m in MEASURES])
-    reach = {m: REACH * F.greatest(1.4826 * F.col(f"{m}_away"), F.lit(least)) for m, least in MEASURES.items()}
-    return away.select(*by, *[c for m in MEASURES for c in ((F.col(f"{m}_mid") - reach[m]).alias(f"{m}_low"), (F.col(f"{m}_mid") + reach[m]).alias(f"{m}_high"))])
-
-
-def judge(measured: DataFrame, own: DataFrame, every: DataFrame) -> DataFrame:
-    """Base rules, then the bands of the group or else of all groups; ``reject`` names the first measure outside its band."""
-    names = [f"{m}_{side}" for m in MEASURES for side in ("low", "high")]
-    every = every.withColumnsRenamed({c: f"all_{c}" for c in names})
-    d = measured.join(own, ["band_group", "_class"], "left").join(every, ["_class"], "left")
+def near_classes(rows: DataFrame) -> DataFrame:
+    """Per group and class the classes its band is fitted on (``_class`` for ``_for``), of the same group: all whose nearer ones hold fewer
+    than ``LEAST_GROUP`` documents. ``_n``: documents of the band. A group has at most some tens of classes."""
+    sizes = checkpointed(rows.groupBy("band_group", "_class").agg(F.count("*").alias("_rows")))
+    pairs = sizes.select("band_group", F.col("_class").alias("_for")).join(sizes, "band_group")
+    pairs = pairs.withColumn("_apart", F.abs(F.col("_class") - F.col("_for")))
+    nearer = Window.partitionBy("band_group", "_for").orderBy("_apart").rangeBetween(Window.unboundedPreceding, -1)
+    taken = pairs.withColumn("_nearer", F.coalesce(F.sum("_rows").over(nearer), F.lit(0))).where(F.col("_nearer") < LEAST_GROUP)
+    return taken.select("band_group", "_class", "_for", F.sum("_rows").over(Window.partitionBy("band_group", "_for")).alias("_n"))
+
+
+def trends(rows: DataFrame, bands: DataFrame) -> DataFrame:
+    """Per group the change of each measure from one class to the next, fitted on what lies inside ``bands``."""
+    d = rows.join(bands, ["band_group", "_class"])
+    inside = {m: F.when(F.col(m).between(F.col(f"{m}_low"), F.col(f"{m}_high")), F.col(m)) for m in MEASURES}
+    return d.groupBy("band_group").agg(*[F.coalesce(F.regr_slope(x, F.col("_class")), F.lit(0.0)).alias(f"{m}_trend") for m, x in inside.items()])
+
+
+def fit_bands(measured: DataFrame) -> DataFrame:
+    """Bands per group and class: a first fit tells what the trends are fitted on, the second follows them."""
+    rows = measured.where(F.col("_class").isNotNull()).select("band_group", "_class", *MEASURES)
+    near = checkpointed(near_classes(rows))
+    level = near.select("band_group").distinct().select("band_group", *[F.lit(0.0).alias(f"{m}_trend") for m in MEASURES])
+    found = checkpointed(trends(rows, checkpointed(spread(rows, near, level))))
+    return checkpointed(spread(rows, near, found))
+
+
+def spread(rows: DataFrame, near: DataFrame, trend: DataFrame) -> DataFrame:
+    """Low and high of each measure per group and class: median and median distance from it, from sketches that merge per partition, or
+    exactly where the documents are few."""
+    few, by = F.col("_n") < LEAST_GROUP, ["band_group", "_for", "_n"]
+    moved = [(F.col(m) + F.col(f"{m}_trend") * (F.col("_for") - F.col("_class"))).alias(m) for m in MEASURES]
+    rows = rows.join(near.join(trend, "band_group"), ["band_group", "_class"]).select("band_group", "_class", "_for", "_n", *moved)
+
+    def middle(value):
+        return F.coalesce(F.percentile(F.when(few, value), 0.5), F.percentile_approx(F.when(~few, value), 0.5, 10_000))
+
+    mids = rows.groupBy(*by).agg(*[middle(F.col(m)).alias(f"{m}_mid") for m in MEASURES])
+    shorter = F.pow(F.lit(2.0), F.greatest(F.col("_class") - F.col("_for"), F.lit(0)) / 2)          # deviations fall with the root of the tokens
+    away = rows.join(mids, by).groupBy(*by, *[f"{m}_mid" for m in MEASURES]).agg(
+        *[middle(F.abs(F.col(m) - F.col(f"{m}_mid")) * shorter).alias(f"{m}_away") for m in MEASURES])
+    unsure = F.sqrt(LEAST_GROUP / F.least("_n", F.lit(LEAST_GROUP)))
+    reach = {m: REACH * unsure * F.greatest(1.4826 * F.col(f"{m}_away"), F.lit(least)) for m, least in MEASURES.items()}
+    return away.select("band_group", F.col("_for").alias("_class"),
+                       *[c for m in MEASURES for c in ((F.col(f"{m}_mid") - reach[m]).alias(f"{m}_low"), (F.col(f"{m}_mid") + reach[m]).alias(f"{m}_high"))])
+
+
+def judge(measured: DataFrame, bands: DataFrame) -> DataFrame:
+    """Base rules, then the bands; ``reject`` names the first measure outside its band."""
+    d = measured.join(bands, ["band_group", "_class"], "left")
     reject = F.lit(None).cast("string")
     for m in reversed(list(MEASURES)):
-        low, high = (F.coalesce(f"{m}_{s}", f"all_{m}_{s}") for s in ("low", "high"))
-        reject = F.when((F.col(m) < low) | (F.col(m) > high), F.lit(m)).otherwise(reject)
+        reject = F.when((F.col(m) < F.col(f"{m}_low")) | (F.col(m) > F.col(f"{m}_high")), F.lit(m)).otherwise(reject)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return (d.withColumn("base_failed", failed).withColumn("reject", F.when(failed, F.lit("base")).otherwise(reject))
-            .withColumn("kept", F.col("reject").isNull()).drop("_class", *names, *[f"all_{c}" for c in names]))
+            .withColumn("kept", F.col("reject").isNull()).drop("_class", *[f"{m}_{side}" for m in MEASURES for side in ("low", "high")]))
 
 
 def quality(docs: DataFrame, **parameters) -> DataFrame:
     """Measures and verdict per document. The measures are written once, as fitting and judging both read them."""
     measured = checkpointed(measure(docs, **parameters).withColumn("_class", length_class()))
-    return judge(measured, fit_bands(measured, ["band_group", "_class"]), fit_bands(measured, ["_class"]))
+    return judge(measured, fit_bands(measured))
 
 
 @query("op1_token_fertility")

@@ -34,6 +34,25 @@ def test_bands_reject_what_leaves_its_group(spark, make):
     assert all(got[k]["kept"] or got[k]["base_failed"] for k in range(150))
 
 
+def test_small_classes_use_bands_of_their_own_language(spark):
+    """Twelve Spanish texts in a class of mostly English ones, and English texts in classes that hold few of any language."""
+    r = random.Random(5)
+    parts = {"en": "the of and to in is was for on with that by from at as it be this".split(), "es": "también según aquí están después niñez señalé corazón algún ningún".split()}
+    lexicon = {lang: ["".join(r.sample(p, r.randint(1, 2))) for _ in range(1500)] for lang, p in parts.items()}
+    text = lambda lang, n: " ".join(r.choice(lexicon[lang]) for _ in range(n))
+    junk = " ".join("".join(r.choice("qxzjkv0987") for _ in range(9)) for _ in range(200))
+    rows = [(k, "en", text("en", r.randint(60, 260))) for k in range(200)] + [(200 + k, "es", text("es", r.randint(15, 45))) for k in range(200)]
+    rows += [(400 + k, "es", text("es", 66)) for k in range(12)] + [(500 + k, "en", text("en", 400)) for k in range(5)] + [(600, "en", junk), (700, "fr", text("es", 66))]
+    docs = spark.createDataFrame([(i, t, lang) for i, lang, t in rows], "doc_id long, text string, lang string")
+    got = {x["doc_id"]: x for x in token_fertility.quality(docs).collect()}
+    assert not any(x["base_failed"] for x in got.values())
+    classes = Counter((got[i]["band_group"], int(np.log2(got[i]["n_tokens"]))) for i, _, _ in rows)
+    size = lambda k: classes[got[k]["band_group"], int(np.log2(got[k]["n_tokens"]))]
+    assert all(size(k) < token_fertility.LEAST_GROUP for k in (400, 500, 600, 700))
+    assert not got[600]["kept"]
+    assert {k: got[k]["reject"] for k in (*range(400, 412), *range(500, 505), 700) if not got[k]["kept"]} == {}
+
+
 def test_fingerprints(spark, make, odd):
     r = random.Random(2)
     docs = [*odd[:3], *odd[5:11], *odd[12:], *((100 + k, " ".join(f"t{int(r.paretovariate(0.6)) % 3000}" for _ in range(200))) for k in range(150))]
