@@ -5,8 +5,10 @@ subsequence of their places is kept, and the gaps between kept anchors are align
 have been taken. Coverage is the share of the template's words that the alignment reaches.
 
 A text is aligned only where that can reach the threshold: every region whose words include enough words of the template is a candidate,
-found by running counts over the whole text, so a short notice in a long text and several notices in one text are all seen. A region is at
-most ``REGION`` template lengths long; longer ones are cut into overlapping regions that each hold a whole notice.
+found by running counts over the whole text, so a short notice in a long text and several notices in one text are all seen. In a region
+an alignment starts at each place from which enough words follow, no word counted more often than the template has it, and takes in no
+more text than those words need: so a second notice close by leaves the words of the first one single. What is left before and behind
+a match is searched again. Overlapping matches go to the highest coverage, then to the longer template.
 
 Defined cases: null and empty texts have no license; of equal coverage the longer template is reported, then the earlier place;
 repeated rows are scanned alike; other columns are not read.
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter, deque
 from functools import lru_cache
 
 import numpy as np
@@ -126,21 +129,95 @@ def templates_of(items: tuple) -> Templates:
 
 
 def regions(places: np.ndarray, row_end: np.ndarray, length: int, need: int) -> list[tuple[int, int]]:
-    """Word ranges in which ``need`` of the given places lie within ``REGION`` template lengths; each at most twice as long."""
-    reach = REGION * length
-    stop = np.minimum(places + reach, row_end)
+    """Word ranges in which ``need`` of the given places lie within ``REGION`` template lengths."""
+    stop = np.minimum(places + REGION * length, row_end)
     dense = np.searchsorted(places, stop) - np.arange(len(places)) >= need
     out: list[list[int]] = []
     for a, b in zip(places[dense].tolist(), stop[dense].tolist()):
-        if out and a < out[-1][1] and b - out[-1][0] <= 2 * reach:
+        if out and a < out[-1][1]:
             out[-1][1] = b
         else:
             out.append([a, b])
     return [(a, b) for a, b in out]
 
 
+def promising(text: list, room: Counter, first: int, last: int, reach: int, need: int):
+    """Places from which ``reach`` words hold ``need`` of the template's, each counted as often as it stands there at most."""
+    inside, seen, total = deque(), Counter(), 0
+    places = [q for q in range(first, last) if text[q] in room]
+    ahead = 0
+    for p in places:
+        while ahead < len(places) and places[ahead] < p + reach:
+            w = text[places[ahead]]
+            total += seen[w] < room[w]
+            seen[w] += 1
+            inside.append(w)
+            ahead += 1
+        if total >= need:
+            yield p
+        w = inside.popleft()
+        seen[w] -= 1
+        total -= seen[w] < room[w]
+
+
+def aligned(text: list, template: list, room: Counter, first: int, last: int, need: int) -> list[tuple[int, int]]:
+    """Best alignment from ``first`` on, among the shortest ranges that hold need, need + 1, ... words of the template (empty: none)."""
+    seen, ends = Counter(), []
+    for q in range(first, last):
+        w = text[q]
+        if seen[w] < room.get(w, 0):
+            seen[w] += 1
+            ends.append(q + 1)
+    best: list[tuple[int, int]] = []
+    for n in range(len(ends), need - 1, -1):
+        if len(best) >= n:
+            break
+        pairs = patience(text[first:ends[n - 1]], template)
+        if len(pairs) >= max(need, len(best) + 1):
+            best = [(first + i, k) for i, k in pairs]
+    return best
+
+
+def notices(text: list, template: list, need: int) -> list[list[tuple[int, int]]]:
+    """Disjoint alignments of at least ``need`` words, as many as the text holds."""
+    room, reach = Counter(template), REGION * len(template)
+    out, work = [], [(0, len(text))]
+    while work:
+        lo, hi = work.pop()
+        if hi - lo < need:
+            continue
+        for p in promising(text, room, lo, hi, reach, need):
+            pairs = aligned(text, template, room, p, min(hi, p + 2 * reach), need)
+            if not pairs:
+                continue
+            while True:                                                   # words before the notice may have stood for some of its end
+                x = pairs[0][0]
+                more = aligned(text, template, room, x, min(hi, x + 2 * reach), need)
+                if len(more) <= len(pairs):
+                    break
+                pairs = more
+            # The end may be borrowed from a next notice that begins in a gap.
+            for n in range(need, len(pairs)):
+                start = next((q for q in range(pairs[n - 1][0] + 1, pairs[n][0]) if text[q] in room), None)
+                if start is not None and (more := aligned(text, template, room, start, min(hi, start + 2 * reach), need)) and more[0][0] < pairs[n][0]:
+                    pairs = pairs[:n]
+                    break
+            # A gap that holds a notice itself: the match is on one side of it.
+            gap = next((n for n, (i, j) in enumerate(zip(pairs, pairs[1:])) if j[0] - i[0] > need and notices(text[i[0] + 1:j[0]], template, need)), None)
+            if gap is not None:
+                left, right = pairs[:gap + 1], pairs[gap + 1:]
+                pairs = max(left, right, key=len)
+                if len(pairs) < need:
+                    work += [(p, left[-1][0] + 1), (left[-1][0] + 1, right[0][0]), (right[0][0], hi)]
+                    break
+            out.append(pairs)
+            work += [(p, pairs[0][0]), (pairs[-1][0] + 1, hi)]
+            break
+    return out
+
+
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """Per document: best license (null: none), its coverage and word range, number of notices and all licenses above the threshold."""
+    """Per document: best license (null: none), its coverage and word range, number of notices and their licenses."""
     items = tuple(templates.items())
 
     def run(batch):
@@ -168,11 +245,15 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
             row_end = words.first[1:][words.row[places]]
             for a, b in regions(places, row_end, len(template), need):
                 text = [words.data[starts[w]:ends[w]].tobytes().decode("utf-8", "replace") for w in range(a, b)]
-                pairs = patience(text, template)
-                if len(pairs) >= need:
-                    row = int(words.row[a])
-                    begin = int(words.first[row])
+                row = int(words.row[a])
+                begin = int(words.first[row])
+                for pairs in notices(text, template, need):
                     found.setdefault(row, []).append((len(pairs) / len(template), len(template), -(a + pairs[0][0] - begin), a + pairs[-1][0] + 1 - begin, k))
+        for row, matches in found.items():
+            found[row] = []
+            for x in sorted(matches, reverse=True):
+                if all(x[3] <= -y[2] or y[3] <= -x[2] for y in found[row]):
+                    found[row].append(x)
         best = [max(found[r]) if r in found else None for r in range(batch.num_rows)]
         return {"doc_id": batch.column("doc_id"), "license": [own.names[x[4]] if x else None for x in best], "coverage": [x[0] if x else 0.0 for x in best],
                 "first_word": [-x[2] if x else None for x in best], "end_word": [x[3] if x else None for x in best],

@@ -137,6 +137,21 @@ def test_license_scan(spark, make, odd):
     assert all(got[k]["license"] is None for k in (0, 1, 2, 6, 9, 103, 104))
 
 
+def test_notices_close_together(spark, make):
+    line, mit, apache = "Released under the MIT License.", licenses.TEMPLATES["mit"], licenses.TEMPLATES["apache-2.0"]
+    tail = "Thanks to all who helped with this project over many years"
+    docs = [(1, f"See the docs. {line} {line} {tail}"), (2, f"See the docs. {line} Now come more. {line} {tail}"), (3, f"the {mit} {mit} {tail}"),
+            (4, f"of {apache} and {apache} the {apache} {tail}"), (5, f"the {apache} {mit} {line} {tail}"), (6, f"See the docs. {line} {tail}")]
+    got = {r["doc_id"]: r for r in licenses.scan(make(docs)).collect()}
+    assert [(got[k]["license"], got[k]["coverage"], got[k]["n_notices"]) for k in range(1, 7)] == \
+        [("mit-line", 1, 2), ("mit-line", 1, 2), ("mit", 1, 2), ("apache-2.0", 1, 3), ("mit", 1, 3) if len(mit.split()) > len(apache.split()) else ("apache-2.0", 1, 3), ("mit-line", 1, 1)]
+    assert got[5]["licenses"] == ["apache-2.0", "mit", "mit-line"] and got[1]["first_word"] == 3
+    words = licenses.plain_words(mit)
+    need = int(np.ceil(licenses.THRESHOLD * len(words)))
+    ends = [(p[0][0], p[-1][0] + 1, len(p)) for p in licenses.notices(words[:-1] + words, words, need)]
+    assert sorted(ends) == [(0, len(words) - 1, len(words) - 1), (len(words) - 1, 2 * len(words) - 1, len(words))]
+
+
 def test_machine_learns_pairs(spark, make):
     """Label 1 for grob with volk and for lob with feind, 0 for the other two pairs: no sum of weights tells these four apart."""
     r = random.Random(6)
