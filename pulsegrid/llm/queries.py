@@ -1,4 +1,4 @@
 """All queries of the subpackage: importing this module registers them."""
-from pulsegrid.llm import (byte_repeats, fingerprints, licenses, line_dedup, near, seeds, sentencepiece_codec, source_mixing,  # noqa: F401
-                           token_fertility, toxicity)
+from pulsegrid.llm import (byte_repeats, conversation_trie, decontamination, fingerprints, licenses, line_dedup, near, seeds,  # noqa: F401
+                           sentencepiece_codec, source_mixing, token_alignment, token_fertility, toxicity)
 from pulsegrid.llm.registry import ORACLES, QUERIES  # noqa: F401
