@@ -9,7 +9,7 @@ from pulsegrid.plans.signals import CLOCK_SQL
 from pulsegrid.session import shared_folder
 from pulsegrid.sources.tables import read, seconds
 from pulsegrid.streaming import operators as so
-from pulsegrid.streaming.replay import event_stream, run_to_end
+from pulsegrid.streaming.replay import CLOSING, EVENTS, drained, event_stream, run_to_end
 
 EPOCH = "epoch_us({0}) / 1e6"
 
@@ -43,16 +43,20 @@ def stream_dedupe_windows(spark, d):
     return run_to_end(so.dedupe_windows(s, ["user_id", "day", "event_type"], "2 days").select("user_id", "day", "event_type"), "dedupe")
 
 
-def state_rows(spark, d):
-    s = event_stream(spark, f"{d}/events.parquet")
-    return s.select("user_id", "event_id", "event_type", "valid", ((F.unix_micros("ts") - 1704067200000000) / F.lit(1e6)).alias("t"), F.col("value").alias("x"),
+def state_rows(s):
+    return s.select("ts", "user_id", "event_id", "event_type", "valid", ((F.unix_micros("ts") - 1704067200000000) / F.lit(1e6)).alias("t"), F.col("value").alias("x"),
                     F.from_json("props", "k int")["k"].cast("double").alias("y"))
 
 
+def folded(spark, d, processor, output, name, delay="1 hour", files_per_trigger=None):
+    """Keyed fold of the whole event table in event-time order; the delay has to cover how far files are out of order."""
+    return drained(event_stream(spark, f"{d}/events.parquet", files_per_trigger), lambda s: so.keyed(state_rows(s), processor, output, delay, CLOSING), name)
+
+
 @query("stream_motion", f"""with c as (select *, (epoch_us(ts) - epoch_us(timestamp '2024-01-01')) / 1e6 as t, cast(json_extract_string(props, '$.k') as integer) as y from events), s as (select *, lag(t) over w as pt, lag("value") over w as px, lag(y) over w as py from c where event_type <> 'error' window w as (partition by user_id order by t, event_id))
 select user_id, event_id, {R('case when t - pt <= 86400 then sqrt(pow("value" - px, 2) + pow(y - py, 2)) / (t - pt) * 3600 end')} as motion_per_hour from s union all select user_id, event_id, null from c where event_type = 'error'""")
 def stream_motion(spark, d):
-    out = run_to_end(so.keyed(state_rows(spark, d), so.Motion(86400.0), "user_id long, event_id long, motion_per_hour double"), "motion")
+    out = folded(spark, d, so.Motion(86400.0), "user_id long, event_id long, motion_per_hour double", "motion")
     return out.select("user_id", "event_id", rnd("motion_per_hour").alias("motion_per_hour"))
 
 
@@ -64,30 +68,42 @@ LOCK_SQL = """recursive fr as (select user_id, event_id, event_type as label, "v
 
 @query("stream_identity_lock", f"with {LOCK_SQL} select user_id, event_id, outcome from lk")
 def stream_identity_lock(spark, d):
-    return run_to_end(so.keyed(state_rows(spark, d), so.IdentityLock(30.0), "user_id long, event_id long, outcome string"), "identity")
+    return folded(spark, d, so.IdentityLock(30.0), "user_id long, event_id long, outcome string", "identity")
 
 
 @query("stream_fallback_clock", f"with {CLOCK_SQL} select recording as user_id, event_id, {R('t')} as t, case when used then 'container' else 'nominal_fallback' end as source from ck")
 def stream_fallback_clock(spark, d):
-    out = run_to_end(so.keyed(state_rows(spark, d), so.FallbackClock(600.0), "user_id long, event_id long, t double, source string"), "clock")
+    out = folded(spark, d, so.FallbackClock(600.0), "user_id long, event_id long, t double, source string", "clock")
     return out.select("user_id", "event_id", rnd("t").alias("t"), "source")
 
 
-@query("stream_late_policy", f"""with e as (select user_id, cast(epoch_us(ts) // 86400000000 as bigint) as day, "value" as x from events), mx as (select cast(floor((epoch_ms(max(ts)) - 86400000) / 86400000e0) as bigint) as closed from events),
- g as (select user_id, day, count(*) as samples, {R('avg(x)')} as mean_value from e group by 1, 2) select g.*, day - 19723 >= 21 and day < closed as live from g, mx""")
+@query("stream_late_policy", f"""with e as (select user_id, cast(epoch_us(ts) // 86400000000 as bigint) as day, "value" as x from events),
+ mx as (select cast(floor((epoch_ms(max(ts)) - 86400000) / 86400000e0) as bigint) as closed from events),
+ g as (select user_id, day, count(*) as samples, {R('avg(x)')} as mean_value from e group by 1, 2),
+ dropped as (select count(*) as n from e, mx where day - 19723 < 21 and day < closed)
+ select g.*, day - 19723 >= 21 and day < closed as live, case when day - 19723 < 21 and day < closed then samples else 0 end as late_rows, dropped.n as dropped_rows from g, mx, dropped""")
 def stream_late_policy(spark, d):
-    """Newest weeks first: a row behind the watermark is dropped by the stream, and a backfill supplies its window.
+    """Newest weeks first: rows of windows that have closed are dropped by the stream and counted, and a backfill rewrites those windows only.
 
-    Every window stays in the result; ``live`` tells whether the stream itself delivered it complete.
+    Every window stays in the result; ``live`` tells whether the stream itself delivered it, ``late_rows`` how many of its rows came too late,
+    and ``dropped_rows`` what the stream's own metric counted in all.
     """
-    base, state = shared_folder(spark, "late"), shared_folder(spark, "late-live")
+    base, state, table = (shared_folder(spark, n) for n in ("late", "late-live", "late-table"))
     e = read(spark, d, "events").withColumn("week", F.floor(seconds() / 604800.0))
-    day = lambda c: F.floor(F.unix_micros(c) / 86400000000)
+    closed, dropped = None, 0
     for part in ("week >= 3", "week < 3"):        # each arrival is one batch, whatever its number of files
-        e.where(part).drop("week").write.mode("append").parquet(base)
-        s = event_stream(spark, base).withWatermark("ts", "1 day").groupBy("user_id", F.window("ts", "1 day")).agg(F.count("*").alias("samples"))
-        live = run_to_end(s, "late-live", base=state)
-    live = live.select("user_id", day("window.start").alias("day"), F.col("samples").alias("live_samples"))
-    e = e.drop("week")
-    full = e.withColumn("ts", F.col("ts").cast("timestamp")).groupBy("user_id", day("ts").alias("day")).agg(F.count("*").alias("samples"), rnd(F.avg("value")).alias("mean_value"))
-    return full.join(live, ["user_id", "day"], "left").select("user_id", "day", "samples", "mean_value", F.coalesce(F.col("live_samples") == F.col("samples"), F.lit(False)).alias("live"))
+        arrival = e.where(part).drop("week")
+        arrival.write.mode("append").parquet(base)
+        run = so.daily_live(event_stream(spark, base), "1 day", closed)
+        progress: list = []
+        live = run_to_end(run, "late-live", base=state, progress=progress)
+        dropped += sum(p["observedMetrics"]["arrived"]["late"] for p in progress if "arrived" in p.get("observedMetrics", {}))
+        if closed is None:
+            live.write.partitionBy("day").parquet(table)
+        else:
+            so.backfill(spark, table, spark.read.schema(EVENTS).parquet(base), so.late_rows(arrival, closed))
+        closed = max(p["eventTime"]["watermark"] for p in progress if "watermark" in p.get("eventTime", {}))
+    published = spark.read.parquet(table).select("user_id", F.col("day").cast("long").alias("day"), "samples", rnd("mean_value").alias("mean_value"), "live", "late_rows")
+    waiting = so.daily(e).where(so.window_end("day") > F.lit(closed).cast("timestamp"))        # not yet closed: no stream row so far
+    waiting = waiting.select("user_id", "day", "samples", rnd("mean_value").alias("mean_value"), F.lit(False).alias("live"), F.lit(0).cast("long").alias("late_rows"))
+    return published.union(waiting).withColumn("dropped_rows", F.lit(dropped).cast("long"))

@@ -30,7 +30,6 @@ def local_session(app: str = "pulsegrid", cpus: str | int = 8) -> SparkSession:
              .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
              .config("spark.driver.memory", os.environ.get("PULSEGRID_DRIVER_MEMORY", "12g"))
              .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-             .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
              .config("spark.checkpoint.dir", local_folder())
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")

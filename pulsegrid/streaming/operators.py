@@ -5,10 +5,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from pulsegrid.functions.cols import joined, reasons
+from pulsegrid.session import checkpointed
 
 
 def window_quality(events: DataFrame, length: str, hop: str, delay: str, min_valid: float = .75, max_cv: float = 1.0) -> DataFrame:
@@ -36,52 +38,140 @@ def dedupe_windows(events: DataFrame, keys: list[str], delay: str) -> DataFrame:
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
 
 
-class _Keyed(StatefulProcessor):
-    """Per-key fold over the rows of each micro-batch in time order; subclasses keep one small state row."""
+def window_end(day) -> F.Column:
+    """Instant at which a day, counted from 1970, ends."""
+    return F.timestamp_seconds((F.col(day) if isinstance(day, str) else day) * 86400 + 86400)
+
+
+def _day():
+    return F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86400000000)
+
+
+def daily(events: DataFrame) -> DataFrame:
+    return events.groupBy("user_id", _day().alias("day")).agg(F.count("*").alias("samples"), F.avg("value").alias("mean_value"))
+
+
+def daily_live(events: DataFrame, delay: str, closed: str | None) -> DataFrame:
+    """Daily windows as the stream delivers them. Rows of windows that the watermark ``closed`` has passed are dropped by the aggregate; the
+    observed metric ``arrived.late`` counts them, row by row (the engine's own metric counts partial groups)."""
+    late = F.lit(False) if closed is None else window_end(_day()) <= F.lit(closed).cast("timestamp")
+    g = events.observe("arrived", F.count_if(late).alias("late"), F.count("*").alias("rows")).withWatermark("ts", delay).groupBy("user_id", F.window("ts", "1 day"))
+    return g.agg(F.count("*").alias("samples"), F.avg("value").alias("mean_value")).select(
+        "user_id", F.floor(F.unix_micros("window.start") / 86400000000).alias("day"), "samples", "mean_value", F.lit(True).alias("live"), F.lit(0).cast("long").alias("late_rows"))
+
+
+def late_rows(arrival: DataFrame, closed: str) -> DataFrame:
+    """Rows of an arrival that fall into windows the watermark had passed before it."""
+    return arrival.where(window_end(_day()) <= F.lit(closed).cast("timestamp"))
+
+
+def backfill(spark: SparkSession, table: str, events: DataFrame, late: DataFrame) -> None:
+    """Rewrite the windows that ``late`` touches in a published table of daily windows: only their day folders are written, and windows of
+    those days without late rows keep what the stream delivered."""
+    touched = checkpointed(late.groupBy("user_id", _day().alias("day")).agg(F.count("*").alias("late_rows")))
+    days = touched.select(F.col("day").alias("_day")).distinct()
+    whole = daily(events.join(days, _day() == F.col("_day"), "left_semi")).join(touched, ["user_id", "day"])
+    old = spark.read.parquet(table).withColumn("day", F.col("day").cast("long")).join(days, F.col("day") == F.col("_day"), "left_semi")
+    kept = old.join(touched, ["user_id", "day"], "left_anti")
+    columns = ["user_id", "samples", "mean_value", "live", "late_rows", "day"]
+    new = checkpointed(kept.select(columns).union(whole.withColumn("live", F.lit(False)).select(columns)))
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(table)
+
+
+class Ordered(StatefulProcessor):
+    """Per-key fold in event-time order, whatever the order of arrival.
+
+    Rows wait in state under their time bucket, packed as they arrived. An event-time timer at the end of a bucket fires when the watermark
+    has passed it: that bucket alone is read, sorted and folded, so neither a batch nor a whole key is ever one frame. The state a fold leaves
+    may expire: with ``gap`` it is cleared once no row that is still to come can lie within the gap of the last one.
+    """
 
     state_schema = ""
+    order = ["t", "event_id"]
+
+    def __init__(self, bucket: float, gap: float | None = None) -> None:
+        self.bucket, self.gap = int(bucket * 1000), None if gap is None else int(gap * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._waiting = handle.getMapState("waiting", "bucket long, part long", "rows binary")
+        self._parts = handle.getMapState("parts", "bucket long", "n long")
         self._state = handle.getValueState("last", self.state_schema)
+        self._seen = handle.getValueState("seen", "at long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["t", "event_id"])      # one key of one micro-batch
-        state = self._state.get() if self._state.exists() else None
-        out, state = self.fold(key[0], pdf, state)
-        if state is not None:
-            self._state.update(state)
-        yield out
+        for pdf in rows:
+            for bucket, part in pdf.groupby(pdf["at"] // self.bucket):
+                have = self._parts.getValue((int(bucket),))
+                n = have[0] if have else 0
+                table = pa.Table.from_pandas(part, preserve_index=False)
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, table.schema) as out:
+                    out.write_table(table)
+                self._waiting.updateValue((int(bucket), n), (sink.getvalue().to_pybytes(),))
+                self._parts.updateValue((int(bucket),), (n + 1,))
+                if not n:
+                    self._handle.registerTimer((int(bucket) + 1) * self.bucket)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        bucket = now // self.bucket - 1
+        parts = self._parts.getValue((bucket,))
+        if parts:
+            pieces = [pa.ipc.open_stream(bytes(self._waiting.getValue((bucket, n))[0])).read_pandas() for n in range(parts[0])]
+            pdf = pd.concat(pieces, ignore_index=True).sort_values(self.order, ignore_index=True)
+            out, state = self.fold(key[0], pdf, self._state.get() if self._state.exists() else None)
+            for n in range(parts[0]):
+                self._waiting.removeKey((bucket, n))
+            self._parts.removeKey((bucket,))
+            if state is not None:
+                self._state.update(state)
+            if self.gap is not None:
+                self._seen.update((int(pdf["at"].max()),))
+                self._handle.registerTimer(self._expiry(int(pdf["at"].max())))
+            yield out
+        if self.gap is not None and self._seen.exists() and now >= self._expiry(self._seen.get()[0]):
+            self._state.clear()
+            self._seen.clear()
+
+    def _expiry(self, seen: int) -> int:
+        """End of the bucket of the last time that can still be within the gap: its rows are folded before the state goes."""
+        return ((seen + self.gap) // self.bucket + 1) * self.bucket
 
     def close(self) -> None:
         pass
 
 
-class Motion(_Keyed):
+class Motion(Ordered):
     """Displacement per hour from the previous valid centre, missing across a tracking gap."""
 
     state_schema = "t double, x double, y double"
 
-    def __init__(self, max_gap: float) -> None:
+    def __init__(self, max_gap: float, bucket: float = 86400.0) -> None:
+        super().__init__(bucket, max_gap)
         self.max_gap = max_gap
 
     def fold(self, user, pdf, state):
-        speed, last = [], state
-        for t, x, y, ok in zip(pdf["t"], pdf["x"], pdf["y"], pdf["valid"]):
-            v = None
-            if ok:
-                if last is not None and 0 < t - last[0] <= self.max_gap:
-                    v = float(np.hypot(x - last[1], y - last[2]) / (t - last[0]) * 3600)
-                last = (float(t), float(x), float(y))
-            speed.append(v)
-        return pd.DataFrame({"user_id": user, "event_id": pdf["event_id"].to_numpy(), "motion_per_hour": pd.array(speed, dtype="Float64").to_numpy(float, na_value=np.nan)}), last
+        ok = pdf["valid"].to_numpy(bool)
+        t, x, y = (pdf[c].to_numpy(float)[ok] for c in ("t", "x", "y"))
+        before = [np.array([np.nan if state is None else state[k]]) for k in range(3)]
+        dt, dx, dy = (np.diff(v, prepend=b) for v, b in zip((t, x, y), before))
+        with np.errstate(all="ignore"):
+            moved = np.where((dt > 0) & (dt <= self.max_gap), np.hypot(dx, dy) / dt * 3600, np.nan)
+        speed = np.full(len(pdf), np.nan)
+        speed[ok] = moved
+        last = (float(t[-1]), float(x[-1]), float(y[-1])) if len(t) else state
+        return pd.DataFrame({"user_id": user, "event_id": pdf["event_id"].to_numpy(), "motion_per_hour": speed}), last
 
 
-class IdentityLock(_Keyed):
-    """First label is locked; a candidate too far from the last accepted centre is rejected, also after a loss."""
+class IdentityLock(Ordered):
+    """First label is locked for good; a candidate too far from the last accepted centre is rejected, also after a loss."""
 
     state_schema = "label string, x double"
 
-    def __init__(self, max_jump: float) -> None:
+    def __init__(self, max_jump: float, bucket: float = 86400.0) -> None:
+        super().__init__(bucket)
         self.max_jump = max_jump
 
     def fold(self, user, pdf, state):
@@ -97,16 +187,17 @@ class IdentityLock(_Keyed):
         return pd.DataFrame({"user_id": user, "event_id": pdf["event_id"].to_numpy(), "outcome": out}), last
 
 
-class FallbackClock(_Keyed):
-    """Container time when it increases, otherwise the previous accepted time plus one period."""
+class FallbackClock(Ordered):
+    """Container time when it increases, otherwise the previous accepted time plus one period; frames in order of their number."""
 
     state_schema = "t double, n long"
+    order = ["event_id"]
 
-    def __init__(self, period: float) -> None:
+    def __init__(self, period: float, bucket: float = 86400.0) -> None:
+        super().__init__(bucket)
         self.period = period
 
     def fold(self, user, pdf, state):
-        pdf = pdf.sort_values("event_id")
         last, n = (None, 0) if state is None else state
         times, source = [], []
         for raw, ok in zip(pdf["t"], pdf["valid"]):
@@ -117,6 +208,13 @@ class FallbackClock(_Keyed):
         return pd.DataFrame({"user_id": user, "event_id": pdf["event_id"].to_numpy(), "t": times, "source": source}), (last, n)
 
 
-def keyed(events: DataFrame, processor: StatefulProcessor, output: str) -> DataFrame:
-    """Apply a stateful fold per user; state survives executor loss through its checkpoint. The session must name the RocksDB state store."""
-    return events.groupBy("user_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=output, outputMode="Append", timeMode="None")
+def keyed(events: DataFrame, processor: Ordered, output: str, delay: str, until: str | None = None) -> DataFrame:
+    """Apply a stateful fold per user in event-time order; rows come out once the watermark, ``delay`` behind the newest row, has passed them.
+
+    Rows from ``until`` on move the watermark only. State survives executor loss through its checkpoint; it needs the RocksDB store.
+    """
+    marked = events.withWatermark("ts", delay)
+    if until:
+        marked = marked.where(F.col("ts") < F.lit(until).cast("timestamp"))
+    return marked.withColumn("at", F.unix_millis("ts")).groupBy("user_id").transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=output, outputMode="Append", timeMode="EventTime")
