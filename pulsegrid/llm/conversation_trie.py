@@ -121,8 +121,9 @@ def prefix_trie(paths: DataFrame, deep: int = DEEP) -> DataFrame:
     spark = paths.sparkSession
     paths = checkpointed(paths)
     folder = shared_folder(spark, "classes")
-    classes_of(paths, deep).write.partitionBy("level").parquet(folder)
-    classes = spark.read.parquet(folder)
+    made = classes_of(paths, deep)
+    made.write.partitionBy("level").parquet(folder)
+    classes = spark.read.schema(made.schema).parquet(folder)
     top = classes.agg(F.max("level")).first()[0]
     if top is None:
         return spark.createDataFrame([], "key binary, parent binary, depth int, conv_id long, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long, ends_sha256 string")
