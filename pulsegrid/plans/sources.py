@@ -1,4 +1,4 @@
-"""Source and sink queries over text derived from the tables."""
+"""Source and sink queries: rows of the tables written as real files and folders, and read back."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
@@ -8,7 +8,7 @@ from pulsegrid.operators import metrics as mt
 from pulsegrid.operators.carry import with_index
 from pulsegrid.plans.registry import R, TRACE, WAVES, query
 from pulsegrid.session import shared_folder
-from pulsegrid.sources import files as fl
+from pulsegrid.sources import files as fl, trees as tr
 from pulsegrid.sources.tables import read, trace, waves
 
 PIECE = "(row_number() over (partition by recording order by t, event_id) - 1) // 32"
@@ -21,6 +21,12 @@ def pieces(spark, d):
     return s.withColumn("part", F.floor(F.col("i") / 32)).drop("b", "i")
 
 
+def placed(documents):
+    """(recording, part) of documents that lie at ``recording/part``."""
+    at = F.split("path", "/")
+    return documents.select(at[0].cast("long").alias("recording"), at[1].cast("long").alias("part"), "content")
+
+
 @query("src_contact_reference", f"""with {TRACE} select recording, part, count(*) as samples, {R('sum(x)')} as ppg_sum, {R('sum(60 + x / 10)')} as hr_sum, {R('max(t)')} as t_last,
   cast(null as varchar) as error from (select *, {PIECE} as part from trace) group by 1, 2""")
 def src_contact_reference(spark, d):
@@ -32,7 +38,9 @@ def src_contact_reference(spark, d):
     flat = F.concat_ws(" ", text(ppg), text(hr), text(t))
     cols = F.array_join(F.transform("s", lambda v: F.concat_ws(" ", v["x"].cast("string"), (60 + v["x"] / 10).cast("string"), v["t"].cast("string"))), "\n")
     layout = F.when((F.col("part") % 3 == 1) & (F.size("s") != 3), cols).when(F.col("part") % 3 == 2, flat).otherwise(rows)
-    p = fl.parse_contact_reference(g.select("recording", "part", layout.alias("content")))
+    root = shared_folder(spark, "contact")
+    tr.write_documents(g.select("recording", "part", layout.alias("content")), root, ["recording", "part"])
+    p = fl.parse_contact_reference(placed(tr.documents(spark, root)))
     total = lambda c: rnd(F.aggregate(c, F.lit(0.0), lambda a, v: a + v))
     return p.select("recording", "part", F.size("t").cast("long").alias("samples"), total("ppg").alias("ppg_sum"), total("hr").alias("hr_sum"),
                     rnd(F.array_max("t")).alias("t_last"), "error")
@@ -41,11 +49,14 @@ def src_contact_reference(spark, d):
 ROLES = {"video": r"^vid(eo)?\.(avi|mp4)$", "reference": r"^ground_truth\.txt$", "ecg": r"^ecg\.npy$"}
 
 
-def file_listing(spark, d):
+def recording_tree(spark, d):
+    """Documents as files of recording folders: listed again by path and length, contents unread."""
     name = F.when(F.col("lang") == "en", "video.avi").when(F.col("lang") == "fr", "ground_truth.txt").when(F.col("lang") == "de", "ecg.npy").otherwise("notes.txt")
-    doc = read(spark, d, "documents").select("doc_id", "lang", "n_chars")
-    path = F.concat_ws("/", F.lit("root"), F.concat(F.lit("subject"), F.floor(F.col("doc_id") / 6).cast("string")), name)
-    return doc.select(path.alias("path"), F.when(F.col("n_chars") < 100, 0).otherwise(F.col("n_chars")).alias("length"))
+    doc = read(spark, d, "documents").select(F.concat(F.lit("subject"), F.floor(F.col("doc_id") / 6).cast("string")).alias("folder"), name.alias("name"),
+                                             F.when(F.col("n_chars") < 100, "").otherwise(F.col("text")).alias("content"))
+    root = shared_folder(spark, "recordings")
+    tr.write_documents(doc, root, ["folder", "name"])
+    return tr.listed(spark, root).select(tr.logical(F.col("path"), root).alias("path"), (F.col("length") - 1).alias("length"))       # the writer's line end
 
 
 DISCOVER = """fl as (select 'subject' || (doc_id // 6) as folder, lang, case when n_chars < 100 then 0 else n_chars end as length from documents),
@@ -56,17 +67,20 @@ DISCOVER = """fl as (select 'subject' || (doc_id // 6) as folder, lang, case whe
 
 @query("src_recording_discovery", f"with {DISCOVER} select folder, v as n_video, r as n_reference, e as n_ecg, u as unrelated, issues from dis")
 def src_recording_discovery(spark, d):
-    return fl.discover(file_listing(spark, d), ROLES).select("folder", "n_video", "n_reference", "n_ecg", "unrelated", joined("issues").alias("issues"))
+    return fl.discover(recording_tree(spark, d), ROLES).select("folder", "n_video", "n_reference", "n_ecg", "unrelated", joined("issues").alias("issues"))
 
 
 def reference_json(spark, d):
+    """One JSON file per piece of a recording, read back whole."""
     part = F.col("part")
     e = pieces(spark, d)
     stamp = F.when((part % 4 == 2) & ~F.col("valid"), F.lit(None)).when(part % 4 == 3, F.floor(F.col("t") / 86400) * 86400.0).otherwise(F.col("t"))
     order = F.when(part % 4 == 1, F.col("x")).otherwise(F.col("t"))
     entry = F.struct(order.alias("o"), "event_id", F.struct(stamp.alias("Timestamp"), F.struct(F.when(F.col("valid"), F.col("x")).alias("waveform")).alias("Value")).alias("r"))
     g = e.groupBy("recording", "part").agg(F.array_sort(F.collect_list(entry)).alias("s"))
-    return g.select("recording", "part", F.to_json(F.struct(F.col("s.r").alias("/FullPackage"))).alias("content"))
+    root = shared_folder(spark, "reference")
+    tr.write_documents(g.select("recording", "part", F.to_json(F.struct(F.col("s.r").alias("/FullPackage"))).alias("content")), root, ["recording", "part"])
+    return placed(tr.documents(spark, root))
 
 
 REFJSON = f"""{TRACE}, s as (select recording, {PIECE} as part, event_id, valid, x, t from trace),
@@ -85,7 +99,7 @@ def src_reference_json(spark, d):
 select folder, coalesce(files, 0) as reference_files, concat_ws('|', case when issues <> '' then 'discovery:' || issues end, case when files is null then 'missing_reference_clock' end, case when bad > 0 then 'clock_not_strictly_increasing' end, 'review_missing') as issues,
   false as allow_training, false as allow_benchmark from dis left join c using (folder)""")
 def src_dataset_inventory(spark, d):
-    dis = fl.discover(file_listing(spark, d), ROLES)
+    dis = fl.discover(recording_tree(spark, d), ROLES)
     ref = fl.parse_reference_json(reference_json(spark, d))
     c = ref.groupBy(F.concat(F.lit("subject"), F.col("recording").cast("string")).alias("folder")).agg(
         F.count("*").alias("files"), F.count_if(F.col("clock_status") != "strictly_increasing").alias("bad"))
@@ -97,35 +111,55 @@ def src_dataset_inventory(spark, d):
                     F.lit(False).alias("allow_training"), F.lit(False).alias("allow_benchmark"))
 
 
-@query("src_features_labels_json", """with f as (select event_id, try_cast(json_extract_string(props, '$.k') as integer) as k, "value" as sbp, user_id from events), j as (select f.*, quality, toxic, doc_id from f left join labels on doc_id = event_id)
-select event_id, k, case when doc_id is null then 'missing_labels' when sbp < 20 then 'invalid_cuff' when k is null then 'missing_features' else '' end as reason, doc_id is not null and sbp >= 20 and k is not null as accepted from j""")
+@query("src_features_labels_json", f"""with s as (select 'n' || s_nationkey as subject, 's' || s_suppkey as session, s_suppkey as k, s_acctbal as b from supplier),
+ l as (select *, case when k % 7 = 3 then 'missing_bp_label' when k % 7 = 4 or k % 7 = 5 or b / 50 <= 70 then 'invalid_bp_reference' else '' end as reason,
+   case when k % 7 in (3, 4) then null when k % 7 = 5 then null else b / 50 end as sbp from s)
+select case when k % 2 = 0 and k % 7 <> 3 then 'P' || k else subject end as subject_id, session as session_id, reason, {R('sbp')} as sbp, {R("case when k % 7 <> 3 then 70e0 end")} as dbp,
+  case when reason = '' then 2 end as n_features, {R("case when reason = '' then k + b end")} as feature_sum from l""")
 def src_features_labels_json(spark, d):
-    f = read(spark, d, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"), F.col("value").alias("sbp"))
-    lab = read(spark, d, "labels").select(F.col("doc_id").alias("event_id"), F.lit(True).alias("labelled"))
-    j = f.join(lab, "event_id", "left")
-    why = F.when(F.col("labelled").isNull(), "missing_labels").when(F.col("sbp") < 20, "invalid_cuff").when(F.col("k").isNull(), "missing_features").otherwise("")
-    return j.select("event_id", "k", why.alias("reason"), (why == "").alias("accepted"))
-
-
-@query("src_csv_tables", """with p as (select p_type, p_partkey, p_name, p_size from part), b as (select p_type as path, p_partkey + 3 as source_row, p_partkey::varchar as id, p_name as name, p_size::varchar as size from p where p_size <> 17 and p_type <> 'ECONOMY')
+    """Feature and label files of one folder per session, paired by folder; a flag and a quoted number are no features."""
+    s = read(spark, d, "supplier").select(F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("subject"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("session"),
+                                          F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("b"))
+    features = F.to_json(F.struct("k", "b", F.lit(True).alias("flag"), F.lit("12").alias("quoted"), "session"))
+    sbp = F.when(F.col("k") % 7 == 5, "n/a").when(F.col("k") % 7 != 4, (F.col("b") / 50).cast("string"))
+    labels = F.to_json(F.struct(F.struct(sbp.alias("sbp"), F.lit(70.0).alias("dbp")).alias("cuff"), F.when(F.col("k") % 2 == 0, F.concat(F.lit("P"), F.col("k").cast("string"))).alias("subject_id")))
+    both = s.select("subject", "session", F.lit("features.json").alias("name"), features.alias("content")).union(
+        s.where("k % 7 <> 3").select("subject", "session", F.lit("labels.json").alias("name"), labels.alias("content")))
+    root = shared_folder(spark, "sessions")
+    tr.write_documents(both, root, ["subject", "session", "name"])
+    pairs = fl.pair_features_labels(tr.documents(spark, root))
+    n = fl.numeric_features(pairs).groupBy("folder").agg(F.count("*").cast("int").alias("n_features"), rnd(F.sum("value")).alias("feature_sum"))
+    return pairs.join(n, "folder", "left").select("subject_id", "session_id", "reason", rnd("sbp").alias("sbp"), rnd("dbp").alias("dbp"), "n_features", "feature_sum")
+
+
+@query("src_csv_tables", """with p as (select *, row_number() over (partition by p_type order by p_partkey) + 2 as source_row from part), b as (select p_type as path, source_row, p_partkey::varchar as id, p_name as name, p_size::varchar as size from p where p_size <> 17 and p_type <> 'ECONOMY')
 select path, source_row, id, name, size, cast(null as varchar) as duplicate_header from b union all select 'ECONOMY', null, null, null, null, 'name' where exists (select 1 from p where p_type = 'ECONOMY')""")
 def src_csv_tables(spark, d):
+    """Exported tables with a title line, a header in line two and blank rows, read back with the line each row stands in."""
     p = read(spark, d, "part").select(F.col("p_type").alias("path"), F.col("p_partkey").alias("k"), "p_name", "p_size")
     kinds = p.select("path").distinct()
-    head = kinds.select("path", F.lit(2).cast("long").alias("line_no"), F.when(F.col("path") == "ECONOMY", "id,name,name").otherwise("id,name,size").alias("line"))
-    pre = kinds.select("path", F.lit(1).cast("long").alias("line_no"), F.lit("exported table").alias("line"))
-    body = p.select("path", (F.col("k") + 3).alias("line_no"), F.when(F.col("p_size") == 17, ",,").otherwise(F.concat_ws(",", F.col("k").cast("string"), "p_name", F.col("p_size").cast("string"))).alias("line"))
-    rows, dup = fl.parse_csv_lines(pre.unionByName(head).unionByName(body), 2, 3)
-    text = F.lit(None).cast("string")
-    rows = rows.select("path", "source_row", *[F.col("cells")[c].alias(c) for c in ("id", "name", "size")], text.alias("duplicate_header"))
-    return rows.unionByName(dup.select("path", F.lit(None).cast("long").alias("source_row"), text.alias("id"), text.alias("name"), text.alias("size"), F.col("header").alias("duplicate_header")))
+    head = kinds.select("path", F.lit(-1).cast("long").alias("k"), F.when(F.col("path") == "ECONOMY", "id,name,name").otherwise("id,name,size").alias("line"))
+    pre = kinds.select("path", F.lit(-2).cast("long").alias("k"), F.lit("exported table").alias("line"))
+    body = p.select("path", "k", F.when(F.col("p_size") == 17, ",,").otherwise(F.concat_ws(",", F.col("k").cast("string"), "p_name", F.col("p_size").cast("string"))).alias("line"))
+    root = shared_folder(spark, "exported")
+    tr.write_lines(pre.unionByName(head).unionByName(body), root, ["k"])
+    rows, dup = fl.read_tables(spark, root, 2, 3)
+    text, named = F.lit(None).cast("string"), tr.logical(F.col("path"), root).alias("path")
+    rows = rows.select(named, "source_row", *[F.col("cells")[c].alias(c) for c in ("id", "name", "size")], text.alias("duplicate_header"))
+    return rows.unionByName(dup.select(named, F.lit(None).cast("long").alias("source_row"), text.alias("id"), text.alias("name"), text.alias("size"), F.col("header").alias("duplicate_header")))
 
 
 @query("src_multi_table_union", """select 'lineitem' as source, l_orderkey as recording, l_quantity as value, count(*) as rows from lineitem group by 1, 2, 3 union all select 'orders', o_orderkey, o_totalprice, count(*) from orders group by 1, 2, 3""")
 def src_multi_table_union(spark, d):
-    a = read(spark, d, "lineitem").select(F.lit("lineitem").alias("source"), F.col("l_orderkey").alias("recording"), F.col("l_quantity").alias("value"))
-    b = read(spark, d, "orders").select(F.lit("orders").alias("source"), F.col("o_orderkey").alias("recording"), F.col("o_totalprice").alias("value"))
-    return a.unionByName(b).groupBy("source", "recording", "value").agg(F.count("*").alias("rows"))
+    """Two tables written as CSV of their own columns and read as one list of paths; the source is the folder a row came from."""
+    root = shared_folder(spark, "tables")
+    a = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("recording"), F.col("l_quantity").alias("value"))
+    b = read(spark, d, "orders").select(F.col("o_orderkey").alias("recording"), F.col("o_totalprice").alias("value"))
+    for name, t in (("lineitem", a), ("orders", b)):
+        t.write.mode("errorifexists").csv(f"{root}/{name}", header=True)
+    both = spark.read.schema("recording long, value double").csv([f"{root}/lineitem", f"{root}/orders"], header=True)
+    source = F.substring_index(F.substring_index("_metadata.file_path", "/", -2), "/", 1)
+    return both.select(source.alias("source"), "recording", "value").groupBy("source", "recording", "value").agg(F.count("*").alias("rows"))
 
 
 @query("src_recording_manifest", """with r as (select l_orderkey, (row_number() over (partition by l_orderkey order by l_linenumber, l_suppkey, l_partkey, l_quantity) - 1) // 8 as part, l_linenumber as idx, l_quantity as a, l_quantity + l_linenumber as b from lineitem),
@@ -140,20 +174,33 @@ def src_recording_manifest(spark, d):
         F.collect_list(F.struct(F.col("l_linenumber").alias("reference_index"), F.col("l_quantity").alias("interval_start_sec"), (F.col("l_quantity") + F.col("l_linenumber")).alias("interval_end_sec"))).alias("associations"))
     key = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("part").cast("string"))
     body = F.to_json(F.struct(F.col("l_orderkey").cast("string").alias("subject_id"), key.alias("session_id"), key.alias("recording_id"), F.lit("video.mp4").alias("video_path"), "references", "associations"))
-    m = fl.parse_manifest(g.select(F.concat(F.lit("manifests/"), key, F.lit(".json")).alias("path"), body.alias("content")))
+    root = shared_folder(spark, "recording-list")
+    g.select(body.alias("content")).write.mode("errorifexists").text(f"{root}/manifests")            # one manifest a line, many a file
+    lines = tr.numbered_lines(spark, f"{root}/manifests")
+    m = fl.parse_manifest(lines.select(F.concat_ws("/", F.lit("manifests"), F.substring_index("path", "/", -1)).alias("path"), F.col("line").alias("content")))
     return m.select("recording_id", F.size("references").cast("long").alias("references_n"), joined("issues").alias("issues"), "video_path")
 
 
 @query("src_official_split", """with l as (select c_custkey, 'P' || lpad((c_custkey % 1400)::varchar, case when c_nationkey = 3 then 5 else 6 end, '0') as rec, c_nationkey, case when c_acctbal < 0 then 'None' when c_acctbal < 5000 then 'Train' else 'Test' end as split from customer),
  n as (select *, count(*) over (partition by rec) as copies from l)
-select rec as recording, split, case when c_nationkey = 3 or split = 'None' then 'invalid_recording_or_split' when c_nationkey = 4 then 'url_mismatch' when copies > 1 then 'duplicate_recording' else '' end as error, count(*) as lines from n group by 1, 2, 3""")
+select rec as recording, split, case when c_nationkey = 3 or split = 'None' then 'invalid_recording_or_split' when c_nationkey = 4 then 'url_mismatch' when copies > 1 then 'duplicate_recording' else '' end as error, count(*) as lines, true as other_pin_refused from n group by 1, 2, 3""")
 def src_official_split(spark, d):
+    """The split file, its two-field header over three fields kept as it is, read only where its content matches the pin."""
     c = read(spark, d, "customer")
     rec = F.concat(F.lit("P"), F.lpad((F.col("c_custkey") % 1400).cast("string"), F.when(F.col("c_nationkey") == 3, 5).otherwise(6), F.lit("0")))
     c = c.withColumns({"rec": rec, "split": F.when(F.col("c_acctbal") < 0, "None").when(F.col("c_acctbal") < 5000, "Train").otherwise("Test")})
     url = F.concat(F.when(F.col("c_nationkey") == 4, "http://data.example/").otherwise("https://data.example/"), "rec", F.lit(".mat"))
-    p = fl.parse_official_split(c.select(F.concat_ws(",", "rec", url, "split").alias("line")))
-    return p.groupBy("recording", "split", "error").agg(F.count("*").alias("lines"))
+    body = c.select(F.lit("split").alias("path"), F.col("c_custkey").alias("k"), F.concat_ws(",", "rec", url, "split").alias("line"))
+    root = shared_folder(spark, "official")
+    tr.write_lines(body.union(spark.range(1).select(F.lit("split"), F.lit(-1), F.lit(fl.SPLIT_HEADER))), root, ["k"])
+    pin = tr.content_pin(spark, root)
+    try:
+        fl.read_official_split(spark, root, pin[::-1])
+        refused = False
+    except tr.PinMismatch:
+        refused = True
+    p = fl.read_official_split(spark, root, pin)
+    return p.groupBy("recording", "split", "error").agg(F.count("*").alias("lines")).withColumn("other_pin_refused", F.lit(refused))
 
 
 @query("src_ecg_array", f"with {WAVES} select vec_id, count(*) as samples, {R('avg(case when isfinite(x) then 1e0 else 0 end)')} as finite_fraction, {R('stddev_pop(x)')} as sd, count(*) / 16e0 >= 3 as long_enough from w group by 1")
@@ -168,23 +215,28 @@ def src_ecg_array(spark, d):
 def sink_fixed_csv(spark, d):
     e = read(spark, d, "events").withColumn("reasons", reasons(("low", F.col("value") < 5), ("error", F.col("event_type") == "error")))
     e = e.withColumn("cents", F.when(F.col("value") >= 5, F.round(F.col("value") * 100).cast("long")))
-    lines = fl.fixed_csv_lines(e, ["event_id", "user_id", "event_type", "cents", "reasons"], ("reasons",))
-    return lines.select(F.regexp_replace("line", '""', "").alias("line"))
+    path = shared_folder(spark, "fixed")
+    fl.publish_fixed_csv(e, path, ["event_id", "user_id", "event_type", "cents", "reasons"], ("reasons",))
+    return fl.read_fixed_csv(spark, path).select("line")
 
 
 @query("sink_union_csv", """select c_custkey as id, c_mktsegment as a_segment, null as nested, 'customer' as source from customer union all select conv_id, null, '{"role":"' || role || '","turn":' || turn || '}', 'conversation' from conversations""")
 def sink_union_csv(spark, d):
     a = read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("a_segment"), F.lit("customer").alias("source"))
     b = read(spark, d, "conversations").select(F.col("conv_id").alias("id"), F.struct("role", "turn").alias("nested"), F.lit("conversation").alias("source"))
-    return fl.union_columns(a, b)
+    path = shared_folder(spark, "union")
+    fl.publish_union_csv(path, a, b)
+    return fl.read_union_csv(spark, path, "a_segment string, id long, nested string, source string")
 
 
 @query("sink_json_nullsafe", """select '{"event_id":' || event_id || ',"log_tenths":' || case when "value" >= 1 then (floor("value"))::bigint::varchar else 'null' end || '}' as line from events""")
 def sink_json_nullsafe(spark, d):
     e = read(spark, d, "events")
     value = F.when(F.col("value") >= 1, F.floor("value").cast("double")).otherwise(F.lit(float("nan")))
-    e = fl.null_safe(e.select("event_id", value.alias("log_tenths"))).withColumn("log_tenths", F.col("log_tenths").cast("long"))
-    return e.select(F.to_json(F.struct("event_id", "log_tenths"), {"ignoreNullFields": "false"}).alias("line"))
+    path = shared_folder(spark, "json")
+    e = fl.null_safe(e.select("event_id", value.alias("log_tenths")))
+    fl.publish_json(e.withColumn("log_tenths", F.col("log_tenths").cast("long")), path)
+    return tr.numbered_lines(spark, tr.published(spark, path)).select("line")
 
 
 @query("sink_no_overwrite", "select user_id, count(*) as events, true as written, true as second_write_refused from events group by 1")
@@ -195,12 +247,18 @@ def sink_no_overwrite(spark, d):
     return spark.read.schema(per.schema).parquet(path).withColumns({"written": F.lit(first), "second_write_refused": F.lit(not second)})
 
 
-@query("src_result_audit", f"""with c as (select l_returnflag || '.csv' as file, case when l_discount = 0 then 'n/a' else l_quantity::varchar end as gt, (l_quantity + l_linenumber)::varchar as pr from lineitem),
- n as (select file, try_cast(gt as double) as ref, try_cast(pr as double) as pred from c)
-select file, count(*) as rows, count(case when ref is not null and pred is not null then 1 end) as n, {R('avg(abs(pred - ref))')} as mae, {R('sqrt(avg((pred - ref) * (pred - ref)))')} as rmse, {R('avg(pred - ref)')} as me from n group by 1""")
+@query("src_result_audit", f"""with c as (select l_returnflag || '_' || l_linenumber || '.csv' as file, l_returnflag as method, l_linenumber as dataset, case when l_discount = 0 then 'n/a' else l_quantity::varchar end as gt, (l_quantity + l_linenumber)::varchar as pr from lineitem),
+ n as (select file, method, dataset, try_cast(gt as double) as ref, try_cast(pr as double) as pred from c)
+select file, method, dataset, count(*) as rows, count(case when ref is not null and pred is not null then 1 end) as n, {R('avg(abs(pred - ref))')} as mae, {R('sqrt(avg((pred - ref) * (pred - ref)))')} as rmse, {R('avg(pred - ref)')} as me from n group by 1, 2, 3""")
 def src_result_audit(spark, d):
-    c = read(spark, d, "lineitem").select(F.concat("l_returnflag", F.lit(".csv")).alias("file"), F.when(F.col("l_discount") == 0, "n/a").otherwise(F.col("l_quantity").cast("string")).alias("gt_hr"),
-                                          (F.col("l_quantity") + F.col("l_linenumber")).cast("string").alias("pred_hr"))
-    c = mt.with_error(c.select("file", F.col("gt_hr").try_cast("double").alias("ref"), F.col("pred_hr").try_cast("double").alias("pred")))
-    g = c.groupBy("file").agg(F.count("*").alias("rows"), *mt.named(mt.regression_aggs()))
-    return g.select("file", "rows", "n", *[rnd(k).alias(k) for k in ("mae", "rmse", "me")])
+    """Result tables found by listing, described by their names, read by their headers."""
+    c = read(spark, d, "lineitem").select(F.concat("l_returnflag", F.lit("_"), F.col("l_linenumber").cast("string"), F.lit(".csv")).alias("path"), F.col("l_orderkey").alias("k"),
+                                          F.concat_ws(",", F.when(F.col("l_discount") == 0, "n/a").otherwise(F.col("l_quantity").cast("string")), (F.col("l_quantity") + F.col("l_linenumber")).cast("string")).alias("line"))
+    head = c.select("path").distinct().select("path", F.lit(-1).cast("long").alias("k"), F.lit("gt_hr,pred_hr").alias("line"))
+    root = shared_folder(spark, "results")
+    tr.write_lines(head.union(c), root, ["k"])
+    rows, _ = fl.read_tables(spark, root, 1, 2)
+    t = rows.select(tr.logical(F.col("path"), root).alias("file"), F.col("cells")["gt_hr"].try_cast("double").alias("ref"), F.col("cells")["pred_hr"].try_cast("double").alias("pred"))
+    g = mt.with_error(t).groupBy("file").agg(F.count("*").alias("rows"), *mt.named(mt.regression_aggs()))
+    part = lambda k: F.regexp_extract("file", r"^([^_]+)_(\d+)\.csv$", k)
+    return g.select("file", part(1).alias("method"), part(2).cast("long").alias("dataset"), "rows", "n", *[rnd(k).alias(k) for k in ("mae", "rmse", "me")])
\ No newline at end of file

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pulsegrid.functions.cols import reasons
+from pulsegrid.sources.trees import manifest_of, numbered_lines, pinned_lines, publish, published
 
 REFERENCE_JSON = "`/FullPackage` array<struct<Timestamp: double, Value: struct<waveform: double>>>"
 MANIFEST_JSON = ("subject_id string, session_id string, recording_id string, video_path string, "
@@ -20,12 +21,6 @@ def whole_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("content"))
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """One-based line numbers per file; a metadata file is one small unsplit file."""
-    d = whole_files(spark, path)
-    return d.select("path", F.posexplode(F.split("content", "\r?\n")).alias("j", "line")).select("path", (F.col("j") + 1).alias("line_no"), "line")
-
-
 def parse_contact_reference(files: DataFrame) -> DataFrame:
     """Rows PPG, HR, time in three-row, three-column or flat layout; other shapes get an error and no arrays."""
     rows = F.filter(F.transform(F.split(F.trim("content"), r"\s*\n\s*"),
@@ -122,15 +117,38 @@ def parse_official_split(lines: DataFrame) -> DataFrame:
     return d.withColumn("error", why).drop("copies", "fields")
 
 
+SPLIT_HEADER = "nk,Split"        # fixed value: two names over three fields, as published
+
+
+def read_official_split(spark: SparkSession, path: str, pin: str) -> DataFrame:
+    """Parsed split file whose content has to match ``pin`` and whose first line has to be the published header."""
+    lines = pinned_lines(spark, path, pin)
+    head = lines.where("line_no = 1").select("line").distinct().collect()           # one row, or one per table of the path
+    if [r["line"] for r in head] != [SPLIT_HEADER]:
+        raise ValueError(f"unexpected header {head}")
+    return parse_official_split(lines.where("line_no > 1"))
+
+
 def fixed_csv_lines(df: DataFrame, columns: list[str], lists: tuple[str, ...] = ()) -> DataFrame:
     """Fixed column order; list columns joined with a pipe; missing values empty."""
     cells = [F.array_join(c, "|").alias(c) if c in lists else F.col(c) for c in columns]
-    return df.select(F.to_csv(F.struct(*cells)).alias("line"))
+    return df.select(F.to_csv(F.struct(*cells), {"emptyValue": "", "nullValue": ""}).alias("line"))
 
 
-def write_fixed_csv(df: DataFrame, path: str, columns: list[str], lists: tuple[str, ...] = ()) -> None:
+def publish_fixed_csv(df: DataFrame, path: str, columns: list[str], lists: tuple[str, ...] = ()) -> dict:
+    """Publish a CSV folder, each file with the header; missing values and empty texts are empty cells."""
     cells = [F.array_join(c, "|").alias(c) if c in lists else F.col(c) for c in columns]
-    df.select(*cells).write.mode("errorifexists").csv(path, header=True)
+    return publish(df.select(*cells), path, "csv", header=True, emptyValue="", nullValue="", escape='"')
+
+
+def read_fixed_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Lines below the header of every file of a published CSV folder; all headers have to name the manifest's columns."""
+    lines = numbered_lines(spark, published(spark, path))
+    want = ",".join(manifest_of(spark, path)["columns"])
+    wrong = lines.where((F.col("line_no") == 1) & (F.col("line") != want)).first()
+    if wrong:
+        raise ValueError(f"{wrong['path']} has the header {wrong['line']}")
+    return lines.where("line_no > 1")
 
 
 def union_columns(*tables: DataFrame) -> DataFrame:
@@ -151,6 +169,55 @@ def write_json(df: DataFrame, path: str) -> None:
     null_safe(df).write.mode("errorifexists").option("ignoreNullFields", "false").json(path)
 
 
+def publish_json(df: DataFrame, path: str) -> dict:
+    """Publish a folder of JSON lines; missing and non-finite numbers are ``null``."""
+    return publish(null_safe(df), path, "json", ignoreNullFields="false")
+
+
+def publish_union_csv(path: str, *tables: DataFrame) -> dict:
+    """Publish the union of tables as CSV with all their columns; quotes inside JSON cells are doubled, missing values are empty."""
+    return publish(union_columns(*tables), path, "csv", header=True, nullValue="", emptyValue='""', escape='"')
+
+
+def read_union_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).csv(published(spark, path), header=True, nullValue="", escape='"', multiLine=False)
+
+
+PAIR_LABELS = "cuff map<string,string>, subject_id string, session_id string"
+
+
+def pair_features_labels(documents: DataFrame) -> DataFrame:
+    """One row per folder of a ``features.json``: the features, both pressures, ids and why it is left out, if it is.
+
+    ``documents`` has (path, content). Labels are the ``labels.json`` of the same folder. Reasons: ``missing_bp_label``, or
+    ``invalid_bp_reference`` where a pressure is absent, no finite number, or not 0 < dbp < sbp. Ids come from the labels, else from the
+    names of the folder above and the folder.
+    """
+    d = documents.select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder"), F.substring_index("path", "/", -1).alias("name"), "content")
+    one = lambda n: F.max(F.when(F.col("name") == n, F.col("content")))
+    g = d.where(F.col("name").isin("features.json", "labels.json")).groupBy("folder").agg(one("features.json").alias("features"), one("labels.json").alias("_labels"))
+    g = g.where(F.col("features").isNotNull()).withColumn("_l", F.from_json("_labels", PAIR_LABELS))
+    number = lambda k: F.try_element_at("_l.cuff", F.lit(k)).try_cast("double")
+    g = g.withColumns({"sbp": number("sbp"), "dbp": number("dbp")})
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf"))
+    good = finite("sbp") & finite("dbp") & (F.col("dbp") > 0) & (F.col("dbp") < F.col("sbp"))
+    named = lambda c, back: F.coalesce(F.when(F.col(f"_l.{c}") != "", F.col(f"_l.{c}")), F.try_element_at(F.split("folder", "/"), F.lit(-back)))
+    reason = F.when(F.col("_labels").isNull(), "missing_bp_label").when(~F.coalesce(good, F.lit(False)), "invalid_bp_reference").otherwise("")
+    return g.select("folder", "features", "sbp", "dbp", named("subject_id", 2).alias("subject_id"), named("session_id", 1).alias("session_id"), reason.alias("reason"))
+
+
+def numeric_features(pairs: DataFrame) -> DataFrame:
+    """(folder, key, value) of the numbers among the features of kept folders; flags, quoted numbers, texts and nested values are none."""
+    cells = pairs.where("reason = ''").select("folder", F.explode(F.from_json("features", "map<string,variant>")))
+    number = F.schema_of_variant("value").rlike("^(TINYINT|SMALLINT|INT|BIGINT|DECIMAL|FLOAT|DOUBLE)")
+    return cells.where(number).select("folder", "key", F.try_variant_get("value", "$", "double").alias("value"))
+
+
+def read_tables(spark: SparkSession, paths: str | list[str], header_line: int, width: int, unit: str = "folder") -> tuple[DataFrame, DataFrame]:
+    """``parse_csv_lines`` over real files of any size: header row and source row are line numbers of the file or folder."""
+    return parse_csv_lines(numbered_lines(spark, paths, unit), header_line, width)
+
+
 def write_once(df: DataFrame, path: str) -> bool:
     """Write Parquet unless the output exists; tells whether it wrote."""
     from pyspark.errors import AnalysisException
