@@ -15,13 +15,14 @@ from __future__ import annotations
 
 import base64
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from pulsegrid.llm.arrow import map_text, rows_of
-from pulsegrid.llm.pieces import pieces
 from pulsegrid.llm.registry import query, table
 from pulsegrid.llm.words import Words, mix, sequence_hashes, text_bytes
 from pulsegrid.session import checkpointed
@@ -33,6 +34,7 @@ SYMBOLS[list(b"#*$%&|<>")] = True
 BLANKS = " \t\n\x0b\x0c\r"
 REPEAT_WINDOW = 5
 LEAST_TOKENS, LEAST_GROUP = 64, 100
+MOST_SHARED = 100_000       # rows of medians that are broadcast; more are joined by shuffle
 REACH = 5.0                 # half of a band, in standard deviations as the median distance tells them
 MEASURES = {"chars_per_token": 0.005, "chars_per_token_multi": 0.005, "token_entropy": 0.005, "byte_share": 0.01}       # least deviation
 # First byte of a UTF-8 character to script, as (first, last, script).
@@ -79,30 +81,22 @@ def byte_vocabulary(path: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-class WordCounts:
-    """Tokens of a text in a byte-level vocabulary, word by word, each behind a blank; a word is encoded once while it is remembered, and
-    a full memory is emptied."""
-
-    def __init__(self, path: str, memory: int = 300_000):
-        self.encode, self.memory, self.seen = byte_vocabulary(path).encode_ordinary, memory, {}
+@lru_cache(maxsize=2)
+def piece_vocabulary(path: str):
+    """The library's encoder, which ids are byte fallbacks, and which of those is the line end."""
+    import sentencepiece
 
-    def total(self, text: str) -> int:
-        words, seen = text.split(" "), self.seen
-        new = [w for w in set(words) if w not in seen]
-        if new:
-            if len(seen) + len(new) > self.memory:
-                seen.clear()
-                new = list(set(words))
-            seen.update((w, len(self.encode(" " + w))) for w in new)
-        n = sum(map(seen.__getitem__, words))
-        if len(seen) > self.memory:
-            seen.clear()
-        return n
+    own = sentencepiece.SentencePieceProcessor(model_file=path)
+    return own, np.array([own.is_byte(i) for i in range(own.get_piece_size())]), own.piece_to_id("<0x0A>")
 
 
-@lru_cache(maxsize=2)
-def word_counts(path: str) -> WordCounts:
-    return WordCounts(path)
+def entropies(ids: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Per row the entropy of its ids over that of as many different ones (no ids: 0); ``n`` ids a row, one row after the other."""
+    rows = np.repeat(np.arange(len(n)), n)
+    key, count = np.unique(rows << 32 | ids, return_counts=True)
+    row = key >> 32
+    share = count / n[row]
+    return np.bincount(row, -share * np.log2(share), len(n)) / np.log2(np.maximum(n, 2))
 
 
 MEASURED = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, script string, n_tokens long, "
@@ -124,26 +118,23 @@ def measure(docs: DataFrame, pieces_path: str = PIECES, bytes_path: str = BYTES,
         rows = np.repeat(np.arange(len(texts)), np.diff(offsets))
         scripts = np.bincount(rows * len(NAMES) + SCRIPT_OF[data], minlength=len(texts) * len(NAMES)).reshape(-1, len(NAMES))
         scripts[:, 0] = 0
-        own, other = pieces(pieces_path), word_counts(bytes_path)
-        is_byte = np.zeros(own.size, bool)
-        is_byte[list(own.byte)] = True
-        newline = own.of_byte[10]
-        tokens, multi, share, entropy = [], [], [], []
-        for text in texts:
-            ids = own.ids(text)
-            n = len(ids)
-            count = np.bincount(ids, minlength=own.size) if n > 4096 else np.unique(ids, return_counts=True)[1]
-            p = count[count > 0] / max(n, 1)
-            tokens.append(n)
-            multi.append(other.total(text))
-            share.append((is_byte[ids].sum() - (ids == newline).sum()) / n if n else None)      # line ends have no piece in any text
-            entropy.append(float(-(p * np.log2(p)).sum()) / np.log2(max(n, 2)) if n else None)
+        own, is_byte, newline = piece_vocabulary(pieces_path)
+        encoded = own.encode(texts, num_threads=1)
+        n = np.array([len(x) for x in encoded], np.int64)
+        ids = np.fromiter(chain.from_iterable(encoded), np.int64, int(n.sum()))
+        ends = np.concatenate([[0], np.cumsum(n)])
+        share = per_row(is_byte[ids] & (ids != newline), ends) / np.maximum(n, 1)           # line ends have no piece in any text
+        entropy = entropies(ids, n)
+        other = byte_vocabulary(bytes_path).encode_ordinary
+        multi = np.array([len(other(t)) for t in texts], np.int64)
+        known = n > 0
         return {"doc_id": batch.column("doc_id"), "band_group": batch.column("band_group"),
                 "n_words": np.diff(words.first), "word_chars": by_word[words.first[1:]] - by_word[words.first[:-1]],
                 "n_symbols": per_row(SYMBOLS[data], offsets), "n_dup_lines": [duplicate_lines(t) for t in texts],
                 "n_repeat_words": repeated_window_words(words, words.hashes()), "script": [NAMES[i] for i in scripts.argmax(axis=1)],
-                "n_tokens": tokens, "chars_per_token": [c / n if n else None for c, n in zip(all_chars.tolist(), tokens)],
-                "chars_per_token_multi": [c / n if n and c else None for c, n in zip(all_chars.tolist(), multi)], "byte_share": share, "token_entropy": entropy}
+                "n_tokens": n, "chars_per_token": pa.array(all_chars / np.maximum(n, 1), mask=~known),
+                "chars_per_token_multi": pa.array(all_chars / np.maximum(multi, 1), mask=multi == 0),
+                "byte_share": pa.array(share, mask=~known), "token_entropy": pa.array(entropy, mask=~known)}
 
     return map_text(docs, run, "doc_id long, band_group string, " + MEASURED).withColumn("band_group", F.coalesce("band_group", "script"))
 
@@ -190,7 +181,9 @@ def spread(rows: DataFrame, near: DataFrame, trend: DataFrame) -> DataFrame:
     def middle(value):
         return F.coalesce(F.percentile(F.when(few, value), 0.5), F.percentile_approx(F.when(~few, value), 0.5, 10_000))
 
-    mids = rows.groupBy(*by).agg(*[middle(F.col(m)).alias(f"{m}_mid") for m in MEASURES])
+    mids = checkpointed(rows.groupBy(*by).agg(*[middle(F.col(m)).alias(f"{m}_mid") for m in MEASURES]))
+    if mids.count() <= MOST_SHARED:                                     # one row per group and class: no shuffle of the documents to meet them
+        mids = F.broadcast(mids)
     shorter = F.pow(F.lit(2.0), F.greatest(F.col("_class") - F.col("_for"), F.lit(0)) / 2)          # deviations fall with the root of the tokens
     away = rows.join(mids, by).groupBy(*by, *[f"{m}_mid" for m in MEASURES]).agg(
         *[middle(F.abs(F.col(m) - F.col(f"{m}_mid")) * shorter).alias(f"{m}_away") for m in MEASURES])
