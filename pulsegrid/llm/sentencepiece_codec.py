@@ -13,10 +13,10 @@ from pulsegrid.llm.registry import query, table
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
-def encode(docs: DataFrame, model: str = MODEL, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, model: str = MODEL, text: str = "text", ids: str = "ids", limit: int = 1 << 20) -> DataFrame:
     """``docs`` with the ids of each whole text, the end id last. A null or empty text has only the end id.
 
-    A column that is already called ``ids`` is replaced. One pass, no shuffle; each row stands alone.
+    A column that is already called ``ids`` is replaced. One pass, no shuffle; each row stands alone, about ``limit`` bytes of text are encoded at once.
     """
     docs = docs.drop(ids)
     schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
@@ -29,7 +29,7 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text", ids: str = "
         values = np.concatenate([x for p in parts for x in (p, end)]) if parts else end[:0]
         return dict(zip(batch.schema.names, batch.columns)) | {ids: pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))}
 
-    return map_text(docs, run, schema, text)
+    return map_text(docs, run, schema, text, limit)
 
 
 def decode(docs: DataFrame, model: str = MODEL, ids: str = "ids", text: str = "decoded") -> DataFrame:

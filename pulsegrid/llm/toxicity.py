@@ -16,11 +16,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from pulsegrid.llm.arrow import map_text
 from pulsegrid.llm.registry import query, table
-from pulsegrid.llm.words import LOWER, U, Words, span_hashes, text_bytes
+from pulsegrid.llm.words import LOWER, U, Words, chunks, span_hashes, text_bytes
 
 SAMPLE = 10_000
 BUCKET_BITS = 22
@@ -29,6 +30,7 @@ FACTORS, STEPS, RATE, SHRINK = 8, 250, 0.05, 2e-4
 EVIDENCE = 25.0            # least likelihood-ratio statistic of a bucket
 WEIGHT = 4.0               # of a row with label 1
 MOST_BUCKETS = 8192
+STAGE_BYTES = 1 << 20      # text scored at once where whole rows go through the task
 EDGE = np.zeros(256, bool)
 EDGE[list(b".,;:!?\"'()[]{}|*#")] = True
 
@@ -171,6 +173,23 @@ def scored(docs: DataFrame, machine: Machine, score: str = "score") -> DataFrame
     return map_text(docs, run, T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType())]))
 
 
+def below(docs: DataFrame, machine: Machine, limit: float = 0.5) -> DataFrame:
+    """Rows of ``docs`` that score below ``limit``, with the columns they have. Others are dropped in the task that scores them."""
+    shared = docs.sparkSession.sparkContext.broadcast(machine)          # at most MOST_BUCKETS rows of weights
+
+    def run(batches):
+        own = shared.value
+        keep = np.zeros(1 << BUCKET_BITS, bool)
+        keep[own.buckets] = True
+        for batch in batches:
+            for part in chunks(batch, "text", STAGE_BYTES):
+                row, bucket = held(*text_bytes(part.column("text")), keep)
+                raw = own.raw(row, np.searchsorted(own.buckets, bucket), part.num_rows)
+                yield part.filter(pa.array(1 / (1 + np.exp(-np.clip(raw, -30, 30))) < limit))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 @query("op7_toxicity_machine")
 def op7(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
