@@ -10,14 +10,13 @@ from pulsegrid.llm.registry import table
 from pulsegrid.llm.sentencepiece_codec import encode
 from pulsegrid.llm.slots import maybe, slots
 from pulsegrid.llm.source_mixing import mix
-from pulsegrid.llm.toxicity import fit, scored
+from pulsegrid.llm.toxicity import below, fit
 from pulsegrid.session import checkpointed
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below one half by a machine fitted on the labels."""
-    machine = fit(docs, table(spark, sf_dir, "labels"))
-    return scored(docs.select("text", F.struct("*").alias("row")), machine).where("score < 0.5").select("row.*")
+    return below(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
