@@ -1,13 +1,13 @@
 """Evaluation statistics over prediction/reference rows."""
 from __future__ import annotations
 
-import math
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import Window, functions as F
 
 from pulsegrid.functions.cols import finite, joined, reasons, rnd, safe_corr
-from pulsegrid.operators import metrics as mt
-from pulsegrid.operators.carry import exact_quantiles, halo, spread, with_index, with_rank
+from pulsegrid.operators import metrics as mt, resampling as rs
+from pulsegrid.operators.carry import exact_quantiles, halo, with_index, with_rank
 from pulsegrid.plans.registry import EVAL, R, query
 from pulsegrid.session import checkpointed
 from pulsegrid.sources.tables import eval_rows, read
@@ -150,35 +150,17 @@ def coverage_by_method(spark, d):
     return p.select("method", sum(F.col(k) for k in kinds).alias("intended"), *kinds)
 
 
-DRAWS = 2000
-# A subject's weight in a draw is a Poisson(1) count from a hash: cumulative shares of 0, 1, ... in units of 2^-48.
-SHARES = [int(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) * 2 ** 48) for k in range(12)]
-
-
-def times_sql(subject: str) -> str:
-    h = f"cast('0x' || substr(md5('42:' || draw || ':' || {subject}), 1, 12) as bigint)"
-    return " + ".join(f"({h} >= {c})::int" for c in SHARES)
-
-
 SUBJECTS = f"""st as (select method, subject, count(*) as w, count(err) as n, sum(abs_err) as sae, sum(err * err) as sse, sum(err) as se,
    avg(abs_err) as mae, median(abs_err) as med, quantile_cont(abs_err, .9) as p90 from er group by 1, 2),
- dr as (select subject, draw, {times_sql('subject')} as t from (select distinct subject from er), lateral (select unnest(range(0, {DRAWS})) as draw) b),
+ dr as (select subject, draw, {rs.counts_sql('subject')} as t from (select distinct subject from er), lateral (select unnest(range(0, {rs.DRAWS})) as draw) b),
  hit as (select draw, t, st.* from dr join st using (subject) where t > 0),
  bt as (select method, draw, sum(mae * t) / sum(case when mae is not null then t end) as bal_mae, sum(med * t) / sum(case when med is not null then t end) as bal_median,
    sum(p90 * t) / sum(case when p90 is not null then t end) as bal_p90, sum(sae * t) / sum(n * t) as win_mae, sqrt(sum(sse * t) / sum(n * t)) as win_rmse, sum(se * t) / sum(n * t) as win_bias,
-   sum(n * t) / sum(w * t) as win_cov from hit group by 1, 2)"""
-BOOT = ("bal_mae", "bal_median", "bal_p90", "win_mae", "win_rmse", "win_bias", "win_cov")
-
-
-def drawn(per_subject, draws=DRAWS, seed=42):
-    """Rows of subjects once per draw that takes them, with the count as ``times``.
-
-    Weights hang on (draw, subject) alone, so nothing is shuffled to draw, and sums per draw combine before their shuffle.
-    """
-    d = spread(per_subject, "subject").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    text = F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string"), F.col("subject").cast("string"))
-    d = d.withColumn("_h", F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long"))
-    return d.withColumn("times", sum((F.col("_h") >= c).cast("int") for c in SHARES)).drop("_h").where("times > 0")
+   sum(n * t) / sum(w * t) as win_cov from hit group by 1, 2),
+ pq as (select method, draw, quantile_cont(abs_err, .5) as win_median, quantile_cont(abs_err, .9) as win_p90 from (select method, draw, abs_err, unnest(range(0, t)) from er join dr using (subject) where t > 0 and abs_err is not null) group by 1, 2)"""
+BOOT = ("bal_mae", "bal_median", "bal_p90", "win_mae", "win_rmse", "win_bias", "win_cov", "win_median", "win_p90")
+#: What a subject contributes, in order of its numbers in ``weighted_sums``.
+PARTS = ("w", "n", "sae", "sse", "se", "mae", "med", "p90")
 
 
 def subject_stats(r):
@@ -189,28 +171,37 @@ def subject_stats(r):
 
 
 @query("subject_bootstrap_ci", f"""with {EV}, {SUBJECTS}
-select method, count(*) as draws, {', '.join(f"{R(f'quantile_cont({c}, .025)')} as {c}_lo, {R(f'quantile_cont({c}, .975)')} as {c}_hi" for c in BOOT)} from bt group by 1""")
+select method, count(*) as draws, {', '.join(f"{R(f'quantile_cont({c}, .025)')} as {c}_lo, {R(f'quantile_cont({c}, .975)')} as {c}_hi" for c in BOOT)} from bt left join pq using (method, draw) group by 1""")
 def subject_bootstrap_ci(spark, d):
-    stats = subject_stats(rows(spark, d))
-    packed = stats.groupBy("subject").agg(F.collect_list(F.struct(*[c for c in stats.columns if c != "subject"])).alias("m"))      # one entry per method
-    t = F.col("times")
-
-    def mean(c):
-        return F.sum(F.col(c) * t) / F.sum(F.when(F.col(c).isNotNull(), t))
-
-    b = drawn(packed).select("draw", "times", F.inline("m")).groupBy("method", "draw").agg(
-        mean("mae").alias("bal_mae"), mean("med").alias("bal_median"), mean("p90").alias("bal_p90"),
-        (F.sum(F.col("sae") * t) / F.sum(F.col("n") * t)).alias("win_mae"),
-        F.sqrt(F.sum(F.col("sse") * t) / F.sum(F.col("n") * t)).alias("win_rmse"),
-        (F.sum(F.col("se") * t) / F.sum(F.col("n") * t)).alias("win_bias"),
-        (F.sum(F.col("n") * t) / F.sum(F.col("w") * t)).alias("win_cov"))
-    out = b.groupBy("method").agg(F.count("*").alias("draws"), *[F.percentile(c, F.lit(q)).alias(f"{c}_{e}")
-                                                                for c in BOOT for q, e in ((.025, "lo"), (.975, "hi"))])
-    return rounded(out, ["method", "draws"], [f"{c}_{e}" for c in BOOT for e in ("lo", "hi")])
+    r = checkpointed(rows(spark, d).select("method", "subject", "err", "abs_err"))
+    stats = subject_stats(r)
+    cells = [F.struct(F.lit(i).cast("long").alias("k"), F.col(c).cast("double").alias("v")) for i, c in enumerate(PARTS)]
+    known = [F.struct(F.lit(len(PARTS) + i).cast("long").alias("k"), F.when(c, 1.0).alias("v")) for i, c in enumerate([F.lit(True), *[F.col(x).isNotNull() for x in ("mae", "med", "p90")]])]
+    cells = stats.select(F.col("subject").cast("string").alias("subject"), F.col("method").alias("key"), F.inline(F.array(*cells, *known)))
+
+    def summary(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        """Intervals of every statistic of a method, from its sums per draw."""
+        s = dict(zip(pdf["k"], map(np.asarray, pdf["sums"])))
+        zero = np.zeros(rs.DRAWS)
+        s = [s.get(k, zero) for k in range(len(PARTS) + 4)]
+        taken = s[len(PARTS)] > 0
+        with np.errstate(all="ignore"):
+            w, n, sae, sse, se, mae, med, p90, _, has_mae, has_med, has_p90 = s
+            per_draw = dict(zip(BOOT, (mae / has_mae, med / has_med, p90 / has_p90, sae / n, np.sqrt(sse / n), se / n, n / w)))
+        cells = {f"{c}_{e}": [x] for c, v in per_draw.items() for e, x in zip(("lo", "hi"), rs.interval(np.where(taken, v, np.nan)))}
+        return pd.DataFrame({"method": [key[0]], "draws": [int(taken.sum())], **cells})
+
+    ends = [f"{c}_{e}" for c in BOOT[:-2] for e in ("lo", "hi")]
+    out = rs.weighted_sums(cells).groupBy("key").applyInPandas(summary, "method string, draws long, " + ", ".join(f"{c} double" for c in ends))
+    pooled = rs.pooled_quantiles(r.select("subject", F.col("method").alias("key"), F.col("abs_err").alias("x")), {"win_median": .5, "win_p90": .9})
+    over = F.filter("per_draw", lambda v: v.isNotNull())
+    long = pooled.select(F.col("key").alias("method"), "name", F.explode(over).alias("v"))
+    wide = long.groupBy("method").agg(*[F.percentile(F.when(F.col("name") == c, F.col("v")), F.lit(q)).alias(f"{c}_{e}") for c in BOOT[-2:] for q, e in ((.025, "lo"), (.975, "hi"))])
+    return rounded(out.join(wide, "method", "left"), ["method", "draws"], [f"{c}_{e}" for c in BOOT for e in ("lo", "hi")])
 
 
 @query("subgroup_bootstrap", f"""with {EV}, s as (select c_mktsegment as grp, subject, avg(abs_err) as mae from er join customer on c_custkey = subject group by 1, 2),
- dr as (select grp, mae, draw, {times_sql('subject')} as t from s, lateral (select unnest(range(0, {DRAWS})) as draw) b where mae is not null),
+ dr as (select grp, mae, draw, {rs.counts_sql('subject')} as t from s, lateral (select unnest(range(0, {rs.DRAWS})) as draw) b where mae is not null),
  m as (select grp, draw, sum(mae * t) / sum(t) as mm from dr group by 1, 2 having sum(t) > 0),
  ci as (select grp, quantile_cont(mm, .025) as lo, quantile_cont(mm, .975) as hi from m group by 1)
 select s.grp, count(*) as subjects, count(mae) as scorable, {R('avg(mae)')} as mean_subject_mae, {R('any_value(lo)')} as lower_95, {R('any_value(hi)')} as upper_95,
@@ -218,8 +209,10 @@ select s.grp, count(*) as subjects, count(mae) as scorable, {R('avg(mae)')} as m
 def subgroup_bootstrap(spark, d):
     c = read(spark, d, "customer").select(F.col("c_custkey").alias("subject"), F.col("c_mktsegment").alias("grp"))
     per = checkpointed(rows(spark, d).groupBy("subject").agg(F.avg("abs_err").alias("mae")).join(c, "subject"))     # one row per subject
-    m = drawn(per.where("mae is not null")).groupBy("grp", "draw").agg((F.sum(F.col("mae") * F.col("times")) / F.sum("times")).alias("mm"))
-    ci = m.groupBy("grp").agg(F.percentile("mm", F.lit(.025)).alias("lo"), F.percentile("mm", F.lit(.975)).alias("hi"))
+    cells = F.inline(F.array(F.struct(F.lit(0).cast("long").alias("k"), F.col("mae").alias("v")), F.struct(F.lit(1).cast("long").alias("k"), F.lit(1.0).alias("v"))))
+    sums = rs.weighted_sums(per.where("mae is not null").select(F.col("subject").cast("string").alias("subject"), F.col("grp").alias("key"), cells))
+    both = sums.groupBy("key").pivot("k", [0, 1]).agg(F.first("sums")).select(F.col("key").alias("grp"), F.explode(F.zip_with("0", "1", lambda a, b: F.when(b > 0, a / b))).alias("mm"))
+    ci = both.groupBy("grp").agg(F.percentile("mm", F.lit(.025)).alias("lo"), F.percentile("mm", F.lit(.975)).alias("hi"))
     out = per.groupBy("grp").agg(F.count("*").alias("subjects"), F.count("mae").alias("scorable"), F.avg("mae").alias("m"))
     out = out.join(ci, "grp", "left")
     shown = F.col("scorable") >= 3
