@@ -22,7 +22,7 @@ def r_peaks(samples: DataFrame, key: str, fs: float, min_run_sec: float = 3.0, e
     spread = runs.groupBy(key, "run").agg(F.avg("x").alias("_m"), F.stddev_pop("x").alias("_sd"))
     live = runs.join(spread, [key, "run"]).where((F.col("run_size") >= fs * min_run_sec) & (F.col("_sd") >= 1e-10))
     live = live.select(key, "run", "run_size", "k", (F.col("k") - F.col("run")).alias("j"), (F.col("x") - F.col("_m")).alias("x0"))
-    y = filter_runs(live, [key, "run"], "x0", "y", fs, 5.0, 20.0, block=block, halo=int(10 * fs))
+    y = filter_runs(live, [key, "run"], "x0", "y", fs, 5.0, 20.0, block=block)
     y = y.join(live.select(key, "k", "run_size"), [key, "k"]).withColumn("a", F.abs("y")).where("a is not null")
     floor = y.groupBy(key, "run", F.floor(F.col("j") / int(8 * fs)).alias("part")).agg(F.greatest(F.median("a"), F.lit(1e-10)).alias("floor"))
     whole = exact_quantiles(y, [key, "run"], "a", {"med": .5})

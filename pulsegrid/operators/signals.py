@@ -1,8 +1,8 @@
-"""Long-run filtering, splines and rate change, cut into blocks with enough overlap.
+"""Long-run filtering, splines and rate change.
 
-A run without gaps can be as long as a recording. Filters and splines forget
-their past quickly, so each block carries a halo on both sides and only its own
-samples are kept; the difference to one pass over the run is below rounding.
+A run without gaps can be as long as a recording, so it is cut into blocks. Recursive
+filters and splines hand small states from block to block (``scan``) and equal one pass
+at any block size; moving averages read their neighbours.
 """
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pulsegrid.functions import kernels as kn
+from pulsegrid.operators import scan
 from pulsegrid.operators.carry import halo as halo_rows, with_prev, with_running
 from pulsegrid.session import checkpointed
 
@@ -46,40 +47,18 @@ def halo_blocks(df: DataFrame, group: list[str], position: Column, size: Column
     return g.where(F.exists("_s", lambda s: s["own"]))
 
 
-def filter_runs(df: DataFrame, group: list[str], column: str, name: str, fs: float, low: float, high: float, order: int = 3,
-                block: int = 8192, halo: int = 1024) -> DataFrame:
-    """Zero-phase band-pass of every run (rows: group, ``j`` position in run, ``run_size``, column).
+def filter_runs(df: DataFrame, group: list[str], column: str, name: str, fs: float, low: float, high: float, order: int = 3, block: int = 8192) -> DataFrame:
+    """Zero-phase band-pass of every run (rows: group, ``j`` position in run, ``run_size``, column), exact at any ``block`` (``scan``).
 
     True run ends use the odd extension of the one-pass filter; runs too short to extend are NULL.
     """
-    system = kn._state_space(kn.bandpass_sections(low, high, fs, order))
     edge = 3 * (2 * order + 1)
-    blocks = halo_blocks(df, group, F.col("j"), F.col("run_size"), block, halo, [column, "k"])
-    types = dict(blocks.dtypes)
-    fields = ", ".join(f"{g} {types[g]}" for g in group)
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for n, rows in pdf.groupby(pdf["x"].map(len)):          # blocks of one length are filtered together
-                x = np.stack([np.array(v, float) for v in rows["x"]])
-                y = np.full(x.shape, np.nan)
-                ok = np.isfinite(x).all(axis=1)
-                if n > edge and ok.any():
-                    y[ok] = kn.zero_phase(x[ok], system, edge)
-                own = np.stack([np.array(v, bool) for v in rows["own"]])
-                flat = {g: np.repeat(rows[g].to_numpy(), own.sum(axis=1)) for g in group}
-                out.append(pd.DataFrame({**flat, "k": np.stack(rows["k"].to_list())[own], "j": np.stack(rows["j"].to_list())[own], name: y[own]}))
-            yield pd.concat(out) if out else pd.DataFrame(columns=[*group, "k", "j", name])
-
-    flat = blocks.select(*group, F.col(f"_s.{column}").alias("x"), F.col("_s.k").alias("k"), F.col("_s._i").alias("j"), F.col("_s.own").alias("own"))
-    out = flat.mapInPandas(run, f"{fields}, k long, j long, {name} double")
-    return out.withColumn(name, F.when(~F.isnan(name), F.col(name)))
+    return scan.filter_runs(df, group, column, name, kn.bandpass_sections(low, high, fs, order), edge, max(block, edge + 1))
 
 
 def segment_signal(samples: DataFrame, keys: list[str], fs: float, low: float, high: float, min_samples: int, edge: int, valid: Column,
-                   channel: str = "g", chunk: int = 65536, block: int = 8192, halo: int = 1024) -> tuple[DataFrame, DataFrame]:
-    """Centre, band-pass and edge-blank every run of a dense index ``k``; nothing crosses a gap.
+                   channel: str = "g", chunk: int = 65536, block: int = 8192, halo: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Centre, band-pass and edge-blank every run of a dense index ``k``; nothing crosses a gap. ``halo`` is not needed any more.
 
     Returns (signal rows with NULL outside the retained part, run table with the reason a run failed).
     """
@@ -90,7 +69,7 @@ def segment_signal(samples: DataFrame, keys: list[str], fs: float, low: float, h
     runs = runs.withColumn("reason", F.when(long_enough, "").otherwise("insufficient_duration"))
     live = r.where(long_enough).join(runs.select(*group, "_mean"), group)
     live = live.withColumns({"_x": F.col(channel) - F.col("_mean"), "j": F.col("k") - F.col("run")})
-    y = filter_runs(live, [*group, "run_size"], "_x", "_y", fs, low, high, block=block, halo=halo)
+    y = filter_runs(live, [*group, "run_size"], "_x", "_y", fs, low, high, block=block)
     kept = (F.col("j") >= edge) & (F.col("j") < F.col("run_size") - edge)
     y = y.select(*keys, "k", "run", F.when(kept, F.col("_y")).alias("signal"))
     # rows outside every usable run stay, without a value

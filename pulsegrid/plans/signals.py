@@ -25,7 +25,7 @@ def colour_grid(spark, d):
 def segment_signal(spark, d):
     ok = (F.col("flag") != "A") | (F.col("discount") > 0)
     # the run chain reads the indexed samples many times
-    y, runs = sg.segment_signal(checkpointed(colour_grid(spark, d)), ["recording"], FS, .7, 4.0, max(4, int(2.0 * FS)), 4, ok, chunk=512, block=1024, halo=256)
+    y, runs = sg.segment_signal(checkpointed(colour_grid(spark, d)), ["recording"], FS, .7, 4.0, max(4, int(2.0 * FS)), 4, ok, chunk=512)
     kept = y.groupBy("recording").agg(F.count("*").alias("samples"), F.count("signal").alias("retained"), rnd(F.sqrt(F.avg(F.col("signal") * F.col("signal")))).alias("rms"))
     r = runs.groupBy("recording").agg(F.count_if(F.col("reason") == "").alias("segments"), F.count_if(F.col("reason") != "").alias("failed_runs"))
     return kept.join(r, "recording", "left")
@@ -34,7 +34,7 @@ def segment_signal(spark, d):
 def process(spark, d):
     """Bounded resampling, run filtering and edge blanking of every trace on its shared grid."""
     u = uniform(spark, d)
-    return u, *sg.segment_signal(u, KEY, HOURLY, .05 * HOURLY, .25 * HOURLY, 48, 3, F.col("x").isNotNull(), channel="x", chunk=256, block=2048, halo=512)
+    return u, *sg.segment_signal(u, KEY, HOURLY, .05 * HOURLY, .25 * HOURLY, 48, 3, F.col("x").isNotNull(), channel="x", chunk=256)
 
 
 @query("rgb_trace_process")
