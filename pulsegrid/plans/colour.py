@@ -7,6 +7,7 @@ from pulsegrid.functions import kernels as kn
 from pulsegrid.functions.batch import apply_kernel
 from pulsegrid.functions.cols import arr_zscore, rnd
 from pulsegrid.operators import colour as cl, signals as sg
+from pulsegrid.plans.recursion import zero_phase_sql
 from pulsegrid.plans.registry import COLOUR, R, query
 from pulsegrid.sources.tables import BLOCK, FS, colour_samples, colour_windows
 
@@ -176,7 +177,9 @@ def detrended_variant(spark, d):
     return exploded(w, "wave", "detrended")
 
 
-@query("zero_phase_bandpass")
+@query("zero_phase_bandpass", f"""with recursive {COLOUR}, win as (select {{'r': recording, 'w': window_index}} as key, recording, window_index, list(g order by pos) as v from cw group by recording, window_index),
+ src as (select key, list_transform(v, lambda a: a - list_avg(v)) as x from win), {zero_phase_sql('zp', 'src', FS, .7, 4.0)}
+select recording, window_index, len(v) as n, y is not null as ok, {R('y[1]')} as first, {R('list_sum(list_transform(y, lambda a: a * a))')} as energy from win left join zp using (key)""")
 def zero_phase_bandpass(spark, d):
     w = kernel_filter(colour_windows(spark, d).select(*WIN, "n", "g"), "g", kn.bandpass, "wave", fs=FS)
     return w.select(*WIN, "n", F.col("wave").isNotNull().alias("ok"), rnd(F.element_at("wave", 1)).alias("first"),

@@ -9,7 +9,8 @@ from pulsegrid.functions.cols import finite, joined, reasons, rnd
 from pulsegrid.operators import beats as bt, clock as ck, ecg, signals as sg, spectral as sp
 from pulsegrid.operators.carry import with_index, with_prev
 from pulsegrid.plans.clock import FS as HOURLY, KEY, MAX_GAP, span, uniform
-from pulsegrid.plans.registry import R, TRACE, query
+from pulsegrid.plans.recursion import runs_sql
+from pulsegrid.plans.registry import COLOUR, GRID, R, RESAMPLED, TRACE, query
 from pulsegrid.plans.spectral import RADIUS, coherence_job, delays, quality_columns, quality_jobs, spectral_peaks, with_coherence, with_rate_array
 from pulsegrid.session import checkpointed
 from pulsegrid.sources.tables import FS, colour_samples, trace, wave_pairs, waves
@@ -21,7 +22,11 @@ def colour_grid(spark, d):
     return colour_samples(spark, d).select("recording", F.col("i").alias("k"), "r", "g", "b", "discount", "flag")
 
 
-@query("segment_signal")
+@query("segment_signal", f"""with recursive {COLOUR}, smp as (select recording, i as k, flag <> 'A' or discount > 0 as ok, g as v from colour), {runs_sql('sg', 'smp', FS, .7, 4.0, 32, 4)},
+ sig as (select recording, case when good and j >= 4 and j < n - 4 then y[j + 1] end as signal from sg),
+ kept as (select recording, count(signal) as retained, sqrt(avg(signal * signal)) as rms from sig group by 1), al as (select recording, count(*) as samples from smp group by 1),
+ rn as (select recording, cast(count_if(good) as bigint) as segments, cast(count_if(not good) as bigint) as failed_runs from (select distinct recording, run, good from sg) group by 1)
+select al.recording, samples, coalesce(retained, 0) as retained, {R('rms')} as rms, segments, failed_runs from al left join kept using (recording) left join rn using (recording)""")
 def segment_signal(spark, d):
     ok = (F.col("flag") != "A") | (F.col("discount") > 0)
     # the run chain reads the indexed samples many times
@@ -37,7 +42,13 @@ def process(spark, d):
     return u, *sg.segment_signal(u, KEY, HOURLY, .05 * HOURLY, .25 * HOURLY, 48, 3, F.col("x").isNotNull(), channel="x", chunk=256)
 
 
-@query("rgb_trace_process")
+@query("rgb_trace_process", f"""with recursive {TRACE}, {GRID}, {RESAMPLED}, smp as (select recording, k, x is not null as ok, x as v from uniform), {runs_sql('sg', 'smp', HOURLY, .05 * HOURLY, .25 * HOURLY, 48, 3)},
+ sig as (select recording, case when good and j >= 3 and j < n - 3 then y[j + 1] end as signal from sg),
+ al as (select recording, count(*) as points, avg((x is not null)::int) as support, avg(imputed::int) as imputed from uniform group by 1),
+ st as (select recording, count(signal) as valid, stddev_pop(signal) as amplitude from sig group by 1),
+ rn as (select recording, cast(count_if(good) as bigint) as segments, cast(count_if(not good) as bigint) as failures from (select distinct recording, run, good from sg) group by 1)
+select al.recording, points, segments, failures, {R('support')} as support, {R('imputed')} as imputed, {R('coalesce(valid, 0) / points')} as signal_valid, {R('amplitude')} as amplitude
+ from al left join st using (recording) left join rn using (recording)""")
 def rgb_trace_process(spark, d):
     u, y, runs = process(spark, d)
     a = u.groupBy(*KEY).agg(F.count("*").alias("points"), F.avg(F.col("x").isNotNull().cast("double")).alias("support"), F.avg(F.col("imputed").cast("double")).alias("imputed"))
