@@ -140,3 +140,87 @@ def filter_runs(df: DataFrame, group: list[str], column: str, name: str, section
     many = placed.join(checkpointed(back), by).mapInPandas(finished, out_schema)
     both = one.unionByName(many)
     return both.withColumn(name, F.when(~F.isnan(name), F.col(name)))
+
+
+# ---- splines ----------------------------------------------------------------
+
+def _moments(t: np.ndarray, x: np.ndarray, left: bool, right: bool) -> np.ndarray:
+    """Second derivatives of a block's own samples as (p, q, r): p + q * the one before the block + r * the one behind it.
+
+    ``t`` and ``x`` hold one sample more on each side that has a neighbour; where there is none the run ends and its derivative is zero.
+    """
+    h = np.diff(t)
+    n = len(t) - left - right
+    low, main, up, rhs = np.zeros(n), np.ones(n), np.zeros(n), np.zeros((n, 3))
+    inside = np.arange(len(t))[1:-1]
+    own = inside - left
+    slope = np.diff(x) / h
+    low[own], main[own], up[own] = h[inside - 1], 2 * (h[inside - 1] + h[inside]), h[inside]
+    rhs[own, 0] = 6 * (slope[inside] - slope[inside - 1])
+    if left:
+        rhs[0, 1] = -low[0]
+    if right:
+        rhs[-1, 2] = -up[-1]
+    for i in range(1, n):
+        f = low[i] / main[i - 1]
+        main[i] -= f * up[i - 1]
+        rhs[i] -= f * rhs[i - 1]
+    rhs[-1] /= main[-1]
+    for i in range(n - 2, -1, -1):
+        rhs[i] = (rhs[i] - up[i] * rhs[i + 1]) / main[i]
+    return rhs
+
+
+def _borders(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Derivatives before and behind each block of a run, from every block's first and last (p, q, r): forward elimination and substitution.
+
+    Going forwards, the last derivative of a block becomes u + v * the first one of the next block, with the same for its own first.
+    """
+    n = len(first)
+    u, v, fu, fv = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
+    before_u = before_v = 0.0                           # the last derivative of the block before: before_u + before_v * own first
+    for b in range(n):
+        (p, q, r), (lp, lq, lr) = first[b], last[b]
+        scale = 1 / (1 - q * before_v)                  # first = p + q (before_u + before_v first) + r next
+        fu[b], fv[b] = (p + q * before_u) * scale, r * scale
+        u[b] = lp + lq * (before_u + before_v * fu[b])
+        v[b] = lr + lq * before_v * fv[b]
+        before_u, before_v = u[b], v[b]
+    behind, before, nxt = np.zeros(n), np.zeros(n), 0.0
+    for b in range(n - 1, -1, -1):
+        behind[b] = nxt
+        nxt = fu[b] + fv[b] * nxt
+    for b in range(1, n):
+        before[b] = u[b - 1] + v[b - 1] * behind[b - 1]
+    return before, behind
+
+
+def spline_borders(blocks: DataFrame, group: list[str]) -> DataFrame:
+    """(group, ``block``, ``before``, ``behind``) of blocks (``kt``, ``kx`` with their neighbours, ``left``, ``right``): blocks are eliminated on their
+    own, and the small system of their borders is solved along each run, one row per block."""
+    types = dict(blocks.dtypes)
+    fields = ", ".join(f"{g} {types[g]}" for g in group) + ", block long"
+    by = [*group, "block"]
+
+    def eliminate(batches):
+        for pdf in batches:
+            ends = [_moments(np.array(t, float), np.array(x, float), a, b)[[0, -1]].ravel() for t, x, a, b in zip(pdf["kt"], pdf["kx"], pdf["left"], pdf["right"])]
+            yield pd.DataFrame({**{c: pdf[c] for c in by}, "ends": ends})
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block", ignore_index=True)
+        ends = np.stack(pdf["ends"].to_list())
+        before, behind = _borders(ends[:, :3], ends[:, 3:])
+        return pd.DataFrame({**{c: pdf[c] for c in by}, "before": before, "behind": behind})
+
+    return blocks.mapInPandas(eliminate, f"{fields}, ends array<double>").groupBy(*group).applyInPandas(solve, f"{fields}, before double, behind double")
+
+
+def spline_at(t: np.ndarray, x: np.ndarray, left: bool, right: bool, before: float, behind: float, at: np.ndarray) -> np.ndarray:
+    """The spline of a block at places between its first and its last sample, neighbours included."""
+    m = _moments(t, x, left, right) @ [1.0, before, behind]
+    m = np.concatenate([[before] if left else [], m, [behind] if right else []])
+    h = np.diff(t)
+    k = np.clip(np.searchsorted(t, at, side="right") - 1, 0, len(t) - 2)
+    a, b = t[k + 1] - at, at - t[k]
+    return (m[k] * a ** 3 + m[k + 1] * b ** 3) / (6 * h[k]) + (x[k] / h[k] - m[k] * h[k] / 6) * a + (x[k + 1] / h[k] - m[k + 1] * h[k] / 6) * b

@@ -78,8 +78,9 @@ def segment_signal(samples: DataFrame, keys: list[str], fs: float, low: float, h
 
 
 def bounded_cubic(samples: DataFrame, points: DataFrame, keys: list[str], channel: str, max_gap: float, bucket_sec: float,
-                  block: int = 256, halo: int = 40) -> DataFrame:
-    """Natural cubic spline inside runs whose gaps stay within ``max_gap``.
+                  block: int = 256, halo: int | None = None) -> DataFrame:
+    """Natural cubic spline inside runs whose gaps stay within ``max_gap``, exact at any ``block``: blocks of a run are joined by the small system
+    of their borders (``scan``). ``halo`` is not needed any more.
 
     ``points`` carry ``lo_i``, the index of the sample before them, and ``linear``,
     the bounded linear value that also decides support. A run of fewer than three
@@ -91,14 +92,17 @@ def bounded_cubic(samples: DataFrame, points: DataFrame, keys: list[str], channe
     s = checkpointed(with_running(s, keys, "_b", ["t"], run=(F.when(new, F.col("i")), "max")).drop("_p", "_b"))
     size = s.groupBy(*keys, "run").agg(F.count(F.lit(1)).alias("run_size"))
     s = s.join(size, [*keys, "run"]).withColumn("j", F.col("i") - F.col("run"))
-    knots = halo_blocks(s, [*keys, "run"], F.col("j"), F.col("run_size"), block, halo, ["t", channel])
-    knots = knots.select(*keys, "run", "block", F.col("_s.t").alias("kt"), F.col(f"_s.{channel}").alias("kx"))
-    owner = s.select(*keys, F.col("i").alias("lo_i"), "run", "run_size", F.floor(F.col("j") / block).alias("block"))
+    knots = halo_blocks(s, [*keys, "run", "run_size"], F.col("j"), F.col("run_size"), block, 1, ["t", channel])
+    knots = checkpointed(knots.select(*keys, "run", "run_size", "block", F.col("_s.t").alias("kt"), F.col(f"_s.{channel}").alias("kx"),
+                                      (~F.element_at("_s", 1)["own"]).alias("left"), (~F.element_at("_s", -1)["own"]).alias("right")))
+    borders = scan.spline_borders(knots.where(F.col("run_size") > block), [*keys, "run"])
+    knots = knots.join(checkpointed(borders), [*keys, "run", "block"], "left").fillna(0.0, ["before", "behind"])
+    owner = s.select(*keys, F.col("i").alias("lo_i"), "run", F.floor(F.col("j") / block).alias("block"))
     at = points.where("linear is not null").join(owner, [*keys, "lo_i"])
     at = at.withColumn("part", F.floor(F.col("k") / 4096))
     at = at.groupBy(*keys, "run", "block", "part").agg(F.collect_list(F.struct("k", "t", "linear")).alias("p"))
     j = at.join(knots, [*keys, "run", "block"])
-    j = j.select(*keys, "kt", "kx", F.col("p.k").alias("k"), F.col("p.t").alias("t"), F.col("p.linear").alias("linear"))
+    j = j.select(*keys, "kt", "kx", "left", "right", "before", "behind", "run_size", F.col("p.k").alias("k"), F.col("p.t").alias("t"), F.col("p.linear").alias("linear"))
     types = dict(j.dtypes)
 
     def run(batches):
@@ -107,7 +111,10 @@ def bounded_cubic(samples: DataFrame, points: DataFrame, keys: list[str], channe
             for row in pdf.itertuples(index=False):
                 s = row._asdict()
                 t, x, at = (np.array(s[c], float) for c in ("kt", "kx", "t"))
-                y = kn.natural_cubic(t, x, np.clip(at, t[0], t[-1])) if len(t) >= 3 else np.array(s["linear"], float)
+                if s["run_size"] >= 3:
+                    y = scan.spline_at(t, x, s["left"], s["right"], s["before"], s["behind"], np.clip(at, t[0], t[-1]))
+                else:
+                    y = np.array(s["linear"], float)
                 out.append(pd.DataFrame({**{g: s[g] for g in keys}, "k": s["k"], "value": y}))
             yield pd.concat(out) if out else pd.DataFrame(columns=[*keys, "k", "value"])
 

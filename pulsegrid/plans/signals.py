@@ -72,10 +72,30 @@ def cubic(spark, d, fs):
     a = (t - lo["t"]) / (hi["t"] - lo["t"])
     linear = F.when(exact, hi["x"]).when(hi["t"] - lo["t"] <= MAX_GAP + ck.EXACT, lo["x"] * (1 - a) + hi["x"] * a)
     p = u.select(*KEY, "k", "t", linear.alias("linear"), F.when(exact, hi["i"]).otherwise(lo["i"]).alias("lo_i"))
-    return p, sg.bounded_cubic(k, p, KEY, "x", MAX_GAP, span(spark, d), block=64, halo=40)
-
-
-@query("bounded_cubic")
+    return p, sg.bounded_cubic(k, p, KEY, "x", MAX_GAP, span(spark, d))
+
+
+#: Knots as runs, the tridiagonal system of their second derivatives solved sample by sample, and the spline between two knots.
+CUBIC = f"""{TRACE}, {GRID}, {RESAMPLED}, kn as (select recording, t, x, row_number() over (partition by recording order by t, event_id) - 1 as i from trace where valid),
+ ks as (select *, sum(case when t - pt <= 86400 + 1e-8 then 0 else 1 end) over (partition by recording order by i) as run from (select *, lag(t) over (partition by recording order by i) as pt from kn)),
+ kr as (select {{'r': recording, 'u': run}} as key, list(t order by i) as t, list(x order by i) as x, min(i) as first, count(*) as n from ks group by recording, run),
+ el as (select key, t, x, n, 1::bigint as i, 0e0 as c, 0e0 as d from kr where n >= 3 union all
+   select key, t, x, n, i + 1, (t[i + 2] - t[i + 1]) / (2 * (t[i + 2] - t[i]) - (t[i + 1] - t[i]) * c),
+     (6 * ((x[i + 2] - x[i + 1]) / (t[i + 2] - t[i + 1]) - (x[i + 1] - x[i]) / (t[i + 1] - t[i])) - (t[i + 1] - t[i]) * d) / (2 * (t[i + 2] - t[i]) - (t[i + 1] - t[i]) * c)
+   from el where i < n - 1),
+ ec as (select key, n, list(c order by i) as c, list(d order by i) as d from el group by 1, 2),
+ su as (select key, n, c, d, n as i, 0e0 as m from ec union all select key, n, c, d, i - 1, case when i = 2 then 0e0 else d[i - 1] - c[i - 1] * m end from su where i > 1),
+ mo as (select key, list(m order by i) as m from su group by key),
+ ad as (select nb.recording, nb.k, nb.t, uniform.x as linear, case when nb.rt - nb.t <= 1e-8 then hi.i - 1 else lo.i end as low, case when nb.rt - nb.t <= 1e-8 then hi.i else lo.i end as own
+   from nb join uniform using (recording, k) left join kn lo on lo.recording = nb.recording and lo.t = nb.lt left join kn hi on hi.recording = nb.recording and hi.t = nb.rt),
+ pl as (select ad.*, kr.key, kr.n, kr.t as kt, kr.x as kx, least(greatest(ad.low - kr.first, 0), kr.n - 2) + 1 as p from ad left join ks on ks.recording = ad.recording and ks.i = ad.own
+   left join kr on kr.key = {{'r': ad.recording, 'u': ks.run}}),
+ ev as (select pl.recording, k, linear, n, least(greatest(pl.t, kt[1]), kt[n]) as a, kt[p] as t0, kt[p + 1] as t1, kx[p] as x0, kx[p + 1] as x1, m[p] as m0, m[p + 1] as m1 from pl left join mo using (key))"""
+SPLINE = ("case when linear is null then null when n < 3 then linear else (m0 * power(t1 - a, 3) + m1 * power(a - t0, 3)) / (6 * (t1 - t0))"
+          " + (x0 / (t1 - t0) - m0 * (t1 - t0) / 6) * (t1 - a) + (x1 / (t1 - t0) - m1 * (t1 - t0) / 6) * (a - t0) end")
+
+
+@query("bounded_cubic", f"with recursive {CUBIC} select recording, k, {R(SPLINE)} as x from ev")
 def bounded_cubic(spark, d):
     return cubic(spark, d, HOURLY)[1].select(*KEY, "k", rnd("value").alias("x"))
 

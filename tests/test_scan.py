@@ -49,3 +49,31 @@ def test_a_missing_value_leaves_its_run_empty(spark):
     df = spark.createDataFrame([(r, j, 200, j, None if r == 1 and j == 150 else float(j % 7)) for r in (1, 2) for j in range(200)], "run int, j long, run_size long, k long, x double")
     got = scan.filter_runs(df, ["run"], "x", "y", kn.bandpass_sections(.7, 4.0, 30.0, 3), 21, 50)
     assert {r["run"]: r["n"] for r in got.groupBy("run").agg(F.count("y").alias("n")).collect()} == {1: 0, 2: 200}
+
+
+def spline_in_blocks(t, x, cuts, at):
+    """Blocks between ``cuts`` eliminated on their own and joined by their borders, evaluated block by block."""
+    spans = list(zip([0, *cuts], [*cuts, len(t)]))
+    parts = [(t[max(a - 1, 0):b + 1], x[max(a - 1, 0):b + 1], a > 0, b < len(t)) for a, b in spans]
+    ends = np.stack([scan._moments(*p)[[0, -1]].ravel() for p in parts])
+    before, behind = scan._borders(ends[:, :3], ends[:, 3:])
+    out = np.full(len(at), np.nan)
+    for (a, b), p, l, r in zip(spans, parts, before, behind):
+        here = (at >= t[a]) & (at < t[b] if b < len(t) else at <= t[-1])
+        out[here] = scan.spline_at(*p, l, r, at[here])
+    return out
+
+
+@pytest.mark.parametrize("n, cuts", [(3, []), (3, [1, 2]), (10, [1, 2, 3]), (50, [7, 8, 30]), (200, list(range(1, 200))), (200, [100]), (500, list(range(37, 500, 41)))])
+def test_spline_joined_at_borders(n, cuts):
+    rng = np.random.default_rng(n)
+    t = np.cumsum(rng.random(n) + .01)
+    x = rng.normal(size=n)
+    at = np.sort(rng.uniform(t[0], t[-1], 400))
+    np.testing.assert_allclose(spline_in_blocks(t, x, cuts, at), kn.natural_cubic(t, x, at), atol=1e-11)
+    h = np.diff(t)                                      # and both equal the dense solution of the whole system
+    full = np.eye(n)
+    for i in range(1, n - 1):
+        full[i, i - 1:i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
+    rhs = np.concatenate([[0], 6 * (np.diff(x)[1:] / h[1:] - np.diff(x)[:-1] / h[:-1]), [0]])
+    np.testing.assert_allclose(scan._moments(t, x, False, False)[:, 0], np.linalg.solve(full, rhs), atol=1e-9)
