@@ -9,9 +9,9 @@ from pulsegrid.operators import assoc as ac, beats as bt, clock as ck, colour as
 from pulsegrid.operators.carry import exact_quantiles, with_index, with_prev
 from pulsegrid.plans import optical as po, signals as ps, windows as pw
 from pulsegrid.plans.assoc import preceding_features
-from pulsegrid.plans.clock import FLAGSHIP, FS, KEY, LENGTH, span, STRIDE, events_with_flags, free_intervals, uniform, window_quality
+from pulsegrid.plans.clock import FLAGSHIP, FS, KEY, LENGTH, span, STRIDE, events_with_flags, uniform, window_quality
 from pulsegrid.plans.colour import PRIORS
-from pulsegrid.plans.registry import COLOUR, CUFF, R, query, unrounded
+from pulsegrid.plans.registry import COLOUR, CUFF, GRID, R, TRACE, query, unrounded
 from pulsegrid.plans.spectral import GATED, K0, K1, NFFT, dft, hr_sql
 from pulsegrid.session import checkpointed
 from pulsegrid.sources.tables import BLOCK, DAY, FS as RATE, colour_samples, cuff_events, read, trace
@@ -126,27 +126,48 @@ POLICIES = {"A": 0.0, "B": 300.0, "C": 900.0}
 DISTANCES = (1800.0, 3600.0, 7200.0)
 
 
-@query("job_delay_feasibility")
+FEASIBLE = f"""{TRACE}, {GRID}, {CUFF}, pol(policy, guard) as (values {', '.join(f"('{p}', {g}e0)" for p, g in POLICIES.items())}),
+ lim(max_distance_sec) as (values {', '.join(f'({x}e0)' for x in DISTANCES)}), vo(verified_only) as (values (true), (false)),
+ m as (select policy, s.recording, s.event_id, coalesce(bool_or(t >= start_sec and t < end_sec), false) as act, coalesce(bool_or(t >= start_sec - guard and t < end_sec + guard), false) as grd,
+   coalesce(bool_or(end_sec is null and t >= start_sec - guard), false) as unk from pol, trace s left join cuff c on s.recording = c.recording where s.event_type <> 'purchase' group by 1, 2, 3),
+ ph as (select policy, cast(count_if(not act and not grd and not unk) as bigint) as free_samples, cast(count_if(act) as bigint) as active_samples, cast(count_if(grd and not act) as bigint) as guard_samples from m group by 1),
+ bl as (select policy, recording, greatest(t0, start_sec - guard) as a, least(t1, coalesce(end_sec + guard, t1)) as b, t0, t1 from pol, cuff join bounds using (recording)),
+ sq as (select *, greatest(t0, coalesce(max(b) over (partition by policy, recording order by a, b rows between unbounded preceding and 1 preceding), t0)) as cur from bl),
+ free as (select policy, recording, a as fe, a - cur as len from sq where a > cur union all select policy, recording, t1, t1 - greatest(t0, coalesce(m, t0)) from pol, bounds left join lateral
+   (select max(b) as m from bl where bl.policy = pol.policy and bl.recording = bounds.recording) on true where t1 > greatest(t0, coalesce(m, t0))),
+ fr as (select policy, count(*) as free_intervals, sum(len) as free_sec from free group by 1),
+ gp as (select policy, c.event_id, any_value(c.end_sec is not null) as verified, min(c.start_sec - fe) as gap from pol, cuff c left join lateral
+   (select fe from free where free.policy = pol.policy and free.recording = c.recording and fe <= c.start_sec) on true group by 1, 2),
+ gr as (select policy, max_distance_sec, verified_only, count(*) as events, cast(count_if(gap <= max_distance_sec) as bigint) as associated from gp, lim, vo where verified or not verified_only group by 1, 2, 3)"""
+
+
+@query("job_delay_feasibility", f"""with {FEASIBLE} select policy, max_distance_sec, verified_only, events, associated, free_samples, active_samples, guard_samples, free_intervals, {R('free_sec')} as free_sec
+from gr join ph using (policy) join fr using (policy)""")
 def job_delay_feasibility(spark, d):
-    """Guard policies and distance limits as grids: phase time, schedule size and associations for each."""
-    events = events_with_flags(spark, d)
-    t = trace(spark, d).where("event_type <> 'purchase'").select(*KEY, "event_id", "t")
-    out = None
-    for name, guard in POLICIES.items():
-        m = ck.sample_phase(t, events, KEY, guard, span(spark, d)).withColumn("phase", ck.phase_label())
-        n = lambda p: F.count_if(F.col("phase") == p)
-        m = m.agg(F.struct(n(0).alias("free_samples"), n(1).alias("active_samples"), n(2).alias("guard_samples")).alias("s")).scalar()
-        free = free_intervals(spark, d, guard).select(*KEY, "start_sec", "end_sec")
-        near = ac.preceding(events.select(*KEY, "event_id", "start_sec", "timing_verified"), free, KEY, [], max(DISTANCES), span(spark, d))
-        gap = F.col("start_sec") - F.col("interval.end_sec")
-        grid = F.explode(F.array(*[F.struct(F.lit(x).alias("limit"), F.lit(v).alias("verified_only")) for x in DISTANCES for v in (True, False)])).alias("s")
-        a = near.select("event_id", "timing_verified", gap.alias("gap"), grid).where(~F.col("s.verified_only") | F.col("timing_verified"))
-        a = a.select("event_id", "gap", F.col("s.limit").alias("limit"), F.col("s.verified_only").alias("verified_only"))
-        a = a.groupBy("limit", "verified_only").agg(F.count("*").alias("events"), F.count_if(F.col("gap") <= F.col("limit")).alias("associated"))
-        a = a.select(F.lit(name).alias("policy"), F.col("limit").alias("max_distance_sec"), "verified_only", "events", "associated", m.alias("s"))
-        a = a.select("policy", "max_distance_sec", "verified_only", "events", "associated", "s.*")
-        out = a if out is None else out.unionByName(a)
-    return out
+    """Guard policies, distance limits and the timing rule as one grid: phase time, free intervals and associations.
+
+    A policy is part of the key, so one sweep serves them all; the distances of events meet the limits as a histogram, a few rows a policy.
+    """
+    by = [*KEY, "policy"]
+    policy = F.array(*[F.struct(F.lit(p).alias("policy"), F.lit(g).alias("guard")) for p, g in POLICIES.items()])
+    under = lambda df: df.select("*", F.inline(policy))
+    events = checkpointed(under(events_with_flags(spark, d)))
+    samples = under(trace(spark, d).where("event_type <> 'purchase'").select(*KEY, "event_id", "t"))
+    m = ck.sample_phase(samples.drop("guard"), events, by, F.col("guard"), span(spark, d)).withColumn("phase", ck.phase_label())
+    phases = m.groupBy("policy").agg(*[F.count_if(F.col("phase") == n).alias(f"{name}_samples") for n, name in ((0, "free"), (1, "active"), (2, "guard"))])
+    blocked = events.select(*by, (F.col("start_sec") - F.col("guard")).alias("start_sec"), (F.col("end_sec") + F.col("guard")).alias("end_sec"))
+    extent = under(ck.bounds(trace(spark, d), KEY, FS).select(*KEY, "t0", "t1")).drop("guard")
+    free = checkpointed(ck.interval_complement(blocked, extent, by, span(spark, d)).select(*by, "start_sec", "end_sec"))
+    room = free.groupBy("policy").agg(F.count("*").alias("free_intervals"), rnd(F.sum(F.col("end_sec") - F.col("start_sec"))).alias("free_sec"))
+    near = ac.preceding(events.select(*by, "event_id", "start_sec", "timing_verified"), free, by, [], max(DISTANCES), span(spark, d))
+    gap, step = F.col("start_sec") - F.col("interval.end_sec"), F.lit(len(DISTANCES))
+    for i, limit in reversed(list(enumerate(DISTANCES))):
+        step = F.when(gap <= limit, i).otherwise(step)
+    steps = near.groupBy("policy", "timing_verified", step.alias("step")).agg(F.count("*").alias("n"))
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(x).alias("max_distance_sec"), F.lit(v).alias("verified_only")) for i, x in enumerate(DISTANCES) for v in (True, False)])
+    grid = steps.select("*", F.inline(cells)).where(~F.col("verified_only") | F.col("timing_verified"))
+    grid = grid.groupBy("policy", "max_distance_sec", "verified_only").agg(F.sum("n").alias("events"), F.coalesce(F.sum(F.when(F.col("step") <= F.col("i"), F.col("n"))), F.lit(0)).alias("associated"))
+    return grid.join(phases, "policy").join(room, "policy")
 
 
 @query("job_pilot_signal_audit", f"""with u as (select 'hourly_trace' as source, status, periodicity as value from ({unrounded('quality_status_window')}) union all
