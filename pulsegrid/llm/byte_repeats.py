@@ -32,8 +32,8 @@ from pulsegrid.llm.words import U, combine, mix, sequence_hashes, sliding_min, t
 from pulsegrid.session import checkpointed
 
 WIDTH, GRAM = 200, 64
-SHARD_BYTES, MOST_STRETCHES = 1 << 20, 4096
-READ_BYTES = 2 << 20
+SHARD_BYTES, MOST_STRETCHES = 1 << 19, 4096
+READ_BYTES = 1 << 20
 BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 STEP = 0x9E3779B97F4A7C15 | 3
 BACK = pow(STEP, -1, 2 ** 64)
@@ -200,13 +200,16 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_
     classes = sorted_.where("_class is not null")
     shared = classes.groupBy("_anchor", "_class").agg(F.count("*").alias("_m")).where("_m > 1").drop("_m")
     across = classes.where("_n = 1").join(shared, ["_anchor", "_class"]).select("_anchor", "_content", "_nth", "_n")
-    # The other members of a class that is not alone in its shard are among the runs already.
+    # The other members of a class that is not alone in its shard are among the runs already. A stretch's runs and windows meet in one row
+    # before any join, so that no join makes a row per window.
+    run = F.struct("_nth", "_n")
     once = sorted_.where("_class is null").select("_anchor", "_content", "_nth", "_n").union(across)
+    once = once.groupBy("_anchor", "_content").agg(F.collect_list(run).alias("_runs"))
     once = once.join(each.where("_copies = 1").select("_anchor", "_content"), ["_anchor", "_content"], "left_semi")
-    whole = each.where("_copies > 1").select("_anchor", "_content", F.lit(0).alias("_nth"), F.shiftright("_windows", 1).alias("_n"))
+    whole = each.where("_copies > 1").select("_anchor", "_content", F.array(F.struct(F.lit(0).alias("_nth"), F.shiftright("_windows", 1).alias("_n"))).alias("_runs"))
     placed = found.select(*KEY, "_at", "_anchor", "_content").join(whole.union(once), ["_anchor", "_content"])
-    spans = placed.select(*KEY, (F.col("_at") + F.col("_nth")).alias("at"), (F.col("_n") + (width - 1)).alias("n"))
-    return spans.groupBy(*KEY).agg(F.collect_list(F.struct("at", "n")).alias("_spans"))
+    spans = placed.select(*KEY, F.transform("_runs", lambda r: F.struct((F.col("_at") + r["_nth"]).alias("at"), (r["_n"] + (width - 1)).alias("n"))).alias("runs"))
+    return spans.groupBy(*KEY).agg(F.flatten(F.collect_list("runs")).alias("_spans"))
 
 
 def dedup_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, **parameters) -> DataFrame:
