@@ -173,12 +173,16 @@ def complete_partition_check(spark, d):
     return once.agg(F.count("*").alias("subjects"), part("train"), part("validation"), part("test"), (F.max("c") == 1).alias("disjoint")).withColumn("unassigned", missing)
 
 
-@query("shared_trace_groups", """with w as (select vec_id, md5(array_to_string(list_transform(embedding, lambda x: floor(cast(x as double) * 1e6)::bigint), ',')) as digest from embeddings)
-select digest, count(*) as recordings from w group by 1""")
+@query("shared_trace_groups", """with w as (select vec_id, md5(array_to_string(list_transform(embedding, lambda x: floor(cast(x as double) * 1e6)::bigint), ',')) as digest, embedding from embeddings)
+select digest, count(*) as recordings from w group by embedding, digest""")
 def shared_trace_groups(spark, d):
-    """Digest of every whole trace (to six digits) and how many recordings share it."""
+    """Every whole trace that differs in any bit of any value, by a digest of its exact doubles, with how many recordings share it.
+
+    Shown is a digest to six digits, which other systems can spell alike.
+    """
     digits = F.array_join(F.transform("x", lambda v: F.floor(v * 1e6).cast("string")), ",")
-    return waves(spark, d).select(F.md5(digits).alias("digest")).groupBy("digest").agg(F.count("*").alias("recordings"))
+    exact = F.sha2(F.array_join(F.transform("x", lambda v: v.cast("string")), ","), 256)                  # a double's shortest text is its own
+    return waves(spark, d).groupBy(exact.alias("exact"), F.md5(digits).alias("digest")).agg(F.count("*").alias("recordings")).drop("exact")
 
 
 # ---- splits and models -----------------------------------------------------------
