@@ -1,6 +1,8 @@
 """End-to-end jobs and training-window tables."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window, functions as F
 
 from pulsegrid.functions import kernels as kn
@@ -9,12 +11,12 @@ from pulsegrid.operators import assoc as ac, beats as bt, clock as ck, colour as
 from pulsegrid.operators.carry import exact_quantiles, with_index, with_prev
 from pulsegrid.plans import optical as po, signals as ps, windows as pw
 from pulsegrid.plans.assoc import preceding_features
-from pulsegrid.plans.clock import FLAGSHIP, FS, KEY, LENGTH, span, STRIDE, events_with_flags, uniform, window_quality
+from pulsegrid.plans.clock import FLAGSHIP, FS, KEY, LENGTH, MAX_GAP, span, STRIDE, events_with_flags, uniform, window_quality
 from pulsegrid.plans.colour import PRIORS
-from pulsegrid.plans.registry import COLOUR, CUFF, GRID, R, TRACE, query, unrounded
+from pulsegrid.plans.registry import COLOUR, CUFF, GRID, R, RESAMPLED, TRACE, query, unrounded
 from pulsegrid.plans.spectral import GATED, K0, K1, NFFT, dft, hr_sql
 from pulsegrid.session import checkpointed
-from pulsegrid.sources.tables import BLOCK, DAY, FS as RATE, colour_samples, cuff_events, read, trace
+from pulsegrid.sources.tables import BLOCK, DAY, FS as RATE, colour_samples, cuff_events, read, seconds, trace
 
 ROI = ["recording", "roi", "window_index"]
 
@@ -141,8 +143,24 @@ FEASIBLE = f"""{TRACE}, {GRID}, {CUFF}, pol(policy, guard) as (values {', '.join
  gr as (select policy, max_distance_sec, verified_only, count(*) as events, cast(count_if(gap <= max_distance_sec) as bigint) as associated from gp, lim, vo where verified or not verified_only group by 1, 2, 3)"""
 
 
-@query("job_delay_feasibility", f"""with {FEASIBLE} select policy, max_distance_sec, verified_only, events, associated, free_samples, active_samples, guard_samples, free_intervals, {R('free_sec')} as free_sec
-from gr join ph using (policy) join fr using (policy)""")
+WINDOW, HOP, LAGS = 24, 12, 6         # grid hours of a delay window and between two, and the largest lag looked at
+SECOND = re.sub(r"\b(trace|good|lastgood|nb|uniform)\b", r"\1_y", RESAMPLED)
+PAIRED = f"""trace_y as (select user_id as recording, event_id, (epoch_us(ts) - epoch_us(timestamp '2024-01-01')) / 1e6 as t, cast(json_extract_string(props, '$.k') as double) as x, event_type <> 'error' as valid, event_type from events),
+ {RESAMPLED}, {SECOND}, both_sites as (select recording, k, u.t, u.x, y.x as y from uniform u join uniform_y y using (recording, k)),
+ gm as (select policy, u.recording, k, coalesce(bool_or(u.t >= start_sec - guard and (end_sec is null or u.t < end_sec + guard)), false) as blocked from pol, both_sites u left join cuff c on c.recording = u.recording group by 1, 2, 3),
+ wk as (select policy, recording, k, x, y, blocked, unnest([k // {HOP}, k // {HOP} - 1]) as w from gm join both_sites using (recording, k)),
+ wn as (select policy, recording, w, count(*) as n, count(x + y) as both_n, bool_or(blocked) as blocked, list(x order by k) as x, list(y order by k) as y from wk where w >= 0 and k - w * {HOP} < {WINDOW} group by 1, 2, 3 having count(*) = {WINDOW}),
+ wc as (select policy, recording, w, list_transform(x, lambda a: a - list_avg(x)) as x, list_transform(y, lambda a: a - list_avg(y)) as y from wn where both_n = {WINDOW} and not blocked and len(list_distinct(x)) > 1 and len(list_distinct(y)) > 1),
+ wl as (select policy, recording, w, lag, list_sum(list_transform(range(1, {WINDOW + 1}), lambda i: case when i + lag between 1 and {WINDOW} then x[i] * y[i + lag] else 0 end)) as c from wc, (select unnest(range(-{LAGS}, {LAGS + 1})) as lag)),
+ wb as (select policy, recording, w, lag from (select *, row_number() over (partition by policy, recording, w order by c desc, lag) as rn from wl) where rn = 1 and abs(lag) < {LAGS}),
+ wd as (select *, lag * 3600e0 as delay, (lead(lag) over v - lag) * 3600e0 as step, lead(w) over v - w as apart from wb window v as (partition by policy, recording order by w)),
+ ws as (select policy, count(*) as windows, cast(count_if(both_n = {WINDOW}) as bigint) as paired_windows, cast(count_if(both_n = {WINDOW} and not blocked) as bigint) as free_windows from wn group by 1),
+ st as (select policy, count(*) as computable_delays, median(delay) as med, stddev_pop(delay) as sd, cast(count_if(apart = 1) as bigint) as adjacent_pairs, median(case when apart = 1 then abs(step) end) as adj from wd group by 1)"""
+
+
+@query("job_delay_feasibility", f"""with {FEASIBLE}, {PAIRED} select policy, max_distance_sec, verified_only, events, associated, free_samples, active_samples, guard_samples, free_intervals, {R('free_sec')} as free_sec,
+  windows, paired_windows, free_windows, coalesce(computable_delays, 0) as computable_delays, {R('med')} as median_delay_sec, {R('sd')} as delay_std_sec, coalesce(adjacent_pairs, 0) as adjacent_pairs, {R('adj')} as median_adjacent_difference_sec
+from gr join ph using (policy) join fr using (policy) join ws using (policy) left join st using (policy)""")
 def job_delay_feasibility(spark, d):
     """Guard policies, distance limits and the timing rule as one grid: phase time, free intervals and associations.
 
@@ -167,7 +185,35 @@ def job_delay_feasibility(spark, d):
     cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(x).alias("max_distance_sec"), F.lit(v).alias("verified_only")) for i, x in enumerate(DISTANCES) for v in (True, False)])
     grid = steps.select("*", F.inline(cells)).where(~F.col("verified_only") | F.col("timing_verified"))
     grid = grid.groupBy("policy", "max_distance_sec", "verified_only").agg(F.sum("n").alias("events"), F.coalesce(F.sum(F.when(F.col("step") <= F.col("i"), F.col("n"))), F.lit(0)).alias("associated"))
-    return grid.join(phases, "policy").join(room, "policy")
+    return grid.join(phases, "policy").join(room, "policy").join(delay_stability(spark, d, under, events, by), "policy")
+
+
+def delay_stability(spark, d, under, events, by):
+    """Per policy: windows of the two channels on the shared grid, those with support and free of events throughout, the delay of the second
+    channel in each, and how far delays of adjacent windows differ. A peak on the border of the search is no delay."""
+    s = read(spark, d, "events").select(F.col("user_id").alias("recording"), "event_id", seconds().alias("t"), F.col("value").alias("x"),
+                                        F.from_json("props", "k int")["k"].cast("double").alias("y"), (F.col("event_type") != "error").alias("valid"))
+    u = checkpointed(ck.bounded_resample(s, ck.shared_grid(s, KEY, FS), KEY, ["x", "y"], MAX_GAP, span(spark, d)).select(*KEY, "k", "t", "x", "y"))
+    m = ck.sample_phase(under(u).drop("guard"), events, by, F.col("guard"), span(spark, d))
+    at = F.explode(F.array(F.floor(F.col("k") / HOP), F.floor(F.col("k") / HOP) - 1))
+    m = m.select(*by, "k", "x", "y", "candidate_cuff_free", at.alias("w")).where((F.col("w") >= 0) & (F.col("k") - F.col("w") * HOP < WINDOW))
+    w = m.groupBy(*by, "w").agg(F.count("*").alias("n"), F.count(F.col("x") + F.col("y")).alias("both"), F.bool_and("candidate_cuff_free").alias("free"),
+                                F.array_sort(F.collect_list(F.struct("k", "x", "y"))).alias("s")).where(F.col("n") == WINDOW)
+    w = checkpointed(w.select(*by, "w", "both", "free", F.col("s.x").alias("x"), F.col("s.y").alias("y")))
+    counts = w.groupBy("policy").agg(F.count("*").alias("windows"), F.count_if(F.col("both") == WINDOW).alias("paired_windows"),
+                                     F.count_if((F.col("both") == WINDOW) & F.col("free")).alias("free_windows"))
+    live = w.where((F.col("both") == WINDOW) & F.col("free") & (F.size(F.array_distinct("x")) > 1) & (F.size(F.array_distinct("y")) > 1))
+    c = sp.with_xcorr(live, "x", "y", LAGS)
+    lag = (F.array_position("xc", F.array_max("xc")) - (LAGS + 1)).cast("long")
+    found = checkpointed(c.select(*by, "w", (lag * 3600.0).alias("delay"), F.abs(lag).alias("away")).where(F.col("away") < LAGS).drop("away"))
+    after = found.select(*by, (F.col("w") - 1).alias("w"), F.col("delay").alias("after"))
+    steps = found.join(after, [*by, "w"]).select("policy", F.abs(F.col("after") - F.col("delay")).alias("step"))
+    out = found.groupBy("policy").agg(F.count("*").alias("computable_delays"), F.stddev_pop("delay").alias("sd")).join(exact_quantiles(found, ["policy"], "delay", {"med": .5}), "policy")
+    near = steps.groupBy("policy").agg(F.count("*").alias("adjacent_pairs")).join(exact_quantiles(steps, ["policy"], "step", {"adj": .5}), "policy")
+    out = counts.join(out, "policy", "left").join(near, "policy", "left")
+    n = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return out.select("policy", "windows", "paired_windows", "free_windows", n("computable_delays"), rnd("med").alias("median_delay_sec"), rnd("sd").alias("delay_std_sec"),
+                      n("adjacent_pairs"), rnd("adj").alias("median_adjacent_difference_sec"))
 
 
 @query("job_pilot_signal_audit", f"""with u as (select 'hourly_trace' as source, status, periodicity as value from ({unrounded('quality_status_window')}) union all
