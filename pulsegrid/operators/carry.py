@@ -162,8 +162,11 @@ def with_rank(df: DataFrame, keys: list[str], value: str, tie: str, name: str =
         raw = F.floor((F.col(c) - F.col(lo)) / (F.col(hi) - F.col(lo)) * bins)
         return F.when(F.col(hi) > F.col(lo), F.least(F.lit(bins - 1), raw)).otherwise(0).cast("int")
 
-    below = F.size(F.filter("_cut", lambda c: c < F.col("_s")))
-    s = s.join(span, keys).withColumns({"_bin": below, "_sub": bin_of(tie, "_tlo", "_thi")}).drop("_cut", "_tlo", "_thi")
+    # number of borders below the value by halving: a comparison a step, all in generated code
+    s = s.join(span, keys).withColumns({"_bin": F.lit(0), "_sub": bin_of(tie, "_tlo", "_thi")})
+    for step in (1 << k for k in reversed(range(bins.bit_length()))):
+        s = s.withColumn("_bin", F.col("_bin") + F.when(F.get("_cut", F.col("_bin") + (step - 1)) < F.col("_s"), step).otherwise(0))
+    s = s.drop("_cut", "_tlo", "_thi")
     cells = s.groupBy(*keys, "_bin", "_sub").agg(F.count(F.lit(1)).alias("_c"), F.min("_s").alias("_a"), F.max("_s").alias("_z"))
     wb = Window.partitionBy(*keys, "_bin")
     cells = cells.withColumn("_cell", F.when(F.min("_a").over(wb) == F.max("_z").over(wb), F.col("_sub")).otherwise(0))
