@@ -6,7 +6,7 @@ import re
 from pyspark.sql import Window, functions as F
 
 from pulsegrid.functions import kernels as kn
-from pulsegrid.functions.cols import arr_zscore, joined, reasons, rnd
+from pulsegrid.functions.cols import arr_zscore, joined, reasons, rnd, safe_corr
 from pulsegrid.operators import assoc as ac, beats as bt, clock as ck, colour as cl, ecg, metrics as mt, optical as op, spectral as sp
 from pulsegrid.operators.carry import exact_quantiles, with_index, with_prev
 from pulsegrid.plans import optical as po, signals as ps, windows as pw
@@ -30,9 +30,16 @@ def roi_samples(spark, d):
     return with_index(s, ["recording", "roi"], "part", ["at"], "i")
 
 
-def roi_windows(spark, d, length: int = BLOCK):
+def with_equal_region(samples):
+    """Adds the condition in which the regions of a recording that have a sample at an index count alike; a missing region is left out of the mean."""
+    mean = [F.avg(c).alias(c) for c in ("r", "g", "b")]
+    equal = samples.groupBy("recording", "i").agg(*mean, F.max("discount").alias("discount"), F.min("at").alias("at"), F.min("part").alias("part"))
+    return samples.unionByName(equal.withColumn("roi", F.lit("equal_roi_average")).select(samples.columns))
+
+
+def roi_windows(spark, d, length: int = BLOCK, samples=None):
     """Per (recording, roi, window): r, g, b arrays, source support and the default methods on that window alone."""
-    s = roi_samples(spark, d).withColumns({"window_index": F.floor(F.col("i") / length), "ok": (F.col("discount") > 0).cast("double")})
+    s = (roi_samples(spark, d) if samples is None else samples).withColumns({"window_index": F.floor(F.col("i") / length), "ok": (F.col("discount") > 0).cast("double")})
     key = F.concat_ws("|", F.col("recording").cast("string"), "roi")
     s = s.select(key.alias("recording"), "window_index", F.col("i").alias("at"), "r", "g", "b", "ok")
     s = s.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("recording", "window_index")))
@@ -290,25 +297,49 @@ def job_consensus_benchmark(spark, d):
     return a.select("recordings", "computed", "mean_sources", "n", *[rnd(c).alias(c) for c in ("mae", "rmse", "me", "sd", "pearson")])
 
 
-@query("job_classical_study")
-def job_classical_study(spark, d):
-    """Predictions and label-free quality are written first; the reference is joined only to score them."""
+INDICATORS = ("snr_db", "periodicity", "quality")
+
+
+def study_cells(spark, d):
+    """Every (condition, method, window) cell: predictions and label-free quality are written first, the reference is joined only to score them."""
     from pulsegrid.plans.spectral import signal_quality
-    w = roi_windows(spark, d).where(F.col("n") == BLOCK)
+    samples = checkpointed(with_equal_region(roi_samples(spark, d)))
+    w = roi_windows(spark, d, samples=samples).where(F.col("n") == BLOCK)
     both = F.array(*[F.struct(F.lit(m).alias("method"), F.col(m).alias("x")) for m in ("GREEN", "CHROM", "CHROM_WIN", "PBV", "POS_WIN", "OMIT")])
     long = w.select(*ROI, "quality", F.explode(both).alias("m")).select(*ROI, "quality", "m.method", "m.x")
     q = signal_quality(long, "x")
     flat = F.coalesce(F.col("amplitude_std") <= 1e-8, F.lit(True))
     q = q.withColumn("failure", F.when(F.col("x").isNull(), "NO_COMPUTABLE_PRIOR").when(flat, "FLAT_OR_NONFINITE_PREDICTION").otherwise(""))
     predictions = checkpointed(q.select(*ROI, "method", "quality", "failure", "snr_db", "periodicity", F.when(F.col("failure") == "", F.col("hr_bpm")).alias("pred")))
-    raw = roi_samples(spark, d).withColumn("window_index", F.floor(F.col("i") / BLOCK)).groupBy(*ROI).agg(F.array_sort(F.collect_list(F.struct("i", "b"))).alias("p"))
+    raw = samples.withColumn("window_index", F.floor(F.col("i") / BLOCK)).groupBy(*ROI).agg(F.array_sort(F.collect_list(F.struct("i", "b"))).alias("p"))
     reference = sp.with_hr(raw.select(*ROI, F.col("p.b").alias("x")), "x", RATE, BLOCK).select(*ROI, F.col("hr_bpm").alias("ref"))
-    e = mt.with_error(predictions.join(reference, ROI, "left")).withColumn("sq", F.col("err") * F.col("err"))
+    return checkpointed(mt.with_error(predictions.join(reference, ROI, "left")).withColumn("sq", F.col("err") * F.col("err")))
+
+
+def study_associations(e):
+    """Per condition and method the rank correlation of each indicator with the error, over recordings' means of finite cells; one pass for
+    all indicators. Fewer than three recordings, or a tie of all of them, leave it undefined."""
+    key = ["roi", "method"]
+    means = e.groupBy(*key, "recording").agg(F.avg("abs_err").alias("error"), *[F.avg(c).alias(c) for c in INDICATORS])
+    pairs = F.array(*[F.struct(F.lit(c).alias("indicator"), F.col(c).alias("value")) for c in INDICATORS])
+    m = means.select(*key, "error", F.inline(pairs)).where("error is not null and value is not null")
+    by = [*key, "indicator"]
+    m = mt.average_rank(mt.average_rank(m, by, "error", "re"), by, "value", "rv")
+    g = m.groupBy(*by).agg(F.count("*").alias("n"), safe_corr("re", "rv").alias("rho"))
+    rho = [F.max(F.when((F.col("indicator") == c) & (F.col("n") >= 3), F.col("rho"))).alias(f"{c}_rho") for c in INDICATORS]
+    return g.groupBy(*key).agg(F.max("n").alias("associated_recordings"), *rho)
+
+
+@query("job_classical_study")
+def job_classical_study(spark, d):
+    """Regions and their equal mean as conditions, six methods: pooled and recording-balanced errors, failures, and rank associations."""
+    e = study_cells(spark, d)
     pooled = e.groupBy("roi", "method").agg(F.count("*").alias("intended_cells"), F.count("pred").alias("eligible_cells"), F.count_if(F.col("failure") == "NO_COMPUTABLE_PRIOR").alias("no_prior"),
                                             F.avg("abs_err").alias("mae"))
     bal = mt.balanced_means(e, ["roi", "method"], "recording", ["abs_err", "sq"])
-    j = pooled.join(bal, ["roi", "method"])
-    return j.select("roi", "method", "intended_cells", "eligible_cells", "no_prior", rnd("mae").alias("pooled_mae"), rnd("balanced_abs_err").alias("balanced_mae"), rnd(F.sqrt("balanced_sq")).alias("balanced_rmse"))
+    j = pooled.join(bal, ["roi", "method"]).join(study_associations(e), ["roi", "method"], "left")
+    return j.select("roi", "method", "intended_cells", "eligible_cells", "no_prior", rnd("mae").alias("pooled_mae"), rnd("balanced_abs_err").alias("balanced_mae"), rnd(F.sqrt("balanced_sq")).alias("balanced_rmse"),
+                    "associated_recordings", *[rnd(f"{c}_rho").alias(f"{c}_rho") for c in INDICATORS])
 
 
 @query("job_bp_table", f"""with {FLAGSHIP}, {CUFF}, st as (select *, case when r1 or r2 or r3 then 'invalid' when r4 or r5 then 'uncertain' else 'good' end as status from q),
