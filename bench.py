@@ -13,7 +13,8 @@ from pulsegrid.session import local_session  # noqa: E402
 
 HEADLINE = ["quality_status_window", "bounded_resample", "event_mask_join", "cuff_preceding_interval", "method_chrom", "method_chrom_win", "window_priors",
             "hr_welch", "lag_aligned_metrics", "delay_gate", "coverage_metrics", "subject_balanced_metrics", "subject_bootstrap_ci", "optical_descriptors",
-            "rank_windows", "segment_signal", "loso_ridge", "job_classical_benchmark", "job_bp_table", "stream_window_quality"]
+            "rank_windows", "segment_signal", "loso_ridge", "job_classical_benchmark", "job_bp_table", "stream_window_quality",
+            "job_classical_study"]
 
 
 def main() -> None:
