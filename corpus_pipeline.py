@@ -1,5 +1,10 @@
 """Corpus pipeline: toxic documents go, repeated lines go, one document of each near-duplicate group stays, sources are mixed to their
-target weights, and what is left is encoded. Every stage works on all that the one before it kept and reads it from Parquet."""
+target weights, and what is left is encoded. Every stage works on all that the one before it kept and reads it from Parquet.
+
+Defined cases: an empty table gives an empty table at every stage. A null or empty text is scored by the bias alone, loses no lines, is near to
+nothing, has size 0 and so is never taken by the mix. Rows equal in id and text are judged alike and stay or go together. Null ids and null
+sources are values like any other. Further columns pass through under any name; the last stage adds ``ids`` and ``n_tokens`` and replaces
+columns that are called so."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -14,8 +19,17 @@ from pulsegrid.llm.toxicity import below, fit
 from pulsegrid.session import checkpointed
 
 
+ROWS_A_BATCH = 1000           # rows of whole documents that a Python worker is sent at once; the default of ten thousand is made for narrow rows
+
+
+def bounded(spark: SparkSession) -> None:
+    """Keep what a task holds outside the heap to some megabytes, whatever columns the documents have. Results do not depend on it."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_A_BATCH)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below one half by a machine fitted on the labels."""
+    bounded(spark)
     return below(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
@@ -29,6 +43,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8); rows equal in id and text stay together."""
+    bounded(spark)
     gone = checkpointed(near_duplicates(docs).where("not _keep").select(F.col("doc_id").alias("_id"), "_text").distinct())
     d = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("_hash"))
     marked = d.withColumn("_maybe", maybe(slots(gone.select(F.xxhash64("_id", "_text").alias("_row")), "_row", 24), F.xxhash64("doc_id", "_hash")))
@@ -43,6 +58,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, the end id last, and their number."""
+    bounded(spark)
     return encode(docs).withColumn("n_tokens", F.size("ids").cast("long"))
 
 
