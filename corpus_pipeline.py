@@ -53,7 +53,11 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents once for each time the mix takes them, dealt to output shards."""
-    return mix(docs).select(docs.columns)
+    name = "_shard"
+    while name in docs.columns:                                                             # the mix numbers its shards in a column of that name
+        name = f"_{name}"
+    got = mix(docs.withColumnRenamed("_shard", name))
+    return got.select(*[F.col(f"`{name if c == '_shard' else c}`").alias(c) for c in docs.columns])
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
