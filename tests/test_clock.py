@@ -124,3 +124,11 @@ def test_blocked_spline_equals_one_pass(spark):
     p = spark.createDataFrame(pd.DataFrame({"recording": 1, "k": range(len(at)), "t": at, "linear": 0.0, "lo_i": lo}))
     run = lambda block: sg.bounded_cubic(s, p, ["recording"], "x", 1.0, 5.0, block, 40).toPandas().sort_values("k").value.to_numpy()
     np.testing.assert_allclose(run(32), run(100000), atol=1e-10)
+
+
+def test_unfolded_rows_are_spread_by_their_number(spark):
+    from pulsegrid.operators.clock import explode_ids
+    g = explode_ids(spark.range(40), ["id"], F.lit(50_000), "k")
+    sizes = [r["n"] for r in g.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 2_000_000 and max(sizes) <= 1_000_000            # one task had them all: the blocks were coalesced by their bytes
+    assert explode_ids(spark.range(3), ["id"], F.lit(0), "k").count() == 0
