@@ -57,6 +57,20 @@ def documents(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     return d.select(logical(F.col("_metadata.file_path"), root).alias("path"), F.regexp_replace("value", r"\r?\n$", "").alias("content"))
 
 
+def write_archive(documents: DataFrame, root: str, by: list[str], content: str = "content") -> None:
+    """Documents of a tree packed into few files: per row the path ``by`` names, its bytes and its content. For trees that grow with the data,
+    where a file and a folder per document would cost a listing and a commit each."""
+    named = [F.coalesce(F.col(c).cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__")) for c in by]
+    body = F.coalesce(F.col(content), F.lit(""))
+    documents.select(F.concat_ws("/", *named).alias("path"), F.octet_length(body).cast("long").alias("length"), body.alias("content")) \
+        .write.mode("errorifexists").parquet(root)
+
+
+def archived(spark: SparkSession, root: str) -> DataFrame:
+    """``path``, ``length`` and ``content`` of the documents of an archive; a listing that selects path and length reads no content."""
+    return spark.read.schema("path string, length long, content string").parquet(root)
+
+
 def numbered_lines(spark: SparkSession, paths: str | list[str], unit: str = "file") -> DataFrame:
     """``path``, ``line_no`` (from one) and ``line`` of text files of any size; a file may be read in many splits.
 

@@ -119,3 +119,14 @@ def test_pairs_of_features_and_labels(spark):
     bad = "invalid_bp_reference"
     assert got == {"n1/s1": ("", "P1", "s1"), "n1/s2": ("missing_bp_label", "n1", "s2"), "n1/s3": (bad, "n1", "s3"), "n1/s4": (bad, "n1", "s4"), "n1/s5": (bad, "n1", "s5")}
     assert sorted((r["key"], r["value"]) for r in fl.numeric_features(pairs).collect()) == [("a", 1.0), ("b", 2.5)]
+
+
+def test_an_archive_is_few_files_and_keeps_every_document(spark, tmp_path):
+    root = str(tmp_path / "archive")
+    docs = [(k // 3, f"f{k % 3}.txt", None if k == 5 else "é\n" * (k % 4)) for k in range(3000)]
+    tr.write_archive(spark.createDataFrame(docs, "folder long, name string, content string").repartition(3), root, ["folder", "name"])
+    assert len([f for f in (tmp_path / "archive").iterdir() if f.name.endswith(".parquet")]) <= 3                    # a file per document before
+    got = sorted((r["path"], r["length"], r["content"]) for r in tr.archived(spark, root).collect())
+    assert got == sorted((f"{a}/{b}", len((c or "").encode()), c or "") for a, b, c in docs)
+    plan = tr.archived(spark, root).select("path", "length")._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan.split("ReadSchema")[1]
