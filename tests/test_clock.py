@@ -132,3 +132,12 @@ def test_unfolded_rows_are_spread_by_their_number(spark):
     sizes = [r["n"] for r in g.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
     assert sum(sizes) == 2_000_000 and max(sizes) <= 1_000_000            # one task had them all: the blocks were coalesced by their bytes
     assert explode_ids(spark.range(3), ["id"], F.lit(0), "k").count() == 0
+
+
+def test_reference_grid_is_joined_before_it_is_unfolded(spark):
+    samples = spark.createDataFrame([(1, 0.0), (1, 10.0), (2, 0.0), (2, 4.0), (3, 0.0), (3, 2.0)], "key int, t double")
+    within = spark.createDataFrame([(1, 2.5, 6.0), (2, 9.0, 9.5)], "key int, a double, b double")
+    g = ck.shared_grid(samples, ["key"], 1.0, within)
+    plan = g._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join")                # the join lies below the unfolding
+    assert sorted((r["key"], r["k"], r["t"]) for r in g.collect()) == [(1, k, float(k)) for k in (3, 4, 5, 6)]
