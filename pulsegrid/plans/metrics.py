@@ -10,7 +10,7 @@ from pulsegrid.operators import metrics as mt, resampling as rs
 from pulsegrid.operators.carry import exact_quantiles, halo, with_index, with_rank
 from pulsegrid.plans.registry import EVAL, R, query
 from pulsegrid.session import checkpointed
-from pulsegrid.sources.tables import eval_rows, read
+from pulsegrid.sources.tables import eval_rows, read, steady_avg
 
 EV = EVAL + """, er as (select *, case when pred is not null and ref is not null then pred - ref end as err,
   case when pred is not null and ref is not null then abs(pred - ref) end as abs_err, status <> 'P' as extraction_ok from ev)"""
@@ -329,7 +329,7 @@ def session_eligibility(spark, d):
 select method, count(*) as recordings, {R('case when count(*) >= 3 then corr(re, ri) end')} as spearman from k group by 1""")
 def spearman_association(spark, d):
     r = rows(spark, d).withColumn("rec", F.floor(F.col("start_day") / 30))
-    s = r.groupBy("method", "rec").agg(F.avg("abs_err").alias("error"), F.avg("pred").alias("indicator")).na.drop()
+    s = r.groupBy("method", "rec").agg(steady_avg("abs_err").alias("error"), steady_avg("pred").alias("indicator")).na.drop(subset=["error", "indicator"])
     s = mt.average_rank(mt.average_rank(s, ["method"], "error", "re"), ["method"], "indicator", "ri")
     return s.groupBy("method").agg(F.count("*").alias("recordings"),
                                    rnd(F.when(F.count("*") >= 3, safe_corr("re", "ri"))).alias("spearman"))
