@@ -37,3 +37,25 @@ def test_study_is_what_its_cells_say(spark):
             defined = len(both) >= 3 and (ranks.std() > 0).all()
             want = ranks["abs_err"].corr(ranks[c]) if defined else None
             assert r[f"{c}_rho"] == (None if want is None else pytest.approx(want, abs=1e-6)), (key, c)
+
+
+def test_window_tables_compute_only_what_they_return(spark, monkeypatch):
+    """Support and targets passed through six methods, a filter and Python, three times over; and one way to index serves dense and sparse suppliers."""
+    from pulsegrid.plans import QUERIES, jobs
+    from pulsegrid.sources import tables
+    plan = QUERIES["fixed_window_inputs"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "Window " not in plan
+    crop = QUERIES["cropped_roi_window_table"](spark, SF)
+    assert crop._jdf.queryExecution().optimizedPlan().toString().count("Window ") == 2             # the two places, no method
+    whole = {n: sorted(map(str, QUERIES[n](spark, SF).collect())) for n in ("fixed_window_inputs", "cropped_roi_window_table")}
+    for module in (tables, jobs):
+        monkeypatch.setattr(module, "DENSE", 10)
+    for n, rows in whole.items():
+        assert sorted(map(str, QUERIES[n](spark, SF).collect())) == rows and rows
+
+
+def test_samples_are_dealt_by_their_number(spark, monkeypatch):
+    from pulsegrid.sources import tables
+    monkeypatch.setattr(tables, "PER_TASK", 500)
+    s = tables.colour_samples(spark, SF)
+    assert s.rdd.getNumPartitions() >= s.count() // 500                    # the session's number of shuffle partitions, however large the table
