@@ -66,7 +66,7 @@ def cubic(spark, d, fs):
     s = trace(spark, d)
     k = knots(spark, d)
     grid = ck.shared_grid(s, KEY, fs)
-    u = ck.neighbours(k, grid, KEY, ["x", "i"], span(spark, d))
+    u = ck.neighbours(k, grid, KEY, ["x", "i"], span(spark, d), ck.grid_size(s, KEY, fs))
     t, lo, hi = F.col("t"), F.col("lo"), F.col("hi")
     exact = hi["t"] - t <= ck.EXACT
     a = (t - lo["t"]) / (hi["t"] - lo["t"])
@@ -114,7 +114,7 @@ def rate_adapter(spark, d):
     s = trace(spark, d)
     at = ck.bounded_resample(f, s.select(*KEY, F.col("event_id").alias("k"), "t"), KEY, ["x"], MAX_GAP, span(spark, d))
     back = checkpointed(at.join(s.select(F.col("event_id").alias("k"), "valid"), "k").withColumn("valid", F.col("valid") & F.col("x").isNotNull()))
-    target = ck.bounded_resample(back, ck.shared_grid(s, KEY, HOURLY), KEY, ["x"], MAX_GAP, span(spark, d))
+    target = ck.bounded_resample(back, ck.shared_grid(s, KEY, HOURLY), KEY, ["x"], MAX_GAP, span(spark, d), ck.grid_size(s, KEY, HOURLY))
     g = target.groupBy(*KEY).agg(F.count("*").alias("target_points"), rnd(F.avg(F.col("x").isNotNull().cast("double"))).alias("target_valid_fraction"),
                                  rnd(F.avg(F.col("imputed").cast("double"))).alias("target_interpolated_fraction"), rnd(F.stddev_pop("x")).alias("output_sd"))
     eff = back.groupBy(*KEY).agg(rnd(F.avg(F.col("valid").cast("double"))).alias("effective_source_valid_fraction"))

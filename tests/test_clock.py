@@ -141,3 +141,21 @@ def test_reference_grid_is_joined_before_it_is_unfolded(spark):
     plan = g._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate") < plan.index("Join")                # the join lies below the unfolding
     assert sorted((r["key"], r["k"], r["t"]) for r in g.collect()) == [(1, k, float(k)) for k in (3, 4, 5, 6)]
+
+
+def test_neighbours_are_dealt_by_their_number(spark, monkeypatch):
+    """The tasks were as many as the session's partitions, however many the points; small keys stay whole, dense ones are cut, with the same rows."""
+    samples = spark.range(40).select((F.col("id") % 4).alias("recording"), (F.col("id") * 7919 % 100000).cast("double").alias("t"), F.col("id").cast("double").alias("x"))
+    size = ck.grid_size(samples, ["recording"], 1.0)
+    grid = ck.shared_grid(samples, ["recording"], 1.0)
+    assert size[0] == grid.count() + 40 and size[1] < size[0]
+    near = lambda: ck.neighbours(samples, grid, ["recording"], ["x"], 5000.0, size)
+    whole = near()
+    assert "Join" not in whole._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")[0]
+    rows = lambda df: df.agg(F.count("*"), F.sum(F.hash("recording", "k", "lo", "hi"))).first()
+    expected = rows(ck.neighbours(samples, grid, ["recording"], ["x"], 5000.0))
+    assert rows(whole) == expected
+    monkeypatch.setattr(ck, "DENSE", 10)
+    cut = near()
+    assert f", {-(-size[0] // 250_000)}" in cut._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(cut) == expected
