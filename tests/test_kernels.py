@@ -108,3 +108,19 @@ def test_sliding_projection_matches_the_slow_sum():
 def test_coherence_of_a_copy_is_one():
     x = np.random.default_rng(0).normal(size=(3, 600))
     np.testing.assert_allclose(kn.coherence_at(x, 2 * x, 30, 120, [1.2, 2.0, 3.0]), 1, atol=1e-12)
+
+
+def test_component_windows_are_separated_together():
+    """Each window had its own rounds, step by step in Python; together they give what each gives alone."""
+    rng = np.random.default_rng(4)
+    r, g, b = (rng.uniform(20, 200, (300, 64)) for _ in range(3))
+    g[7] = b[7] = r[7]                                      # rank-deficient: the principal component
+    calls, once = [], kn._decorrelate
+    try:
+        kn._decorrelate = lambda w: calls.append(1) or once(w)
+        together = kn.ica_component(r, g, b, 16.0, rounds=200)
+    finally:
+        kn._decorrelate = once
+    assert len(calls) <= 201
+    for k in range(0, 300, 7):
+        np.testing.assert_allclose(together[k], kn.ica_component(r[k:k + 1], g[k:k + 1], b[k:k + 1], 16.0, rounds=200)[0], atol=1e-9)
