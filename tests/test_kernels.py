@@ -124,3 +124,13 @@ def test_component_windows_are_separated_together():
     assert len(calls) <= 201
     for k in range(0, 300, 7):
         np.testing.assert_allclose(together[k], kn.ica_component(r[k:k + 1], g[k:k + 1], b[k:k + 1], 16.0, rounds=200)[0], atol=1e-9)
+
+
+def test_a_kernel_sees_a_bounded_part_of_a_batch(spark):
+    """A whole batch of ten thousand rows went through every kernel at once."""
+    from pyspark.sql import functions as F
+    from pulsegrid.functions.batch import ROWS, apply_kernel
+    df = spark.range(5000, numPartitions=1).select("id", F.array(F.col("id").cast("double"), F.lit(1.0)).alias("x"))
+    out = apply_kernel(df, ["x"], lambda m: [[len(m)] * len(m), m[:, 0]], "seen long, same double").collect()
+    assert max(r.seen for r in out) <= ROWS
+    assert [r.id for r in out] == list(range(5000)) and all(r.same == r.id for r in out)
