@@ -8,8 +8,8 @@ match is always between two different places, in one document or in two.
 
 Sound at any size and skew: an anchor that occurs once is dropped at the scan by a bit map of fixed size; copies collapse before they
 meet; an anchor with more than ``MOST_STRETCHES`` different stretches is dealt over several shards, each of which reports one hash for
-each class of equal windows that its array finds, and a sum over those finds the classes that shards share. Shards hold
-about ``SHARD_BYTES``.
+each class of equal windows that its array finds, packed by parts of the hashes; a part of all shards finds the classes that they share.
+Shards hold about ``SHARD_BYTES``.
 
 Defined cases: null and empty texts have no bytes and lose none; rows equal in doc_id and text are two occurrences, and both get the
 one result; a null doc_id is an id like any other.
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from pulsegrid.llm.arrow import map_text
 from pulsegrid.llm.registry import query, table
 from pulsegrid.llm.seeds import KEY, covered, with_spans
-from pulsegrid.llm.slots import slots, within
+from pulsegrid.llm.slots import maybe, slots, within
 from pulsegrid.llm.suffixes import common_prefixes, suffix_array
 from pulsegrid.llm.words import U, combine, mix, sequence_hashes, sliding_min, text_bytes
 from pulsegrid.session import checkpointed
@@ -141,12 +141,33 @@ def contents(docs: DataFrame, chosen, width: int, gram: int) -> DataFrame:
     return map_text(keyed(docs), run, "_anchor long, _content long, _bytes binary", limit=READ_BYTES)
 
 
-REPEATS = "_anchor long, _content long, _nth int, _n int, _class long"
+REPEATS = "_anchor long, _content long, _runs array<long>, _part int, _told binary"
+TOLD = np.dtype([("window", "<u8"), ("content", "<i8"), ("nth", "<i4"), ("alone", "?")])
+PARTS = 8                    # parts for each shard of a dealt anchor
+
+
+def packed(nth: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Runs of windows as numbers: the first window above 32 bits, the number of windows below."""
+    return (nth.astype(np.int64) << 32) + n
+
+
+def by_group(values: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Groups that occur and the values of each; ``group`` is sorted."""
+    first = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, np.int64)
+    return group[first], np.split(values, first[1:]) if len(first) else []
+
+
+def runs_of(stretch: np.ndarray, nth: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Stretches with windows, and the maximal runs of each; windows come sorted by stretch and place."""
+    new = np.ones(len(nth), bool)
+    new[1:] = (nth[1:] != nth[:-1] + 1) | (stretch[1:] != stretch[:-1])
+    first = np.flatnonzero(new)
+    return by_group(packed(nth[first], np.diff(np.append(first, len(nth)))), stretch[first])
 
 
 def shard_repeats(rows: pd.DataFrame, width: int) -> pd.DataFrame:
-    """Repeated windows of a shard as runs (``_nth``, ``_n``) per stretch; of dealt anchors also the class of every window that is alone
-    here, and one row (``_n`` 0) for each class that is not."""
+    """Repeated windows of a shard: a row of runs per stretch. Of dealt anchors also one hash for each class of equal windows, with whether the
+    window is alone here; those are packed, a row for each part of the hashes, so that no row is made per window."""
     rows = rows.drop_duplicates(["_anchor", "_content"]).reset_index(drop=True)       # rows that stand twice
     parts = rows["_bytes"].tolist()
     length = np.array([len(p) for p in parts])
@@ -163,21 +184,35 @@ def shard_repeats(rows: pd.DataFrame, width: int) -> pd.DataFrame:
     nth = np.arange(len(joined) - 1) - begin[stretch]
     window = nth <= length[stretch] - width
     at = np.flatnonzero(again[:-1] & window)
-    new = np.ones(len(at), bool)
-    new[1:] = (at[1:] != at[:-1] + 1) | (stretch[at[1:]] != stretch[at[:-1]])
-    first = np.flatnonzero(new)
-    run = [(stretch[at[first]], nth[at[first]], np.diff(np.append(first, len(at))), np.zeros(len(first), np.uint64), np.zeros(len(first), bool))]
-    dealt = rows["_salts"].to_numpy() > 1
-    if dealt.any():
-        some = window & dealt[stretch]
+    some, runs = runs_of(stretch[at], nth[at])
+    anchor, content = rows["_anchor"].to_numpy(np.int64), rows["_content"].to_numpy(np.int64)
+    out = [pd.DataFrame({"_anchor": anchor[some], "_content": content[some], "_runs": pd.Series(runs, dtype=object), "_part": pd.array([None] * len(some), "Int32"), "_told": None})]
+    salts = rows["_salts"].to_numpy(np.int64)
+    if (salts > 1).any():
         head = np.zeros(len(joined), bool)
         head[order] = ordered < width                                       # first of each class in the order
-        at = np.flatnonzero(some & head[:-1])
-        hashed = sequence_hashes(mix(joined.astype(np.uint64)), width)[at]
-        run.append((stretch[at], nth[at], np.where(again[at], 0, 1), hashed, np.ones(len(at), bool)))
-    s, nth, n, hashed, told = (np.concatenate(c) for c in zip(*run))
-    return pd.DataFrame({"_anchor": rows["_anchor"].to_numpy()[s], "_content": rows["_content"].to_numpy()[s], "_nth": nth.astype(np.int32), "_n": n.astype(np.int32),
-                         "_class": pd.array(hashed.view(np.int64), "Int64").copy() if told.all() else pd.array([h if t else None for h, t in zip(hashed.view(np.int64).tolist(), told.tolist())], "Int64")})
+        at = np.flatnonzero(window & (salts > 1)[stretch] & head[:-1])
+        told = np.zeros(len(at), TOLD)
+        told["window"], told["content"] = sequence_hashes(mix(joined.astype(np.uint64)), width)[at], content[stretch[at]]
+        told["nth"], told["alone"] = nth[at], ~again[at]
+        part = (told["window"] % (salts[stretch[at]] * PARTS).astype(np.uint64)).astype(np.int64)
+        _, which = np.unique(anchor[stretch[at]], return_inverse=True)
+        sort = np.lexsort((part, which))
+        _, each = by_group(sort, which[sort] * (int(part.max(initial=0)) + 1) + part[sort])
+        one = np.array([g[0] for g in each], np.int64)
+        out.append(pd.DataFrame({"_anchor": anchor[stretch[at[one]]], "_content": pd.array([None] * len(each), "Int64"), "_runs": None,
+                                 "_part": part[one].astype(np.int32), "_told": pd.Series([told[g].tobytes() for g in each], dtype=object)}))
+    return pd.concat([d.astype({"_content": "Int64", "_part": "Int32"}) for d in out], ignore_index=True)
+
+
+def shared_windows(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """Of one part of an anchor's classes: windows alone in their shard whose class another shard has too, a row of runs per stretch."""
+    told = np.frombuffer(b"".join(rows["_told"]), TOLD)
+    _, which, count = np.unique(told["window"], return_inverse=True, return_counts=True)
+    hit = told[(count[which] > 1) & told["alone"]]
+    hit = hit[np.lexsort((hit["nth"], hit["content"]))]
+    content, runs = runs_of(hit["content"], hit["nth"])
+    return pd.DataFrame({"_anchor": np.full(len(content), key[0]), "_content": content, "_runs": pd.Series(runs, dtype=object)})
 
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, most: int = MOST_STRETCHES) -> DataFrame:
@@ -197,19 +232,19 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_
     parts = parts.join(crowded, "_anchor", "left").withColumn("_salts", F.coalesce("_salts", F.lit(1)))
     shard = F.pmod(F.xxhash64("_anchor", F.pmod("_content", F.col("_salts"))), F.lit(shards))
     sorted_ = checkpointed(parts.groupBy(shard.alias("_shard")).applyInPandas(lambda rows: shard_repeats(rows, width), REPEATS))
-    classes = sorted_.where("_class is not null")
-    shared = classes.groupBy("_anchor", "_class").agg(F.count("*").alias("_m")).where("_m > 1").drop("_m")
-    across = classes.where("_n = 1").join(shared, ["_anchor", "_class"]).select("_anchor", "_content", "_nth", "_n")
-    # The other members of a class that is not alone in its shard are among the runs already. A stretch's runs and windows meet in one row
-    # before any join, so that no join makes a row per window.
-    run = F.struct("_nth", "_n")
-    once = sorted_.where("_class is null").select("_anchor", "_content", "_nth", "_n").union(across)
-    once = once.groupBy("_anchor", "_content").agg(F.collect_list(run).alias("_runs"))
-    once = once.join(each.where("_copies = 1").select("_anchor", "_content"), ["_anchor", "_content"], "left_semi")
-    whole = each.where("_copies > 1").select("_anchor", "_content", F.array(F.struct(F.lit(0).alias("_nth"), F.shiftright("_windows", 1).alias("_n"))).alias("_runs"))
-    placed = found.select(*KEY, "_at", "_anchor", "_content").join(whole.union(once), ["_anchor", "_content"])
-    spans = placed.select(*KEY, F.transform("_runs", lambda r: F.struct((F.col("_at") + r["_nth"]).alias("at"), (r["_n"] + (width - 1)).alias("n"))).alias("runs"))
-    return spans.groupBy(*KEY).agg(F.flatten(F.collect_list("runs")).alias("_spans"))
+    # The other members of a class that is not alone in its shard are among the runs already.
+    across = sorted_.where("_part is not null").groupBy("_anchor", "_part").applyInPandas(shared_windows, "_anchor long, _content long, _runs array<long>")
+    once = sorted_.where("_part is null").select("_anchor", "_content", "_runs").union(across)
+    # A stretch's runs meet in one row before any join, so that no join makes a row per window.
+    once = once.groupBy("_anchor", "_content").agg(F.flatten(F.collect_list("_runs")).alias("_runs"))
+    whole = each.where("_copies > 1").select("_anchor", "_content", F.array(F.shiftright("_windows", 1).cast("long")).alias("_runs"))
+    repeats = checkpointed(whole.union(once.join(whole.select("_anchor", "_content"), ["_anchor", "_content"], "left_anti")))
+    # Only stretches that may have runs are shuffled once more. A span is a run moved by the stretch's place.
+    pair = F.xxhash64("_anchor", "_content")
+    some = found.select(*KEY, "_at", "_anchor", "_content").where(maybe(slots(repeats.select(pair.alias("_pair")), "_pair"), pair))
+    span = F.shiftleft(F.col("_at").cast("long"), 32) + F.lit(width - 1)
+    spans = some.join(repeats, ["_anchor", "_content"]).select(*KEY, F.transform("_runs", lambda r: r + span).alias("_runs")).groupBy(*KEY).agg(F.flatten(F.collect_list("_runs")).alias("_runs"))
+    return spans.select(*KEY, F.transform("_runs", lambda r: F.struct(F.shiftright(r, 32).cast("int").alias("at"), r.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("n"))).alias("_spans"))
 
 
 def dedup_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, **parameters) -> DataFrame:

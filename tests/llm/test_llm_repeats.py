@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 import brute
@@ -47,6 +48,19 @@ def test_bytes(spark, make, odd, most):
     assert Counter(map(tuple, got)) == Counter(brute.bytes_removed([t for _, t in docs], 20))
 
 
+def test_windows_of_a_dealt_anchor_make_no_row_each():
+    r = np.random.default_rng(5)
+    same = r.integers(97, 123, 60, np.uint8).tobytes()
+    parts = [r.integers(97, 123, 400, np.uint8).tobytes() + (bytes([128 + k]) + same if k % 5 == 0 else b"") for k in range(50)]
+    rows = pd.DataFrame({"_anchor": 7, "_content": range(50), "_bytes": parts, "_salts": 2})
+    got = [byte_repeats.shard_repeats(rows[rows["_content"] % 2 == k], 20) for k in range(2)]                  # 50 stretches with some 380 windows each
+    assert sum(map(len, got)) <= 10 + 2 * 2 * byte_repeats.PARTS
+    told = pd.concat(got).query("_part.notna()")
+    alone = sum(x["alone"].sum() for x in map(lambda t: np.frombuffer(t, byte_repeats.TOLD), told["_told"]))
+    assert alone == 40 * 381 + 10 * 401                                # windows in the shared end are not alone in their shard
+    assert all(byte_repeats.shared_windows((7, p), d).empty for p, d in told.groupby("_part"))
+
+
 @pytest.mark.parametrize("most", [2048, 1])
 def test_passages(spark, make, odd, most):
     """Also with the windows of every seed aggregated one by one (most=1)."""
