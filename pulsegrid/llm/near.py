@@ -27,14 +27,15 @@ from pyspark.sql import DataFrame, functions as F
 from pulsegrid.llm.arrow import map_text
 from pulsegrid.llm.components import components
 from pulsegrid.llm.registry import query, table
-from pulsegrid.llm.slots import maybe, slots
+from pulsegrid.llm.slots import slots, within
 from pulsegrid.llm.words import LOWER, U, Words, combine, mix, sequence_hashes, text_bytes
 from pulsegrid.session import checkpointed
 
 BUCKET_BITS, MANTISSA, ROWS = 7, 10, 4
 BUCKETS = 1 << BUCKET_BITS
 BLOCK = 1024
-CELL_ROWS, PAIRS_AT_ONCE = 8_000, 60_000
+CELL_ROWS, PAIRS_AT_ONCE, STRIP, WIDE = 8_000, 20_000, 256, 1024
+READ_BYTES = 1 << 20           # of text at once: the arrays of its words and shingles take some thirty times as much
 SIGMAS = 5.0
 
 
@@ -135,7 +136,7 @@ def described(docs: DataFrame, words_each: int) -> DataFrame:
                 "_sketch": [r.tobytes() for r in registers(row, shingle, batch.num_rows)]}
 
     keyed = docs.select("doc_id", F.xxhash64("text").alias("_text"), "text")
-    return map_text(keyed, run, "doc_id long, _text long, _c1 long, _c2 long, n_shingles long, _sketch binary")
+    return map_text(keyed, run, "doc_id long, _text long, _c1 long, _c2 long, n_shingles long, _sketch binary", limit=READ_BYTES)
 
 
 def band_rows(classes: DataFrame) -> DataFrame:
@@ -247,32 +248,39 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     _, which, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = count[which] > 1
     row, which = row[shared], np.unique(which[shared], return_inverse=True)[1]
-    out, wide = np.zeros((len(sets), len(sets)), np.float32), 4096
-    for first in range(0, int(which.max()) + 1 if len(which) else 0, wide):
-        some = (which >= first) & (which < first + wide)
-        held = np.zeros((len(sets), wide), np.float32)
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for first in range(0, int(which.max()) + 1 if len(which) else 0, WIDE):
+        some = (which >= first) & (which < first + WIDE)
+        held = np.zeros((len(sets), WIDE), np.float32)
         held[row[some], which[some] - first] = 1
         out += held @ held.T
     return out
 
 
+def cell_links(sets: list[np.ndarray], root: np.ndarray, cut: int | None, threshold: int) -> np.ndarray:
+    """Links (x, y) of a cell across components, as a spanning forest: of all its sets, or of those before ``cut`` with those from it on.
+    Pairs are judged some rows at a time."""
+    both, n, out = overlaps(sets), np.array([len(s) for s in sets]), np.zeros((0, 2), np.int64)
+    last = len(sets) if cut is None else cut
+    for first in range(0, last, STRIP):
+        rows = slice(first, min(first + STRIP, last))
+        x, y = np.nonzero(((100 + threshold) * both[rows].astype(float) >= threshold * (n[rows, None] + n[None, :])) & (root[rows, None] != root[None, :]))
+        x += first
+        some = y > x if cut is None else y >= cut
+        out = np.concatenate([out, np.column_stack([x[some], y[some]])])
+        out = out[forest(*root[out].T)]
+    return out
+
+
 def exact_links(members: DataFrame, threshold: int) -> DataFrame:
     """Links (a, b) across components, from the full sets of all classes of bridged components (``cluster``, node, root, _set): a spanning forest
     of each cell's links."""
     def run(key, d: pd.DataFrame) -> pd.DataFrame:
         d, cells = cells_of(d)
         sets = [np.frombuffer(x, np.uint64) for x in d["_set"]]
-        node, root, size, out = d["node"].to_numpy(), d["root"].to_numpy(), np.array([len(x) for x in sets]), [np.zeros((0, 2), np.int64)]
+        node, root, out = d["node"].to_numpy(), d["root"].to_numpy(), [np.zeros((0, 2), np.int64)]
         for a, cut, b in cells:
-            both = overlaps(sets[a:b])
-            n = size[a:b]
-            linked = (100 * both >= threshold * (n[:, None] + n[None, :] - both)) & (root[a:b, None] != root[None, a:b])
-            x, y = np.nonzero(np.triu(linked))
-            if cut is not None:
-                across = (x < cut - a) & (y >= cut - a)
-                x, y = x[across], y[across]
-            some = forest(root[a + x], root[a + y])
-            out.append(np.column_stack([node[a + x[some]], node[a + y[some]]]))
+            out.append(node[a + cell_links(sets[a:b], root[a:b], cut if cut is None else cut - a, threshold)])
         return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
 
     return in_cells(members, "cluster", ["node", "root", "_set"], BLOCK, run, "a long, b long")
@@ -296,15 +304,16 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 def full_sets(docs: DataFrame, classes: DataFrame, words_each: int) -> DataFrame:
     """The whole sets of the given classes, from the text of each class's first document."""
     wanted = classes.select("node", "_first.*")
-    rows = docs.select("doc_id", F.xxhash64("text").alias("_text"), "text")
-    rows = rows.where(maybe(slots(wanted.select(F.xxhash64("doc_id", "_text").alias("_row")), "_row", 24), F.xxhash64("doc_id", "_text")))
+    chosen = slots(wanted.select(F.xxhash64("doc_id", "_text").alias("_row")), "_row", 24)
+    rows = docs.select("doc_id", F.xxhash64("text").alias("_text"), "text").withColumn("_row", F.xxhash64("doc_id", "_text"))
 
     def run(batch):
+        batch = batch.filter(pa.array(within(chosen, batch.column("_row").to_numpy())))      # here, not by a second Python worker for each task
         _, shingle, size = shingle_sets(batch.column("text"), words_each)
         begin = np.concatenate([[0], np.cumsum(size)])
         return {"doc_id": batch.column("doc_id"), "_text": batch.column("_text"), "_set": [shingle[a:b].tobytes() for a, b in zip(begin, begin[1:])]}
 
-    got = map_text(rows, run, "doc_id long, _text long, _set binary").alias("g")
+    got = map_text(rows, run, "doc_id long, _text long, _set binary", limit=READ_BYTES).alias("g")
     w = wanted.alias("w")
     return (got.join(w, F.col("g.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("g._text") == F.col("w._text"))).select("node", "_set")
             .groupBy("node").agg(F.first("_set").alias("_set")))

@@ -1,5 +1,6 @@
 """Operators 5, 6, 8 and 9 against plain versions, with small windows so that small texts hold many repeats."""
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -131,6 +132,31 @@ def test_estimate_is_corrected_for_chance():
     assert abs(value[0] - 1 / 3) < 5 * error[0]
 
 
+@pytest.mark.parametrize("cut", [None, 400])
+def test_a_cell_is_judged_in_strips(monkeypatch, cut):
+    r = np.random.default_rng(6)
+    base = r.integers(0, 2 ** 60, 300, np.uint64)
+    sets = [np.unique(np.append(base[r.random(300) < .95], r.integers(0, 2 ** 60, 5, np.uint64))) for _ in range(800)]
+    root = np.arange(800)
+    tracemalloc.start()
+    got = near.cell_links(sets, root, cut, 80)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25e6                                                  # 800 * 800 pairs take 5 MB a column
+    linked = [(a, b) for a in range(800) for b in range(a + 1, 800) if (cut is None or a < cut <= b)
+              and 5 * len(np.intersect1d(sets[a], sets[b], True)) >= 4 * len(np.union1d(sets[a], sets[b]))] if cut is None else None
+    if linked is not None:
+        assert got.tolist() == [list(linked[k]) for k in near.forest(*np.array(linked).T)]
+    else:
+        assert len(got) == len(near.forest(*got.T)) and (got[:, 0] < cut).all() and (got[:, 1] >= cut).all()
+
+
+def test_full_sets_take_one_python_worker_a_task(spark, make, odd):
+    docs = make(odd)
+    classes = docs.selectExpr("monotonically_increasing_id() as node", "struct(doc_id, xxhash64(text) as _text) as _first")
+    assert "ArrowEvalPython" not in near.full_sets(docs, classes, 2)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_empty_tables(spark, make):
     none = make([])
     assert byte_repeats.dedup_bytes(none).count() == seeds.dedup_passages(none).count() == dedup_lines(none).count() == near.near_duplicates(none).count() == 0
