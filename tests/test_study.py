@@ -59,3 +59,33 @@ def test_samples_are_dealt_by_their_number(spark, monkeypatch):
     monkeypatch.setattr(tables, "PER_TASK", 500)
     s = tables.colour_samples(spark, SF)
     assert s.rdd.getNumPartitions() >= s.count() // 500                    # the session's number of shuffle partitions, however large the table
+
+
+def test_a_window_passes_through_one_python_worker(spark, monkeypatch):
+    """Methods, filters and spectra each had a worker of their own in a task, and windows were made in as many tasks as the session has partitions."""
+    monkeypatch.setattr(jobs, "PER_TASK", 500)
+    w = jobs.roi_windows(spark, SF)
+    assert w._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert w.rdd.getNumPartitions() >= jobs.roi_samples(spark, SF).count() // 500
+    written = []
+    monkeypatch.setattr(jobs, "checkpointed", lambda df: written.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
+    jobs.study_cells(spark, SF)
+    assert len(written) == 3 and "MapInArrow" not in written[0] and written[1].count("MapInArrow") == 1
+
+
+def test_kernels_read_what_kernels_before_them_made(spark):
+    from pulsegrid.functions.batch import apply_kernels, job
+    df = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, None), (3, [4.0, 5.0, 6.0])], "id int, x array<double>")
+    half = job(["x"], lambda m: [np.where(m == 5, np.nan, m / 2)], "h array<double>")               # a value that is missing: no total of that row
+    out = apply_kernels(df, [half, job(["h"], lambda m: [m.sum(1)], "total double")])
+    assert {r["id"]: r["total"] for r in out.collect()} == {1: 3.0, 2: None, 3: None}
+
+
+def test_dealt_ranks_are_the_average_ranks(spark):
+    from pulsegrid.operators import metrics as mt
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"key": rng.choice(["a", "b"], 4000), "recording": np.arange(4000), "v": np.r_[rng.normal(size=2000), rng.integers(0, 5, 2000)]})
+    out = mt.average_rank_dealt(spark.createDataFrame(pdf), ["key"], "v", "recording", "rank", 1_000_000)
+    assert out.rdd.getNumPartitions() >= 4
+    got = out.toPandas().sort_values("recording")["rank"].to_numpy()
+    np.testing.assert_array_equal(got, pdf.groupby("key")["v"].rank().to_numpy())
