@@ -216,9 +216,14 @@ def spline_borders(blocks: DataFrame, group: list[str]) -> DataFrame:
     return blocks.mapInPandas(eliminate, f"{fields}, ends array<double>").groupBy(*group).applyInPandas(solve, f"{fields}, before double, behind double")
 
 
+def spline_moments(t: np.ndarray, x: np.ndarray, left: bool, right: bool, before: float, behind: float) -> np.ndarray:
+    """Second derivatives of a block's own samples."""
+    return _moments(t, x, left, right) @ [1.0, before, behind]
+
+
 def spline_at(t: np.ndarray, x: np.ndarray, left: bool, right: bool, before: float, behind: float, at: np.ndarray) -> np.ndarray:
     """The spline of a block at places between its first and its last sample, neighbours included."""
-    m = _moments(t, x, left, right) @ [1.0, before, behind]
+    m = spline_moments(t, x, left, right, before, behind)
     m = np.concatenate([[before] if left else [], m, [behind] if right else []])
     h = np.diff(t)
     k = np.clip(np.searchsorted(t, at, side="right") - 1, 0, len(t) - 2)

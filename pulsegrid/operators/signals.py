@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pulsegrid.functions import kernels as kn
 from pulsegrid.operators import scan
-from pulsegrid.operators.carry import halo as halo_rows, with_prev, with_running
+from pulsegrid.operators.carry import dealt, halo as halo_rows, with_prev, with_running
+from pulsegrid.operators.clock import DENSE, EXACT
 from pulsegrid.session import checkpointed
 
 
@@ -77,6 +78,61 @@ def segment_signal(samples: DataFrame, keys: list[str], fs: float, low: float, h
     return y.unionByName(rest), runs.drop("_mean")
 
 
+def _spline_blocks(samples: DataFrame, keys: list[str], channel: str, max_gap: float, bucket_sec: float, block: int,
+                   size: tuple[int, int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Samples with their ``run``, its size and their place ``j`` in it; and its blocks of knots with the derivatives next to them.
+
+    With ``size`` (samples of all keys and of the largest) keys that are all small stay whole, dealt by the number of samples.
+    """
+    if size and size[1] <= DENSE:
+        w = Window.partitionBy(*keys).orderBy("t")
+        s = dealt(samples, size[0], *keys).withColumn("_p", F.lag("t").over(w))
+        new = F.col("_p").isNull() | (F.col("t") - F.col("_p") > max_gap + 1e-8)
+        s = s.withColumn("run", F.max(F.when(new, F.col("i"))).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_p")
+        s = s.withColumn("run_size", F.count(F.lit(1)).over(Window.partitionBy(*keys, "run")))
+    else:
+        s = samples.withColumn("_b", F.floor(F.col("t") / bucket_sec))
+        s = with_prev(s, keys, "_b", ["t"], F.struct("t"), "_p")
+        new = F.col("_p").isNull() | (F.col("t") - F.col("_p.t") > max_gap + 1e-8)
+        s = checkpointed(with_running(s, keys, "_b", ["t"], run=(F.when(new, F.col("i")), "max")).drop("_p", "_b"))
+        s = s.join(s.groupBy(*keys, "run").agg(F.count(F.lit(1)).alias("run_size")), [*keys, "run"])
+    s = s.withColumn("j", F.col("i") - F.col("run"))
+    knots = halo_blocks(s, [*keys, "run", "run_size"], F.col("j"), F.col("run_size"), block, 1, ["t", channel])
+    knots = checkpointed(knots.select(*keys, "run", "run_size", "block", F.col("_s.t").alias("kt"), F.col(f"_s.{channel}").alias("kx"),
+                                      (~F.element_at("_s", 1)["own"]).alias("left"), (~F.element_at("_s", -1)["own"]).alias("right")))
+    borders = scan.spline_borders(knots.where(F.col("run_size") > block), [*keys, "run"])
+    return s, knots.join(checkpointed(borders), [*keys, "run", "block"], "left").fillna(0.0, ["before", "behind"])
+
+
+def with_moments(samples: DataFrame, keys: list[str], channel: str, max_gap: float, bucket_sec: float, block: int = 256,
+                 size: tuple[int, int] | None = None) -> DataFrame:
+    """Samples (keys, ``t``, channel) with ``run``, ``run_size`` and ``m``, the second derivative of their run's natural cubic spline; exact at any ``block``."""
+    _, knots = _spline_blocks(samples, keys, channel, max_gap, bucket_sec, block, size)
+    types = dict(knots.dtypes)
+
+    def run(batches):
+        for pdf in batches:
+            ends = pdf[["left", "right", "before", "behind"]].itertuples(index=False)
+            m = [scan.spline_moments(np.array(t, float), np.array(x, float), *e) for t, x, e in zip(pdf["kt"], pdf["kx"], ends)]
+            own = [slice(int(a), len(t) - int(b)) for t, a, b in zip(pdf["kt"], pdf["left"], pdf["right"])]
+            yield pdf[[*keys, "run", "run_size"]].assign(t=[t[o] for t, o in zip(pdf["kt"], own)], x=[x[o] for x, o in zip(pdf["kx"], own)], m=m)
+
+    schema = ", ".join(f"{g} {types[g]}" for g in [*keys, "run", "run_size"]) + ", t array<double>, x array<double>, m array<double>"
+    d = knots.mapInPandas(run, schema).select(*keys, "run", "run_size", F.inline(F.arrays_zip("t", "x", "m")))
+    return checkpointed(d.withColumnRenamed("x", channel))
+
+
+def spline_between(t: Column, lo: Column, hi: Column, channel: str, max_gap: float) -> Column:
+    """Bounded cubic value at ``t`` from the samples around it (``with_moments``): NULL in a wide gap, linear in a run of fewer than three samples."""
+    exact = hi["t"] - t <= EXACT
+    h, a, b = hi["t"] - lo["t"], hi["t"] - t, t - lo["t"]
+    share = b / h
+    linear = F.when(exact, hi[channel]).when(h <= max_gap + EXACT, lo[channel] * (1 - share) + hi[channel] * share)
+    curve = ((lo["m"] * a * a * a + hi["m"] * b * b * b) / (6 * h) + (lo[channel] / h - lo["m"] * h / 6) * a + (hi[channel] / h - hi["m"] * h / 6) * b)
+    alone = exact & ~F.coalesce(lo["run"] == hi["run"], F.lit(False))             # at the first sample of a run
+    return F.when(linear.isNull() | alone | (F.when(exact, hi["run_size"]).otherwise(lo["run_size"]) < 3), linear).otherwise(curve)
+
+
 def bounded_cubic(samples: DataFrame, points: DataFrame, keys: list[str], channel: str, max_gap: float, bucket_sec: float,
                   block: int = 256, halo: int | None = None) -> DataFrame:
     """Natural cubic spline inside runs whose gaps stay within ``max_gap``, exact at any ``block``: blocks of a run are joined by the small system
@@ -86,17 +142,7 @@ def bounded_cubic(samples: DataFrame, points: DataFrame, keys: list[str], channe
     the bounded linear value that also decides support. A run of fewer than three
     samples keeps the linear value.
     """
-    s = samples.withColumn("_b", F.floor(F.col("t") / bucket_sec))
-    s = with_prev(s, keys, "_b", ["t"], F.struct("t"), "_p")
-    new = F.col("_p").isNull() | (F.col("t") - F.col("_p.t") > max_gap + 1e-8)
-    s = checkpointed(with_running(s, keys, "_b", ["t"], run=(F.when(new, F.col("i")), "max")).drop("_p", "_b"))
-    size = s.groupBy(*keys, "run").agg(F.count(F.lit(1)).alias("run_size"))
-    s = s.join(size, [*keys, "run"]).withColumn("j", F.col("i") - F.col("run"))
-    knots = halo_blocks(s, [*keys, "run", "run_size"], F.col("j"), F.col("run_size"), block, 1, ["t", channel])
-    knots = checkpointed(knots.select(*keys, "run", "run_size", "block", F.col("_s.t").alias("kt"), F.col(f"_s.{channel}").alias("kx"),
-                                      (~F.element_at("_s", 1)["own"]).alias("left"), (~F.element_at("_s", -1)["own"]).alias("right")))
-    borders = scan.spline_borders(knots.where(F.col("run_size") > block), [*keys, "run"])
-    knots = knots.join(checkpointed(borders), [*keys, "run", "block"], "left").fillna(0.0, ["before", "behind"])
+    s, knots = _spline_blocks(samples, keys, channel, max_gap, bucket_sec, block)
     owner = s.select(*keys, F.col("i").alias("lo_i"), "run", F.floor(F.col("j") / block).alias("block"))
     at = points.where("linear is not null").join(owner, [*keys, "lo_i"])
     at = at.withColumn("part", F.floor(F.col("k") / 4096))
@@ -122,9 +168,12 @@ def bounded_cubic(samples: DataFrame, points: DataFrame, keys: list[str], channe
     return points.select(*keys, "k").join(fitted, [*keys, "k"], "left")
 
 
-def fir(df: DataFrame, keys: list[str], index: str, column: str, taps, name: str, block: int = 4096) -> DataFrame:
-    """Centred symmetric FIR over a dense index; NULL unless every tap has support."""
+def fir(df: DataFrame, keys: list[str], index: str, column: str, taps, name: str, block: int = 4096, size: tuple[int, int] | None = None) -> DataFrame:
+    """Centred symmetric FIR over a dense index; NULL unless every tap has support. With ``size`` (rows of all keys and of the largest) small keys stay whole."""
     half = len(taps) // 2
-    h, w = halo_rows(df, keys, index, half, half, block)
+    if size and size[1] <= DENSE:
+        h, w = dealt(df, size[0], *keys).withColumns({"_own": F.lit(True), "_block": F.lit(0)}), Window.partitionBy(*keys).orderBy(index)
+    else:
+        h, w = halo_rows(df, keys, index, half, half, block)
     terms = [F.lag(column, half - j).over(w) if j < half else F.lead(column, j - half).over(w) if j > half else F.col(column) for j in range(len(taps))]
     return h.withColumn(name, sum(t * float(c) for t, c in zip(terms, taps))).where("_own").drop("_block", "_own")

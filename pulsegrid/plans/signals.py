@@ -7,7 +7,7 @@ from pulsegrid.functions import kernels as kn
 from pulsegrid.functions.batch import apply_kernel, apply_kernels, job
 from pulsegrid.functions.cols import finite, joined, reasons, rnd
 from pulsegrid.operators import beats as bt, clock as ck, ecg, signals as sg, spectral as sp
-from pulsegrid.operators.carry import with_index, with_prev
+from pulsegrid.operators.carry import dealt, with_index, with_place, with_prev
 from pulsegrid.plans.clock import FS as HOURLY, KEY, MAX_GAP, span, uniform
 from pulsegrid.plans.recursion import runs_sql
 from pulsegrid.plans.registry import COLOUR, GRID, R, RESAMPLED, TRACE, query
@@ -57,22 +57,25 @@ def rgb_trace_process(spark, d):
     return a.join(s, KEY).join(r, KEY, "left").select(*KEY, "points", "segments", "failures", *[rnd(c).alias(c) for c in ("support", "imputed", "signal_valid", "amplitude")])
 
 
-def knots(spark, d):
-    s = trace(spark, d).where("valid").withColumn("day", F.floor(F.col("t") / 86400.0))
-    return checkpointed(with_index(s, KEY, "day", ["t", "event_id"], "i").select(*KEY, "t", "x", "i"))
+def trace_size(spark, d):
+    """Samples of all recordings, and of the largest."""
+    n = trace(spark, d).groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
+    return tuple(v or 0 for v in n.agg(F.sum("n"), F.max("n")).first())
+
+
+def knots(spark, d, size):
+    s = trace(spark, d).where("valid")
+    if size[1] <= ck.DENSE:
+        return with_place(dealt(s, size[0], *KEY), KEY, ["t", "event_id"], "i").select(*KEY, "t", "x", "i")
+    return checkpointed(with_index(s.withColumn("day", F.floor(F.col("t") / 86400.0)), KEY, "day", ["t", "event_id"], "i").select(*KEY, "t", "x", "i"))
 
 
 def cubic(spark, d, fs):
-    s = trace(spark, d)
-    k = knots(spark, d)
-    grid = ck.shared_grid(s, KEY, fs)
-    u = ck.neighbours(k, grid, KEY, ["x", "i"], span(spark, d), ck.grid_size(s, KEY, fs))
-    t, lo, hi = F.col("t"), F.col("lo"), F.col("hi")
-    exact = hi["t"] - t <= ck.EXACT
-    a = (t - lo["t"]) / (hi["t"] - lo["t"])
-    linear = F.when(exact, hi["x"]).when(hi["t"] - lo["t"] <= MAX_GAP + ck.EXACT, lo["x"] * (1 - a) + hi["x"] * a)
-    p = u.select(*KEY, "k", "t", linear.alias("linear"), F.when(exact, hi["i"]).otherwise(lo["i"]).alias("lo_i"))
-    return p, sg.bounded_cubic(k, p, KEY, "x", MAX_GAP, span(spark, d))
+    """Points of the grid with the bounded cubic value: the second derivatives are a column of the samples, so a point needs its two neighbours alone."""
+    s, size = trace(spark, d), trace_size(spark, d)
+    k = sg.with_moments(knots(spark, d, size), KEY, "x", MAX_GAP, span(spark, d), size=size)
+    u = ck.neighbours(k, ck.shared_grid(s, KEY, fs), KEY, ["x", "run", "run_size", "m"], span(spark, d), ck.grid_size(s, KEY, fs))
+    return u.select(*KEY, "k", "t", sg.spline_between(F.col("t"), F.col("lo"), F.col("hi"), "x", MAX_GAP).alias("value"))
 
 
 #: Knots as runs, the tridiagonal system of their second derivatives solved sample by sample, and the spline between two knots.
@@ -97,7 +100,7 @@ SPLINE = ("case when linear is null then null when n < 3 then linear else (m0 *
 
 @query("bounded_cubic", f"with recursive {CUBIC} select recording, k, {R(SPLINE)} as x from ev")
 def bounded_cubic(spark, d):
-    return cubic(spark, d, HOURLY)[1].select(*KEY, "k", rnd("value").alias("x"))
+    return cubic(spark, d, HOURLY).select(*KEY, "k", rnd("value").alias("x"))
 
 
 NATIVE = 2 * HOURLY
@@ -107,12 +110,12 @@ TAPS = kn.kaiser_lowpass(1.0, .15, .35, 40.0)
 @query("rate_adapter")
 def rate_adapter(spark, d):
     """Regular double-rate grid, low-pass per run, back to the native times, then the target grid."""
-    _, fine = cubic(spark, d, NATIVE)
-    f = checkpointed(sg.fir(fine, KEY, "k", "value", TAPS, "y").select(*KEY, "k", "y"))
-    b = ck.bounds(trace(spark, d), KEY, NATIVE).select(*KEY, "t0")
-    f = f.join(b, KEY).select(*KEY, (F.col("t0") + F.col("k") / F.lit(NATIVE)).alias("t"), F.col("y").alias("x"), F.lit(True).alias("valid"))
     s = trace(spark, d)
-    at = ck.bounded_resample(f, s.select(*KEY, F.col("event_id").alias("k"), "t"), KEY, ["x"], MAX_GAP, span(spark, d))
+    size = ck.grid_size(s, KEY, NATIVE)
+    f = sg.fir(cubic(spark, d, NATIVE), KEY, "k", "value", TAPS, "x", size=size).select(*KEY, "t", "x", F.lit(True).alias("valid"))
+    if size[1] > ck.DENSE:
+        f = checkpointed(f)                                               # read twice there
+    at = ck.bounded_resample(f, s.select(*KEY, F.col("event_id").alias("k"), "t"), KEY, ["x"], MAX_GAP, span(spark, d), size)
     back = checkpointed(at.join(s.select(F.col("event_id").alias("k"), "valid"), "k").withColumn("valid", F.col("valid") & F.col("x").isNotNull()))
     target = ck.bounded_resample(back, ck.shared_grid(s, KEY, HOURLY), KEY, ["x"], MAX_GAP, span(spark, d), ck.grid_size(s, KEY, HOURLY))
     g = target.groupBy(*KEY).agg(F.count("*").alias("target_points"), rnd(F.avg(F.col("x").isNotNull().cast("double"))).alias("target_valid_fraction"),

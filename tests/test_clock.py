@@ -159,3 +159,40 @@ def test_neighbours_are_dealt_by_their_number(spark, monkeypatch):
     cut = near()
     assert f", {-(-size[0] // 250_000)}" in cut._jdf.queryExecution().optimizedPlan().toString()
     assert rows(cut) == expected
+
+
+def test_spline_travels_with_its_samples(spark, monkeypatch):
+    """Every point passed through Python and three joins by bucket; now second derivatives are a column of the samples. Dense keys, cut in buckets, agree."""
+    from pulsegrid.plans import QUERIES
+    sf = "/root/testdata/sf0.001"
+    q = QUERIES["bounded_cubic"](spark, sf)
+    plan = q._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" not in plan and "Join" not in plan
+    whole = {n: sorted(map(str, QUERIES[n](spark, sf).collect())) for n in ("bounded_cubic", "rate_adapter")}
+    for module in (ck, sg):
+        monkeypatch.setattr(module, "DENSE", 10)
+    for n, rows in whole.items():
+        assert sorted(map(str, QUERIES[n](spark, sf).collect())) == rows and rows
+
+
+def test_spline_of_samples_is_the_one_of_points(spark):
+    rng = np.random.default_rng(11)
+    t = np.cumsum(rng.choice([.2, .5, 3.0], 300, p=[.6, .3, .1]))
+    pdf = pd.DataFrame({"recording": 1, "t": t, "x": rng.normal(size=300), "i": np.arange(300)})
+    s = spark.createDataFrame(pdf)
+    at = np.sort(np.r_[rng.uniform(t[0] - 1, t[-1] + 1, 900), t])
+    grid = spark.createDataFrame(pd.DataFrame({"recording": 1, "k": np.arange(len(at)), "t": at}))
+    hi = np.searchsorted(t, at)
+    exact = (hi < 300) & (t[np.minimum(hi, 299)] - at <= 1e-8)
+    lo = np.clip(hi - 1, 0, 299)
+    near = (hi > 0) & (hi < 300) & (t[np.minimum(hi, 299)] - t[lo] <= 1.0 + 1e-8)
+    linear = np.where(exact, pdf.x[np.minimum(hi, 299)], np.where(near, np.interp(at, t, pdf.x), np.nan))
+    p = grid.toPandas().assign(linear=linear, lo_i=np.where(exact, np.minimum(hi, 299), lo))
+    p = spark.createDataFrame(p).withColumn("linear", F.when(~F.isnan("linear"), F.col("linear")))
+    want = sg.bounded_cubic(s, p, ["recording"], "x", 1.0, 5.0, 4).toPandas().sort_values("k").value.to_numpy(float)
+    for size in (None, (300, 300)):
+        m = sg.with_moments(s, ["recording"], "x", 1.0, 5.0, 4, size)
+        u = ck.neighbours(m, grid, ["recording"], ["x", "run", "run_size", "m"], 5.0)
+        got = u.select("k", sg.spline_between(F.col("t"), F.col("lo"), F.col("hi"), "x", 1.0).alias("value")).toPandas().sort_values("k").value.to_numpy(float)
+        np.testing.assert_allclose(got, want, atol=1e-9)
+        assert np.isnan(got).any() and np.isfinite(got).sum() > 300
