@@ -17,11 +17,21 @@ from pulsegrid.operators.clock import DENSE, EXACT
 from pulsegrid.session import checkpointed
 
 
-def label_runs(df: DataFrame, keys: list[str], index: str, valid: Column, chunk: int, keep_invalid: bool = False) -> DataFrame:
+def label_runs(df: DataFrame, keys: list[str], index: str, valid: Column, chunk: int, keep_invalid: bool = False,
+               size: tuple[int, int] | None = None) -> DataFrame:
     """Valid rows of a dense index with their ``run`` (its first index) and ``run_size``.
 
-    ``keep_invalid`` also returns the invalid rows, with both columns NULL.
+    ``keep_invalid`` also returns the invalid rows, with both columns NULL. With ``size`` (rows of all keys and of the largest) small keys
+    stay whole: nothing is joined by bucket, so rows that are dealt by key stay where they are.
     """
+    if size and size[1] <= DENSE:
+        w = Window.partitionBy(*keys).orderBy(index)
+        d = df.withColumn("_ok", valid).withColumn("_p", F.lag(F.struct(F.col("_ok").alias("ok"), F.col(index).alias("i"))).over(w))
+        new = F.col("_ok") & ~F.coalesce(F.col("_p.ok") & (F.col("_p.i") == F.col(index) - 1), F.lit(False))
+        d = d.withColumn("run", F.max(F.when(new, F.col(index))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        d = d.withColumn("run", F.when(F.col("_ok"), F.col("run"))).drop("_ok", "_p")
+        d = d.withColumn("run_size", F.when(F.col("run").isNotNull(), F.count(F.lit(1)).over(Window.partitionBy(*keys, "run"))))
+        return checkpointed(d if keep_invalid else d.where("run is not null"))
     d = df.withColumns({"_ok": valid, "_b": F.floor(F.col(index) / chunk)})
     d = with_prev(d, keys, "_b", [index], F.struct(F.col("_ok").alias("ok"), F.col(index).alias("i")), "_p")
     new = F.col("_ok") & ~F.coalesce(F.col("_p.ok") & (F.col("_p.i") == F.col(index) - 1), F.lit(False))
@@ -58,17 +68,22 @@ def filter_runs(df: DataFrame, group: list[str], column: str, name: str, fs: flo
 
 
 def segment_signal(samples: DataFrame, keys: list[str], fs: float, low: float, high: float, min_samples: int, edge: int, valid: Column,
-                   channel: str = "g", chunk: int = 65536, block: int = 8192, halo: int | None = None) -> tuple[DataFrame, DataFrame]:
+                   channel: str = "g", chunk: int = 65536, block: int = 8192, halo: int | None = None,
+                   size: tuple[int, int] | None = None) -> tuple[DataFrame, DataFrame]:
     """Centre, band-pass and edge-blank every run of a dense index ``k``; nothing crosses a gap. ``halo`` is not needed any more.
+    With ``size`` (rows of all keys and of the largest) runs of small keys are dealt over tasks by their rows.
 
     Returns (signal rows with NULL outside the retained part, run table with the reason a run failed).
     """
-    r = label_runs(samples, keys, "k", valid, chunk, keep_invalid=True)
+    r = label_runs(samples, keys, "k", valid, chunk, keep_invalid=True, size=size)
     group = [*keys, "run"]
     long_enough = F.coalesce((F.col("run_size") >= min_samples) & (F.col("run_size") > 2 * edge), F.lit(False))
     runs = r.where("run is not null").groupBy(*group).agg(F.first("run_size").alias("run_size"), F.avg(channel).alias("_mean"))
     runs = runs.withColumn("reason", F.when(long_enough, "").otherwise("insufficient_duration"))
-    live = r.where(long_enough).join(runs.select(*group, "_mean"), group)
+    if size and size[1] <= DENSE:
+        live = dealt(r.where(long_enough), size[0], *group).withColumn("_mean", F.avg(channel).over(Window.partitionBy(*group)))
+    else:
+        live = r.where(long_enough).join(runs.select(*group, "_mean"), group)
     live = live.withColumns({"_x": F.col(channel) - F.col("_mean"), "j": F.col("k") - F.col("run")})
     y = filter_runs(live, [*group, "run_size"], "_x", "_y", fs, low, high, block=block)
     kept = (F.col("j") >= edge) & (F.col("j") < F.col("run_size") - edge)

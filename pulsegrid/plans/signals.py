@@ -39,7 +39,8 @@ def segment_signal(spark, d):
 def process(spark, d):
     """Bounded resampling, run filtering and edge blanking of every trace on its shared grid."""
     u = uniform(spark, d)
-    return u, *sg.segment_signal(u, KEY, HOURLY, .05 * HOURLY, .25 * HOURLY, 48, 3, F.col("x").isNotNull(), channel="x", chunk=256)
+    size = ck.grid_size(trace(spark, d), KEY, HOURLY)
+    return u, *sg.segment_signal(u, KEY, HOURLY, .05 * HOURLY, .25 * HOURLY, 48, 3, F.col("x").isNotNull(), channel="x", chunk=256, size=size)
 
 
 @query("rgb_trace_process", f"""with recursive {TRACE}, {GRID}, {RESAMPLED}, smp as (select recording, k, x is not null as ok, x as v from uniform), {runs_sql('sg', 'smp', HOURLY, .05 * HOURLY, .25 * HOURLY, 48, 3)},

@@ -196,3 +196,17 @@ def test_spline_of_samples_is_the_one_of_points(spark):
         got = u.select("k", sg.spline_between(F.col("t"), F.col("lo"), F.col("hi"), "x", 1.0).alias("value")).toPandas().sort_values("k").value.to_numpy(float)
         np.testing.assert_allclose(got, want, atol=1e-9)
         assert np.isnan(got).any() and np.isfinite(got).sum() > 300
+
+
+def test_runs_of_small_keys_stay_in_place(spark, monkeypatch):
+    """Labels were joined by (recording, bucket): from some size on in as many tasks as the session has partitions. Dense keys, cut in buckets, agree."""
+    from pulsegrid.plans import QUERIES
+    sf, written = "/root/testdata/sf0.001", []
+    keep = sg.checkpointed
+    monkeypatch.setattr(sg, "checkpointed", lambda df: written.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(df))
+    whole = sorted(map(str, QUERIES["rgb_trace_process"](spark, sf).collect()))
+    assert len(written) == 1 and "Window" in written[0] and "Join" not in written[0]
+    for module in (ck, sg):
+        monkeypatch.setattr(module, "DENSE", 10)
+    assert sorted(map(str, QUERIES["rgb_trace_process"](spark, sf).collect())) == whole and whole
+    assert "Join" in written[1]
