@@ -210,3 +210,10 @@ def test_runs_of_small_keys_stay_in_place(spark, monkeypatch):
         monkeypatch.setattr(module, "DENSE", 10)
     assert sorted(map(str, QUERIES["rgb_trace_process"](spark, sf).collect())) == whole and whole
     assert "Join" in written[1]
+
+
+def test_samples_of_windows_are_dealt_by_their_number(spark):
+    from pulsegrid.plans.clock import window_quality
+    plan = window_quality(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "RepartitionByExpression" in line]
+    assert any("window_index" in line for line in dealt)                 # as many tasks as the session has partitions, however many samples
