@@ -60,7 +60,7 @@ class Stretches:
     def contents(self) -> np.ndarray:
         """Hash of all words of each stretch, from sums of hashes that depend on the place in the stretch."""
         length = self.count + self.width - 1
-        begin = np.concatenate([[0], np.cumsum(length)[:-1]]).astype(np.int64)
+        begin = np.cumsum(length) - length
         inside = np.arange(int(length.sum())) - np.repeat(begin, length)
         word = self.hashes[np.repeat(self.start, length) + inside]
         return mix(np.add.reduceat(mix(word + mix(inside.astype(np.uint64) + U(77))), begin) + length.astype(np.uint64)) if len(begin) else np.zeros(0, np.uint64)
@@ -69,7 +69,7 @@ class Stretches:
         """Keys of every window of the stretches ``some``: words left of the seed and right of it, extended word by word."""
         count = self.count[some]
         which = np.repeat(some, count)
-        nth = np.arange(int(count.sum())) - np.repeat(np.concatenate([[0], np.cumsum(count)[:-1]]).astype(np.int64), count)
+        nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
         left = self.place[which] - (self.start[which] + nth)               # words of the window before the seed
         right = self.width - self.gram - left
         l_hash, r_hash = np.zeros(len(which), np.uint64), np.zeros(len(which), np.uint64)

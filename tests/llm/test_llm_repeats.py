@@ -80,6 +80,16 @@ def test_passages_with_a_full_bit_map(spark, make, odd, monkeypatch, most):
     assert Counter(map(tuple, got)) == Counter((i, *x) for (i, _), x in zip(docs, brute.passages_removed(docs, 6)))
 
 
+def test_passages_where_a_batch_has_nothing_to_extend(spark):
+    """A task of copies, of texts of their own or of short texts has no stretch to extend, or none at all."""
+    shared = [f"s{k}" for k in range(12)]
+    docs = [(1, " ".join(["a"] * 4 + shared)), (2, " ".join(["b"] * 4 + shared)), (3, " ".join(["a"] * 4 + shared)), (4, " ".join(f"own{k}" for k in range(20))), (5, "too short"), (6, None)]
+    alone = spark.createDataFrame(spark.sparkContext.parallelize(docs, len(docs)), "doc_id long, text string")      # a task for every row
+    got = seeds.dedup_passages(alone, 6, 3).collect()
+    assert Counter(map(tuple, got)) == Counter((i, *x) for (i, _), x in zip(docs, brute.passages_removed(docs, 6)))
+    assert sum(r["n_removed"] > 0 for r in got) == 2
+
+
 def test_lines(spark, make):
     docs = [(k, t) for k, t in enumerate(texts(3, 60, ["p", "q", "", "r"], 12, "\n"))]
     got = {r["doc_id"]: (r["text"], r["n_removed"], r["n_lines"]) for r in dedup_lines(make(docs)).collect()}
