@@ -53,6 +53,30 @@ def test_guards_are_half_open(spark, bucket):
     assert m.candidate_cuff_free.tolist() == [True, False, False, False, False, False, False, True, False]
 
 
+@pytest.mark.parametrize("size", [None, (400, 400), (400, ck.DENSE + 1)])
+def test_one_sweep_serves_several_guards(spark, size):
+    rng = np.random.default_rng(4)
+    start = rng.uniform(0, 900, 40)
+    ev = pd.DataFrame({"recording": rng.integers(1, 4, 40), "start_sec": start, "end_sec": start + rng.uniform(0, 60, 40), "timing_verified": rng.random(40) < .9})
+    ev.loc[[3, 7], "end_sec"] = np.nan
+    ev.loc[[5], "start_sec"] = np.nan
+    ev = spark.createDataFrame(ev).replace(float("nan"), None)
+    samples = trace(spark, rng.integers(0, 1000, 300)).withColumn("recording", F.col("event_id") % 5).select("recording", "event_id", "t")
+    masks = ["cuff_active", "cuff_boundary_guard", "candidate_cuff_free", "verified_cuff_free", "timing_uncertain"]
+    got = {r["event_id"]: r for r in ck.sample_phase(samples, ev, ["recording"], {"A": 0.0, "B": 12.5}, 100.0, size).collect()}
+    for name, guard in (("A", 0.0), ("B", 12.5)):
+        one = ck.sample_phase(samples, ev, ["recording"], guard, 100.0).collect()
+        assert len(one) == len(got) == 300 and all(got[r["event_id"]][m][name] == r[m] for r in one for m in masks)
+
+
+def test_samples_of_small_recordings_are_swept_where_they_are(spark):
+    ev = spark.createDataFrame([(1, 60., 70., True)], "recording long, start_sec double, end_sec double, timing_verified boolean")
+    size = (600_000, 1000)
+    m = ck.sample_phase(ck.dealt(trace(spark, range(100)), size[0], "recording"), ev, ["recording"], {"A": 0.0}, 10.0, size)
+    plan = m._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == plan.count("Exchange") == 2                       # samples and borders, once each
+
+
 def test_missing_end_blocks_everything_after(spark):
     ev = spark.createDataFrame([(1, 60., None, False), (1, 145., 195., True)], "recording long, start_sec double, end_sec double, timing_verified boolean")
     m = ck.sample_phase(trace(spark, [10, 54, 56, 130, 500]).select("recording", "event_id", "t"), ev, ["recording"], 5.0, 20.0).orderBy("t").toPandas()

@@ -289,3 +289,18 @@ def test_reference_sums_do_not_depend_on_the_order_of_lines(spark):
     got = {r["k"]: r["s"] for r in spark.createDataFrame(lines, "k string, v double").coalesce(1).groupBy("k").agg(steady_sum(F.col("v")).alias("s")).collect()}
     assert got["a"] == got["b"] and got["a"] == pytest.approx(.6)            # the plain sums differ in the last bit, and ranks with them
     assert got["c"] == float("inf") and got["d"] is None
+
+
+def test_a_delay_window_is_gathered_once_for_all_policies(spark, monkeypatch):
+    """Grid rows, their windows and delays were made, shuffled and written once a policy."""
+    from pulsegrid.plans import jobs
+    sf = "/root/testdata/sf0.001"
+    whole = {str(r) for r in jobs.job_delay_feasibility(spark, sf).collect()}
+    written, keep = [], jobs.checkpointed
+    monkeypatch.setattr(jobs, "checkpointed", lambda df: written.append(df) or keep(df))
+    assert {str(r) for r in jobs.job_delay_feasibility(spark, sf).collect()} == whole and len(whole) == 18
+    assert not any({"x", "y"} & set(df.columns) for df in written)                                  # no samples
+    windows = [df for df in written if "lag" in df.columns]
+    assert len(windows) == 1 and windows[0].count() == max(r["windows"] for r in jobs.job_delay_feasibility(spark, sf).collect())
+    monkeypatch.setattr(jobs.ck, "DENSE", 10)                                                      # recordings that are cut into buckets
+    assert {str(r) for r in jobs.job_delay_feasibility(spark, sf).collect()} == whole
