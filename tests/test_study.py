@@ -39,6 +39,49 @@ def test_study_is_what_its_cells_say(spark):
             assert r[f"{c}_rho"] == (None if want is None else pytest.approx(want, abs=1e-6)), (key, c)
 
 
+def test_every_cell_a_recording_owes_is_there(spark):
+    """Short windows, and those a region lacks, were left out; so were what other windows and regions say of a cell, and the waveform's scores."""
+    e = jobs.study_cells(spark, SF).toPandas()
+    n = jobs.roi_samples(spark, SF).groupBy("recording", "roi").count().toPandas().groupby("recording")["count"].max()
+    assert (e.groupby("recording").size() == 4 * 6 * np.ceil(n / jobs.BLOCK)).all() and not e.duplicated([*jobs.ROI, "method"]).any()
+    none = e["failure"] == "NO_COMPUTABLE_PRIOR"
+    assert none.any() and (~none).any() and e.loc[none, ["pred", "zero_lag_r", "periodicity"]].isna().all(axis=None)
+    own = jobs.roi_samples(spark, SF).selectExpr("recording", "roi", f"i div {jobs.BLOCK} as window_index", "cast(discount > 0 as int) as ok").groupBy(*jobs.ROI).sum("ok").toPandas()
+    support = e[e["roi"] != jobs.EQUAL].merge(own, "left", jobs.ROI)
+    np.testing.assert_allclose(support["quality"], support["sum(ok)"].fillna(0) / jobs.BLOCK)
+    assert (support["quality"] == 0).any()
+    by = e.set_index([*jobs.ROI, "method"])["pred"].to_dict()
+    last = e.groupby("recording")["window_index"].max().to_dict()
+    for r in e.itertuples():
+        other = by.get((r.recording, r.roi, r.window_index + (1 if r.window_index < last[r.recording] else -1), r.method), np.nan)
+        rates = [by[r.recording, roi, r.window_index, r.method] for roi in "ANR"]
+        for got, want in ((r.adjacent_window_hr_difference_bpm, abs(r.pred - other)), (r.inter_roi_hr_range_bpm, max(rates) - min(rates) if np.isfinite(rates).all() else np.nan)):
+            assert got == pytest.approx(want, nan_ok=True)
+    live = e[e["zero_lag_r"].notna()]
+    assert len(live) and (live["lag_aligned_r"] >= live["zero_lag_r"]).all() and (live["lag_boundary"] == (live["selected_lag_ms"].abs() == 500)).all()
+    got = {(r["roi"], r["method"]): r for r in jobs.job_classical_study(spark, SF).collect()}
+    for key, part in e.groupby(["roi", "method"]):
+        r = got[key]
+        assert r["no_prior"] == (part["failure"] == "NO_COMPUTABLE_PRIOR").sum() and r["lag_boundary_cells"] == part["lag_boundary"].sum()
+        for c in jobs.SCORES:
+            want = part.groupby("recording")[c].mean().mean()
+            assert r[f"balanced_{c}"] == (None if np.isnan(want) else pytest.approx(want, abs=1e-6))
+
+
+def test_scores_of_known_waveforms(spark):
+    t = np.arange(jobs.BLOCK) / jobs.RATE
+    rng = np.random.default_rng(8)
+    b = np.sin(2 * np.pi * 1.2 * t) + .3 * rng.normal(size=len(t))
+    late = np.r_[rng.normal(size=3), b[:-3]]
+    cells = [(1, "A", k, x.tolist(), f) for k, (x, f) in enumerate([(late, ""), (-b, ""), (b, "FLAT_SOURCE_RGB"), (b, "")])]
+    cells = spark.createDataFrame(cells, "recording long, roi string, window_index long, x array<double>, failure string").selectExpr("*", "70.0D as pred")
+    ref = spark.createDataFrame([(1, "A", k, b.tolist(), k < 3, 72.0) for k in range(4)], "recording long, roi string, window_index long, b array<double>, reference_usable boolean, ref double")
+    got = {r["window_index"]: r for r in jobs.scored(cells, ref).collect()}
+    assert got[0]["selected_lag_ms"] == 3000 / jobs.RATE and got[0]["lag_aligned_r"] == pytest.approx(1) and got[0]["zero_lag_r"] == pytest.approx(np.corrcoef(late, b)[0, 1])
+    assert got[1]["zero_lag_r"] == pytest.approx(-1) and got[1]["err"] == -2                        # no polarity is turned
+    assert got[2]["zero_lag_r"] is None and got[3]["zero_lag_r"] is None and got[0]["matched_band_r"] < 1
+
+
 def test_window_tables_compute_only_what_they_return(spark, monkeypatch):
     """Support and targets passed through six methods, a filter and Python, three times over; and one way to index serves dense and sparse suppliers."""
     from pulsegrid.plans import QUERIES, jobs
