@@ -304,3 +304,31 @@ def test_a_delay_window_is_gathered_once_for_all_policies(spark, monkeypatch):
     assert len(windows) == 1 and windows[0].count() == max(r["windows"] for r in jobs.job_delay_feasibility(spark, sf).collect())
     monkeypatch.setattr(jobs.ck, "DENSE", 10)                                                      # recordings that are cut into buckets
     assert {str(r) for r in jobs.job_delay_feasibility(spark, sf).collect()} == whole
+
+
+def test_the_split_of_a_window_reaches_the_timing_diagnostics(spark):
+    """Delays of the halves were computed and dropped, and were missing in every window, as half of one is under three seconds."""
+    from pulsegrid.plans import spectral
+
+    def delay(x, y, hz):
+        x, y = x - x.mean(), y - y.mean()
+        r = min(8, int(.49 * 16 / hz), len(x) - 3)
+        c = np.correlate(y, x, "full")[len(x) - 1 - r:len(x) + r] / np.sqrt((x * x).sum() * (y * y).sum())
+        k = int(c.argmax())
+        if not 0 < k < 2 * r:
+            return None
+        den = c[k - 1] - 2 * c[k] + c[k + 1]
+        return (k - r + (np.clip(.5 * (c[k - 1] - c[k + 1]) / den, -.5, .5) if abs(den) > 1e-12 else 0)) / 16
+
+    sf = "/root/testdata/sf0.001"
+    got = {r["vec_id"]: r for r in spectral.timing_diagnostics(spark, sf).collect()}
+    rows = spectral.delays(spark, sf).select("vec_id", "x", "y", "hr_hz").collect()
+    for r in rows:
+        x, y = np.array(r["x"]), np.array(r["y"])
+        first, last = delay(x[:48], y[:48], r["hr_hz"]), delay(x[-48:], y[-48:], r["hr_hz"])
+        assert got[r["vec_id"]]["first_half_delay_sec"] == (None if first is None else pytest.approx(first, abs=1e-6))
+        assert got[r["vec_id"]]["second_half_delay_sec"] == (None if last is None else pytest.approx(last, abs=1e-6))
+        both = None if first is None or last is None else abs(last - first)
+        assert got[r["vec_id"]]["split_difference_sec"] == (None if both is None else pytest.approx(both, abs=1e-6))
+    assert len(rows) == len(got) and len({r["split_difference_sec"] for r in got.values()}) > 10
+    assert all(0 <= r["delay_phase_coherence"] <= 1 for r in got.values())
